@@ -1,0 +1 @@
+"""Incremental execution (placeholder; see README)."""
