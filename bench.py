@@ -1,8 +1,13 @@
-"""Benchmark: time every catalog query, and the batch job, at one scale.
+"""Benchmark: every catalog query, and the batch job, at one scale.
 
 Env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 4).
-Each query is executed in full through the ``noop`` sink (no collect to
-the driver). Prints one JSON line.
+
+The six input tables are first derived from the driver's ``lineitem`` /
+``part`` and written once as multi-file Parquet to a fresh scratch folder
+(``stage_inputs_sec``), because a real run reads its inputs from Parquet
+rather than deriving them per query. Each query is then executed in full
+over those tables through the ``noop`` sink (nothing is collected to the
+driver). Prints one JSON line.
 """
 
 from __future__ import annotations
@@ -16,9 +21,16 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from subrecon.plans import job  # noqa: E402
-from subrecon.plans.catalog import QUERIES  # noqa: E402
+from subrecon.plans.analysis import Reconciliation  # noqa: E402
+from subrecon.plans.catalog import BUILDERS  # noqa: E402
 from subrecon.session import local_session  # noqa: E402
-from subrecon.sources.fixtures import fixture_evidence  # noqa: E402
+from subrecon.sources.fixtures import fixture_frames  # noqa: E402
+from subrecon.sources.tables import Evidence  # noqa: E402
+
+
+def stage_inputs(spark, sf_dir: str, out: str, files: int) -> None:
+    for name, df in fixture_frames(spark, sf_dir).items():
+        df.repartition(files).write.mode("overwrite").parquet(os.path.join(out, name))
 
 
 def main() -> None:
@@ -26,28 +38,35 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "4"))
     spark = local_session(cores=cpus, shuffle_partitions=max(2 * cpus, 8), app="subrecon-bench",
                           extra={"spark.driver.memory": "8g"})
+    scratch = tempfile.mkdtemp(prefix="subrecon-bench-")
+    inputs = os.path.join(scratch, "inputs")
+
+    t0 = time.perf_counter()
+    stage_inputs(spark, sf_dir, inputs, files=2 * cpus)
+    stage_sec = round(time.perf_counter() - t0, 3)
+
+    ev = Evidence.read(spark, inputs)
     # Warm-up: JVM, Parquet footers, codegen caches (not timed).
-    QUERIES["click_coverage"](spark, sf_dir).write.format("noop").mode("overwrite").save()
+    BUILDERS["click_coverage"](Reconciliation(ev)).write.format("noop").mode("overwrite").save()
 
     times: dict[str, float] = {}
-    for name, q in QUERIES.items():
+    for name, build in BUILDERS.items():
         t0 = time.perf_counter()
-        q(spark, sf_dir).write.format("noop").mode("overwrite").save()
+        build(Reconciliation(ev)).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - t0, 3)
 
-    out = tempfile.mkdtemp(prefix="subrecon-bench-")
     t0 = time.perf_counter()
-    job.run(spark, fixture_evidence(spark, sf_dir), out)
+    job.run(spark, ev, os.path.join(scratch, "reports"))
     job_sec = round(time.perf_counter() - t0, 3)
 
-    total = round(sum(times.values()), 3)
     sf = os.path.basename(os.path.normpath(sf_dir)).removeprefix("sf")
     print(json.dumps({
-        "metric": "sum of per-query seconds (all catalog queries, noop sink)",
-        "value": total,
+        "metric": "sum of per-query seconds (all catalog queries over staged inputs, noop sink)",
+        "value": round(sum(times.values()), 3),
         "unit": "sec",
         "queries": times,
         "report_job_sec": job_sec,
+        "stage_inputs_sec": stage_sec,
         "sf": sf,
         "cpus": cpus,
     }))

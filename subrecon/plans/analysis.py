@@ -61,11 +61,24 @@ class Reconciliation:
     # -- shared count tables -------------------------------------------------
     @property
     def stats(self) -> DataFrame:
+        """Per-key counts of all four sources (what the job materialises)."""
         if self._stats is None:
             self._stats = key_stats(self.ev.substitution_events, self.responses,
                                     self.ev.partner_events, self.click_pairs)
         return self._stats
 
+    def stats_for(self, *sources: str) -> DataFrame:
+        """Per-key counts using only ``sources`` among 'R', 'P', 'C' (plus the
+        substitutions), unless the full table is already set."""
+        if self._stats is not None:
+            return self._stats
+        return key_stats(
+            self.ev.substitution_events,
+            self.responses if "R" in sources else None,
+            self.ev.partner_events if "P" in sources else None,
+            self.click_pairs if "C" in sources else None,
+        )
+
     def with_stats(self, stats: DataFrame) -> "Reconciliation":
         self._stats = stats
         for k in ("register", "upc"):
@@ -74,28 +87,28 @@ class Reconciliation:
 
     @cached_property
     def register(self) -> DataFrame:
-        weights = register_weights(self.ev.substitution_events, self.stats)
+        weights = register_weights(self.ev.substitution_events, self.stats_for("R", "C"))
         return ops.register_counts(weights, self.ev.transactions)
 
     @cached_property
     def upc(self) -> DataFrame:
-        return upc_counts(self.stats, self.ev.clicks, self.click_pairs, self.ev.products)
+        return upc_counts(self.stats_for("R"), self.ev.clicks, self.click_pairs, self.ev.products)
 
     # -- reports -------------------------------------------------------------
     def click_coverage(self) -> DataFrame:
         return R.click_coverage(self.ev.clicks)
 
     def response_coverage(self) -> DataFrame:
-        return R.response_coverage(self.stats)
+        return R.response_coverage(self.stats_for("R"))
 
     def reconciliation_summary(self) -> DataFrame:
-        return R.reconciliation_summary(self.stats)
+        return R.reconciliation_summary(self.stats_for("R", "P"))
 
     def recovery_rate(self) -> DataFrame:
-        return R.recovery_rate(self.stats)
+        return R.recovery_rate(self.stats_for("R", "C"))
 
     def contradiction_matrix(self) -> DataFrame:
-        return R.contradiction_matrix(self.stats)
+        return R.contradiction_matrix(self.stats_for("R", "C"))
 
     def contradiction_register_check(self) -> DataFrame:
         return R.contradiction_register_check(self.register)

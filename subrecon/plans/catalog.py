@@ -1,8 +1,10 @@
-"""Named queries over the test-data stand-ins, one per inventory item.
+"""Named queries, one per inventory item.
 
-Each entry takes ``(spark, sf_dir)`` and returns a lazy DataFrame over the
-whole of the derived input tables (open period). Array columns are shown
-as ``|``-joined strings (``*_list``) so results compare as flat rows.
+``BUILDERS`` maps a name to ``Reconciliation -> DataFrame`` (any inputs);
+``QUERIES`` binds each to the test-data stand-ins: it takes
+``(spark, sf_dir)`` and returns a lazy DataFrame over the whole of the
+derived input tables (open period). Array columns are shown as
+``|``-joined strings (``*_list``) so results compare as flat rows.
 """
 
 from __future__ import annotations
@@ -31,11 +33,14 @@ def _flat(df: DataFrame) -> DataFrame:
     return df.select(cols)
 
 
-def _q(fn: Callable[[Reconciliation], DataFrame]) -> Query:
-    return lambda spark, sf_dir: fn(_rec(spark, sf_dir))
+Builder = Callable[[Reconciliation], DataFrame]
 
 
-QUERIES: dict[str, Query] = {
+def _q(fn: Builder) -> Builder:
+    return fn
+
+
+BUILDERS: dict[str, Builder] = {
     # sources (S1, S3-S7), whole tables
     "substitution_events_period": _q(lambda r: r.ev.substitution_events),
     "response_events_period": _q(lambda r: r.ev.response_events),
@@ -91,3 +96,10 @@ QUERIES: dict[str, Query] = {
     "key_fanout_audit": _q(lambda r: r.key_fanout_audit()),
     "period_comparison": _q(lambda r: r.period_comparison()),
 }
+
+
+def _over_fixtures(build: Builder) -> Query:
+    return lambda spark, sf_dir: build(_rec(spark, sf_dir))
+
+
+QUERIES: dict[str, Query] = {name: _over_fixtures(b) for name, b in BUILDERS.items()}

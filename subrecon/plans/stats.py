@@ -55,12 +55,15 @@ def _side(df: DataFrame, tag: str, keys: Sequence[str], key_exprs: Sequence[Colu
     return df.select(cols)
 
 
-def key_stats(substitutions: DataFrame, responses: DataFrame, partner_events: DataFrame,
-              pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def key_stats(substitutions: DataFrame, responses: DataFrame | None = None,
+              partner_events: DataFrame | None = None, pairs: DataFrame | None = None,
+              by: Sequence[str] = ()) -> DataFrame:
     """One row per (substitution key + ``by``) with the count of each source.
 
     Inputs: scoped substitution events, responses in scope, partner events,
-    and exploded click pairs (``order_id, upc, sub_upc`` play the key).
+    and exploded click pairs (``order_id, upc, sub_upc`` play the key). A
+    source passed as ``None`` is left out (its counts are 0), so a report
+    that needs no clicks never de-duplicates them.
     ``by`` columns (e.g. a period) must exist on every input and are part of
     the key, which is the same as running the analysis once per ``by`` value.
     Columns: the keys, ``null_side``, and ``s r r_null r_accept r_reject p c
@@ -71,14 +74,15 @@ def key_stats(substitutions: DataFrame, responses: DataFrame, partner_events: Da
     click_k = [F.col("order_id"), F.col("upc"), F.col("sub_upc")] + [F.col(b) for b in by]
     one = F.lit(1).cast("bigint")
     st, ss = F.col("status"), F.col("sub_status")
-    parts = [
-        _side(substitutions, "S", keys, sub_k, s=one),
-        _side(responses, "R", keys, sub_k, r=one, r_null=_ind(st.isNull()),
-              r_accept=_ind(st == RESPONSE_ACCEPT), r_reject=_ind(st == RESPONSE_REJECT)),
-        _side(partner_events, "P", keys, sub_k, p=one),
-        _side(pairs, "C", keys, click_k, c=one, c_null=_ind(ss.isNull()),
-              c_accepted=_ind(ss == CLICK_ACCEPTED), c_rejected=_ind(ss == CLICK_REJECTED)),
-    ]
+    parts = [_side(substitutions, "S", keys, sub_k, s=one)]
+    if responses is not None:
+        parts.append(_side(responses, "R", keys, sub_k, r=one, r_null=_ind(st.isNull()),
+                           r_accept=_ind(st == RESPONSE_ACCEPT), r_reject=_ind(st == RESPONSE_REJECT)))
+    if partner_events is not None:
+        parts.append(_side(partner_events, "P", keys, sub_k, p=one))
+    if pairs is not None:
+        parts.append(_side(pairs, "C", keys, click_k, c=one, c_null=_ind(ss.isNull()),
+                           c_accepted=_ind(ss == CLICK_ACCEPTED), c_rejected=_ind(ss == CLICK_REJECTED)))
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
