@@ -30,8 +30,12 @@ def on_register(df: DataFrame, transactions: DataFrame) -> DataFrame:
 
 
 def found_on_register(df: DataFrame, transactions: DataFrame) -> DataFrame:
-    """Rows of ``df`` that have at least one register line (``left_semi``)."""
-    t = transactions.select("order_no", "gtin_no", "store_code").alias("t")
+    """Rows of ``df`` that have at least one register line (``left_semi``).
+
+    The register side is reduced to distinct keys first (map-side partial
+    aggregation; its output is already partitioned for the join).
+    """
+    t = transactions.select("order_no", "gtin_no", "store_code").distinct().alias("t")
     return df.alias("d").join(t, _register_cond(), "left_semi")
 
 

@@ -57,9 +57,11 @@ def responses_without_substitution(substitutions: DataFrame, responses: DataFram
     """Responses whose key has no substitution event (``left_anti``).
 
     Same rows as the right join filtered on a null substitution-only
-    column, without materialising the join.
+    column, without materialising the join. Only the distinct substitution
+    keys are needed, so they are de-duplicated first (map-side, before the
+    shuffle the join needs anyway): a hot key travels as one row per task.
     """
-    return responses.join(substitutions.select(*KEYS), KEYS, "left_anti")
+    return responses.join(substitutions.select(*KEYS).distinct(), KEYS, "left_anti")
 
 
 def response_flagged(substitutions: DataFrame, responses: DataFrame) -> DataFrame:

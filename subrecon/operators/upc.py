@@ -36,7 +36,8 @@ def upc_map_click_base(subs: DataFrame, products: DataFrame) -> DataFrame:
     """Clickstream rows whose ordered UPC is some product's *base* UPC.
 
     The base UPC repeats across products, so an inner join would multiply
-    rows; ``left_semi`` keeps each click row once.
+    rows; ``left_semi`` keeps each click row once, against the distinct
+    base UPCs.
     """
-    p = products.select("bas_con_upc_no")
+    p = products.select("bas_con_upc_no").distinct()
     return subs.join(p, subs["upc"] == p["bas_con_upc_no"], "left_semi").select("order_id", "upc")

@@ -1 +1,7 @@
-"""Incremental execution (placeholder; see README)."""
+"""Nothing to stream.
+
+The analysis works on bounded, closed periods (a month of events, cut by
+date); it has no unbounded source, watermark, window or per-key state, so
+there is no streaming operator to express. A new period is a new batch run
+of ``subrecon.plans.job`` (or one row of ``period_comparison``).
+"""
