@@ -305,6 +305,14 @@ SQL: dict[str, str] = {
         "    AND d.picked_upc = t.gtin_no AND d.store_code = t.store_code) AS hit"
         "  FROM substitution_events d) GROUP BY order_no "
         "HAVING count(*) FILTER (WHERE hit) > 0 AND count(*) FILTER (WHERE hit) < count(*)"),
+    "order_register_profile": _with(
+        "SELECT CASE WHEN hits = n THEN 'all' WHEN hits = 0 THEN 'none' ELSE 'some' END AS order_class, "
+        "CAST(count(*) AS BIGINT) AS orders, CAST(sum(n) AS BIGINT) AS substitutions, "
+        "CAST(sum(hits) AS BIGINT) AS on_register FROM ("
+        "  SELECT order_no, count(*) AS n, count(*) FILTER (WHERE hit) AS hits FROM ("
+        "    SELECT d.order_no, EXISTS (SELECT 1 FROM transactions t WHERE d.order_no = t.order_no "
+        "      AND d.picked_upc = t.gtin_no AND d.store_code = t.store_code) AS hit"
+        "    FROM substitution_events d) GROUP BY order_no) GROUP BY 1"),
     "upc_map_ordered": _with(
         "SELECT f.ordered_upc, p.con_upc_no, p.bas_con_upc_no FROM response_flagged f "
         "JOIN products p ON f.ordered_upc = p.con_upc_no"),

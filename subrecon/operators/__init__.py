@@ -13,6 +13,8 @@ from subrecon.operators.register import (
     engaged_orders,
     found_on_register,
     on_register,
+    order_register_counts,
+    order_register_profile,
     register_counts,
 )
 from subrecon.operators.responses import (
@@ -34,7 +36,7 @@ from subrecon.operators.upc import (
 __all__ = [
     "answered_in_both", "click_pairs", "click_subs", "contradictions", "distinct_values",
     "engaged_orders", "found_on_register", "key_fanout_audit", "matched_responses",
-    "on_register", "partner_explained_responses", "reconciled", "recovered_from_clicks",
+    "on_register", "order_register_counts", "order_register_profile", "partner_explained_responses", "reconciled", "recovered_from_clicks",
     "register_counts", "response_flagged", "responses_in_scope", "responses_right_join",
     "responses_without_substitution", "unanswered", "upc_map_click", "upc_map_click_base",
     "upc_map_click_sub", "upc_map_ordered", "upc_map_picked",

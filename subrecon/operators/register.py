@@ -39,29 +39,47 @@ def found_on_register(df: DataFrame, transactions: DataFrame) -> DataFrame:
     return df.alias("d").join(t, _register_cond(), "left_semi")
 
 
+def order_register_counts(substitutions: DataFrame, transactions: DataFrame) -> DataFrame:
+    """Per order: substitutions, and how many of them are on the register.
+
+    A substitution is found when a register line has its order, store and
+    picked UPC. Both inputs are reduced to one row per register key by a
+    single aggregation over their union (map-side partial aggregation
+    collapses a hot order before the shuffle), then rolled up per order.
+    No join, no per-order collection.
+    """
+    keyed = register_counts(substitutions.select(
+        "order_no", F.col("picked_upc").alias("gtin_no"), "store_code",
+        F.lit(1).cast("bigint").alias("subs")), transactions)
+    return keyed.groupBy("order_no").agg(
+        F.sum("subs").cast("bigint").alias("substitutions"),
+        F.sum(F.when(F.col("lines") > 0, F.col("subs")).otherwise(F.lit(0))).cast("bigint")
+        .alias("on_register"),
+    ).where(F.col("substitutions") > 0)
+
+
 def engaged_orders(substitutions: DataFrame, transactions: DataFrame) -> DataFrame:
     """Orders where some, but not all, substitutions are on the register.
 
     Orders where all or none are found are typical of customers who accept
-    or reject everything blindly; the rest are "engaged". A substitution is
-    found when a register line has its order, store and picked UPC.
-
-    Both inputs are reduced to one row per register key by a single
-    aggregation over their union (map-side partial aggregation collapses a
-    hot order before the shuffle), then rolled up per order. No join, no
-    per-order collection.
+    or reject everything blindly; the rest are "engaged".
     """
-    keyed = register_counts(substitutions.select(
-        "order_no", F.col("picked_upc").alias("gtin_no"), "store_code",
-        F.lit(1).cast("bigint").alias("subs")), transactions)
-    return (
-        keyed.groupBy("order_no")
-        .agg(
-            F.sum("subs").cast("bigint").alias("substitutions"),
-            F.sum(F.when(F.col("lines") > 0, F.col("subs")).otherwise(F.lit(0))).cast("bigint")
-            .alias("on_register"),
-        )
-        .where((F.col("on_register") > 0) & (F.col("on_register") < F.col("substitutions")))
+    per_order = order_register_counts(substitutions, transactions)
+    return per_order.where((F.col("on_register") > 0) & (F.col("on_register") < F.col("substitutions")))
+
+
+def order_register_profile(substitutions: DataFrame, transactions: DataFrame) -> DataFrame:
+    """Orders by how many of their substitutions are on the register:
+    ``all``, ``none`` or ``some`` (the engaged ones), with order and
+    substitution counts per class."""
+    per_order = order_register_counts(substitutions, transactions)
+    cls = (F.when(F.col("on_register") == F.col("substitutions"), F.lit("all"))
+           .when(F.col("on_register") == 0, F.lit("none"))
+           .otherwise(F.lit("some")))
+    return per_order.groupBy(cls.alias("order_class")).agg(
+        F.count("*").cast("bigint").alias("orders"),
+        F.sum("substitutions").cast("bigint").alias("substitutions"),
+        F.sum("on_register").cast("bigint").alias("on_register"),
     )
 
 

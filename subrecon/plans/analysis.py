@@ -122,6 +122,9 @@ class Reconciliation:
     def engaged_orders(self) -> DataFrame:
         return ops.engaged_orders(self.ev.substitution_events, self.ev.transactions)
 
+    def order_register_profile(self) -> DataFrame:
+        return ops.order_register_profile(self.ev.substitution_events, self.ev.transactions)
+
     def key_fanout_audit(self) -> DataFrame:
         ev = self.ev
         return ops.key_fanout_audit([
@@ -139,7 +142,8 @@ class Reconciliation:
 
     REPORTS = ("click_coverage", "response_coverage", "reconciliation_summary", "recovery_rate",
                "contradiction_matrix", "contradiction_register_check", "unanswered_register_rate",
-               "upc_mapping_coverage", "engaged_orders", "key_fanout_audit", "period_comparison")
+               "upc_mapping_coverage", "engaged_orders", "order_register_profile", "key_fanout_audit",
+               "period_comparison")
 
 
 def period_comparison(ev: Evidence, period_col: str = "period") -> DataFrame:

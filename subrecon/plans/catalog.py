@@ -78,6 +78,7 @@ BUILDERS: dict[str, Builder] = {
     "unanswered_found_on_register": _q(
         lambda r: ops.found_on_register(r.unanswered, r.ev.transactions)),
     "engaged_orders": _q(lambda r: r.engaged_orders()),
+    "order_register_profile": _q(lambda r: r.order_register_profile()),
     # product lookups (J8-J12)
     "upc_map_ordered": _q(lambda r: ops.upc_map_ordered(r.response_flagged, r.ev.products)),
     "upc_map_picked": _q(lambda r: ops.upc_map_picked(r.response_flagged, r.ev.products)),

@@ -1,7 +1,7 @@
 """Batch job: read one period's inputs, write every report as Parquet.
 
-    spark-submit -m subrecon.plans.job --input <dir> --output <dir> \
-        --start 2024-02-01 --end 2024-02-29
+    spark-submit --py-files subrecon.zip reconcile_job.py \
+        --input <dir> --output <dir> --start 2024-02-01 --end 2024-02-29
 
 The per-key count table (and the register table derived from it) feed
 several reports, so they are written once under ``<output>/_stages`` and
@@ -29,7 +29,7 @@ from subrecon.sources.tables import Evidence
 LONG_REPORTS = ("reconciliation_summary", "recovery_rate", "contradiction_matrix",
                 "contradiction_register_check", "unanswered_register_rate", "upc_mapping_coverage")
 FLAG_REPORTS = ("click_coverage", "response_coverage")
-TABLE_REPORTS = ("engaged_orders", "key_fanout_audit", "period_comparison")
+TABLE_REPORTS = ("engaged_orders", "order_register_profile", "key_fanout_audit", "period_comparison")
 RELATIONS = ("unanswered", "contradictions", "contradictions_on_register",
              "unanswered_on_register", "responses_without_substitution")
 

@@ -78,3 +78,9 @@ def test_edge_cases_present(fixture_rec):
     assert c.where(F.size("sub_upc") == 0).count() == 1159
     flags = {row[0]: row[1] for row in rec.reconciled.groupBy("click_record").count().collect()}
     assert flags == {"NO": 432, "YES": 980, None: 2542}
+
+
+def test_order_register_profile(fixture_rec):
+    """FIXTURES.md section 4, D2: orders all / none / some on the register."""
+    prof = {r["order_class"]: r["orders"] for r in fixture_rec().order_register_profile().collect()}
+    assert prof == {"all": 949, "none": 40, "some": 405}
