@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from subrecon import operators as ops
 from subrecon.plans.analysis import Reconciliation
+from subrecon.session import input_bytes, size_shuffle
 from subrecon.sources.period import Period
-from subrecon.sources.tables import Evidence
+from subrecon.sources.tables import TABLES, Evidence
 
 LONG_REPORTS = ("reconciliation_summary", "recovery_rate", "contradiction_matrix",
                 "contradiction_register_check", "unanswered_register_rate", "upc_mapping_coverage")
@@ -103,6 +104,8 @@ def main(argv: Sequence[str] | None = None) -> None:
     period = Period.of(args.start, args.end)
     if args.input:
         ev = Evidence.read(spark, args.input, period)
+        paths = [os.path.join(args.input, t) for t in TABLES]
+        size_shuffle(spark, input_bytes(spark, paths))
     else:
         from subrecon.sources.fixtures import fixture_evidence
         ev = fixture_evidence(spark, args.fixtures, period)

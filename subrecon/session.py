@@ -51,3 +51,39 @@ def is_local(spark: SparkSession) -> bool:
 
 def scratch_dir(prefix: str = "subrecon-") -> str:
     return tempfile.mkdtemp(prefix=prefix, dir=os.environ.get("TMPDIR"))
+
+
+DEFAULT_SHUFFLE_PARTITIONS = "200"  # Spark's own default
+
+
+def input_bytes(spark: SparkSession, paths: list[str]) -> int:
+    """Total size on storage of the given paths (driver-side metadata only)."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    total = 0
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        fs = path.getFileSystem(conf)
+        if fs.exists(path):
+            total += fs.getContentSummary(path).getLength()
+    return total
+
+
+def size_shuffle(spark: SparkSession, total_bytes: int, target_bytes: int = 256 << 20,
+                 max_partitions: int = 200_000) -> int | None:
+    """Start AQE from enough shuffle partitions for ``total_bytes`` of input.
+
+    AQE only coalesces small partitions; it never splits an oversized one
+    outside skew joins, so the initial count must fit the largest shuffle.
+    Applied only when the deployment set neither the initial AQE count nor
+    ``spark.sql.shuffle.partitions``; returns the count set, else None.
+    """
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    if spark.conf.get(key, None):
+        return None
+    if spark.conf.get("spark.sql.shuffle.partitions", DEFAULT_SHUFFLE_PARTITIONS) != DEFAULT_SHUFFLE_PARTITIONS:
+        return None
+    n = -(-total_bytes // target_bytes)
+    n = max(spark.sparkContext.defaultParallelism, min(n, max_partitions))
+    spark.conf.set(key, str(n))
+    return n

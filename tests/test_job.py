@@ -27,3 +27,20 @@ def test_job_cli_over_fixtures(spark, sf_small, tmp_path):
     job.main(["--fixtures", sf_small, "--output", out, "--start", "1996-01-01", "--end", "1996-12-31"])
     rows = spark.read.parquet(os.path.join(out, "metrics")).collect()
     assert rows and all(r["period"] == "1996-01-01/1996-12-31" for r in rows)
+
+
+def test_size_shuffle_respects_explicit_settings(spark):
+    from subrecon.session import size_shuffle
+
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    # the test session sets spark.sql.shuffle.partitions explicitly: left alone
+    assert size_shuffle(spark, 10 << 40) is None
+    assert spark.conf.get(key, None) is None
+
+
+def test_input_bytes(spark, tmp_path):
+    from subrecon.session import input_bytes
+
+    p = tmp_path / "t"
+    spark.range(100).write.parquet(str(p))
+    assert input_bytes(spark, [str(p), str(tmp_path / "missing")]) > 0
