@@ -14,22 +14,27 @@ def key_fanout_audit(relations: Sequence[tuple[str, DataFrame, Sequence[str]]])
     """Rows, distinct keys and the largest key group, per relation.
 
     ``relations`` holds ``(name, frame, key columns)``. All relations are
-    projected to a common ``(relation, key_columns, k1, k2, k3)`` shape,
+    projected to a common ``(relation, key_columns, k1, k2, k3)`` shape
+    (entries sharing a frame are generated from a single pass over it),
     unioned, counted per key (map-side partial aggregation, so a hot key is
     one row per task before the shuffle), then rolled up per relation.
     A null key value is one group, as in SQL ``GROUP BY``.
     """
-    parts = []
+    groups: dict[int, tuple[DataFrame, list]] = {}
     for name, df, keys in relations:
         if not 1 <= len(keys) <= MAX_KEY_WIDTH:
             raise ValueError(f"{name}: 1..{MAX_KEY_WIDTH} key columns expected")
-        ks = [F.col(k).cast("string") for k in keys]
-        ks += [F.lit(None).cast("string")] * (MAX_KEY_WIDTH - len(keys))
-        parts.append(df.select(
-            F.lit(name).alias("relation"),
-            F.lit(",".join(keys)).alias("key_columns"),
-            *[k.alias(f"k{i + 1}") for i, k in enumerate(ks)],
-        ))
+        groups.setdefault(id(df), (df, []))[1].append((name, keys))
+    parts = []
+    for df, entries in groups.values():
+        # relations over the same frame share one scan: one generated row each
+        rows = []
+        for name, keys in entries:
+            ks = [F.col(k).cast("string") for k in keys]
+            ks += [F.lit(None).cast("string")] * (MAX_KEY_WIDTH - len(keys))
+            rows.append(F.struct(F.lit(name).alias("relation"), F.lit(",".join(keys)).alias("key_columns"),
+                                 *[k.alias(f"k{i + 1}") for i, k in enumerate(ks)]))
+        parts.append(df.select(F.explode(F.array(*rows)).alias("x")).select("x.*"))
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)

@@ -176,18 +176,22 @@ def upc_counts(stats: DataFrame, clicks: DataFrame, pairs: DataFrame, products:
     one = F.lit(1).cast("bigint")
     names = ("w_o", "w_p", "w_c", "w_s", "g", "b")
 
-    def part(df: DataFrame, upc: Column, **w: Column) -> DataFrame:
-        return df.select(upc.alias("upc"), *[(w.get(n, zero)).alias(n) for n in names])
+    def row(upc: Column, **w: Column) -> Column:
+        return F.struct(upc.alias("upc"), *[(w.get(n, zero)).alias(n) for n in names])
+
+    def part(df: DataFrame, *rows: Column) -> DataFrame:
+        """Each input row yields ``rows`` (one pass, one scan, however many uses)."""
+        return df.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
 
     flagged_rows = F.col("s") * at_least_one(F.col("r"))
-    subs_side = stats.where(F.col("s") > 0)
     parts = [
-        part(subs_side, F.col("ordered_upc"), w_o=flagged_rows),
-        part(subs_side, F.col("picked_upc"), w_p=flagged_rows),
-        part(clicks, F.col("upc"), w_c=one),
-        part(pairs, F.col("sub_upc"), w_s=one),
-        part(products.where(F.col("con_upc_no").isNotNull()), F.col("con_upc_no"), g=one),
-        part(products.where(F.col("bas_con_upc_no").isNotNull()), F.col("bas_con_upc_no"), b=one),
+        part(stats.where(F.col("s") > 0),
+             row(F.col("ordered_upc"), w_o=flagged_rows), row(F.col("picked_upc"), w_p=flagged_rows)),
+        part(clicks, row(F.col("upc"), w_c=one)),
+        part(pairs, row(F.col("sub_upc"), w_s=one)),
+        # a product key that is null can never match, so it is dropped
+        part(products, row(F.col("con_upc_no"), g=one), row(F.col("bas_con_upc_no"), b=one))
+        .where(F.col("upc").isNotNull()),
     ]
     u = parts[0]
     for q in parts[1:]:
