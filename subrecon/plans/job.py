@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from subrecon import operators as ops
 from subrecon.plans.analysis import Reconciliation
-from subrecon.session import input_bytes, size_shuffle
+from subrecon.session import input_bytes, prepare_for_skew, size_shuffle
 from subrecon.sources.period import Period
 from subrecon.sources.tables import TABLES, Evidence
 
@@ -101,6 +101,7 @@ def main(argv: Sequence[str] | None = None) -> None:
     args = ap.parse_args(argv)
 
     spark = SparkSession.builder.appName("subrecon").getOrCreate()
+    prepare_for_skew(spark)
     period = Period.of(args.start, args.end)
     if args.input:
         ev = Evidence.read(spark, args.input, period)

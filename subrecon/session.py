@@ -87,3 +87,27 @@ def size_shuffle(spark: SparkSession, total_bytes: int, target_bytes: int = 256
     n = max(spark.sparkContext.defaultParallelism, min(n, max_partitions))
     spark.conf.set(key, str(n))
     return n
+
+
+SKEW_DEFAULTS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    # ``reconciled`` chains two joins on the same keys; splitting a hot
+    # partition of the first would break the second's partitioning, and
+    # AQE declines that unless it may add the needed shuffle.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+}
+
+
+def prepare_for_skew(spark: SparkSession) -> dict[str, str]:
+    """Turn on AQE skew-join splitting where the deployment left it unset.
+
+    Returns the settings it changed. Explicit settings are kept.
+    """
+    changed = {}
+    jconf = spark._jsparkSession.conf()
+    for k, v in SKEW_DEFAULTS.items():
+        if not jconf.contains(k):
+            spark.conf.set(k, v)
+            changed[k] = v
+    return changed

@@ -37,3 +37,40 @@ def test_hot_key_reports_are_exact_without_fanout(spark):
     assert reg["on_register_inner"][:2] == (contra * N, contra)  # every row x every register line
     assert reg["on_register_semi"][:2] == (contra, contra)
     assert time.perf_counter() - t0 < 120
+
+
+SKEW_TEST_CONF = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+    "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    "spark.sql.shuffle.partitions": "16",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+}
+
+
+def test_row_level_joins_split_a_hot_key(spark):
+    """A key with a third of the substitutions: AQE splits it in both joins
+    of ``reconciled`` (tiny thresholds stand in for cluster-size ones)."""
+    n = 30000
+    subs = ([sub("hot", "a", "b", store="S%d" % i, util=i * 1.37) for i in range(n // 3)]
+            + [sub(str(i), "a", "b") for i in range(2 * n // 3)])
+    resps = [resp(str(i), "a", "b") for i in range(0, n, 2)] + [resp("hot", "a", "b")] * 3
+    clicks = ([click(str(i), "a", ["b"], price=float(i)) for i in range(0, n, 3)]
+              + [click("hot", "a", ["b"], price=float(i)) for i in range(3)])
+    old = {k: spark.conf.get(k, None) for k in SKEW_TEST_CONF}
+    try:
+        for k, v in SKEW_TEST_CONF.items():
+            spark.conf.set(k, v)
+        rec = Reconciliation(evidence(spark, subs, resps, (), clicks))
+        qe = rec.reconciled._jdf.queryExecution()
+        assert qe.toRdd().count() == n // 3 * 3 * 3 + 2 * n // 3  # hot: x3 responses x3 pairs
+        plan = qe.executedPlan().toString()
+        assert plan.count("SortMergeJoin(skew=true)") == 2, plan
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
