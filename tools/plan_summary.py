@@ -50,7 +50,7 @@ def main() -> None:
         df = build(Reconciliation(ev))
         qe = df._jdf.queryExecution()
         qe.toRdd().count()  # runs this plan itself, so AQE finalises it
-        plan = qe.executedPlan().toString()
+        plan = qe.executedPlan().toString().split("== Initial Plan ==")[0]
         s = summarise(plan)
         kinds = sorted(set(re.findall(r"(?:SortMergeJoin|BroadcastHashJoin|ShuffledHashJoin) \[[^\]]*\], "
                                       r"\[[^\]]*\], (\w+)", plan)))
