@@ -4,10 +4,10 @@
         --input <dir> --output <dir> --start 2024-02-01 --end 2024-02-29
 
 The per-key count table (and the register table derived from it) feed
-several reports, so they are written once under ``<output>/_stages`` and
-read back: that cuts the lineage on shared storage, so a lost executor
-costs a re-read, not a re-run of the scans and shuffles. Every report is
-then one small job. Row-level relations (unanswered, contradictions, ...)
+several reports, so they are written once to the shared folder named by
+``spark.checkpoint.dir`` and read back: that cuts the lineage, so a lost
+executor costs a re-read, not a re-run of the scans and shuffles. Every
+report is then one small job. Row-level relations (unanswered, contradictions, ...)
 are written only with ``--relations``.
 """
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 import argparse
 import json
 import os
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from subrecon import operators as ops
 from subrecon.plans.analysis import Reconciliation
-from subrecon.session import input_bytes, prepare_for_skew, size_shuffle
+from subrecon.session import checkpoint_dir, input_bytes, prepare_for_skew, size_shuffle
 from subrecon.sources.period import Period
 from subrecon.sources.tables import TABLES, Evidence
 
@@ -47,13 +48,15 @@ def materialize(spark: SparkSession, df: DataFrame, path: str, mode: str = "over
 
 def run(spark: SparkSession, ev: Evidence, output: str, *, relations: bool = False,
         reports: Sequence[str] | None = None, mode: str = "overwrite") -> dict[str, str]:
-    """Compute and write the reports; returns ``{name: path}``."""
+    """Compute and write the reports; returns ``{name: path}`` (the stage
+    tables under ``_stages/...``)."""
     rec = Reconciliation(ev)
-    stages = os.path.join(output, "_stages")
+    stages = os.path.join(checkpoint_dir(spark), f"subrecon-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}")
     rec.with_stats(materialize(spark, rec.stats, os.path.join(stages, "key_stats"), mode))
     rec.register = materialize(spark, rec.register, os.path.join(stages, "register"), mode)
     wanted = set(reports) if reports else set(LONG_REPORTS + FLAG_REPORTS + TABLE_REPORTS)
-    written: dict[str, str] = {}
+    written: dict[str, str] = {"_stages/key_stats": os.path.join(stages, "key_stats"),
+                               "_stages/register": os.path.join(stages, "register")}
 
     long_frames = []
     for name in LONG_REPORTS + FLAG_REPORTS + TABLE_REPORTS:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -31,14 +30,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's shared checkpoint folder (``spark.checkpoint.dir``).
+    """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this is set by the deployment to shared storage and is used
-    as is. Only when it is unset (local tests) a fresh scratch folder is
-    created and registered.
+    On a cluster the deployment sets it to shared storage and it is used as
+    is; if it is missing there, this fails rather than fall back to a
+    machine-local folder. Only in local mode (tests, the bench) is a fresh
+    scratch folder created and registered when it is unset.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not is_local(spark):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder for this job")
         d = tempfile.mkdtemp(prefix="subrecon-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
@@ -49,10 +51,6 @@ def is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
 
 
-def scratch_dir(prefix: str = "subrecon-") -> str:
-    return tempfile.mkdtemp(prefix=prefix, dir=os.environ.get("TMPDIR"))
-
-
 DEFAULT_SHUFFLE_PARTITIONS = "200"  # Spark's own default
 
 
