@@ -35,67 +35,57 @@ def _flat(df: DataFrame) -> DataFrame:
 
 Builder = Callable[[Reconciliation], DataFrame]
 
-
-def _q(fn: Builder) -> Builder:
-    return fn
-
-
 BUILDERS: dict[str, Builder] = {
     # sources (S1, S3-S7), whole tables
-    "substitution_events_period": _q(lambda r: r.ev.substitution_events),
-    "response_events_period": _q(lambda r: r.ev.response_events),
-    "partner_events_period": _q(lambda r: r.ev.partner_events),
-    "transactions_period": _q(lambda r: r.ev.transactions),
-    "clicks": _q(lambda r: _flat(r.ev.clicks)),
-    "products": _q(lambda r: r.ev.products),
+    "substitution_events_period": lambda r: r.ev.substitution_events,
+    "response_events_period": lambda r: r.ev.response_events,
+    "partner_events_period": lambda r: r.ev.partner_events,
+    "transactions_period": lambda r: r.ev.transactions,
+    "clicks": lambda r: _flat(r.ev.clicks),
+    "products": lambda r: r.ev.products,
     # clickstream side (P1, P2, G1, A1, A2)
-    "click_subs": _q(lambda r: _flat(r.click_subs)),
-    "click_pairs": _q(lambda r: r.click_pairs),
-    "click_channels": _q(lambda r: ops.distinct_values(r.ev.clicks, "channel")),
-    "response_statuses": _q(lambda r: ops.distinct_values(r.reconciled, "status")),
-    "click_statuses": _q(lambda r: ops.distinct_values(r.reconciled, "sub_status")),
+    "click_subs": lambda r: _flat(r.click_subs),
+    "click_pairs": lambda r: r.click_pairs,
+    "click_channels": lambda r: ops.distinct_values(r.ev.clicks, "channel"),
+    "response_statuses": lambda r: ops.distinct_values(r.reconciled, "status"),
+    "click_statuses": lambda r: ops.distinct_values(r.reconciled, "sub_status"),
     # response side (F1, P3-P5, J1-J5)
-    "responses_in_scope": _q(lambda r: r.responses),
-    "partner_explained_responses": _q(
-        lambda r: ops.partner_explained_responses(r.responses, r.ev.partner_events)),
-    "matched_responses": _q(lambda r: ops.matched_responses(r.ev.substitution_events, r.responses)),
-    "responses_right_join": _q(
-        lambda r: ops.responses_right_join(r.ev.substitution_events, r.responses)),
-    "responses_without_substitution": _q(
-        lambda r: ops.responses_without_substitution(r.ev.substitution_events, r.responses)),
-    "response_flagged": _q(lambda r: r.response_flagged),
+    "responses_in_scope": lambda r: r.responses,
+    "partner_explained_responses": lambda r: ops.partner_explained_responses(r.responses, r.ev.partner_events),
+    "matched_responses": lambda r: ops.matched_responses(r.ev.substitution_events, r.responses),
+    "responses_right_join": lambda r: ops.responses_right_join(r.ev.substitution_events, r.responses),
+    "responses_without_substitution": lambda r: ops.responses_without_substitution(r.ev.substitution_events, r.responses),
+    "response_flagged": lambda r: r.response_flagged,
     # reconciliation (J6, P6, F3-F6)
-    "reconciled": _q(lambda r: r.reconciled),
-    "unanswered": _q(lambda r: r.unanswered),
-    "recovered_from_clicks": _q(lambda r: ops.recovered_from_clicks(r.reconciled)),
-    "answered_in_both": _q(lambda r: ops.answered_in_both(r.reconciled)),
-    "contradictions": _q(lambda r: r.contradictions),
+    "reconciled": lambda r: r.reconciled,
+    "unanswered": lambda r: r.unanswered,
+    "recovered_from_clicks": lambda r: ops.recovered_from_clicks(r.reconciled),
+    "answered_in_both": lambda r: ops.answered_in_both(r.reconciled),
+    "contradictions": lambda r: r.contradictions,
     # register (J7a, J7b, D2)
-    "contradictions_on_register": _q(lambda r: ops.on_register(r.contradictions, r.ev.transactions)),
-    "contradictions_found_on_register": _q(
-        lambda r: ops.found_on_register(r.contradictions, r.ev.transactions)),
-    "unanswered_on_register": _q(lambda r: ops.on_register(r.unanswered, r.ev.transactions)),
-    "unanswered_found_on_register": _q(
-        lambda r: ops.found_on_register(r.unanswered, r.ev.transactions)),
-    "engaged_orders": _q(lambda r: r.engaged_orders()),
-    "order_register_profile": _q(lambda r: r.order_register_profile()),
+    "contradictions_on_register": lambda r: ops.on_register(r.contradictions, r.ev.transactions),
+    "contradictions_found_on_register": lambda r: ops.found_on_register(r.contradictions, r.ev.transactions),
+    "unanswered_on_register": lambda r: ops.on_register(r.unanswered, r.ev.transactions),
+    "unanswered_found_on_register": lambda r: ops.found_on_register(r.unanswered, r.ev.transactions),
+    "engaged_orders": lambda r: r.engaged_orders(),
+    "order_register_profile": lambda r: r.order_register_profile(),
     # product lookups (J8-J12)
-    "upc_map_ordered": _q(lambda r: ops.upc_map_ordered(r.response_flagged, r.ev.products)),
-    "upc_map_picked": _q(lambda r: ops.upc_map_picked(r.response_flagged, r.ev.products)),
-    "upc_map_click": _q(lambda r: ops.upc_map_click(r.click_subs, r.ev.products)),
-    "upc_map_click_base": _q(lambda r: ops.upc_map_click_base(r.click_subs, r.ev.products)),
-    "upc_map_click_sub": _q(lambda r: ops.upc_map_click_sub(r.click_pairs, r.ev.products)),
+    "upc_map_ordered": lambda r: ops.upc_map_ordered(r.response_flagged, r.ev.products),
+    "upc_map_picked": lambda r: ops.upc_map_picked(r.response_flagged, r.ev.products),
+    "upc_map_click": lambda r: ops.upc_map_click(r.click_subs, r.ev.products),
+    "upc_map_click_base": lambda r: ops.upc_map_click_base(r.click_subs, r.ev.products),
+    "upc_map_click_sub": lambda r: ops.upc_map_click_sub(r.click_pairs, r.ev.products),
     # reports (R1-R9, D1)
-    "click_coverage": _q(lambda r: r.click_coverage()),
-    "response_coverage": _q(lambda r: r.response_coverage()),
-    "reconciliation_summary": _q(lambda r: r.reconciliation_summary()),
-    "recovery_rate": _q(lambda r: r.recovery_rate()),
-    "contradiction_matrix": _q(lambda r: r.contradiction_matrix()),
-    "contradiction_register_check": _q(lambda r: r.contradiction_register_check()),
-    "unanswered_register_rate": _q(lambda r: r.unanswered_register_rate()),
-    "upc_mapping_coverage": _q(lambda r: r.upc_mapping_coverage()),
-    "key_fanout_audit": _q(lambda r: r.key_fanout_audit()),
-    "period_comparison": _q(lambda r: r.period_comparison()),
+    "click_coverage": lambda r: r.click_coverage(),
+    "response_coverage": lambda r: r.response_coverage(),
+    "reconciliation_summary": lambda r: r.reconciliation_summary(),
+    "recovery_rate": lambda r: r.recovery_rate(),
+    "contradiction_matrix": lambda r: r.contradiction_matrix(),
+    "contradiction_register_check": lambda r: r.contradiction_register_check(),
+    "unanswered_register_rate": lambda r: r.unanswered_register_rate(),
+    "upc_mapping_coverage": lambda r: r.upc_mapping_coverage(),
+    "key_fanout_audit": lambda r: r.key_fanout_audit(),
+    "period_comparison": lambda r: r.period_comparison(),
 }
 
 
