@@ -11,7 +11,6 @@ from subrecon.functions.expressions import (
     presence_flag,
     reject_vs_accepted,
     rounded,
-    total,
 )
 from subrecon.functions import values
 
@@ -26,6 +25,5 @@ __all__ = [
     "presence_flag",
     "reject_vs_accepted",
     "rounded",
-    "total",
     "values",
 ]

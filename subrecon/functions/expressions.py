@@ -84,11 +84,6 @@ def count_where(cond: Column) -> Column:
     return F.coalesce(F.sum(F.when(cond, F.lit(1)).otherwise(F.lit(0))), F.lit(0)).cast("bigint")
 
 
-def total(c: str | Column) -> Column:
-    """Sum of a BIGINT column, 0 instead of null on empty input."""
-    return F.coalesce(F.sum(_col(c)), F.lit(0)).cast("bigint")
-
-
 def at_least_one(c: str | Column) -> Column:
     """Rows a left outer join emits for a left row with ``c`` partners."""
     return F.greatest(_col(c), F.lit(1))

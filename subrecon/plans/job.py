@@ -7,8 +7,10 @@ The per-key count table (and the register table derived from it) feed
 several reports, so they are written once to the shared folder named by
 ``spark.checkpoint.dir`` and read back: that cuts the lineage, so a lost
 executor costs a re-read, not a re-run of the scans and shuffles. Every
-report is then one small job. Row-level relations (unanswered, contradictions, ...)
-are written only with ``--relations``.
+report is then one small job. Row-level relations (unanswered, contradictions with their
+``contradiction_class``, ...) are written only with ``--relations``. The
+``metrics`` table gathers the long-format reports with a 2-decimal
+``percent_rounded`` for display.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from subrecon import operators as ops
+from subrecon.functions.expressions import answer_class, rounded
 from subrecon.plans.analysis import Reconciliation
 from subrecon.session import checkpoint_dir, input_bytes, prepare_for_skew, size_shuffle
 from subrecon.sources.period import Period
@@ -73,13 +76,14 @@ def run(spark: SparkSession, ev: Evidence, output: str, *, relations: bool = Fal
         for f in long_frames[1:]:
             metrics = metrics.unionByName(f)
         path = os.path.join(output, "metrics")
+        metrics = metrics.withColumn("percent_rounded", rounded("percent", 2))
         _write(metrics.withColumn("period", F.lit(ev.period.label())), path, mode, single_file=True)
         written["metrics"] = path
 
     if relations:
         rel = {
             "unanswered": rec.unanswered,
-            "contradictions": rec.contradictions,
+            "contradictions": rec.contradictions.withColumn("contradiction_class", answer_class()),
             "contradictions_on_register": ops.on_register(rec.contradictions, ev.transactions),
             "unanswered_on_register": ops.on_register(rec.unanswered, ev.transactions),
             "responses_without_substitution": ops.responses_without_substitution(

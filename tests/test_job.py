@@ -20,7 +20,12 @@ def test_job_writes_reports(spark, sf_small, tmp_path):
     assert set(r["report"] for r in m.select("report").distinct().collect()) == set(job.LONG_REPORTS)
     cm = metrics(spark.read.parquet(written["contradiction_matrix"]))
     assert cm == metrics(Reconciliation(ev).contradiction_matrix())
-    assert spark.read.parquet(written["relations/contradictions"]).count() == 254
+    contra = spark.read.parquet(written["relations/contradictions"])
+    assert contra.count() == 254
+    classes = {r[0]: r[1] for r in contra.groupBy("contradiction_class").count().collect()}
+    assert classes == {"accept_vs_rejected": 178, "reject_vs_accepted": 76}
+    pr = {r["metric"]: r["percent_rounded"] for r in m.where("report = 'contradiction_matrix'").collect()}
+    assert pr["contradictions"] == round(254 / 517 * 100, 2)
 
 
 def test_job_cli_over_fixtures(spark, sf_small, tmp_path):
