@@ -19,6 +19,7 @@ from subrecon import operators as ops
 from subrecon.functions.expressions import count_where
 from subrecon.plans import reports as R
 from subrecon.plans.stats import key_stats, register_weights, upc_counts
+from subrecon.sources.contracts import ContractError
 from subrecon.sources.period import month_of
 from subrecon.sources.tables import Evidence
 from subrecon.functions.values import CLICK_KEYS, REGISTER_KEYS, SUB_KEYS
@@ -155,6 +156,8 @@ def period_comparison(ev: Evidence, period_col: str = "period") -> DataFrame:
     Rows with no date belong to no period. Clicks need an ``event_date``.
     """
     def per(df: DataFrame, c: str) -> DataFrame:
+        if c not in df.columns:
+            raise ContractError(f"period_comparison needs a {c!r} column on every dated input")
         return df.withColumn(period_col, month_of(c)).where(F.col(period_col).isNotNull())
 
     subs = per(ev.substitution_events, "event_date")

@@ -123,15 +123,22 @@ PRODUCTS = Contract("products", (
 ))
 
 
-def warn_unexpected_sub_columns(df: DataFrame) -> list[str]:
+def check_sub_columns(df: DataFrame) -> list[str]:
     """Clickstream columns containing 'sub' that the contract does not pin.
 
     The clickstream projection keeps every column whose name contains 'sub',
     so such a column changes the whole-row de-duplication. It is kept (the
-    selection rule is part of the analysis) but reported.
+    selection rule is part of the analysis) but reported. Any such column
+    that is an array (besides ``sub_upc``) is rejected: it would be carried
+    whole onto every exploded substitute instead of pairing with it.
     """
     pinned = set(CLICKS.names)
     extra = [c for c in df.columns if "sub" in c and c not in pinned]
+    arrays = [f.name for f in df.schema.fields
+              if "sub" in f.name and f.name != "sub_upc" and isinstance(f.dataType, T.ArrayType)]
+    if arrays:
+        # exploding sub_upc alone would cross a parallel array with every element
+        raise ContractError(f"clicks: array columns {arrays} would lose their pairing with sub_upc")
     if extra:
         log.warning("clicks: unpinned columns containing 'sub' enter de-duplication: %s", extra)
     return extra

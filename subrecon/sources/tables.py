@@ -48,7 +48,7 @@ def scope(name: str, df: DataFrame, period: Period = OPEN, *, only_with_subs: bo
     """
     df = CONTRACT[name].check(df)
     if name == "clicks":
-        C.warn_unexpected_sub_columns(df)
+        C.check_sub_columns(df)
     pcol = PERIOD_COLUMN.get(name)
     if pcol is not None and pcol in df.columns:
         df = period.apply(df, pcol)

@@ -64,3 +64,29 @@ def test_read_from_parquet_pushes_period_into_scan(spark):
     assert "LessThan(event_date" in plan
     one = read_table(spark, "transactions", os.path.join(d, "transactions"), period)
     assert one.count() == 0
+
+
+def test_parallel_sub_array_rejected(spark):
+    ev = evidence(spark, clicks=[click("1", "a", ["b"])])
+    bad = ev.clicks.withColumn("sub_price_list", F.array(F.col("sub_price")))
+    with pytest.raises(ContractError, match="pairing"):
+        scope("clicks", bad)
+
+
+def test_unpinned_sub_column_is_kept(spark):
+    from subrecon import operators as ops
+
+    ev = evidence(spark, clicks=[click("1", "a", ["b"])])
+    extra = scope("clicks", ev.clicks.withColumn("sub_flavour", F.lit("x")))
+    assert "sub_flavour" in ops.click_subs(extra).columns
+
+
+def test_period_comparison_needs_click_dates(spark):
+    from subrecon.plans.analysis import Reconciliation
+    from subrecon.sources.tables import Evidence
+
+    ev = evidence(spark, clicks=[click("1", "a", ["b"])])
+    frames = {t: getattr(ev, t) for t in TABLES}
+    frames["clicks"] = frames["clicks"].drop("event_date")
+    with pytest.raises(ContractError, match="event_date"):
+        Reconciliation(Evidence.from_frames(frames)).period_comparison()
