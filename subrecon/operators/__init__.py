@@ -1,6 +1,6 @@
 """Row-level relational operators of the reconciliation (DataFrame -> DataFrame)."""
 
-from subrecon.operators.audit import key_fanout_audit
+from subrecon.operators.audit import fanout_from_counts, key_fanout_audit
 from subrecon.operators.clicks import click_pairs, click_subs, distinct_values
 from subrecon.operators.reconcile import (
     answered_in_both,
@@ -15,6 +15,7 @@ from subrecon.operators.register import (
     on_register,
     order_register_counts,
     order_register_profile,
+    orders_from_register,
     register_counts,
 )
 from subrecon.operators.responses import (
@@ -35,8 +36,9 @@ from subrecon.operators.upc import (
 
 __all__ = [
     "answered_in_both", "click_pairs", "click_subs", "contradictions", "distinct_values",
-    "engaged_orders", "found_on_register", "key_fanout_audit", "matched_responses",
-    "on_register", "order_register_counts", "order_register_profile", "partner_explained_responses", "reconciled", "recovered_from_clicks",
+    "engaged_orders", "fanout_from_counts", "found_on_register", "key_fanout_audit", "matched_responses",
+    "on_register", "order_register_counts", "order_register_profile", "orders_from_register",
+    "partner_explained_responses", "reconciled", "recovered_from_clicks",
     "register_counts", "response_flagged", "responses_in_scope", "responses_right_join",
     "responses_without_substitution", "unanswered", "upc_map_click", "upc_map_click_base",
     "upc_map_click_sub", "upc_map_ordered", "upc_map_picked",

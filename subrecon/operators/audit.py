@@ -48,3 +48,23 @@ def key_fanout_audit(relations: Sequence[tuple[str, DataFrame, Sequence[str]]])
         )
         .withColumn("duplicate_rows", F.col("rows") - F.col("distinct_keys"))
     )
+
+
+def fanout_from_counts(counts: DataFrame, sources: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """The same audit rows from a table that already holds, per key, the
+    number of rows of each relation (``sources`` = (relation, key label,
+    count column)); one pass, no rescan of the relations."""
+    aggs = []
+    for _name, _label, c in sources:
+        n = F.col(c)
+        aggs += [F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias(f"{c}_rows"),
+                 F.count(F.when(n > 0, F.lit(1))).cast("bigint").alias(f"{c}_keys"),
+                 F.max(F.when(n > 0, n)).cast("bigint").alias(f"{c}_max")]
+    one = counts.agg(*aggs)
+    rows = [F.struct(F.lit(name).alias("relation"), F.lit(label).alias("key_columns"),
+                     F.col(f"{c}_rows").alias("rows"), F.col(f"{c}_keys").alias("distinct_keys"),
+                     F.col(f"{c}_max").alias("max_rows_per_key"))
+            for name, label, c in sources]
+    return (one.select(F.inline(F.array(*rows)))
+            .where(F.col("rows") > 0)
+            .withColumn("duplicate_rows", F.col("rows") - F.col("distinct_keys")))

@@ -51,6 +51,11 @@ def order_register_counts(substitutions: DataFrame, transactions: DataFrame) ->
     keyed = register_counts(substitutions.select(
         "order_no", F.col("picked_upc").alias("gtin_no"), "store_code",
         F.lit(1).cast("bigint").alias("subs")), transactions)
+    return orders_from_register(keyed)
+
+
+def orders_from_register(keyed: DataFrame) -> DataFrame:
+    """Roll a per-register-key table (``subs``, ``lines``) up per order."""
     return keyed.groupBy("order_no").agg(
         F.sum("subs").cast("bigint").alias("substitutions"),
         F.sum(F.when(F.col("lines") > 0, F.col("subs")).otherwise(F.lit(0))).cast("bigint")
@@ -58,21 +63,20 @@ def order_register_counts(substitutions: DataFrame, transactions: DataFrame) ->
     ).where(F.col("substitutions") > 0)
 
 
-def engaged_orders(substitutions: DataFrame, transactions: DataFrame) -> DataFrame:
+def engaged_orders(per_order: DataFrame) -> DataFrame:
     """Orders where some, but not all, substitutions are on the register.
 
     Orders where all or none are found are typical of customers who accept
-    or reject everything blindly; the rest are "engaged".
+    or reject everything blindly; the rest are "engaged". ``per_order`` is
+    ``order_register_counts`` (or ``orders_from_register``) output.
     """
-    per_order = order_register_counts(substitutions, transactions)
     return per_order.where((F.col("on_register") > 0) & (F.col("on_register") < F.col("substitutions")))
 
 
-def order_register_profile(substitutions: DataFrame, transactions: DataFrame) -> DataFrame:
+def order_register_profile(per_order: DataFrame) -> DataFrame:
     """Orders by how many of their substitutions are on the register:
     ``all``, ``none`` or ``some`` (the engaged ones), with order and
-    substitution counts per class."""
-    per_order = order_register_counts(substitutions, transactions)
+    substitution counts per class. ``per_order`` as for ``engaged_orders``."""
     cls = (F.when(F.col("on_register") == F.col("substitutions"), F.lit("all"))
            .when(F.col("on_register") == 0, F.lit("none"))
            .otherwise(F.lit("some")))

@@ -29,6 +29,9 @@ from subrecon.functions.values import CLICK_KEYS, REGISTER_KEYS, SUB_KEYS
 class Reconciliation:
     ev: Evidence
     _stats: DataFrame | None = field(default=None, repr=False)
+    # True once the count tables are materialised: reports then reuse them
+    # instead of rescanning the inputs.
+    materialized: bool = False
 
     # -- relations ---------------------------------------------------------
     @cached_property
@@ -80,8 +83,9 @@ class Reconciliation:
             self.click_pairs if "C" in sources else None,
         )
 
-    def with_stats(self, stats: DataFrame) -> "Reconciliation":
+    def with_stats(self, stats: DataFrame, materialized: bool = True) -> "Reconciliation":
         self._stats = stats
+        self.materialized = materialized
         for k in ("register", "upc"):
             self.__dict__.pop(k, None)
         return self
@@ -120,14 +124,30 @@ class Reconciliation:
     def upc_mapping_coverage(self) -> DataFrame:
         return R.upc_mapping_coverage(self.upc)
 
+    def _per_order(self) -> DataFrame:
+        if self.materialized:
+            return ops.orders_from_register(self.register)
+        return ops.order_register_counts(self.ev.substitution_events, self.ev.transactions)
+
     def engaged_orders(self) -> DataFrame:
-        return ops.engaged_orders(self.ev.substitution_events, self.ev.transactions)
+        return ops.engaged_orders(self._per_order())
 
     def order_register_profile(self) -> DataFrame:
-        return ops.order_register_profile(self.ev.substitution_events, self.ev.transactions)
+        return ops.order_register_profile(self._per_order())
 
     def key_fanout_audit(self) -> DataFrame:
         ev = self.ev
+        if self.materialized:
+            keys, click_keys = ",".join(SUB_KEYS), ",".join(CLICK_KEYS)
+            from_counts = ops.fanout_from_counts(self.stats, [
+                ("substitution_events", keys, "s"), ("responses_in_scope", keys, "r"),
+                ("partner_events", keys, "p"), ("click_pairs", click_keys, "c")])
+            rest = ops.key_fanout_audit([
+                ("transactions", ev.transactions, REGISTER_KEYS),
+                ("products", ev.products, ("con_upc_no",)),
+                ("products_base", ev.products, ("bas_con_upc_no",)),
+            ])
+            return from_counts.unionByName(rest)
         return ops.key_fanout_audit([
             ("substitution_events", ev.substitution_events, SUB_KEYS),
             ("responses_in_scope", self.responses, SUB_KEYS),
