@@ -97,7 +97,7 @@ class Reconciliation:
 
     @cached_property
     def upc(self) -> DataFrame:
-        return upc_counts(self.stats_for("R"), self.ev.clicks, self.click_pairs, self.ev.products)
+        return upc_counts(self.stats_for("R", "C"), self.ev.clicks, self.ev.products)
 
     # -- reports -------------------------------------------------------------
     def click_coverage(self) -> DataFrame:

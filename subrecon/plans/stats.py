@@ -163,14 +163,17 @@ def register_weights(substitutions: DataFrame, stats: DataFrame) -> DataFrame:
     )
 
 
-def upc_counts(stats: DataFrame, clicks: DataFrame, pairs: DataFrame, products: DataFrame) -> DataFrame:
+def upc_counts(stats: DataFrame, clicks: DataFrame, products: DataFrame) -> DataFrame:
     """Per UPC: rows of each feed carrying it, and product-dimension hits.
 
     ``w_o`` / ``w_p``: flagged-substitution rows by ordered / picked UPC;
-    ``w_c``: clickstream rows by ordered UPC; ``w_s``: click pairs by
-    substitute UPC; ``g``: products with that GTIN; ``b``: products with
-    that base UPC. One aggregation over a union, no join with the
-    dimension (whose size is not bounded by anything we control).
+    ``w_s``: click pairs by substitute UPC; all three come from the per-key
+    counts (``stats`` with responses and clicks), since a click pair's
+    substitute UPC is the picked-UPC part of its key. ``w_c``: clickstream
+    rows by ordered UPC (one column of the raw clicks); ``g`` / ``b``:
+    products with that GTIN / base UPC. One aggregation over a union, no
+    join with the dimension (whose size is not bounded by anything we
+    control).
     """
     zero = F.lit(0).cast("bigint")
     one = F.lit(1).cast("bigint")
@@ -185,10 +188,9 @@ def upc_counts(stats: DataFrame, clicks: DataFrame, pairs: DataFrame, products:
 
     flagged_rows = F.col("s") * at_least_one(F.col("r"))
     parts = [
-        part(stats.where(F.col("s") > 0),
-             row(F.col("ordered_upc"), w_o=flagged_rows), row(F.col("picked_upc"), w_p=flagged_rows)),
+        part(stats, row(F.col("ordered_upc"), w_o=flagged_rows),
+             row(F.col("picked_upc"), w_p=flagged_rows, w_s=F.col("c"))),
         part(clicks, row(F.col("upc"), w_c=one)),
-        part(pairs, row(F.col("sub_upc"), w_s=one)),
         # a product key that is null can never match, so it is dropped
         part(products, row(F.col("con_upc_no"), g=one), row(F.col("bas_con_upc_no"), b=one))
         .where(F.col("upc").isNotNull()),
