@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from subrecon.functions.expressions import is_contradiction
-from subrecon.functions.values import CLICK_CARRIED, CLICK_RECORD, NO, RESPONSE_RECORD, YES
+from subrecon.functions.values import CLICK_CARRIED, CLICK_RECORD, NO, RESPONSE_RECORD, SUB_KEYS, YES
 
 LEAD_COLUMNS = (RESPONSE_RECORD, CLICK_RECORD, "order_no", "ordered_upc", "picked_upc",
                 "sub_upc", "status", "sub_status", "store_code")
@@ -57,3 +57,29 @@ def answered_in_both(rec: DataFrame) -> DataFrame:
 def contradictions(rec: DataFrame) -> DataFrame:
     """Answered-in-both rows whose two answers are opposite."""
     return answered_in_both(rec).where(is_contradiction())
+
+
+def response_statuses(flagged: DataFrame) -> DataFrame:
+    """Distinct response ``status`` values of the reconciled rows.
+
+    The click join keeps every flagged row, so these are exactly the
+    distinct statuses of the flagged rows: no click data is needed.
+    """
+    return flagged.select("status").distinct()
+
+
+def click_statuses(substitutions: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Distinct clickstream ``sub_status`` values of the reconciled rows.
+
+    The statuses of click pairs whose key is some substitution's (semi join),
+    plus null when some substitution has no click pair (anti join). Same set
+    as selecting it from ``reconciled``, without emitting its join rows.
+    """
+    keys = list(SUB_KEYS)
+    subs = substitutions.select(*keys).distinct()
+    pk = pairs.select(F.col("order_id").alias("order_no"), F.col("upc").alias("ordered_upc"),
+                      F.col("sub_upc").alias("picked_upc"), "sub_status")
+    matched = pk.join(subs, keys, "left_semi").select("sub_status")
+    unmatched = (subs.join(pk.select(*keys).distinct(), keys, "left_anti")
+                 .select(F.lit(None).cast("string").alias("sub_status")))
+    return matched.unionByName(unmatched).distinct()

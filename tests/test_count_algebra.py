@@ -138,3 +138,14 @@ def test_period_comparison_equals_runs_per_month(spark, seed):
         if row is not None:
             assert row["clicks"] == clicks_in.count()
             assert row["clicks_with_answer"] == clicks_in.where(F.col("sub_status").isNotNull()).count()
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_distinct_statuses_equal_reconciled(spark, seed):
+    subs, resps, partners, clicks, txns, products = random_inputs(seed)
+    rec = Reconciliation(evidence(spark, subs, resps, partners, clicks, txns, products))
+    rc = rec.reconciled
+    want_s = {r[0] for r in rc.select("status").distinct().collect()}
+    want_c = {r[0] for r in rc.select("sub_status").distinct().collect()}
+    assert {r[0] for r in ops.response_statuses(rec.response_flagged).collect()} == want_s
+    assert {r[0] for r in ops.click_statuses(rec.ev.substitution_events, rec.click_pairs).collect()} == want_c
