@@ -161,10 +161,6 @@ class Reconciliation:
     def period_comparison(self, period_col: str = "period") -> DataFrame:
         return period_comparison(self.ev, period_col)
 
-    REPORTS = ("click_coverage", "response_coverage", "reconciliation_summary", "recovery_rate",
-               "contradiction_matrix", "contradiction_register_check", "unanswered_register_rate",
-               "upc_mapping_coverage", "engaged_orders", "order_register_profile", "key_fanout_audit",
-               "period_comparison")
 
 
 def period_comparison(ev: Evidence, period_col: str = "period") -> DataFrame:

@@ -35,8 +35,6 @@ LONG_REPORTS = ("reconciliation_summary", "recovery_rate", "contradiction_matrix
                 "contradiction_register_check", "unanswered_register_rate", "upc_mapping_coverage")
 FLAG_REPORTS = ("click_coverage", "response_coverage")
 TABLE_REPORTS = ("engaged_orders", "order_register_profile", "key_fanout_audit", "period_comparison")
-RELATIONS = ("unanswered", "contradictions", "contradictions_on_register",
-             "unanswered_on_register", "responses_without_substitution")
 
 
 def _write(df: DataFrame, path: str, mode: str, single_file: bool = False) -> None:
