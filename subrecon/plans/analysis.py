@@ -4,7 +4,9 @@
 ``Evidence`` bundle; attributes are memoised *plans*, not cached data, so
 nothing runs until a report is written or collected. The job may swap the
 per-key count table for a materialised copy (``with_stats``) so several
-reports share one computation.
+reports share one computation; once materialised, the key audit and the
+per-order reports are derived from the count and register tables instead of
+rescanning the inputs.
 """
 
 from __future__ import annotations

@@ -1,4 +1,4 @@
-"""Per-key evidence counts: the shared input of every report.
+"""Per-key evidence counts: the shared input of most reports.
 
 The reports count rows of outer joins (substitutions x responses x click
 pairs, ...). Materialising those joins just to count them moves every row
