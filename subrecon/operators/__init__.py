@@ -1,7 +1,7 @@
 """Row-level relational operators of the reconciliation (DataFrame -> DataFrame)."""
 
 from subrecon.operators.audit import fanout_from_counts, key_fanout_audit
-from subrecon.operators.clicks import click_pairs, click_subs, distinct_values
+from subrecon.operators.clicks import click_pairs, click_subs, distinct_values, exploded_clicks
 from subrecon.operators.reconcile import (
     answered_in_both,
     click_statuses,
@@ -38,7 +38,7 @@ from subrecon.operators.upc import (
 
 __all__ = [
     "answered_in_both", "click_pairs", "click_statuses", "click_subs", "contradictions", "distinct_values",
-    "engaged_orders", "fanout_from_counts", "found_on_register", "key_fanout_audit", "matched_responses",
+    "engaged_orders", "exploded_clicks", "fanout_from_counts", "found_on_register", "key_fanout_audit", "matched_responses",
     "on_register", "order_register_counts", "order_register_profile", "orders_from_register",
     "partner_explained_responses", "reconciled", "recovered_from_clicks",
     "register_counts", "response_flagged", "response_statuses", "responses_in_scope", "responses_right_join",

@@ -25,6 +25,11 @@ def click_subs(clicks: DataFrame, extras: Sequence[str] = ()) -> DataFrame:
     return clicks.withColumn(CLICK_RECORD, presence_flag("sub_status")).select(cols)
 
 
+def exploded_clicks(subs: DataFrame) -> DataFrame:
+    """One row per substitute UPC, before de-duplication (``explode``)."""
+    return subs.withColumn("sub_upc", F.explode(F.col("sub_upc")))
+
+
 def click_pairs(subs: DataFrame) -> DataFrame:
     """One row per substitute UPC, whole-row de-duplicated.
 
@@ -36,7 +41,7 @@ def click_pairs(subs: DataFrame) -> DataFrame:
     aggregates map-side before its shuffle, so a hot key is collapsed
     before it moves.
     """
-    return subs.withColumn("sub_upc", F.explode(F.col("sub_upc"))).dropDuplicates()
+    return exploded_clicks(subs).dropDuplicates()
 
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:

@@ -74,6 +74,8 @@ def click_statuses(substitutions: DataFrame, pairs: DataFrame) -> DataFrame:
     The statuses of click pairs whose key is some substitution's (semi join),
     plus null when some substitution has no click pair (anti join). Same set
     as selecting it from ``reconciled``, without emitting its join rows.
+    ``pairs`` may be the exploded clicks before de-duplication: duplicate
+    rows change neither a set of values nor whether a key has a pair.
     """
     keys = list(SUB_KEYS)
     subs = substitutions.select(*keys).distinct()

@@ -48,7 +48,8 @@ BUILDERS: dict[str, Builder] = {
     "click_pairs": lambda r: r.click_pairs,
     "click_channels": lambda r: ops.distinct_values(r.ev.clicks, "channel"),
     "response_statuses": lambda r: ops.response_statuses(r.response_flagged),
-    "click_statuses": lambda r: ops.click_statuses(r.ev.substitution_events, r.click_pairs),
+    "click_statuses": lambda r: ops.click_statuses(r.ev.substitution_events,
+                                                   ops.exploded_clicks(r.click_subs)),
     # response side (F1, P3-P5, J1-J5)
     "responses_in_scope": lambda r: r.responses,
     "partner_explained_responses": lambda r: ops.partner_explained_responses(r.responses, r.ev.partner_events),

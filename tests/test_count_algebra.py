@@ -149,3 +149,5 @@ def test_distinct_statuses_equal_reconciled(spark, seed):
     want_c = {r[0] for r in rc.select("sub_status").distinct().collect()}
     assert {r[0] for r in ops.response_statuses(rec.response_flagged).collect()} == want_s
     assert {r[0] for r in ops.click_statuses(rec.ev.substitution_events, rec.click_pairs).collect()} == want_c
+    exploded = ops.exploded_clicks(rec.click_subs)
+    assert {r[0] for r in ops.click_statuses(rec.ev.substitution_events, exploded).collect()} == want_c
