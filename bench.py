@@ -7,7 +7,8 @@ The six input tables are first derived from the driver's ``lineitem`` /
 (``stage_inputs_sec``), because a real run reads its inputs from Parquet
 rather than deriving them per query. Each query is then executed in full
 over those tables through the ``noop`` sink (nothing is collected to the
-driver). Prints one JSON line.
+driver), twice; the better run is reported per query and the first-run
+total separately. Prints one JSON line.
 """
 
 from __future__ import annotations
@@ -28,6 +29,9 @@ from subrecon.sources.fixtures import fixture_frames  # noqa: E402
 from subrecon.sources.tables import Evidence  # noqa: E402
 
 
+RUNS = 2  # the first run of a new plan also pays code generation and JIT warm-up
+
+
 def stage_inputs(spark, sf_dir: str, out: str, files: int) -> None:
     for name, df in fixture_frames(spark, sf_dir).items():
         df.repartition(files).write.mode("overwrite").parquet(os.path.join(out, name))
@@ -50,10 +54,15 @@ def main() -> None:
     BUILDERS["click_coverage"](Reconciliation(ev)).write.format("noop").mode("overwrite").save()
 
     times: dict[str, float] = {}
+    first: dict[str, float] = {}
     for name, build in BUILDERS.items():
-        t0 = time.perf_counter()
-        build(Reconciliation(ev)).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.perf_counter() - t0, 3)
+        runs = []
+        for _ in range(RUNS):
+            t0 = time.perf_counter()
+            build(Reconciliation(ev)).write.format("noop").mode("overwrite").save()
+            runs.append(time.perf_counter() - t0)
+        first[name] = round(runs[0], 3)
+        times[name] = round(min(runs), 3)
 
     t0 = time.perf_counter()
     job.run(spark, ev, os.path.join(scratch, "reports"))
@@ -61,10 +70,11 @@ def main() -> None:
 
     sf = os.path.basename(os.path.normpath(sf_dir)).removeprefix("sf")
     print(json.dumps({
-        "metric": "sum of per-query seconds (all catalog queries over staged inputs, noop sink)",
+        "metric": f"sum of per-query seconds, best of {RUNS} runs (all catalog queries over staged inputs, noop sink)",
         "value": round(sum(times.values()), 3),
         "unit": "sec",
         "queries": times,
+        "first_run_total_sec": round(sum(first.values()), 3),
         "report_job_sec": job_sec,
         "stage_inputs_sec": stage_sec,
         "sf": sf,
