@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from subrecon import operators as ops
 from subrecon.functions.expressions import count_where
 from subrecon.plans import reports as R
-from subrecon.plans.stats import key_stats, register_weights, upc_counts
+from subrecon.plans.stats import key_stats, register_weights, register_weights_one_pass, upc_counts
 from subrecon.sources.contracts import ContractError
 from subrecon.sources.period import month_of
 from subrecon.sources.tables import Evidence
@@ -94,7 +94,11 @@ class Reconciliation:
 
     @cached_property
     def register(self) -> DataFrame:
-        weights = register_weights(self.ev.substitution_events, self.stats_for("R", "C"))
+        if self._stats is not None:
+            weights = register_weights(self.ev.substitution_events, self._stats)
+        else:
+            weights = register_weights_one_pass(self.ev.substitution_events, self.responses,
+                                                self.click_pairs)
         return ops.register_counts(weights, self.ev.transactions)
 
     @cached_property

@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from subrecon.functions.expressions import at_least_one, none_to_one
@@ -44,7 +44,7 @@ def _ind(cond: Column) -> Column:
 
 
 def _side(df: DataFrame, tag: str, keys: Sequence[str], key_exprs: Sequence[Column],
-          **counts: Column) -> DataFrame:
+          extra: Sequence[Column] = (), **counts: Column) -> DataFrame:
     any_null = None
     for k in key_exprs:
         any_null = k.isNull() if any_null is None else (any_null | k.isNull())
@@ -52,7 +52,7 @@ def _side(df: DataFrame, tag: str, keys: Sequence[str], key_exprs: Sequence[Colu
     cols.append(F.when(any_null, F.lit(tag)).alias("null_side"))
     for c in COUNTS:
         cols.append((counts[c] if c in counts else F.lit(0).cast("bigint")).alias(c))
-    return df.select(cols)
+    return df.select(cols + list(extra))
 
 
 def key_stats(substitutions: DataFrame, responses: DataFrame | None = None,
@@ -163,6 +163,53 @@ def register_weights(substitutions: DataFrame, stats: DataFrame) -> DataFrame:
     )
 
 
+def register_weights_one_pass(substitutions: DataFrame, responses: DataFrame,
+                              pairs: DataFrame) -> DataFrame:
+    """``register_weights`` without a count table to reuse.
+
+    One aggregation over the union of the three sources, keyed by
+    (key, null_side, is-substitution, store): substitutions keep their store,
+    responses and click pairs have none. A window over the key then puts the
+    key's response and click counts on each substitution-store row. The
+    substitutions are scanned once, a hot key is pre-aggregated map-side,
+    and its window partition holds one row per store plus two.
+    Columns and meaning as ``register_weights``.
+    """
+    keys = list(SUB_KEYS)
+    sub_k = [F.col(k) for k in keys]
+    click_k = [F.col("order_id"), F.col("upc"), F.col("sub_upc")]
+    one = F.lit(1).cast("bigint")
+    st, ss = F.col("status"), F.col("sub_status")
+    own_store = [F.lit(True).alias("is_sub"), F.col("store_code")]
+    no_store = [F.lit(False).alias("is_sub"), F.lit(None).cast("string").alias("store_code")]
+    parts = [
+        _side(substitutions, "S", keys, sub_k, own_store, s=one),
+        _side(responses, "R", keys, sub_k, no_store, r=one, r_null=_ind(st.isNull()),
+              r_accept=_ind(st == RESPONSE_ACCEPT), r_reject=_ind(st == RESPONSE_REJECT)),
+        _side(pairs, "C", keys, click_k, no_store, c=one,
+              c_accepted=_ind(ss == CLICK_ACCEPTED), c_rejected=_ind(ss == CLICK_REJECTED)),
+    ]
+    u = parts[0]
+    for q in parts[1:]:
+        u = u.unionByName(q)
+    counts = ("s", "r", "r_null", "r_accept", "r_reject", "c", "c_accepted", "c_rejected")
+    agg = u.groupBy(*keys, "null_side", "is_sub", "store_code").agg(
+        *[F.sum(c).cast("bigint").alias(c) for c in counts])
+    w = Window.partitionBy(*keys, "null_side")
+    per_key = agg.select(
+        *keys, "store_code", "is_sub", "s",
+        *[F.sum(c).over(w).alias(c) for c in counts if c != "s"],
+    ).where(F.col("is_sub"))
+    return per_key.select(
+        "order_no",
+        F.col("picked_upc").alias("gtin_no"),
+        "store_code",
+        (F.col("s") * contradiction_rows_per_sub()).cast("bigint").alias("contra_rows"),
+        (F.col("s") * unanswered_rows_per_sub()).cast("bigint").alias("unans_rows"),
+        F.col("s").cast("bigint").alias("subs"),
+    )
+
+
 def upc_counts(stats: DataFrame, clicks: DataFrame, products: DataFrame) -> DataFrame:
     """Per UPC: rows of each feed carrying it, and product-dimension hits.
 

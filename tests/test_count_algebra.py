@@ -28,7 +28,7 @@ def random_inputs(seed):
     rng = random.Random(seed)
     orders, upcs, stores = ["1", "2", "3"], ["a", "b", "c"], ["S1", "S2"]
     days = [dt.date(2024, 1, 15), dt.date(2024, 2, 10)]
-    subs = [sub(_pick(rng, orders), _pick(rng, upcs), _pick(rng, upcs), rng.choice(stores),
+    subs = [sub(_pick(rng, orders), _pick(rng, upcs), _pick(rng, upcs), _pick(rng, stores),
                 d=rng.choice(days)) for _ in range(rng.randint(5, 30))]
     resps = [resp(_pick(rng, orders), _pick(rng, upcs), _pick(rng, upcs),
                   _pick(rng, ["Accept", "Reject", "Maybe"], 0.15), _pick(rng, [1, 2, 540], 0.1),
