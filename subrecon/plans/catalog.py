@@ -52,10 +52,12 @@ BUILDERS: dict[str, Builder] = {
                                                    ops.exploded_clicks(r.click_subs)),
     # response side (F1, P3-P5, J1-J5)
     "responses_in_scope": lambda r: r.responses,
-    "partner_explained_responses": lambda r: ops.partner_explained_responses(r.responses, r.ev.partner_events),
+    "partner_explained_responses":
+        lambda r: ops.partner_explained_responses(r.responses, r.ev.partner_events),
     "matched_responses": lambda r: ops.matched_responses(r.ev.substitution_events, r.responses),
     "responses_right_join": lambda r: ops.responses_right_join(r.ev.substitution_events, r.responses),
-    "responses_without_substitution": lambda r: ops.responses_without_substitution(r.ev.substitution_events, r.responses),
+    "responses_without_substitution":
+        lambda r: ops.responses_without_substitution(r.ev.substitution_events, r.responses),
     "response_flagged": lambda r: r.response_flagged,
     # reconciliation (J6, P6, F3-F6)
     "reconciled": lambda r: r.reconciled,
