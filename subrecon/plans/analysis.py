@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from subrecon import operators as ops
-from subrecon.functions.expressions import count_where
 from subrecon.plans import reports as R
 from subrecon.plans.stats import key_stats, register_weights, register_weights_one_pass, upc_counts
 from subrecon.sources.contracts import ContractError
@@ -187,9 +186,5 @@ def period_comparison(ev: Evidence, period_col: str = "period") -> DataFrame:
     partner = per(ev.partner_events, "event_date")
     clicks = per(ev.clicks, "event_date")
     pairs = ops.click_pairs(ops.click_subs(clicks, extras=[period_col]))
-    stats = key_stats(subs, resp, partner, pairs, by=[period_col])
-    clicks_by = clicks.groupBy(period_col).agg(
-        F.count("*").cast("bigint").alias("clicks"),
-        count_where(F.col("sub_status").isNotNull()).alias("clicks_with_answer"),
-    )
-    return R.period_table(stats, clicks_by, period_col)
+    stats = key_stats(subs, resp, partner, pairs, by=[period_col], raw_clicks=clicks)
+    return R.period_table(stats, period_col)

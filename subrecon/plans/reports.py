@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from subrecon.functions.expressions import count_where, percent
@@ -193,15 +193,11 @@ PERIOD_METRICS = ("substitutions", "responses_in_scope", "matched_responses", "w
                   "recovered_from_clicks", "answered_in_both", "contradictions")
 
 
-def period_table(stats: DataFrame, clicks_by_period: DataFrame, period_col: str) -> DataFrame:
-    """Headline figures, one row per period (wide format)."""
-    t = totals(stats, PERIOD_METRICS, by=[period_col])
-    j = t.join(clicks_by_period, period_col, "full")
-    num = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
-    cols: list[Column] = [F.col(period_col)] + [num(m).alias(m) for m in PERIOD_METRICS]
-    cols += [num("clicks").alias("clicks"), num("clicks_with_answer").alias("clicks_with_answer")]
-    out = j.select(cols)
-    return out.select(
+def period_table(stats: DataFrame, period_col: str) -> DataFrame:
+    """Headline figures, one row per period (wide format), from per-key
+    counts keyed by period (with the raw-click coverage groups)."""
+    t = totals(stats, PERIOD_METRICS + ("clicks", "clicks_with_answer"), by=[period_col])
+    return t.select(
         "*",
         percent("without_response", "substitutions").alias("pct_without_response"),
         percent("responses_without_substitution", "responses_in_scope")

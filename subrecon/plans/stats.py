@@ -36,7 +36,7 @@ from subrecon.functions.values import (
 )
 
 COUNTS = ("s", "r", "r_null", "r_accept", "r_reject", "p",
-          "c", "c_null", "c_accepted", "c_rejected")
+          "c", "c_null", "c_accepted", "c_rejected", "k", "k_answered")
 
 
 def _ind(cond: Column) -> Column:
@@ -57,7 +57,7 @@ def _side(df: DataFrame, tag: str, keys: Sequence[str], key_exprs: Sequence[Colu
 
 def key_stats(substitutions: DataFrame, responses: DataFrame | None = None,
               partner_events: DataFrame | None = None, pairs: DataFrame | None = None,
-              by: Sequence[str] = ()) -> DataFrame:
+              by: Sequence[str] = (), raw_clicks: DataFrame | None = None) -> DataFrame:
     """One row per (substitution key + ``by``) with the count of each source.
 
     Inputs: scoped substitution events, responses in scope, partner events,
@@ -66,8 +66,12 @@ def key_stats(substitutions: DataFrame, responses: DataFrame | None = None,
     that needs no clicks never de-duplicates them.
     ``by`` columns (e.g. a period) must exist on every input and are part of
     the key, which is the same as running the analysis once per ``by`` value.
+    ``raw_clicks`` (clickstream rows before exploding) only adds click
+    coverage per ``by`` value: they form one group per ``by`` value of their
+    own (``null_side`` 'K', key parts null), which map-side aggregation
+    collapses to one row per task.
     Columns: the keys, ``null_side``, and ``s r r_null r_accept r_reject p c
-    c_null c_accepted c_rejected``.
+    c_null c_accepted c_rejected k k_answered``.
     """
     keys = list(SUB_KEYS) + list(by)
     sub_k = [F.col(k) for k in keys]
@@ -83,6 +87,13 @@ def key_stats(substitutions: DataFrame, responses: DataFrame | None = None,
     if pairs is not None:
         parts.append(_side(pairs, "C", keys, click_k, c=one, c_null=_ind(ss.isNull()),
                            c_accepted=_ind(ss == CLICK_ACCEPTED), c_rejected=_ind(ss == CLICK_REJECTED)))
+    if raw_clicks is not None:
+        none = F.lit(None).cast("string")
+        k = raw_clicks.select(*[none.alias(n) for n in SUB_KEYS], *[F.col(b) for b in by],
+                              F.lit("K").alias("null_side"),
+                              *[(one if c == "k" else _ind(ss.isNotNull()) if c == "k_answered"
+                                 else F.lit(0).cast("bigint")).alias(c) for c in COUNTS])
+        parts.append(k)
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
@@ -114,6 +125,8 @@ def terms() -> dict[str, Column]:
         "reject_vs_accepted": s * F.col("r_reject") * F.col("c_accepted"),
         "accept_vs_accepted": s * F.col("r_accept") * F.col("c_accepted"),
         "reject_vs_rejected": s * F.col("r_reject") * F.col("c_rejected"),
+        "clicks": F.col("k"),
+        "clicks_with_answer": F.col("k_answered"),
     }
     t["contradictions"] = t["accept_vs_rejected"] + t["reject_vs_accepted"]
     return t
