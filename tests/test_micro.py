@@ -154,3 +154,17 @@ def test_upc_lookups(spark):
     assert m["click_upc_base"][:2] == (2, 2)      # base UPC repeats, semi join counts once
     assert m["click_sub_upc_gtin"][:2] == (1, 2)
     assert ops.upc_map_click_base(rec.click_subs, ev.products).count() == 2
+
+
+def test_period_with_clicks_only_still_reported(spark):
+    import datetime as dt
+
+    ev = evidence(spark, subs=[sub("1", "a", "b", d=dt.date(2024, 2, 3))],
+                  clicks=[click("1", "a", ["b"], "accepted", d=dt.date(2024, 3, 5)),
+                          click("2", "a", ["b"], None, d=dt.date(2024, 3, 6))])
+    rows = {r["period"]: r for r in Reconciliation(ev).period_comparison().collect()}
+    assert set(rows) == {"2024-02", "2024-03"}
+    assert (rows["2024-03"]["substitutions"], rows["2024-03"]["clicks"],
+            rows["2024-03"]["clicks_with_answer"], rows["2024-03"]["pct_clicks_with_answer"]) == (0, 2, 1, 50.0)
+    assert (rows["2024-02"]["substitutions"], rows["2024-02"]["clicks"], rows["2024-02"]["unanswered"]) == (1, 0, 1)
+    assert rows["2024-02"]["pct_clicks_with_answer"] is None
