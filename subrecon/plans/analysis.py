@@ -66,10 +66,12 @@ class Reconciliation:
     # -- shared count tables -------------------------------------------------
     @property
     def stats(self) -> DataFrame:
-        """Per-key counts of all four sources (what the job materialises)."""
+        """Per-key counts of all four sources, plus the raw-click coverage
+        group (what the job materialises)."""
         if self._stats is None:
             self._stats = key_stats(self.ev.substitution_events, self.responses,
-                                    self.ev.partner_events, self.click_pairs)
+                                    self.ev.partner_events, self.click_pairs,
+                                    raw_clicks=self.ev.clicks)
         return self._stats
 
     def stats_for(self, *sources: str) -> DataFrame:
@@ -164,6 +166,14 @@ class Reconciliation:
         ])
 
     def period_comparison(self, period_col: str = "period") -> DataFrame:
+        p = self.ev.period
+        one_month = (p.start is not None and p.end is not None
+                     and (p.start.year, p.start.month) == (p.end.year, p.end.month))
+        if self.materialized and one_month and "event_date" in self.ev.clicks.columns:
+            # every input is already cut to this month: its one row is the
+            # materialised counts, labelled with the month
+            month = f"{p.start.year:04d}-{p.start.month:02d}"
+            return R.period_table(self.stats.withColumn(period_col, F.lit(month)), period_col)
         return period_comparison(self.ev, period_col)
 
 
