@@ -29,7 +29,7 @@ from subrecon.functions.expressions import answer_class, rounded
 from subrecon.plans.analysis import Reconciliation
 from subrecon.session import checkpoint_dir, input_bytes, prepare_for_skew, size_shuffle
 from subrecon.sources.period import Period
-from subrecon.sources.tables import TABLES, Evidence
+from subrecon.sources.tables import Evidence, table_paths
 
 LONG_REPORTS = ("reconciliation_summary", "recovery_rate", "contradiction_matrix",
                 "contradiction_register_check", "unanswered_register_rate", "upc_mapping_coverage")
@@ -110,8 +110,7 @@ def main(argv: Sequence[str] | None = None) -> None:
     period = Period.of(args.start, args.end)
     if args.input:
         ev = Evidence.read(spark, args.input, period)
-        paths = [os.path.join(args.input, t) for t in TABLES]
-        size_shuffle(spark, input_bytes(spark, paths))
+        size_shuffle(spark, input_bytes(spark, list(table_paths(args.input).values())))
     else:
         from subrecon.sources.fixtures import fixture_evidence
         ev = fixture_evidence(spark, args.fixtures, period)

@@ -62,6 +62,16 @@ def read_table(spark: SparkSession, name: str, path: str, period: Period = OPEN)
     return scope(name, spark.read.parquet(path), period)
 
 
+def table_paths(base: str) -> dict[str, str]:
+    """Path of each input table under ``base``: ``<table>``, or
+    ``<table>.parquet`` when only that exists locally."""
+    paths = {}
+    for t in TABLES:
+        p = os.path.join(base, t)
+        paths[t] = p if os.path.exists(p) or "://" in base else p + ".parquet"
+    return paths
+
+
 @dataclass(frozen=True)
 class Evidence:
     """The six scoped inputs of one reconciliation run."""
@@ -87,11 +97,7 @@ class Evidence:
         holding one ``<table>`` folder/file per input (``<table>.parquet``
         is tried too)."""
         if isinstance(paths, str):
-            base = paths
-            paths = {}
-            for t in TABLES:
-                p = os.path.join(base, t)
-                paths[t] = p if os.path.exists(p) or "://" in base else p + ".parquet"
+            paths = table_paths(paths)
         frames = {t: spark.read.parquet(paths[t]) for t in TABLES}
         return cls.from_frames(frames, period)
 

@@ -90,3 +90,15 @@ def test_single_month_comparison_from_materialised_counts(spark, sf_small, tmp_p
 
     assert rows(derived) == rows(lazy)
     assert rows(derived)  # the month has data
+
+
+def test_job_cli_over_parquet_inputs(spark, sf_small, tmp_path):
+    from subrecon.sources.fixtures import fixture_frames
+
+    inputs = tmp_path / "in"
+    for name, df in fixture_frames(spark, sf_small).items():
+        df.write.parquet(str(inputs / name))
+    out = str(tmp_path / "out")
+    job.main(["--input", str(inputs), "--output", out])
+    cm = metrics(spark.read.parquet(os.path.join(out, "contradiction_matrix")))
+    assert cm["contradictions"][:2] == (254, 517)

@@ -90,3 +90,12 @@ def test_period_comparison_needs_click_dates(spark):
     frames["clicks"] = frames["clicks"].drop("event_date")
     with pytest.raises(ContractError, match="event_date"):
         Reconciliation(Evidence.from_frames(frames)).period_comparison()
+
+
+def test_table_paths_accepts_both_layouts(tmp_path):
+    from subrecon.sources.tables import table_paths
+
+    (tmp_path / "clicks").mkdir()
+    paths = table_paths(str(tmp_path))
+    assert paths["clicks"] == str(tmp_path / "clicks")
+    assert paths["products"] == str(tmp_path / "products") + ".parquet"
