@@ -49,8 +49,8 @@ def materialize(spark: SparkSession, df: DataFrame, path: str, mode: str = "over
 
 def run(spark: SparkSession, ev: Evidence, output: str, *, relations: bool = False,
         reports: Sequence[str] | None = None, mode: str = "overwrite") -> dict[str, str]:
-    """Compute and write the reports; returns ``{name: path}`` (the stage
-    tables under ``_stages/...``)."""
+    """Compute and write the reports; returns ``{name: path}``. The stage
+    tables (in the checkpoint folder) are listed under ``_stages/...`` keys."""
     rec = Reconciliation(ev)
     stages = os.path.join(checkpoint_dir(spark), f"subrecon-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}")
     rec.with_stats(materialize(spark, rec.stats, os.path.join(stages, "key_stats"), mode))
