@@ -74,3 +74,22 @@ def test_row_level_joins_split_a_hot_key(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_prepare_for_skew_keeps_explicit_settings(spark):
+    from subrecon.session import prepare_for_skew
+
+    key = "spark.sql.adaptive.forceOptimizeSkewedJoin"
+    old = spark.conf.get(key, None)
+    try:
+        spark.conf.set(key, "false")
+        assert key not in prepare_for_skew(spark)
+        assert spark.conf.get(key) == "false"
+        spark.conf.unset(key)
+        assert prepare_for_skew(spark).get(key) == "true"
+        assert spark.conf.get(key) == "true"
+    finally:
+        if old is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, old)
