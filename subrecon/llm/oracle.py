@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from subrecon.llm.quality_rules import RULES, STOP_WORDS
+from subrecon.llm.substring_dedup import MIN_WORDS, UNITS
+from subrecon.llm.warc_derivatives import TEXT_STEPS
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -45,4 +47,56 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND failed_rules = '' AS kept, failed_rules FROM f
 """
 
-SQL = {"op7_quality_rules": OP7}
+OP2 = rf"""
+WITH d AS (SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '{UNITS["sentence"]}') AS us FROM documents),
+e AS (SELECT doc_id, unnest(us) AS u, generate_subscripts(us, 1) AS k FROM d),
+p AS (SELECT doc_id, k, u, trim(regexp_replace(lower(u), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' ') AS norm,
+             sum(length(u)) OVER (PARTITION BY doc_id ORDER BY k) AS stop FROM e),
+w AS (SELECT doc_id, norm, stop - length(u) AS start, stop, len(string_split(norm, ' ')) AS words,
+             row_number() OVER (PARTITION BY doc_id ORDER BY k) AS pos FROM p WHERE norm <> ''),
+r AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id, start) AS place FROM w),
+runs AS (SELECT doc_id, start, stop, words, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS run
+         FROM r WHERE place > 1),
+spans AS (SELECT doc_id, min(start)::BIGINT AS s, max(stop)::BIGINT AS e FROM runs GROUP BY doc_id, run
+          HAVING sum(words) >= {MIN_WORDS}),
+g AS (SELECT doc_id, list(s ORDER BY s) AS ss, list(e ORDER BY s) AS es FROM spans GROUP BY doc_id)
+SELECT doc_id, CASE WHEN ss IS NULL THEN text ELSE array_to_string(list_transform(range(0, len(ss) + 1), lambda i:
+           substr(text, coalesce(es[i], 0) + 1, coalesce(ss[i + 1], length(text)) - coalesce(es[i], 0))), '') END AS text,
+       coalesce(array_to_string(list_transform(range(1, len(ss) + 1), lambda i: ss[i] || '-' || es[i]), ','), '') AS removed_spans,
+       length(text)::BIGINT AS original_chars
+FROM documents LEFT JOIN g USING (doc_id)
+"""
+
+
+def _text_steps(column: str) -> str:
+    out = f"coalesce({column}, '')"
+    for pattern, to in TEXT_STEPS:
+        out = f"regexp_replace({out}, '{pattern}', {_literal(to)}, 'g')"
+    return out
+
+
+def _literal(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'" if "\n" not in s else "chr(10)"
+
+
+def _uuid(text: str) -> str:
+    return f"'<urn:uuid:' || regexp_replace(md5({text}), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.*)$', '\\1-\\2-\\3-\\4-\\5') || '>'"
+
+
+_CRLF = "chr(13) || chr(10)"
+OP9 = rf"""
+WITH s AS (SELECT url, coalesce(html, '') AS h, '2024-01-01T00:00:00Z' AS date FROM pages),
+r AS (SELECT {_uuid("concat_ws(chr(10), 'response', coalesce(url, ''), date, h)")} AS refers_to, url AS target_uri, date, h,
+      octet_length(encode(h)) AS n, 'sha256:' || sha256(h) AS source_payload_digest, {_text_steps("h")} AS t FROM s),
+b AS (SELECT *, 'metadata' AS record_type, 'application/warc-fields' AS content_type,
+   'source-content-length: ' || n || {_CRLF} || 'source-payload-digest: ' || source_payload_digest || {_CRLF}
+   || 'converted-content-length: ' || octet_length(encode(t)) || {_CRLF}
+   || 'source-header: HTTP/1.1 200 OK' || {_CRLF} || 'source-header: Content-Type: text/html; charset=utf-8' || {_CRLF}
+   || 'source-header: Content-Length: ' || n || {_CRLF} AS block FROM r
+   UNION ALL SELECT *, 'conversion', 'text/plain', t FROM r)
+SELECT {_uuid("concat_ws(chr(10), record_type, refers_to)")} AS record_id, record_type, refers_to, target_uri, date,
+       content_type, octet_length(encode(block))::BIGINT AS content_length, 'sha256:' || sha256(block) AS block_digest,
+       source_payload_digest, block FROM b
+"""
+
+SQL = {"op2_substring_dedup": OP2, "op7_quality_rules": OP7, "op9_warc_derivatives": OP9}

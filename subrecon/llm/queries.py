@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subrecon.llm import oracle, quality_rules
+from subrecon.llm import oracle, quality_rules, simhash, substring_dedup, warc_derivatives
 from subrecon.llm.common import read_table
 
 
@@ -19,8 +19,40 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join("failed_rules", ",").alias("failed_rules"))
 
 
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its repeated passages, and the spans that went."""
+    out = substring_dedup.dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.transform("removed", lambda s: F.concat_ws("-", s.getField("start").cast("string"),
+                                                         s.getField("end").cast("string")))
+    return out.select("doc_id", "text", F.coalesce(F.array_join(spans, ","), F.lit("")).alias("removed_spans"),
+                      "original_chars")
+
+
+def response_records(pages: DataFrame) -> DataFrame:
+    """Stand-in responses: the schema of parsed WARC responses, filled from the pages."""
+    return pages.select(
+        "page_id", F.col("url").alias("target_uri"), F.lit("2024-01-01T00:00:00Z").alias("date"),
+        F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "),
+                 F.octet_length(F.coalesce("html", F.lit(""))).cast("string")).alias("http_headers"),
+        F.col("html").alias("payload"), F.lit(None).cast("string").alias("record_id"))
+
+
+def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and conversion records of every page's response."""
+    return warc_derivatives.derive(response_records(read_table(spark, sf_dir, "pages")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_substring_dedup": op2_substring_dedup,
     "op7_quality_rules": op7_quality_rules,
+    "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_warc_derivatives": op9_warc_derivatives,
 }
 
 SQL: dict[str, str] = dict(oracle.SQL)
