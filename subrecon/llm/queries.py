@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subrecon.llm import oracle, quality_rules, simhash, substring_dedup, warc_derivatives
-from subrecon.llm.common import read_table
+from subrecon.llm import oracle, packing, quality_rules, simhash, substring_dedup, warc_derivatives
+from subrecon.llm.common import read_table, staged
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,19 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "original_chars")
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """Pieces of all documents with their sequence and place in it."""
+    import public_tokenizers
+
+    pieces = packing.tokenise(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return packing.pack(staged(pieces, "packing-pieces"))
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 tokens holding every document."""
+    return packed(read_table(spark, sf_dir, "documents"))
+
+
 def response_records(pages: DataFrame) -> DataFrame:
     """Stand-in responses: the schema of parsed WARC responses, filled from the pages."""
     return pages.select(
@@ -50,6 +63,7 @@ def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op7_quality_rules": op7_quality_rules,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_warc_derivatives": op9_warc_derivatives,
