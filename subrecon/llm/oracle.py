@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from subrecon.llm.decontamination import SLACK
 from subrecon.llm.quality_rules import RULES, STOP_WORDS
 from subrecon.llm.substring_dedup import MIN_WORDS, UNITS
 from subrecon.llm.warc_derivatives import TEXT_STEPS
@@ -99,4 +100,38 @@ SELECT {_uuid("concat_ws(chr(10), record_type, refers_to)")} AS record_id, recor
        source_payload_digest, block FROM b
 """
 
-SQL = {"op2_substring_dedup": OP2, "op7_quality_rules": OP7, "op9_warc_derivatives": OP9}
+_TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+OP1 = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '{_TERM}') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '{_TERM}') AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[i + 1:i + 13], ' ') AS k
+       FROM (SELECT item_id, w, unnest(range(0, greatest(len(w) - 12, 1))) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM bw),
+dw AS (SELECT doc_id, n, i, array_to_string(w[i + 1:i + n], ' ') AS k
+       FROM (SELECT doc_id, w, n, unnest(range(0, len(w) - n + 1)) AS i FROM d, sizes)),
+hits AS (SELECT doc_id, item_id, i, n FROM dw JOIN bw USING (n, k)),
+cover AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+          FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS l
+          FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hits) GROUP BY doc_id),
+dp AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM d),
+cnt AS (SELECT t, count(*) AS c FROM dp GROUP BY t),
+wt AS (SELECT item_id, k, n, unnest(ts) AS t, generate_subscripts(ts, 1) AS j
+       FROM (SELECT *, string_split(k, ' ') AS ts FROM bw)),
+rare AS (SELECT item_id, k, n, t FROM (SELECT wt.*, row_number() OVER (PARTITION BY item_id, k ORDER BY coalesce(c, 0), j) AS r
+         FROM wt LEFT JOIN cnt USING (t)) WHERE r = 1),
+occ AS (SELECT item_id, k, n, doc_id, p FROM rare JOIN dp USING (t)),
+close AS (SELECT o.doc_id, o.item_id, o.k, o.p, count(DISTINCT x.t) AS m
+          FROM occ o JOIN dp x ON x.doc_id = o.doc_id AND abs(x.p - o.p) <= o.n + {SLACK} - 1
+          JOIN (SELECT DISTINCT item_id, k, t FROM wt) y ON y.item_id = o.item_id AND y.k = o.k AND y.t = x.t GROUP BY ALL),
+near AS (SELECT doc_id, count(DISTINCT item_id) AS n_near_items FROM close
+         JOIN (SELECT item_id, k, count(DISTINCT t) AS m FROM wt GROUP BY ALL) USING (item_id, k, m) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(l, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+       coalesce(n_near_items, 0)::BIGINT AS n_near_items
+FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN near USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+SQL = {"op1_decontamination": OP1, "op2_substring_dedup": OP2, "op7_quality_rules": OP7, "op9_warc_derivatives": OP9}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subrecon.llm import oracle, packing, quality_rules, simhash, substring_dedup, warc_derivatives
+from subrecon.llm import decontamination, oracle, packing, quality_rules, simhash, substring_dedup, warc_derivatives
 from subrecon.llm.common import read_table, staged
 
 
@@ -19,6 +19,16 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join("failed_rules", ",").alias("failed_rules"))
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document hit by benchmark windows, and the items found."""
+    index = decontamination.build_index(read_table(spark, sf_dir, "documents"))
+    found = decontamination.search(index, read_table(spark, sf_dir, "benchmark"))
+    return decontamination.by_document(index, staged(found, "benchmark-matches")).select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        decontamination.contaminated().alias("contaminated"), "n_near_items")
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
@@ -62,6 +72,7 @@ def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op7_quality_rules": op7_quality_rules,
