@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subrecon.llm import decontamination, oracle, packing, quality_rules, simhash, substring_dedup, warc_derivatives
+from subrecon.llm import decontamination, oracle, packing, quality_rules, simhash, substring_dedup, toxicity, warc_derivatives
 from subrecon.llm.common import read_table, staged
 
 
@@ -71,6 +71,12 @@ def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_derivatives.derive(response_records(read_table(spark, sf_dir, "pages")))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    scored = toxicity.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_substring_dedup": op2_substring_dedup,
@@ -78,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_rules": op7_quality_rules,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_warc_derivatives": op9_warc_derivatives,
+    "op10_toxicity": op10_toxicity,
 }
 
 SQL: dict[str, str] = dict(oracle.SQL)
