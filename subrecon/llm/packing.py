@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -64,8 +65,11 @@ class Encoder:
         if len(self.known) + len(new) > CACHE:
             self.known = {}
             new = list(set().union(*parts))
-        for w, e in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
+        ids = [e.ids for e in self.model.encode_batch_fast(new, add_special_tokens=False)]
+        flat, at = np.fromiter(chain.from_iterable(ids), "<u4").tobytes(), 0
+        for w, n in zip(new, map(len, ids)):
+            self.known[w] = flat[at:at + 4 * n]
+            at += 4 * n
         return [b"".join(map(self.known.__getitem__, p)) for p in parts]
 
 
