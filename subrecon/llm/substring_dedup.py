@@ -98,6 +98,7 @@ def repeated_units(u: DataFrame) -> DataFrame:
     groups = (u.groupBy("h1", "h2").agg(first, F.count("*").alias("n")).where("n > 1")
               .select("h1", "h2", F.col("first.__id").alias("i0"), F.col("first.__th").alias("t0"),
                       F.col("first.start").alias("s0")))
+    groups = staged(groups, "substring-digests")  # so both sides of the join are shuffled, and AQE can split a hot digest
     earlier = ~(F.col("__id").eqNullSafe(F.col("i0")) & (F.col("__th") == F.col("t0"))
                 & (F.col("start") == F.col("s0")))
     return u.join(groups, ["h1", "h2"]).where(earlier).select(*KEY, "at", "start", "end", "words")
