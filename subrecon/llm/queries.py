@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subrecon.llm import decontamination, oracle, packing, quality_rules, simhash, substring_dedup, toxicity, warc_derivatives
-from subrecon.llm.common import read_table, staged
+from subrecon.llm import decontamination, language_id, oracle, packing, quality_rules, simhash, substring_dedup, toxicity, warc_derivatives
+from subrecon.llm.common import fold, read_table, staged
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +71,14 @@ def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_derivatives.derive(response_records(read_table(spark, sf_dir, "pages")))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    docs = read_table(spark, sf_dir, "documents")
+    model = language_id.fit(docs)
+    held_out = (fold("doc_id", language_id.FOLDS) == language_id.HELD_OUT).alias("held_out")
+    return language_id.label(docs.select("doc_id", held_out, "text"), model)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
     scored = toxicity.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
@@ -81,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op5_language_id": op5_language_id,
     "op7_quality_rules": op7_quality_rules,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_warc_derivatives": op9_warc_derivatives,
