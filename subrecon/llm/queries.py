@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subrecon.llm import decontamination, language_id, oracle, packing, quality_rules, simhash, substring_dedup, toxicity, warc_derivatives
+from subrecon.llm import decontamination, language_id, oracle, packing, quality_classifier, quality_rules, simhash
+from subrecon.llm import substring_dedup, toxicity, url_filter, warc_derivatives
 from subrecon.llm.common import fold, read_table, staged
 
 
@@ -79,6 +80,33 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.label(docs.select("doc_id", held_out, "text"), model)
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = read_table(spark, sf_dir, "documents")
+    model, share = quality_classifier.fit(docs, read_table(spark, sf_dir, "labels"))
+    held_out = (fold("doc_id", quality_classifier.FOLDS) == quality_classifier.HELD_OUT).alias("held_out")
+    scored = quality_classifier.score(docs.select("doc_id", held_out, "text"), model, share)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+#: The given rules of the URL contract.
+URL_RULES = (
+    url_filter.Given("com", "/", "allow"),
+    url_filter.Given("example.com", "/en/", "block"),
+    url_filter.Given("www.example.com", "/en/", "allow"),
+    url_filter.Given("net", "/es/", "block"),
+    url_filter.Given("net", "/fr/", "block"),
+)
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url; a page of a low-quality document (labels) is an example to block."""
+    pages = read_table(spark, sf_dir, "pages")
+    low = read_table(spark, sf_dir, "labels").where("quality IS NOT NULL").groupBy(F.col("doc_id").alias("page_id")).agg(
+        (F.min("quality") == 0).alias("blocked"))
+    return url_filter.judge(pages, pages.select("page_id", "url").join(low, "page_id"), URL_RULES)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
     scored = toxicity.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
@@ -89,7 +117,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_url_filter": op4_url_filter,
     "op5_language_id": op5_language_id,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_quality_rules": op7_quality_rules,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_warc_derivatives": op9_warc_derivatives,
