@@ -224,7 +224,8 @@ def search(index: DataFrame, items: DataFrame, item_id: str = "item_id", text: s
         if not len(win):
             continue
         vocabulary = pd.DataFrame({"term": np.unique(np.concatenate(list(win["terms"])))})
-        wanted = index.sparkSession.createDataFrame(vocabulary, "term long")
+        # at most block_words numbers: sent to the tasks, so that only matching lists are shuffled
+        wanted = F.broadcast(index.sparkSession.createDataFrame(vocabulary, "term long"))
         counted = terms.join(wanted, "term").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
         q = _Query(win, dict(zip(counted["term"], counted["n"])), window)
         lists = terms.join(wanted, "term", "left_semi").select(
