@@ -1,14 +1,88 @@
-"""The training-data pipeline: ``STAGES`` over the documents table."""
+"""The training-data pipeline: language, near-duplicates, repeated passages, contamination, packing.
+
+Each stage of ``STAGES`` takes ``(spark, docs, sf_dir)``, works on every row it
+is given and returns the rows that stay, with the columns of ``docs``; the last
+returns the packed pieces. ``run`` writes each stage's result to shared storage
+and reads it back for the next.
+
+Defined results, in every stage: an empty table gives an empty result; extra
+columns pass through all but the last stage, whatever their names; rows with
+the same id are one document; rows without an id are named by their text, so
+equal texts without an id are one document.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from subrecon.llm import decontamination, language_id, simhash, substring_dedup
+from subrecon.llm.common import read_table, sent_if_small, staged
+from subrecon.llm.queries import packed
+
+#: A language must hold at least this mean probability over a text's words.
+MIN_LANGUAGE_SCORE = 0.5
+
+
+def _key(docs: DataFrame) -> Column:
+    """A document's id; without one, a number beyond ordinary ids from its text."""
+    by_text = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    return F.coalesce(F.col("doc_id").cast("long"), by_text)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep texts in which one learned language prevails; null, empty and letterless texts go."""
+    model = language_id.fit(docs)
+    out = language_id.label(docs, model, names=("__lang", "__score"), keep_text=True)
+    return out.where((F.col("__lang") != language_id.UNKNOWN) & (F.col("__score") >= MIN_LANGUAGE_SCORE)).select(
+        *[F.col(f"`{c}`") for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest id of each SimHash component."""
+    keyed = docs.withColumn("__key", _key(docs))
+    first = simhash.near_duplicates(keyed, "__key").where("doc_id = component_id").select(F.col("doc_id").alias("__key"))
+    return keyed.join(first.distinct(), "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut repeated passages out of the texts; every document stays, with its new length."""
+    keyed = docs.withColumn("__key", _key(docs))
+    out = substring_dedup.dedup(keyed, "__key", names=("__removed", "__chars"))
+    return out.select(*[F.when(F.col("__removed").isNull(), F.col("`n_chars`")).otherwise(F.length("text").cast("long"))
+                        .alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents of which benchmark windows hit at least one word in twenty."""
+    keyed = docs.withColumn("__key", _key(docs))
+    index = decontamination.build_index(keyed, "__key")
+    found = decontamination.search(index, read_table(spark, sf_dir, "benchmark"), slack=-1)
+    hit = decontamination.by_document(index, staged(found, "benchmark-matches")).where(decontamination.contaminated())
+    hit = staged(hit.select(F.col("doc_id").alias("__key")).distinct(), "contaminated")
+    return keyed.join(sent_if_small(hit), "__key", "left_anti").drop("__key").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack the documents' tokens into sequences: one row per piece."""
+    return packed(docs)
+
 
-STAGES: list = []
+STAGES = [
+    ("language_id", language),
+    ("simhash_near_dedup", near_duplicates),
+    ("substring_dedup", substrings),
+    ("benchmark_decontamination", decontaminate),
+    ("best_fit_packing", pack),
+]
 
+#: No SQL: models, XXH64 fingerprints and tokenizers are outside it; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs

@@ -33,6 +33,11 @@ def staged(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Data
     return back.select(*schema.names)
 
 
+def sent_if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """``df`` (a written table of a few narrow columns) marked for broadcast if it has at most ``rows`` rows."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def fold(doc_id: str | Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds`` (null ids: null)."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -218,13 +218,14 @@ def training_sample(docs: DataFrame, per_language: int, train_chars: int) -> Dat
         ["doc_id", "lang"])
 
 
-def label(docs: DataFrame, model: Model | None, keep_words: int = 400_000) -> DataFrame:
-    """``docs`` (text and others) with ``lang_pred`` and ``score`` in place of the text."""
-    names = [c for c in docs.columns if c != "text"]
-    fields = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c != "text")
+def label(docs: DataFrame, model: Model | None, names: tuple[str, str] = ("lang_pred", "score"), keep_text: bool = False,
+          keep_words: int = 400_000) -> DataFrame:
+    """``docs`` (``text`` and others) with the language and its score, named ``names``, for the text or beside it."""
+    kept = [c for c in docs.columns if (keep_text or c != "text") and c not in names]
     if model is None:
-        return docs.select(*names, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return docs.select(*[F.col(f"`{c}`") for c in kept], F.lit(UNKNOWN).alias(names[0]), F.lit(0.0).alias(names[1]))
     sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.weights.astype(np.float32), model.transition))
+    out = [*kept, *names]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crf = Model(*sent.value)
@@ -254,11 +255,11 @@ def label(docs: DataFrame, model: Model | None, keep_words: int = 400_000) -> Da
                     mean /= np.maximum(size, 1)[:, None]
                 best = np.where(size > 0, mean.argmax(axis=1), k)
                 top = np.clip(mean.max(axis=1), 0.0, 1.0)
-                yield pa.RecordBatch.from_arrays([*[b.column(c).slice(lo, hi - lo) for c in names],
-                                                  pa.array(named[best], pa.string()), pa.array(top)],
-                                                 names=[*names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*[b.column(c).slice(lo, hi - lo) for c in kept],
+                                                  pa.array(named[best], pa.string()), pa.array(top)], names=out)
 
-    return docs.mapInArrow(rows, f"{fields}{', ' if fields else ''}lang_pred string, score double")
+    fields = [f"`{c}` {t}" for c, t in docs.dtypes if c in kept]
+    return docs.mapInArrow(rows, ", ".join([*fields, f"`{names[0]}` string", f"`{names[1]}` double"]))
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = FOLDS,

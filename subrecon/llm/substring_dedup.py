@@ -126,20 +126,21 @@ def removable_spans(repeats: DataFrame, min_words: int = MIN_WORDS) -> DataFrame
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", unit: str = "sentence",
-          min_words: int = MIN_WORDS) -> DataFrame:
+          min_words: int = MIN_WORDS, names: tuple[str, str] = ("removed", "original_chars")) -> DataFrame:
     """``docs`` with repeated passages cut out of ``text``.
 
-    Adds ``removed`` (array<struct<start,end>> of code point offsets into the
-    original text, null where nothing went) and ``original_chars``.
+    Adds two columns, named ``names``: the removed spans (array<struct<start,end>> of code point
+    offsets into the original text, null where nothing went) and the original length.
     """
     spans = removable_spans(repeated_units(units(docs, doc_id, text, unit)), min_words)
-    spans = staged(spans, "substring-spans").select(F.col("__id").alias("__i"), F.col("__th").alias("__t"), "removed")
-    own = [c for c in docs.columns if c not in ("removed", "original_chars")]
+    spans = staged(spans, "substring-spans").select(F.col("__id").alias("__i"), F.col("__th").alias("__t"),
+                                                    F.col("removed").alias("__r"))
+    own = [c for c in docs.columns if c not in names]
     t = F.col(f"`{text}`")
     d = docs.select(*[F.col(f"`{c}`") for c in own], F.col(f"`{doc_id}`").cast("long").alias("__id"),
                     F.xxhash64(t).alias("__th"))
     j = d.join(spans, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__th") == F.col("__t")), "left")
-    r = F.col("removed")
+    r = F.col("__r")
     # what stays lies between the removed spans
     n = F.length(t)
     pieces = F.transform(F.sequence(F.lit(0), F.size(r)), lambda k: F.substring(
@@ -148,4 +149,4 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", unit: str
         - F.when(k == 0, 0).otherwise(F.get(r, k - 1).getField("end"))))
     kept = F.when(r.isNull(), t).otherwise(F.array_join(pieces, ""))
     return j.select(*[kept.alias(c) if c == text else F.col(f"`{c}`") for c in own],
-                    r, n.cast("long").alias("original_chars"))
+                    r.alias(names[0]), n.cast("long").alias(names[1]))
