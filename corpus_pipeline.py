@@ -13,7 +13,7 @@ equal texts without an id are one document.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from subrecon.llm import decontamination, language_id, simhash, substring_dedup
@@ -24,43 +24,53 @@ from subrecon.llm.queries import packed
 MIN_LANGUAGE_SCORE = 0.5
 
 
-def _key(docs: DataFrame) -> Column:
-    """A document's id; without one, a number beyond ordinary ids from its text."""
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a key, and its name: the id, or a number beyond ordinary ids from the text."""
+    name = _free("__key", docs)
     by_text = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
-    return F.coalesce(F.col("doc_id").cast("long"), by_text)
+    return docs.withColumn(name, F.coalesce(F.col("doc_id").cast("long"), by_text)), name
+
+
+def _free(name: str, docs: DataFrame) -> str:
+    """``name``, made longer until no column has it."""
+    while name in docs.columns:
+        name += "_"
+    return name
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep texts in which one learned language prevails; null, empty and letterless texts go."""
     model = language_id.fit(docs)
-    out = language_id.label(docs, model, names=("__lang", "__score"), keep_text=True)
-    return out.where((F.col("__lang") != language_id.UNKNOWN) & (F.col("__score") >= MIN_LANGUAGE_SCORE)).select(
+    lang, score = _free("__lang", docs), _free("__score", docs)
+    out = language_id.label(docs, model, names=(lang, score), keep_text=True)
+    return out.where((F.col(lang) != language_id.UNKNOWN) & (F.col(score) >= MIN_LANGUAGE_SCORE)).select(
         *[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each SimHash component."""
-    keyed = docs.withColumn("__key", _key(docs))
-    first = simhash.near_duplicates(keyed, "__key").where("doc_id = component_id").select(F.col("doc_id").alias("__key"))
-    return keyed.join(first.distinct(), "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+    keyed, key = _keyed(docs)
+    first = simhash.near_duplicates(keyed, key).where("doc_id = component_id").select(F.col("doc_id").alias(key))
+    return keyed.join(first.distinct(), key, "left_semi").dropDuplicates([key]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut repeated passages out of the texts; every document stays, with its new length."""
-    keyed = docs.withColumn("__key", _key(docs))
-    out = substring_dedup.dedup(keyed, "__key", names=("__removed", "__chars"))
-    return out.select(*[F.when(F.col("__removed").isNull(), F.col("`n_chars`")).otherwise(F.length("text").cast("long"))
+    keyed, key = _keyed(docs)
+    removed, chars = _free("__removed", docs), _free("__chars", docs)
+    out = substring_dedup.dedup(keyed, key, names=(removed, chars))
+    return out.select(*[F.when(F.col(removed).isNull(), F.col("`n_chars`")).otherwise(F.length("text").cast("long"))
                         .alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents of which benchmark windows hit at least one word in twenty."""
-    keyed = docs.withColumn("__key", _key(docs))
-    index = decontamination.build_index(keyed, "__key")
+    keyed, key = _keyed(docs)
+    index = decontamination.build_index(keyed, key)
     found = decontamination.search(index, read_table(spark, sf_dir, "benchmark"), slack=-1)
     hit = decontamination.by_document(index, staged(found, "benchmark-matches")).where(decontamination.contaminated())
-    hit = staged(hit.select(F.col("doc_id").alias("__key")).distinct(), "contaminated")
-    return keyed.join(sent_if_small(hit), "__key", "left_anti").drop("__key").select(*[F.col(f"`{c}`") for c in docs.columns])
+    hit = staged(hit.select(F.col("doc_id").alias(key)).distinct(), "contaminated")
+    return keyed.join(sent_if_small(hit), key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

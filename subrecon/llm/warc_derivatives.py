@@ -102,4 +102,6 @@ def render(records: DataFrame) -> DataFrame:
 
 def write(records: DataFrame, path: str, compression: str = "gzip") -> None:
     """Write the rendered records as WARC files, one a partition."""
-    render(records).select("warc").write.option("lineSep", "").option("compression", compression).text(path)
+    # the two line ends that close each record are the writer's separator
+    body = F.expr("substring(warc, 1, length(warc) - 4)")
+    render(records).select(body).write.option("lineSep", CRLF * 2).option("compression", compression).text(path)

@@ -1,0 +1,99 @@
+import random
+
+import numpy as np
+import xxhash
+
+from subrecon.llm import simhash
+
+
+def brute_components(ids, prints, bits):
+    parent = list(range(len(ids)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(ids)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= bits:
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    groups = {}
+    for i in range(len(ids)):
+        groups.setdefault(find(i), []).append(ids[i])
+    return {d: min(g) for g in groups.values() for d in g}
+
+
+def brute_print(text):
+    w = [x for x in __import__("re").findall(r"[^\x20\x09-\x0D]+", text or "")]
+    w = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x) for x in w]
+    if not w:
+        return 0
+    s = [" ".join(w[i:i + 3]) for i in range(max(1, len(w) - 2))]
+    h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in s]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def near_family(rng, centre, n, flips=2):
+    out = []
+    for _ in range(n):
+        x = centre
+        for b in rng.sample(range(64), flips):
+            x ^= 1 << b
+        out.append(x)
+    return out
+
+
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def test_fingerprints_and_components(spark, docs_of):
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(300)]
+    base = [" ".join(rng.choices(vocabulary, k=60)) for _ in range(30)]
+    texts = [*base, *base[:5], None, "", "  \n", "One", "one", "Two Words", "É é", "a b c", "A B C"]
+    for t in base[:10]:
+        w = t.split()
+        w[rng.randrange(60)] = "changed"
+        texts.append(" ".join(w))
+    texts.append("long " * 30_000)
+    got = {r["doc_id"]: r for r in simhash.near_duplicates(docs_of(texts)).collect()}
+    prints = [brute_print(t) for t in texts]
+    assert [got[i]["fingerprint"] for i in range(len(texts))] == [signed(p) for p in prints]
+    want = brute_components(list(range(len(texts))), prints, 3)
+    assert {i: got[i]["component_id"] for i in got} == want
+
+
+def test_links_split_large_subtrees(spark):
+    rng = random.Random(9)
+    prints = {rng.getrandbits(64) for _ in range(200)}
+    for c in list(prints)[:6]:
+        prints |= set(near_family(rng, c, 40, 1)) | set(near_family(rng, c, 40, 2))
+    hot = rng.getrandbits(48)  # many prints share their top 16 bits
+    prints |= {(0xABCD << 48) | (hot ^ rng.getrandbits(12)) for _ in range(150)}
+    prints = sorted(prints)
+    df = spark.createDataFrame([(signed(p),) for p in prints], "fp long")
+    for cap in (3, 20, 10_000):
+        roots = {r["node"]: r["root"] for r in simhash.components(simhash.links(df, 3, max_subtree=cap, split_bits=4)).collect()}
+        want = brute_components([signed(p) for p in prints], prints, 3)
+        assert {d: roots.get(d, d) for d in want} == want
+
+
+def test_follow_finds_each_pair_once():
+    rng = np.random.default_rng(3)
+    x = np.unique(rng.integers(0, 1 << 20, 400).astype(np.uint64))
+    top = np.array([[0, len(x), 0, len(x), 0]])
+    for leaf in (1, 24):
+        got = [p for i, j in simhash._follow(x, x, 3, True, top, leaf=leaf, piece=64) for p in zip(i.tolist(), j.tolist())]
+        want = [(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if int(x[i] ^ x[j]).bit_count() <= 3]
+        assert sorted(got) == want
+
+
+def test_empty_null_ids_and_clashing_columns(spark, docs_of):
+    assert simhash.near_duplicates(docs_of([])).count() == 0
+    d = docs_of([(None, "a b c d"), (7, "a b c d"), (9, "x y z q"), (9, "x y z q"), (None, "solo text here")])
+    d = d.selectExpr("*", "1 AS fingerprint", "2 AS component_id", "3 AS fp", "4 AS turn")
+    got = sorted(((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(d).collect()), key=str)
+    assert got == [(7, 7), (9, 9), (9, 9), (None, 7), (None, None)]
