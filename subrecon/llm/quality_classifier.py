@@ -173,7 +173,12 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     if sample["y"].nunique() < 2:
         return None, share
     sample = sample.sort_values("doc_id").reset_index(drop=True)
-    x, bag = passages([(t or "").encode("utf-8", "surrogatepass") for t in sample["text"]])
+    texts, x, bag = [(t or "").encode("utf-8", "surrogatepass") for t in sample["text"]], [], []
+    for lo, hi in by_bytes(texts, 2 << 20):  # some texts at a time, for the driver's memory
+        part, at = passages(texts[lo:hi])
+        x.append(part)
+        bag.append(at + lo)
+    x, bag = np.concatenate(x), np.concatenate(bag)
     target = sample["y"].to_numpy(float)
     taken = sample["y"].value_counts()
     weight = np.array([sizes[v] / taken[v] for v in sample["y"]])
