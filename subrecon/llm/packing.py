@@ -22,9 +22,9 @@ an empty table gives no pieces.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -37,40 +37,35 @@ from subrecon.llm.common import by_bytes, staged
 CAPACITY = 2048
 END_ID = 0
 PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
-#: Distinct pre-tokens whose ids a task keeps before it starts anew.
-CACHE = 400_000
+def byte_of_char() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable bytes
+    stand for themselves, the others for the characters from 256 on, in order."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
 class Encoder:
-    """Ids of whole texts, where each distinct pre-token is encoded once.
+    """Ids of whole texts under the byte-level BPE vocabulary of a ``tokenizers`` file.
 
-    Byte-level BPE never merges across pre-tokens, so a text's ids are those
-    of its pre-tokens in order; ``pattern`` is the pre-tokeniser's own. ``ids``
-    gives little-endian unsigned 32-bit ids, as bytes.
+    The file's vocabulary is in merge order, so its ids are ranks, and
+    ``tiktoken`` gives the ids of ``tokenizers`` itself (tests hold them against each other)
+    in a third of the time. ``pattern`` is the file's pre-tokeniser; added tokens
+    count as ordinary text. ``ids`` gives little-endian unsigned 32-bit ids, as bytes.
     """
 
     def __init__(self, path: str, pattern: str):
-        import regex
-        from tokenizers import Tokenizer, pre_tokenizers
+        import tiktoken
 
-        self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
-        self.model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.find = regex.compile(pattern).findall
-        self.known: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        added = {t["content"] for t in file["added_tokens"]}
+        byte = byte_of_char()
+        ranks = {bytes(byte[c] for c in t): i for t, i in file["model"]["vocab"].items() if t not in added}
+        self.bpe = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        parts = [self.find(t) for t in texts]
-        new = list(set().union(*parts).difference(self.known))
-        if len(self.known) + len(new) > CACHE:
-            self.known = {}
-            new = list(set().union(*parts))
-        ids = [e.ids for e in self.model.encode_batch_fast(new, add_special_tokens=False)]
-        flat, at = np.fromiter(chain.from_iterable(ids), "<u4").tobytes(), 0
-        for w, n in zip(new, map(len, ids)):
-            self.known[w] = flat[at:at + 4 * n]
-            at += 4 * n
-        return [b"".join(map(self.known.__getitem__, p)) for p in parts]
+        return [np.array(self.bpe.encode_ordinary(t), "<u4").tobytes() for t in texts]
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:

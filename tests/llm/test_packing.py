@@ -3,6 +3,8 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from llm_paths import SF_SMALL
@@ -21,6 +23,11 @@ def reference():
     return t
 
 
+@pytest.fixture(scope="module")
+def encoder():
+    return packing.Encoder(PATH, public_tokenizers.PATTERN)
+
+
 def check_sequences(rows, capacity=2048):
     by = {}
     for r in rows:
@@ -34,12 +41,23 @@ def check_sequences(rows, capacity=2048):
     return len(by)
 
 
-def test_encoder_gives_the_tokenizers_ids(reference):
-    e = packing.Encoder(PATH, public_tokenizers.PATTERN)
-    assert [np.frombuffer(b, "<u4").tolist() for b in e.ids(ODD)] == [
+def test_encoder_gives_the_tokenizers_ids(reference, encoder):
+    assert [np.frombuffer(b, "<u4").tolist() for b in encoder.ids(ODD)] == [
         x.ids for x in reference.encode_batch(ODD, add_special_tokens=False)]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=200))
+def test_encoder_on_any_text(reference, encoder, text):
+    assert np.frombuffer(encoder.ids([text])[0], "<u4").tolist() == reference.encode(text, add_special_tokens=False).ids
+
+
+def test_encoder_on_the_small_table(spark, reference, encoder):
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()]
+    assert [np.frombuffer(b, "<u4").tolist() for b in encoder.ids(texts)] == [
+        x.ids for x in reference.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_pieces(spark, docs_of, reference):
     texts = [None, *ODD]
     got = packing.tokenise(docs_of(texts), PATH, public_tokenizers.PATTERN).orderBy("doc_id", "piece").collect()
