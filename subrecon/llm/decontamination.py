@@ -46,7 +46,7 @@ GAP = 4 * WINDOW
 INDEX = "kind string, shard long, term long, n int, postings binary, row long, doc_id long, base long"
 
 
-def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shard_bytes: int = 8 << 20,
+def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shard_bytes: int = 4 << 20,
                 gap: int = GAP) -> DataFrame:
     """The stored index: rows of ``kind`` 'doc' (``n`` words) and 'term' (``n`` postings)."""
     schema = pa.schema([("kind", pa.string()), ("shard", pa.int64()), ("term", pa.int64()), ("n", pa.int32()),
