@@ -2,8 +2,8 @@
 
 Packages: ``sources`` (input contracts, loaders, periods), ``functions``
 (column expressions and fixed values), ``operators`` (row-level relations),
-``plans`` (per-key count tables, reports, the batch job), ``streaming``
-(incremental runner over arriving period folders).
+``plans`` (per-key count tables, reports, the batch job), ``checks`` (SQL
+for the correctness gate).
 """
 
 __version__ = "0.1.0"

@@ -179,17 +179,22 @@ def _fanout() -> str:
     return "\nUNION ALL\n".join(parts)
 
 
-def _period() -> str:
-    """One independent run per month, expressed with the month as a join key."""
+_MONTHS = """SELECT DISTINCT strftime(d, '%Y-%m') AS period, date_trunc('month', d)::DATE AS a, last_day(d) AS z FROM (
+  SELECT event_date AS d FROM substitution_events UNION SELECT response_date FROM responses_in_scope
+  UNION SELECT event_date FROM partner_events UNION SELECT event_date FROM clicks) WHERE d IS NOT NULL"""
+_GIVEN = """SELECT * FROM (VALUES ('1994-02-10/1994-08-20', DATE '1994-02-10', DATE '1994-08-20'),
+  ('1995-02-10/1995-08-20', DATE '1995-02-10', DATE '1995-08-20')) v(period, a, z)"""
+
+
+def _period(periods: str) -> str:
+    """One independent run per period, expressed with the period as a join key."""
     return f"""
-, s AS (SELECT *, strftime(event_date, '%Y-%m') AS period FROM substitution_events
-        WHERE event_date IS NOT NULL),
-r AS (SELECT *, strftime(response_date, '%Y-%m') AS period FROM responses_in_scope
-      WHERE response_date IS NOT NULL),
-pe AS (SELECT *, strftime(event_date, '%Y-%m') AS period FROM partner_events WHERE event_date IS NOT NULL),
-c AS (SELECT *, strftime(event_date, '%Y-%m') AS period,
-             CASE WHEN sub_status IS NULL THEN 'NO' ELSE 'YES' END AS click_record
-      FROM clicks WHERE event_date IS NOT NULL),
+, given AS ({periods}),
+s AS (SELECT x.*, period FROM substitution_events x JOIN given ON event_date >= a AND event_date <= z),
+r AS (SELECT x.*, period FROM responses_in_scope x JOIN given ON response_date >= a AND response_date <= z),
+pe AS (SELECT x.*, period FROM partner_events x JOIN given ON event_date >= a AND event_date <= z),
+c AS (SELECT x.*, period, CASE WHEN sub_status IS NULL THEN 'NO' ELSE 'YES' END AS click_record
+      FROM clicks x JOIN given ON event_date >= a AND event_date <= z),
 cp AS (SELECT DISTINCT sub_status, {_CARRIED}, upc, order_id, click_record, period,
               unnest(sub_upc) AS sub_upc FROM c),
 fl AS (SELECT s.order_no, s.ordered_upc, s.picked_upc, s.period, r.status,
@@ -214,10 +219,12 @@ m6 AS (SELECT r.period, count(*) AS partner_explained_responses FROM r JOIN pe O
 m7 AS (SELECT period, count(*) FILTER (WHERE response_record = 'NO') AS unanswered,
               count(*) FILTER (WHERE response_record = 'NO' AND click_record = 'YES') AS recovered_from_clicks,
               count(*) FILTER (WHERE {_AB}) AS answered_in_both,
-              count(*) FILTER (WHERE ({_AVR}) OR ({_RVA})) AS contradictions
+              count(*) FILTER (WHERE ({_AVR}) OR ({_RVA})) AS contradictions,
+              count(*) FILTER (WHERE {_AVR}) AS accept_vs_rejected,
+              count(*) FILTER (WHERE {_RVA}) AS reject_vs_accepted
        FROM rc GROUP BY period),
 m8 AS (SELECT period, count(*) AS clicks, count(sub_status) AS clicks_with_answer FROM c GROUP BY period),
-ps AS (SELECT period FROM m1 UNION SELECT period FROM m2 UNION SELECT period FROM m8),
+ps AS (SELECT period FROM m1 UNION SELECT period FROM m2 UNION SELECT period FROM pe UNION SELECT period FROM m8),
 w AS (
   SELECT ps.period,
     CAST(coalesce(substitutions, 0) AS BIGINT) AS substitutions,
@@ -230,6 +237,8 @@ w AS (
     CAST(coalesce(recovered_from_clicks, 0) AS BIGINT) AS recovered_from_clicks,
     CAST(coalesce(answered_in_both, 0) AS BIGINT) AS answered_in_both,
     CAST(coalesce(contradictions, 0) AS BIGINT) AS contradictions,
+    CAST(coalesce(accept_vs_rejected, 0) AS BIGINT) AS accept_vs_rejected,
+    CAST(coalesce(reject_vs_accepted, 0) AS BIGINT) AS reject_vs_accepted,
     CAST(coalesce(clicks, 0) AS BIGINT) AS clicks,
     CAST(coalesce(clicks_with_answer, 0) AS BIGINT) AS clicks_with_answer
   FROM ps LEFT JOIN m1 USING (period) LEFT JOIN m2 USING (period) LEFT JOIN m3 USING (period)
@@ -241,6 +250,8 @@ SELECT *,
   {_pct('partner_explained_responses', 'responses_in_scope')} AS pct_partner_explained,
   {_pct('recovered_from_clicks', 'unanswered')} AS pct_recovered,
   {_pct('contradictions', 'answered_in_both')} AS pct_contradictions,
+  {_pct('accept_vs_rejected', 'contradictions')} AS pct_accept_vs_rejected,
+  {_pct('reject_vs_accepted', 'contradictions')} AS pct_reject_vs_accepted,
   {_pct('clicks_with_answer', 'clicks')} AS pct_clicks_with_answer
 FROM w"""
 
@@ -381,5 +392,20 @@ SQL: dict[str, str] = {
                                "ON c.sub_upc = p.con_upc_no)", _cnt("click_pairs")),
     ])),
     "key_fanout_audit": _with(_fanout()),
-    "period_comparison": f"WITH {FIXTURES},{RELATIONS}{_period()}",
+    "period_comparison": f"WITH {FIXTURES},{RELATIONS}{_period(_MONTHS)}",
+}
+
+# bounded runs: each table cut by its own date, first and last day included
+_BETWEEN = "BETWEEN DATE '1995-03-01' AND DATE '1995-03-31'"
+_LI = "li AS (SELECT *, CAST(l_quantity AS BIGINT) AS q FROM lineitem)"
+assert _LI in FIXTURES
+_ONE_MONTH = FIXTURES.replace(_LI, f"{_LI[:-1]} WHERE CAST(l_shipdate AS DATE) {_BETWEEN})")
+SQL |= {
+    **{f"{t}_month": _with(f"SELECT * FROM {t} WHERE {c} {_BETWEEN}")
+       for t, c in (("substitution_events", "event_date"), ("response_events", "event_date"),
+                    ("partner_events", "event_date"), ("transactions", "transaction_date"))},
+    "contradiction_matrix_month": SQL["contradiction_matrix"].replace(FIXTURES, _ONE_MONTH),
+    "reconciliation_summary_rounded": ("SELECT metric, numerator, denominator, round(percent, 2) AS percent FROM ("
+                                       + SQL["reconciliation_summary"] + ")"),
+    "two_period_comparison": f"WITH {FIXTURES},{RELATIONS}{_period(_GIVEN)}",
 }

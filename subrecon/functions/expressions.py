@@ -84,6 +84,23 @@ def count_where(cond: Column) -> Column:
     return F.coalesce(F.sum(F.when(cond, F.lit(1)).otherwise(F.lit(0))), F.lit(0)).cast("bigint")
 
 
+#: Counts that are multiplied or summed over multiplied counts: exact up to 38 digits.
+COUNT = "decimal(38,0)"
+MAX_BIGINT = (1 << 63) - 1
+
+
+def exact(c: str | Column) -> Column:
+    """A count as a number whose products do not overflow BIGINT."""
+    return _col(c).cast(COUNT)
+
+
+def published(c: str | Column, metric: str) -> Column:
+    """An exact count as the BIGINT that reports show; fails, naming the metric, if it is larger."""
+    v = _col(c)
+    too_large = F.raise_error(F.lit(f"metric {metric}: the count exceeds BIGINT")).cast("bigint")
+    return F.when(v > F.lit(str(MAX_BIGINT)).cast(COUNT), too_large).otherwise(v.cast("bigint"))
+
+
 def at_least_one(c: str | Column) -> Column:
     """Rows a left outer join emits for a left row with ``c`` partners."""
     return F.greatest(_col(c), F.lit(1))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from subrecon.functions.expressions import is_contradiction
 from subrecon.functions.values import CLICK_CARRIED, CLICK_RECORD, NO, RESPONSE_RECORD, SUB_KEYS, YES
+from subrecon.operators.joins import left_join
 
 LEAD_COLUMNS = (RESPONSE_RECORD, CLICK_RECORD, "order_no", "ordered_upc", "picked_upc",
                 "sub_upc", "status", "sub_status", "store_code")
@@ -22,21 +23,14 @@ def reconciled(flagged: DataFrame, pairs: DataFrame, by: Sequence[str] = ()) ->
     join ``click_record`` has three states: 'YES', 'NO', or null when no
     click row matched. Output: the two flags, the keys, both answers,
     the substitution's store, the carried click attributes (those present),
-    then ``by``.
+    then ``by``. A hot key is split whichever side it is hot on.
     """
-    f, p = flagged.alias("f"), pairs.alias("p")
-    cond = [
-        F.col("f.order_no") == F.col("p.order_id"),
-        F.col("f.ordered_upc") == F.col("p.upc"),
-        F.col("f.picked_upc") == F.col("p.sub_upc"),
-    ] + [F.col(f"f.{b}") == F.col(f"p.{b}") for b in by]
     carried = [c for c in CLICK_CARRIED if c in pairs.columns]
-    out = []
-    for c in LEAD_COLUMNS + tuple(carried):
-        side = "f" if c in flagged.columns and c not in pairs.columns else "p"
-        out.append(F.col(f"{side}.{c}").alias(c))
-    out += [F.col(f"f.{b}").alias(b) for b in by]
-    return f.join(p, cond, "left").select(out)
+    clicks = pairs.select(
+        F.col("order_id").alias("order_no"), F.col("upc").alias("ordered_upc"), F.col("sub_upc").alias("picked_upc"),
+        *by, "sub_upc", "sub_status", CLICK_RECORD, *carried)
+    left = flagged.select(*SUB_KEYS, *by, RESPONSE_RECORD, "status", "store_code")
+    return left_join(left, clicks, [*SUB_KEYS, *by], own_shuffle=True).select(*LEAD_COLUMNS, *carried, *by)
 
 
 def unanswered(rec: DataFrame) -> DataFrame:
@@ -71,17 +65,15 @@ def response_statuses(flagged: DataFrame) -> DataFrame:
 def click_statuses(substitutions: DataFrame, pairs: DataFrame) -> DataFrame:
     """Distinct clickstream ``sub_status`` values of the reconciled rows.
 
-    The statuses of click pairs whose key is some substitution's (semi join),
-    plus null when some substitution has no click pair (anti join). Same set
-    as selecting it from ``reconciled``, without emitting its join rows.
-    ``pairs`` may be the exploded clicks before de-duplication: duplicate
+    One left join of the distinct substitution keys with the distinct
+    (key, ``sub_status``) of the click pairs: the statuses of pairs whose key
+    is some substitution's, plus null when some substitution has none. Same
+    set as selecting it from ``reconciled``, without emitting its join rows;
+    a hot key is one row a status before the join. ``pairs`` may be the exploded clicks before de-duplication: duplicate
     rows change neither a set of values nor whether a key has a pair.
     """
     keys = list(SUB_KEYS)
     subs = substitutions.select(*keys).distinct()
     pk = pairs.select(F.col("order_id").alias("order_no"), F.col("upc").alias("ordered_upc"),
-                      F.col("sub_upc").alias("picked_upc"), "sub_status")
-    matched = pk.join(subs, keys, "left_semi").select("sub_status")
-    unmatched = (subs.join(pk.select(*keys).distinct(), keys, "left_anti")
-                 .select(F.lit(None).cast("string").alias("sub_status")))
-    return matched.unionByName(unmatched).distinct()
+                      F.col("sub_upc").alias("picked_upc"), "sub_status").distinct()
+    return subs.join(pk, keys, "left").select("sub_status").distinct()

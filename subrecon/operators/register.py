@@ -94,17 +94,17 @@ def register_counts(weighted: DataFrame, transactions: DataFrame) -> DataFrame:
     columns. Register lines with a null key can never join, so they are
     dropped; weighted rows with a null key stay and get ``lines = 0``.
     """
-    weights = [c for c in weighted.columns if c not in ("order_no", "gtin_no", "store_code")]
+    weights = {f.name: f.dataType for f in weighted.schema.fields if f.name not in ("order_no", "gtin_no", "store_code")}
     t = (
         transactions.where(F.col("order_no").isNotNull() & F.col("gtin_no").isNotNull()
                            & F.col("store_code").isNotNull())
         .select("order_no", "gtin_no", "store_code",
-                *[F.lit(0).cast("bigint").alias(w) for w in weights],
+                *[F.lit(0).cast(kind).alias(w) for w, kind in weights.items()],
                 F.lit(1).cast("bigint").alias("lines"))
     )
     w = weighted.withColumn("lines", F.lit(0).cast("bigint"))
     return (
         w.unionByName(t)
         .groupBy("order_no", "gtin_no", "store_code")
-        .agg(*[F.sum(c).cast("bigint").alias(c) for c in weights + ["lines"]])
+        .agg(*[F.sum(c).cast(kind).alias(c) for c, kind in weights.items()], F.sum("lines").cast("bigint").alias("lines"))
     )

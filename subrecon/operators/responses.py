@@ -13,6 +13,7 @@ from subrecon.functions.values import (
     RESPONSE_STORE,
     SUB_KEYS,
 )
+from subrecon.operators.joins import left_join
 
 KEYS = list(SUB_KEYS)
 
@@ -48,9 +49,12 @@ def matched_responses(substitutions: DataFrame, responses: DataFrame) -> DataFra
 def responses_right_join(substitutions: DataFrame, responses: DataFrame) -> DataFrame:
     """All responses, with their substitution columns if any (right join).
 
-    Key columns carry the response side's values.
+    Key columns carry the response side's values. Written as a left join
+    from the responses that splits a hot key on either side.
     """
-    return substitutions.join(responses, KEYS, "right")
+    subs = [c for c in substitutions.columns if c not in KEYS]
+    resp = [c for c in responses.columns if c not in KEYS]
+    return left_join(responses, substitutions, KEYS).select(*KEYS, *subs, *resp)
 
 
 def responses_without_substitution(substitutions: DataFrame, responses: DataFrame) -> DataFrame:
@@ -69,10 +73,11 @@ def response_flagged(substitutions: DataFrame, responses: DataFrame) -> DataFram
 
     ``response_record`` is 'NO' when the joined ``status`` is null, which
     includes a matched response whose status itself is null. A key with
-    several responses yields several rows.
+    several responses yields several rows. A hot key is split whichever side
+    it is hot on.
     """
     return (
-        substitutions.join(responses, KEYS, "left")
+        left_join(substitutions.select(*KEYS, "store_code"), responses.select(*KEYS, "status"), KEYS)
         .withColumn(RESPONSE_RECORD, presence_flag("status"))
         .select(*KEYS, "status", RESPONSE_RECORD, "store_code")
     )

@@ -11,6 +11,7 @@ rescanning the inputs.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -21,7 +22,7 @@ from subrecon import operators as ops
 from subrecon.plans import reports as R
 from subrecon.plans.stats import key_stats, register_weights, register_weights_one_pass, upc_counts
 from subrecon.sources.contracts import ContractError
-from subrecon.sources.period import month_of
+from subrecon.sources.period import Period, labels_of, month_of
 from subrecon.sources.tables import Evidence
 from subrecon.functions.values import CLICK_KEYS, REGISTER_KEYS, SUB_KEYS
 
@@ -108,6 +109,8 @@ class Reconciliation:
 
     # -- reports -------------------------------------------------------------
     def click_coverage(self) -> DataFrame:
+        if self.materialized:
+            return R.click_coverage_from_counts(self.stats)
         return R.click_coverage(self.ev.clicks)
 
     def response_coverage(self) -> DataFrame:
@@ -166,35 +169,42 @@ class Reconciliation:
         ])
 
     def period_comparison(self, period_col: str = "period") -> DataFrame:
-        p = self.ev.period
-        one_month = (p.start is not None and p.end is not None
-                     and (p.start.year, p.start.month) == (p.end.year, p.end.month))
-        if self.materialized and one_month and "event_date" in self.ev.clicks.columns:
-            # every input is already cut to this month: its one row is the
-            # materialised counts, labelled with the month
-            month = f"{p.start.year:04d}-{p.start.month:02d}"
+        month = self.ev.period.month
+        if month and (self.materialized or "event_date" not in self.ev.clicks.columns):
+            # every input is already cut to this month (undated clicks are an
+            # extract of it): its one row is the counts, labelled with the month
             return R.period_table(self.stats.withColumn(period_col, F.lit(month)), period_col)
-        return period_comparison(self.ev, period_col)
+        return period_comparison(self.ev, period_col, pairs=self.pairs_by_period)
+
+    #: Click pairs that carry their month, where the job has staged them.
+    pairs_by_period: DataFrame | None = None
 
+    def compare_periods(self, periods: Sequence[Period], period_col: str = "period") -> DataFrame:
+        """The same figures for given periods instead of calendar months."""
+        return period_comparison(self.ev, period_col, periods)
 
 
-def period_comparison(ev: Evidence, period_col: str = "period") -> DataFrame:
-    """Headline figures per calendar month, side by side.
+def period_comparison(ev: Evidence, period_col: str = "period", periods: Sequence[Period] | None = None,
+                      pairs: DataFrame | None = None) -> DataFrame:
+    """Headline figures per calendar month, or per given period, side by side.
 
-    Every dated input gets ``period`` = month of its own date and the month
-    joins the substitution key, which gives exactly the figures of one run
-    per month (each source cut to that month, then joined) in a single pass.
-    Rows with no date belong to no period. Clicks need an ``event_date``.
+    Every dated input gets ``period`` = month of its own date (or the label of
+    each given period that holds the date), which joins the substitution key.
+    That gives exactly the figures of one run per period (each source cut to
+    it, then joined) in a single pass. Rows with no date belong to no period.
+    Clicks need an ``event_date``. ``pairs`` are monthly click pairs already made.
     """
     def per(df: DataFrame, c: str) -> DataFrame:
         if c not in df.columns:
             raise ContractError(f"period_comparison needs a {c!r} column on every dated input")
-        return df.withColumn(period_col, month_of(c)).where(F.col(period_col).isNotNull())
+        label = month_of(c) if periods is None else labels_of(c, periods)
+        return df.withColumn(period_col, label).where(F.col(period_col).isNotNull())
 
     subs = per(ev.substitution_events, "event_date")
     resp = per(ops.responses_in_scope(ev.response_events), "response_date")
     partner = per(ev.partner_events, "event_date")
     clicks = per(ev.clicks, "event_date")
-    pairs = ops.click_pairs(ops.click_subs(clicks, extras=[period_col]))
+    if pairs is None:
+        pairs = ops.click_pairs(ops.click_subs(clicks, extras=[period_col]))
     stats = key_stats(subs, resp, partner, pairs, by=[period_col], raw_clicks=clicks)
     return R.period_table(stats, period_col)

@@ -15,9 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from subrecon import operators as ops
+from subrecon.functions.expressions import rounded
 from subrecon.plans.analysis import Reconciliation
 from subrecon.sources.fixtures import fixture_evidence
-from subrecon.sources.period import OPEN
+from subrecon.sources.period import OPEN, Period
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -96,4 +97,24 @@ def _over_fixtures(build: Builder) -> Query:
     return lambda spark, sf_dir: build(_rec(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {name: _over_fixtures(b) for name, b in BUILDERS.items()}
+def _in(period: Period, build: Builder) -> Query:
+    return lambda spark, sf_dir: build(Reconciliation(fixture_evidence(spark, sf_dir, period)))
+
+
+#: The bound is the feature: one month of each table, first and last day included.
+MONTH = Period.of("1995-03-01", "1995-03-31")
+#: Two given periods, not calendar months.
+PAIR = (Period.of("1994-02-10", "1994-08-20"), Period.of("1995-02-10", "1995-08-20"))
+
+BOUNDED: dict[str, Query] = {
+    "substitution_events_month": _in(MONTH, lambda r: r.ev.substitution_events),
+    "response_events_month": _in(MONTH, lambda r: r.ev.response_events),
+    "partner_events_month": _in(MONTH, lambda r: r.ev.partner_events),
+    "transactions_month": _in(MONTH, lambda r: r.ev.transactions),
+    "contradiction_matrix_month": _in(MONTH, lambda r: r.contradiction_matrix()),
+    "reconciliation_summary_rounded": _over_fixtures(
+        lambda r: r.reconciliation_summary().withColumn("percent", rounded("percent", 2))),
+    "two_period_comparison": _over_fixtures(lambda r: r.compare_periods(PAIR)),
+}
+
+QUERIES: dict[str, Query] = {name: _over_fixtures(b) for name, b in BUILDERS.items()} | BOUNDED

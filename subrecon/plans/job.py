@@ -3,9 +3,9 @@
     spark-submit --py-files subrecon.zip reconcile_job.py \
         --input <dir> --output <dir> --start 2024-02-01 --end 2024-02-29
 
-The per-key count table (and the register table derived from it) feed
-several reports, so they are written once to the shared folder named by
-``spark.checkpoint.dir`` and read back: that cuts the lineage, so a lost
+The click pairs, the per-key count table and the register table derived from
+it feed several reports, so they are written once to the shared folder named
+by ``spark.checkpoint.dir`` and read back: that cuts the lineage, so a lost
 executor costs a re-read, not a re-run of the scans and shuffles. Every
 report is then one small job. Row-level relations (unanswered, contradictions with their
 ``contradiction_class``, ...) are written only with ``--relations``. The
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import logging
 import os
 import uuid
 from collections.abc import Sequence
@@ -27,13 +28,16 @@ from pyspark.sql import functions as F
 from subrecon import operators as ops
 from subrecon.functions.expressions import answer_class, rounded
 from subrecon.plans.analysis import Reconciliation
-from subrecon.session import checkpoint_dir, input_bytes, prepare_for_skew, size_shuffle
-from subrecon.sources.period import Period
+from subrecon.session import checkpoint_dir, delete_folder, input_bytes, prepare_for_skew, size_shuffle
+from subrecon.sources.period import Period, month_of
 from subrecon.sources.tables import Evidence, table_paths
 
+log = logging.getLogger(__name__)
+
 LONG_REPORTS = ("reconciliation_summary", "recovery_rate", "contradiction_matrix",
                 "contradiction_register_check", "unanswered_register_rate", "upc_mapping_coverage")
 FLAG_REPORTS = ("click_coverage", "response_coverage")
+REGISTER_REPORTS = ("contradiction_register_check", "unanswered_register_rate", "engaged_orders", "order_register_profile")
 TABLE_REPORTS = ("engaged_orders", "order_register_profile", "key_fanout_audit", "period_comparison")
 
 
@@ -49,15 +53,35 @@ def materialize(spark: SparkSession, df: DataFrame, path: str, mode: str = "over
 
 def run(spark: SparkSession, ev: Evidence, output: str, *, relations: bool = False,
         reports: Sequence[str] | None = None, mode: str = "overwrite") -> dict[str, str]:
-    """Compute and write the reports; returns ``{name: path}``. The stage
-    tables (in the checkpoint folder) are listed under ``_stages/...`` keys."""
+    """Compute and write the reports; returns ``{name: path}``.
+
+    Only the stage tables that the wanted outputs share are built, in a
+    folder of this run below the checkpoint folder, which is removed after success.
+    The clicks are exploded and de-duplicated once.
+    """
     rec = Reconciliation(ev)
-    stages = os.path.join(checkpoint_dir(spark), f"subrecon-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}")
-    rec.with_stats(materialize(spark, rec.stats, os.path.join(stages, "key_stats"), mode))
-    rec.register = materialize(spark, rec.register, os.path.join(stages, "register"), mode)
     wanted = set(reports) if reports else set(LONG_REPORTS + FLAG_REPORTS + TABLE_REPORTS)
-    written: dict[str, str] = {"_stages/key_stats": os.path.join(stages, "key_stats"),
-                               "_stages/register": os.path.join(stages, "register")}
+    undated = "event_date" not in ev.clicks.columns
+    if "period_comparison" in wanted and undated and not ev.period.month:
+        log.warning("period_comparison is left out: the clicks have no event_date, and %s is not one month",
+                    ev.period.label())
+        wanted.discard("period_comparison")
+    monthly = "period_comparison" in wanted and not ev.period.month
+    counted = bool(wanted - {"click_coverage"} - ({"period_comparison"} if monthly else set()))
+    stages = os.path.join(checkpoint_dir(spark), f"subrecon-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}")
+    stage = lambda name, df: materialize(spark, df, os.path.join(stages, name), mode)
+    written: dict[str, str] = {}
+    if monthly:
+        clicks = ops.click_subs(ev.clicks.withColumn("period", month_of("event_date")), extras=["period"])
+        pairs = stage("click_pairs", ops.click_pairs(clicks))
+        rec.pairs_by_period = pairs.where("period IS NOT NULL")
+        rec.click_pairs = pairs.drop("period").dropDuplicates()
+    elif counted or relations:
+        rec.click_pairs = stage("click_pairs", rec.click_pairs)
+    if counted:
+        rec.with_stats(stage("key_stats", rec.stats))
+    if wanted & set(REGISTER_REPORTS):
+        rec.register = stage("register", rec.register)
 
     long_frames = []
     for name in LONG_REPORTS + FLAG_REPORTS + TABLE_REPORTS:
@@ -79,7 +103,20 @@ def run(spark: SparkSession, ev: Evidence, output: str, *, relations: bool = Fal
         written["metrics"] = path
 
     if relations:
+        rec.reconciled = stage("reconciled", rec.reconciled)
         rel = {
+            "reconciled": rec.reconciled,
+            "response_flagged": rec.response_flagged,
+            "answered_in_both": ops.answered_in_both(rec.reconciled),
+            "recovered_from_clicks": ops.recovered_from_clicks(rec.reconciled),
+            "upc_map_ordered": ops.upc_map_ordered(rec.response_flagged, ev.products),
+            "upc_map_picked": ops.upc_map_picked(rec.response_flagged, ev.products),
+            "upc_map_click": ops.upc_map_click(rec.click_subs, ev.products),
+            "upc_map_click_base": ops.upc_map_click_base(rec.click_subs, ev.products),
+            "upc_map_click_sub": ops.upc_map_click_sub(rec.click_pairs, ev.products),
+            "click_channels": ops.distinct_values(ev.clicks, "channel"),
+            "response_statuses": ops.response_statuses(rec.reconciled),
+            "click_statuses": ops.distinct_values(rec.reconciled, "sub_status"),
             "unanswered": rec.unanswered,
             "contradictions": rec.contradictions.withColumn("contradiction_class", answer_class()),
             "contradictions_on_register": ops.on_register(rec.contradictions, ev.transactions),
@@ -91,6 +128,7 @@ def run(spark: SparkSession, ev: Evidence, output: str, *, relations: bool = Fal
             path = os.path.join(output, "relations", name)
             _write(df, path, mode)
             written[f"relations/{name}"] = path
+    delete_folder(spark, stages)
     return written
 
 
@@ -106,11 +144,12 @@ def main(argv: Sequence[str] | None = None) -> None:
     args = ap.parse_args(argv)
 
     spark = SparkSession.builder.appName("subrecon").getOrCreate()
+    spark.conf.set("spark.sql.session.timeZone", "UTC")  # period bounds on timestamps are UTC days
     prepare_for_skew(spark)
     period = Period.of(args.start, args.end)
     if args.input:
         ev = Evidence.read(spark, args.input, period)
-        size_shuffle(spark, input_bytes(spark, list(table_paths(args.input).values())))
+        size_shuffle(spark, input_bytes(spark, list(table_paths(spark, args.input).values())))
     else:
         from subrecon.sources.fixtures import fixture_evidence
         ev = fixture_evidence(spark, args.fixtures, period)

@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from subrecon.functions.expressions import count_where, percent
+from subrecon.functions.expressions import COUNT, count_where, exact, percent, published
 from subrecon.functions.values import CLICK_RECORD, NO, RESPONSE_RECORD, YES
 from subrecon.plans.stats import totals
 
@@ -28,10 +28,10 @@ def _long(one_row: DataFrame, rows: Sequence[tuple[str, str, str | None]]) -> Da
     rows; ``rows`` = (metric, numerator column, denominator column or None)."""
     structs = []
     for metric, num, den in rows:
-        d = F.col(den) if den else F.lit(None)
+        d = published(den, den) if den else F.lit(None)
         structs.append(F.struct(
             F.lit(metric).alias("metric"),
-            F.col(num).cast("bigint").alias("numerator"),
+            published(num, metric).alias("numerator"),
             d.cast("bigint").alias("denominator"),
             (percent(num, den) if den else F.lit(None).cast("double")).alias("percent"),
         ))
@@ -41,8 +41,8 @@ def _long(one_row: DataFrame, rows: Sequence[tuple[str, str, str | None]]) -> Da
 def _flag_rows(one_row: DataFrame, flag: str, yes: str, no: str, total: str) -> DataFrame:
     """Rows ``(flag, count, total, percent)`` for the flag values present."""
     structs = [
-        F.struct(F.lit(v).alias(flag), F.col(n).cast("bigint").alias("count"),
-                 F.col(total).cast("bigint").alias("total"), percent(n, total).alias("percent"))
+        F.struct(F.lit(v).alias(flag), published(n, n).alias("count"),
+                 published(total, total).alias("total"), percent(n, total).alias("percent"))
         for v, n in ((YES, yes), (NO, no))
     ]
     return one_row.select(F.inline(F.array(*structs))).where(F.col("count") > 0)
@@ -61,6 +61,13 @@ def click_coverage(clicks: DataFrame) -> DataFrame:
     return _flag_rows(agg, CLICK_RECORD, "yes", "no", "total")
 
 
+def click_coverage_from_counts(stats: DataFrame) -> DataFrame:
+    """The same from per-key counts that hold the raw-click coverage group."""
+    agg = totals(stats, ["clicks", "clicks_with_answer"])
+    agg = agg.withColumn("clicks_without", F.col("clicks") - F.col("clicks_with_answer"))
+    return _flag_rows(agg, CLICK_RECORD, "clicks_with_answer", "clicks_without", "clicks")
+
+
 def response_coverage(stats: DataFrame) -> DataFrame:
     """Flagged substitutions with / without a response answer.
 
@@ -125,10 +132,10 @@ def contradiction_matrix(stats: DataFrame) -> DataFrame:
 def _register_totals(reg: DataFrame, rows_col: str) -> DataFrame:
     rows = F.col(rows_col)
     return reg.agg(
-        F.coalesce(F.sum(rows), F.lit(0)).cast("bigint").alias("total"),
-        F.coalesce(F.sum(rows * F.col("lines")), F.lit(0)).cast("bigint").alias("inner_rows"),
+        F.coalesce(F.sum(rows), F.lit(0)).cast(COUNT).alias("total"),
+        F.coalesce(F.sum(rows * exact("lines")), F.lit(0)).cast(COUNT).alias("inner_rows"),
         F.coalesce(F.sum(F.when(F.col("lines") > 0, rows).otherwise(F.lit(0))), F.lit(0))
-        .cast("bigint").alias("semi_rows"),
+        .cast(COUNT).alias("semi_rows"),
     )
 
 
@@ -171,7 +178,7 @@ def upc_mapping_coverage(upc: DataFrame) -> DataFrame:
     click ordered UPC against the base UPC (semi join: base UPCs repeat);
     click substitute UPC (exploded pairs) against the GTIN.
     """
-    gsum = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    gsum = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast(COUNT)
     agg = upc.agg(
         gsum(F.col("w_o") * F.col("g")).alias("ordered_hit"), gsum(F.col("w_o")).alias("ordered_all"),
         gsum(F.col("w_p") * F.col("g")).alias("picked_hit"), gsum(F.col("w_p")).alias("picked_all"),
@@ -190,20 +197,24 @@ def upc_mapping_coverage(upc: DataFrame) -> DataFrame:
 
 PERIOD_METRICS = ("substitutions", "responses_in_scope", "matched_responses", "without_response",
                   "responses_without_substitution", "partner_explained_responses", "unanswered",
-                  "recovered_from_clicks", "answered_in_both", "contradictions")
+                  "recovered_from_clicks", "answered_in_both", "contradictions",
+                  "accept_vs_rejected", "reject_vs_accepted")
 
 
 def period_table(stats: DataFrame, period_col: str) -> DataFrame:
     """Headline figures, one row per period (wide format), from per-key
     counts keyed by period (with the raw-click coverage groups)."""
-    t = totals(stats, PERIOD_METRICS + ("clicks", "clicks_with_answer"), by=[period_col])
+    names = PERIOD_METRICS + ("clicks", "clicks_with_answer")
+    t = totals(stats, names, by=[period_col])
     return t.select(
-        "*",
+        period_col, *[published(n, n).alias(n) for n in names],
         percent("without_response", "substitutions").alias("pct_without_response"),
         percent("responses_without_substitution", "responses_in_scope")
         .alias("pct_responses_without_substitution"),
         percent("partner_explained_responses", "responses_in_scope").alias("pct_partner_explained"),
         percent("recovered_from_clicks", "unanswered").alias("pct_recovered"),
         percent("contradictions", "answered_in_both").alias("pct_contradictions"),
+        percent("accept_vs_rejected", "contradictions").alias("pct_accept_vs_rejected"),
+        percent("reject_vs_accepted", "contradictions").alias("pct_reject_vs_accepted"),
         percent("clicks_with_answer", "clicks").alias("pct_clicks_with_answer"),
     )

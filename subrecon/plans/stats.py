@@ -12,7 +12,9 @@ task. Instead each source is reduced to one row per substitution key in a
 and the size of any join is then an exact sum of per-key products
 (e.g. ``|S inner R| = sum(s * r)``, ``|S left R| = sum(s * max(r, 1))``).
 A key holding a third of all rows becomes one row per map task before the
-shuffle, so skew never reaches a reducer.
+shuffle, so skew never reaches a reducer. Products and their sums are
+DECIMAL(38,0), since those of one hot key can exceed BIGINT; published counts
+are cast once, at the end.
 
 Null keys never match in a join; to keep that, a row with any null key
 column is grouped with its own source only (``null_side`` = the source
@@ -26,7 +28,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from subrecon.functions.expressions import at_least_one, none_to_one
+from subrecon.functions.expressions import COUNT, at_least_one, exact, none_to_one
 from subrecon.functions.values import (
     CLICK_ACCEPTED,
     CLICK_REJECTED,
@@ -103,10 +105,10 @@ def key_stats(substitutions: DataFrame, responses: DataFrame | None = None,
 # --- per-key row counts of the reference joins, as column expressions -------
 def terms() -> dict[str, Column]:
     """Row count, per ``key_stats`` row, of each relation the reports count."""
-    s, r, p, c = F.col("s"), F.col("r"), F.col("p"), F.col("c")
-    r_answered = r - F.col("r_null")             # response rows with a status
-    c_answered = c - F.col("c_null")             # click rows with a sub_status
-    r_missing = F.col("r_null") + none_to_one(r)  # left-join rows with null status
+    s, r, p, c = (exact(x) for x in ("s", "r", "p", "c"))
+    r_answered = r - exact("r_null")             # response rows with a status
+    c_answered = c - exact("c_null")             # click rows with a sub_status
+    r_missing = exact("r_null") + none_to_one(r)  # left-join rows with null status
     t = {
         "substitutions": s,
         "responses_in_scope": r,
@@ -121,10 +123,10 @@ def terms() -> dict[str, Column]:
         "unanswered": s * r_missing * at_least_one(c),
         "recovered_from_clicks": s * r_missing * c_answered,
         "answered_in_both": s * r_answered * c_answered,
-        "accept_vs_rejected": s * F.col("r_accept") * F.col("c_rejected"),
-        "reject_vs_accepted": s * F.col("r_reject") * F.col("c_accepted"),
-        "accept_vs_accepted": s * F.col("r_accept") * F.col("c_accepted"),
-        "reject_vs_rejected": s * F.col("r_reject") * F.col("c_rejected"),
+        "accept_vs_rejected": s * exact("r_accept") * exact("c_rejected"),
+        "reject_vs_accepted": s * exact("r_reject") * exact("c_accepted"),
+        "accept_vs_accepted": s * exact("r_accept") * exact("c_accepted"),
+        "reject_vs_rejected": s * exact("r_reject") * exact("c_rejected"),
         "clicks": F.col("k"),
         "clicks_with_answer": F.col("k_answered"),
     }
@@ -134,18 +136,18 @@ def terms() -> dict[str, Column]:
 
 def contradiction_rows_per_sub() -> Column:
     """Reconciled contradiction rows one substitution *row* yields."""
-    return F.col("r_accept") * F.col("c_rejected") + F.col("r_reject") * F.col("c_accepted")
+    return exact("r_accept") * exact("c_rejected") + exact("r_reject") * exact("c_accepted")
 
 
 def unanswered_rows_per_sub() -> Column:
     """Reconciled unanswered rows one substitution *row* yields."""
-    return (F.col("r_null") + none_to_one(F.col("r"))) * at_least_one(F.col("c"))
+    return (exact("r_null") + none_to_one(F.col("r"))) * at_least_one(exact("c"))
 
 
 def totals(stats: DataFrame, names: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Sum the named ``terms()`` over ``stats`` (grouped by ``by``, if any)."""
+    """Sum the named ``terms()`` over ``stats`` (grouped by ``by``, if any), exactly."""
     t = terms()
-    aggs = [F.coalesce(F.sum(t[n]), F.lit(0)).cast("bigint").alias(n) for n in names]
+    aggs = [F.coalesce(F.sum(t[n]), F.lit(0)).cast(COUNT).alias(n) for n in names]
     return stats.groupBy(*by).agg(*aggs) if by else stats.agg(*aggs)
 
 
@@ -170,8 +172,8 @@ def register_weights(substitutions: DataFrame, stats: DataFrame) -> DataFrame:
         "order_no",
         F.col("picked_upc").alias("gtin_no"),
         "store_code",
-        (F.col("subs") * F.coalesce(F.col("contra_f"), F.lit(0))).cast("bigint").alias("contra_rows"),
-        (F.col("subs") * F.coalesce(F.col("unans_f"), F.lit(1))).cast("bigint").alias("unans_rows"),
+        (exact("subs") * F.coalesce(F.col("contra_f"), F.lit(0))).cast(COUNT).alias("contra_rows"),
+        (exact("subs") * F.coalesce(F.col("unans_f"), F.lit(1))).cast(COUNT).alias("unans_rows"),
         F.col("subs").cast("bigint").alias("subs"),
     )
 
@@ -217,8 +219,8 @@ def register_weights_one_pass(substitutions: DataFrame, responses: DataFrame,
         "order_no",
         F.col("picked_upc").alias("gtin_no"),
         "store_code",
-        (F.col("s") * contradiction_rows_per_sub()).cast("bigint").alias("contra_rows"),
-        (F.col("s") * unanswered_rows_per_sub()).cast("bigint").alias("unans_rows"),
+        (exact("s") * contradiction_rows_per_sub()).cast(COUNT).alias("contra_rows"),
+        (exact("s") * unanswered_rows_per_sub()).cast(COUNT).alias("unans_rows"),
         F.col("s").cast("bigint").alias("subs"),
     )
 
@@ -235,18 +237,18 @@ def upc_counts(stats: DataFrame, clicks: DataFrame, products: DataFrame) -> Data
     join with the dimension (whose size is not bounded by anything we
     control).
     """
-    zero = F.lit(0).cast("bigint")
-    one = F.lit(1).cast("bigint")
+    zero = F.lit(0)
+    one = F.lit(1)
     names = ("w_o", "w_p", "w_c", "w_s", "g", "b")
 
     def row(upc: Column, **w: Column) -> Column:
-        return F.struct(upc.alias("upc"), *[(w.get(n, zero)).alias(n) for n in names])
+        return F.struct(upc.alias("upc"), *[(w.get(n, zero)).cast(COUNT).alias(n) for n in names])
 
     def part(df: DataFrame, *rows: Column) -> DataFrame:
         """Each input row yields ``rows`` (one pass, one scan, however many uses)."""
         return df.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
 
-    flagged_rows = F.col("s") * at_least_one(F.col("r"))
+    flagged_rows = exact("s") * at_least_one(exact("r"))
     parts = [
         part(stats, row(F.col("ordered_upc"), w_o=flagged_rows),
              row(F.col("picked_upc"), w_p=flagged_rows, w_s=F.col("c"))),
@@ -258,4 +260,4 @@ def upc_counts(stats: DataFrame, clicks: DataFrame, products: DataFrame) -> Data
     u = parts[0]
     for q in parts[1:]:
         u = u.unionByName(q)
-    return u.groupBy("upc").agg(*[F.sum(n).cast("bigint").alias(n) for n in names])
+    return u.groupBy("upc").agg(*[F.sum(n).cast(COUNT).alias(n) for n in names])

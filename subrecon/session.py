@@ -55,20 +55,17 @@ DEFAULT_SHUFFLE_PARTITIONS = "200"  # Spark's own default
 
 
 def input_bytes(spark: SparkSession, paths: list[str]) -> int:
-    """Total size on storage of the given paths (driver-side metadata only)."""
+    """Total size on storage of the given paths (driver-side metadata only); a missing one fails."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     total = 0
     for p in paths:
         path = jvm.org.apache.hadoop.fs.Path(p)
-        fs = path.getFileSystem(conf)
-        if fs.exists(path):
-            total += fs.getContentSummary(path).getLength()
+        total += path.getFileSystem(conf).getContentSummary(path).getLength()
     return total
 
 
-def size_shuffle(spark: SparkSession, total_bytes: int, target_bytes: int = 256 << 20,
-                 max_partitions: int = 200_000) -> int | None:
+def size_shuffle(spark: SparkSession, total_bytes: int, target_bytes: int = 256 << 20) -> int | None:
     """Start AQE from enough shuffle partitions for ``total_bytes`` of input.
 
     AQE only coalesces small partitions; it never splits an oversized one
@@ -82,11 +79,17 @@ def size_shuffle(spark: SparkSession, total_bytes: int, target_bytes: int = 256
     if spark.conf.get("spark.sql.shuffle.partitions", DEFAULT_SHUFFLE_PARTITIONS) != DEFAULT_SHUFFLE_PARTITIONS:
         return None
     n = -(-total_bytes // target_bytes)
-    n = max(spark.sparkContext.defaultParallelism, min(n, max_partitions))
+    n = max(spark.sparkContext.defaultParallelism, n)
     spark.conf.set(key, str(n))
     return n
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder that this run wrote, in whichever file system it lies."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 SKEW_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -52,6 +53,13 @@ class Period:
         cond = self.condition(column)
         return df if cond is None else df.where(cond)
 
+    @property
+    def month(self) -> str | None:
+        """``yyyy-MM`` if the period lies in one calendar month, else None."""
+        s, e = self.start, self.end
+        one = s is not None and e is not None and (s.year, s.month) == (e.year, e.month)
+        return f"{s.year:04d}-{s.month:02d}" if one else None
+
     def label(self) -> str:
         return f"{self.start or '..'}/{self.end or '..'}"
 
@@ -59,6 +67,13 @@ class Period:
 OPEN = Period()
 
 
+def labels_of(column: str, periods: Sequence[Period]) -> Column:
+    """The labels of the given periods that a day falls in, one row each
+    (``explode``): periods may overlap, and a day outside all of them has none."""
+    each = [F.when(F.lit(True) if p.is_open else p.condition(column), F.lit(p.label())) for p in periods]
+    return F.explode(F.array_compact(F.array(*each)))
+
+
 def month_of(column: str) -> Column:
     """Calendar month ``yyyy-MM`` of a date or timestamp column."""
     return F.date_format(F.col(column), "yyyy-MM")

@@ -7,9 +7,9 @@ the Parquet scan as ``PushedFilters`` / a pruned ``ReadSchema``.
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,13 +62,24 @@ def read_table(spark: SparkSession, name: str, path: str, period: Period = OPEN)
     return scope(name, spark.read.parquet(path), period)
 
 
-def table_paths(base: str) -> dict[str, str]:
+def _readable(spark: SparkSession, path: str) -> bool:
+    """Whether Spark's own reader finds ``path``, in whichever file system it lies."""
+    try:
+        spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
+
+
+def table_paths(spark: SparkSession, base: str) -> dict[str, str]:
     """Path of each input table under ``base``: ``<table>``, or
-    ``<table>.parquet`` when only that exists locally."""
+    ``<table>.parquet`` where only that exists."""
     paths = {}
     for t in TABLES:
-        p = os.path.join(base, t)
-        paths[t] = p if os.path.exists(p) or "://" in base else p + ".parquet"
+        p = f"{base.rstrip('/')}/{t}"
+        paths[t] = p if _readable(spark, p) else p + ".parquet"
     return paths
 
 
@@ -97,7 +108,7 @@ class Evidence:
         holding one ``<table>`` folder/file per input (``<table>.parquet``
         is tried too)."""
         if isinstance(paths, str):
-            paths = table_paths(paths)
+            paths = table_paths(spark, paths)
         frames = {t: spark.read.parquet(paths[t]) for t in TABLES}
         return cls.from_frames(frames, period)
 

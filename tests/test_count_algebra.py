@@ -16,6 +16,7 @@ from helpers import click, evidence, metrics, partner, resp, sub, txn
 from subrecon import operators as ops
 from subrecon.plans.analysis import Reconciliation
 from subrecon.sources.period import Period
+from subrecon.sources.tables import Evidence
 
 import datetime as dt
 
@@ -151,3 +152,51 @@ def test_distinct_statuses_equal_reconciled(spark, seed):
     assert {r[0] for r in ops.click_statuses(rec.ev.substitution_events, rec.click_pairs).collect()} == want_c
     exploded = ops.exploded_clicks(rec.click_subs)
     assert {r[0] for r in ops.click_statuses(rec.ev.substitution_events, exploded).collect()} == want_c
+
+
+def test_counts_beyond_bigint_products_stay_exact(spark):
+    """Three million rows of one key in each source: 2.7e19 reconciled rows."""
+    from subrecon.plans import reports as R
+    from subrecon.plans.stats import COUNTS, totals
+
+    n = 3_000_000
+    row = dict.fromkeys(COUNTS, n) | {"r_null": 0, "c_null": 0}
+    stats = spark.createDataFrame([("1", "a", "b", None, *[row[c] for c in COUNTS])],
+                                  "order_no string, ordered_upc string, picked_upc string, null_side string, "
+                                  + ", ".join(f"{c} bigint" for c in COUNTS))
+    t = totals(stats, ["reconciled_rows", "contradictions", "matched_responses"]).first()
+    assert (int(t["reconciled_rows"]), int(t["contradictions"]), int(t["matched_responses"])) == (n**3, 2 * n**3, n**2)
+    assert metrics(R.reconciliation_summary(stats))["matched_responses"][0] == n**2
+    with pytest.raises(Exception, match="metric .*exceeds BIGINT"):
+        R.contradiction_matrix(stats).collect()
+
+
+def test_one_key_holding_every_row_of_all_four_sources(spark):
+    from pyspark.sql import functions as F
+
+    n = 60_000
+    base = spark.range(n)
+    key = [F.lit("1").alias("order_no"), F.lit("a").alias("ordered_upc"), F.lit("b").alias("picked_upc")]
+    day = F.lit("2024-02-10").cast("date")
+    ev = Evidence.from_frames({
+        "substitution_events": base.select(*key, F.lit("S").alias("store_code"), F.lit(0.5).alias("attempted_utilization"),
+                                           day.alias("event_date")),
+        "response_events": base.select(*key, F.lit("S").alias("store_code"), F.lit("Accept").alias("status"),
+                                       F.lit(1).cast("bigint").alias("division"), day.alias("event_date")),
+        "partner_events": base.select(*key, F.lit(True).alias("has_sub"), day.alias("event_date")),
+        "clicks": base.select(F.lit("1").alias("order_id"), F.lit("a").alias("upc"), F.array(F.lit("b")).alias("sub_upc"),
+                              F.lit("rejected").alias("sub_status"), F.lit("app").alias("channel"),
+                              F.col("id").cast("double").alias("sub_price"), day.alias("event_date")),
+        "transactions": base.select(F.lit("1").alias("order_no"), F.lit("b").alias("gtin_no"), F.lit("S").alias("store_code"),
+                                    day.alias("transaction_date")),
+        "products": spark.createDataFrame([("b", "b")], "con_upc_no string, bas_con_upc_no string"),
+    })
+    from subrecon.plans.stats import totals
+
+    rec = Reconciliation(ev)
+    assert metrics(rec.contradiction_matrix())["contradictions"][0] == n**3
+    reg = rec.register.first()
+    assert int(reg["contra_rows"]) == n**3 and reg["lines"] == n
+    with pytest.raises(Exception, match="on_register_inner.*exceeds BIGINT"):
+        rec.contradiction_register_check().collect()  # 60000^4 = 1.3e19 rows are more than BIGINT holds
+    assert int(totals(rec.stats, ["contradictions"]).first()[0]) == n**3

@@ -2,6 +2,8 @@
 
 import os
 
+import pytest
+
 from helpers import metrics
 from subrecon.plans import job
 from subrecon.plans.analysis import Reconciliation
@@ -15,7 +17,10 @@ def test_job_writes_reports(spark, sf_small, tmp_path):
     for name in job.LONG_REPORTS + job.FLAG_REPORTS + job.TABLE_REPORTS + ("metrics",):
         assert os.path.isdir(written[name]), name
     ckpt = spark.conf.get("spark.checkpoint.dir")
-    assert written["_stages/key_stats"].startswith(ckpt) and os.path.isdir(written["_stages/key_stats"])
+    assert not [d for d in os.listdir(ckpt) if d.startswith("subrecon-local")]  # the run's stage folder is gone
+    assert spark.read.parquet(written["relations/reconciled"]).count() == Reconciliation(ev).reconciled.count()
+    for name in ("response_flagged", "answered_in_both", "recovered_from_clicks", "upc_map_click_sub", "click_statuses"):
+        assert os.path.isdir(written[f"relations/{name}"])
     m = spark.read.parquet(written["metrics"])
     assert set(r["report"] for r in m.select("report").distinct().collect()) == set(job.LONG_REPORTS)
     cm = metrics(spark.read.parquet(written["contradiction_matrix"]))
@@ -49,7 +54,22 @@ def test_input_bytes(spark, tmp_path):
 
     p = tmp_path / "t"
     spark.range(100).write.parquet(str(p))
-    assert input_bytes(spark, [str(p), str(tmp_path / "missing")]) > 0
+    assert input_bytes(spark, [str(p)]) > 0
+    with pytest.raises(Exception, match="missing"):
+        input_bytes(spark, [str(p), str(tmp_path / "missing")])
+
+
+def test_size_shuffle_has_no_cap(spark):
+    from subrecon.session import size_shuffle
+
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "200")
+        assert size_shuffle(spark, 10**14) == 372_530
+    finally:
+        spark.conf.unset(key)
+        spark.conf.set("spark.sql.shuffle.partitions", old)
 
 
 def test_materialized_reports_equal_lazy_ones(spark, sf_small, tmp_path):
@@ -102,3 +122,52 @@ def test_job_cli_over_parquet_inputs(spark, sf_small, tmp_path):
     job.main(["--input", str(inputs), "--output", out])
     cm = metrics(spark.read.parquet(os.path.join(out, "contradiction_matrix")))
     assert cm["contradictions"][:2] == (254, 517)
+
+
+def _undated(ev):
+    from subrecon.sources.tables import TABLES, Evidence
+
+    frames = {t: getattr(ev, t) for t in TABLES}
+    frames["clicks"] = frames["clicks"].drop("event_date")
+    return Evidence.from_frames(frames, ev.period)
+
+
+def test_one_month_of_undated_clicks_writes_every_report(spark, sf_small, tmp_path):
+    from subrecon.sources.period import Period
+
+    ev = _undated(fixture_evidence(spark, sf_small, Period.of("1996-03-01", "1996-03-31")))
+    written = job.run(spark, ev, str(tmp_path / "out"))
+    assert set(job.LONG_REPORTS + job.FLAG_REPORTS + job.TABLE_REPORTS + ("metrics",)) <= set(written)
+    row = spark.read.parquet(written["period_comparison"]).collect()
+    lazy = Reconciliation(ev)
+    m = metrics(lazy.contradiction_matrix())
+    assert len(row) == 1 and row[0]["period"] == "1996-03"
+    assert (row[0]["contradictions"], row[0]["answered_in_both"]) == m["contradictions"][:2]
+    assert row[0]["unanswered"] == metrics(lazy.recovery_rate())["recovered_from_clicks"][1]
+    assert row[0] == lazy.period_comparison().collect()[0]
+
+
+def test_months_of_undated_clicks_leave_the_comparison_out(spark, sf_small, tmp_path, caplog):
+    written = job.run(spark, _undated(fixture_evidence(spark, sf_small)), str(tmp_path / "out"))
+    assert set(job.LONG_REPORTS + job.FLAG_REPORTS + ("key_fanout_audit", "metrics")) <= set(written)
+    assert "period_comparison" not in written and "no event_date" in caplog.text
+
+
+def test_a_run_explodes_the_clicks_once(spark, sf_small, tmp_path, monkeypatch):
+    """Every written plan, over the whole run: one explode of the click arrays."""
+    plans = []
+    real = job._write, job.materialize
+
+    def keep(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0])
+
+    monkeypatch.setattr(job, "_write", lambda df, *a, **k: (keep(df), real[0](df, *a, **k))[1])
+    monkeypatch.setattr(job, "materialize", lambda s, df, *a, **k: (keep(df), real[1](s, df, *a, **k))[1])
+    job.run(spark, fixture_evidence(spark, sf_small), str(tmp_path / "out"), relations=True)
+    assert sum(p.count("Generate explode(sub_upc") for p in plans) == 1
+
+
+def test_one_report_builds_no_stage(spark, sf_small, tmp_path, monkeypatch):
+    monkeypatch.setattr(job, "materialize", lambda *a, **k: pytest.fail("a stage was built"))
+    written = job.run(spark, fixture_evidence(spark, sf_small), str(tmp_path / "out"), reports=["click_coverage"])
+    assert set(written) == {"click_coverage"}

@@ -92,10 +92,14 @@ def test_period_comparison_needs_click_dates(spark):
         Reconciliation(Evidence.from_frames(frames)).period_comparison()
 
 
-def test_table_paths_accepts_both_layouts(tmp_path):
+def test_table_paths_ask_sparks_file_system(spark, tmp_path):
+    """Both layouts, below a path that only the file system object resolves."""
     from subrecon.sources.tables import table_paths
 
-    (tmp_path / "clicks").mkdir()
-    paths = table_paths(str(tmp_path))
-    assert paths["clicks"] == str(tmp_path / "clicks")
-    assert paths["products"] == str(tmp_path / "products") + ".parquet"
+    ev = evidence(spark)
+    for t in TABLES:
+        getattr(ev, t).write.parquet(str(tmp_path / (t if t == "clicks" else f"{t}.parquet")))
+    for base in (str(tmp_path), f"file:{tmp_path}", f"file://{tmp_path}"):
+        paths = table_paths(spark, base)
+        assert paths["clicks"] == f"{base}/clicks" and paths["products"] == f"{base}/products.parquet"
+        assert Evidence.read(spark, base).clicks.count() == 0
