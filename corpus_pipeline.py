@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from subrecon.llm import decontamination, language_id, simhash, substring_dedup
-from subrecon.llm.common import read_table, sent_if_small, staged
+from subrecon.llm.common import bounded_batches, read_table, sent_if_small, staged
 from subrecon.llm.queries import packed
 
 #: A language must hold at least this mean probability over a text's words.
@@ -40,6 +40,7 @@ def _free(name: str, docs: DataFrame) -> str:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep texts in which one learned language prevails; null, empty and letterless texts go."""
+    bounded_batches(spark)
     model = language_id.fit(docs)
     lang, score = _free("__lang", docs), _free("__score", docs)
     out = language_id.label(docs, model, names=(lang, score), keep_text=True)
@@ -49,6 +50,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each SimHash component."""
+    bounded_batches(spark)
     keyed, key = _keyed(docs)
     first = simhash.near_duplicates(keyed, key).where("doc_id = component_id").select(F.col("doc_id").alias(key))
     return keyed.join(first.distinct(), key, "left_semi").dropDuplicates([key]).select(*[F.col(f"`{c}`") for c in docs.columns])
@@ -56,6 +58,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut repeated passages out of the texts; every document stays, with its new length."""
+    bounded_batches(spark)
     keyed, key = _keyed(docs)
     removed, chars = _free("__removed", docs), _free("__chars", docs)
     out = substring_dedup.dedup(keyed, key, names=(removed, chars))
@@ -65,6 +68,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents of which benchmark windows hit at least one word in twenty."""
+    bounded_batches(spark)
     keyed, key = _keyed(docs)
     index = decontamination.build_index(keyed, key)
     found = decontamination.search(index, read_table(spark, sf_dir, "benchmark"), slack=-1)
@@ -75,6 +79,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack the documents' tokens into sequences: one row per piece."""
+    bounded_batches(spark)
     return packed(docs)
 
 

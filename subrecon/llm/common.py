@@ -14,7 +14,16 @@ from pyspark.sql import functions as F
 from subrecon.session import checkpoint_dir
 
 
+def bounded_batches(spark: SparkSession, records: int = 2_000) -> None:
+    """Smaller Arrow batches than Spark's default, unless the deployment set them: texts are long rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, str(records))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the test tables."""
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -219,7 +219,7 @@ def training_sample(docs: DataFrame, per_language: int, train_chars: int) -> Dat
 
 
 def label(docs: DataFrame, model: Model | None, names: tuple[str, str] = ("lang_pred", "score"), keep_text: bool = False,
-          keep_words: int = 400_000) -> DataFrame:
+          keep_words: int = 200_000) -> DataFrame:
     """``docs`` (``text`` and others) with the language and its score, named ``names``, for the text or beside it."""
     kept = [c for c in docs.columns if (keep_text or c != "text") and c not in names]
     if model is None:
