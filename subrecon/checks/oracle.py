@@ -186,6 +186,21 @@ _GIVEN = """SELECT * FROM (VALUES ('1994-02-10/1994-08-20', DATE '1994-02-10', D
   ('1995-02-10/1995-08-20', DATE '1995-02-10', DATE '1995-08-20')) v(period, a, z)"""
 
 
+_PERIOD_MORE = [
+    ("contradictions_on_register", "reg1"),
+    ("contradictions_found_on_register", "sem1"),
+    ("unanswered_on_register", "reg2"),
+    ("unanswered_found_on_register", "sem2"),
+    ("ordered_upc_mapped", "u1"),
+    ("picked_upc_mapped", "u2"),
+    ("click_upc_mapped", "u3"),
+    ("click_upc_base_mapped", "u4"),
+    ("click_sub_upc_mapped", "u5"),
+    ("response_flagged_rows", "u6"),
+    ("click_pairs", "u7"),
+]
+
+
 def _period(periods: str) -> str:
     """One independent run per period, expressed with the period as a join key."""
     return f"""
@@ -197,7 +212,8 @@ c AS (SELECT x.*, period, CASE WHEN sub_status IS NULL THEN 'NO' ELSE 'YES' END
       FROM clicks x JOIN given ON event_date >= a AND event_date <= z),
 cp AS (SELECT DISTINCT sub_status, {_CARRIED}, upc, order_id, click_record, period,
               unnest(sub_upc) AS sub_upc FROM c),
-fl AS (SELECT s.order_no, s.ordered_upc, s.picked_upc, s.period, r.status,
+tx AS (SELECT x.*, period FROM transactions x JOIN given ON transaction_date >= a AND transaction_date <= z),
+fl AS (SELECT s.order_no, s.ordered_upc, s.picked_upc, s.store_code, s.period, r.status,
               CASE WHEN r.status IS NULL THEN 'NO' ELSE 'YES' END AS response_record
        FROM s LEFT JOIN r ON s.order_no = r.order_no AND s.ordered_upc = r.ordered_upc
          AND s.picked_upc = r.picked_upc AND s.period = r.period),
@@ -224,6 +240,20 @@ m7 AS (SELECT period, count(*) FILTER (WHERE response_record = 'NO') AS unanswer
               count(*) FILTER (WHERE {_RVA}) AS reject_vs_accepted
        FROM rc GROUP BY period),
 m8 AS (SELECT period, count(*) AS clicks, count(sub_status) AS clicks_with_answer FROM c GROUP BY period),
+con AS (SELECT * FROM rc WHERE ({_AVR}) OR ({_RVA})),
+una AS (SELECT * FROM rc WHERE response_record = 'NO'),
+{', '.join(f"""reg{k} AS (SELECT d.period, count(*) AS n FROM {rel} d JOIN tx t ON d.order_no = t.order_no
+  AND d.picked_upc = t.gtin_no AND d.store_code = t.store_code AND d.period = t.period GROUP BY d.period),
+sem{k} AS (SELECT d.period, count(*) AS n FROM {rel} d WHERE EXISTS (SELECT 1 FROM tx t WHERE d.order_no = t.order_no
+  AND d.picked_upc = t.gtin_no AND d.store_code = t.store_code AND d.period = t.period) GROUP BY d.period)"""
+  for k, rel in ((1, 'con'), (2, 'una')))},
+u1 AS (SELECT period, count(*) AS n FROM fl JOIN products p ON fl.ordered_upc = p.con_upc_no GROUP BY period),
+u2 AS (SELECT period, count(*) AS n FROM fl JOIN products p ON fl.picked_upc = p.con_upc_no GROUP BY period),
+u3 AS (SELECT period, count(*) AS n FROM c JOIN products p ON c.upc = p.con_upc_no GROUP BY period),
+u4 AS (SELECT period, count(*) AS n FROM c WHERE upc IN (SELECT bas_con_upc_no FROM products) GROUP BY period),
+u5 AS (SELECT period, count(*) AS n FROM cp JOIN products p ON cp.sub_upc = p.con_upc_no GROUP BY period),
+u6 AS (SELECT period, count(*) AS n FROM fl GROUP BY period),
+u7 AS (SELECT period, count(*) AS n FROM cp GROUP BY period),
 ps AS (SELECT period FROM m1 UNION SELECT period FROM m2 UNION SELECT period FROM pe UNION SELECT period FROM m8),
 w AS (
   SELECT ps.period,
@@ -240,10 +270,12 @@ w AS (
     CAST(coalesce(accept_vs_rejected, 0) AS BIGINT) AS accept_vs_rejected,
     CAST(coalesce(reject_vs_accepted, 0) AS BIGINT) AS reject_vs_accepted,
     CAST(coalesce(clicks, 0) AS BIGINT) AS clicks,
-    CAST(coalesce(clicks_with_answer, 0) AS BIGINT) AS clicks_with_answer
+    CAST(coalesce(clicks_with_answer, 0) AS BIGINT) AS clicks_with_answer,
+    {', '.join(f"CAST(coalesce({t}.n, 0) AS BIGINT) AS {n}" for n, t in _PERIOD_MORE)}
   FROM ps LEFT JOIN m1 USING (period) LEFT JOIN m2 USING (period) LEFT JOIN m3 USING (period)
   LEFT JOIN m4 USING (period) LEFT JOIN m5 USING (period) LEFT JOIN m6 USING (period)
-  LEFT JOIN m7 USING (period) LEFT JOIN m8 USING (period))
+  LEFT JOIN m7 USING (period) LEFT JOIN m8 USING (period)
+  {' '.join(f"LEFT JOIN {t} ON {t}.period = ps.period" for _, t in _PERIOD_MORE)})
 SELECT *,
   {_pct('without_response', 'substitutions')} AS pct_without_response,
   {_pct('responses_without_substitution', 'responses_in_scope')} AS pct_responses_without_substitution,
@@ -252,7 +284,14 @@ SELECT *,
   {_pct('contradictions', 'answered_in_both')} AS pct_contradictions,
   {_pct('accept_vs_rejected', 'contradictions')} AS pct_accept_vs_rejected,
   {_pct('reject_vs_accepted', 'contradictions')} AS pct_reject_vs_accepted,
-  {_pct('clicks_with_answer', 'clicks')} AS pct_clicks_with_answer
+  {_pct('clicks_with_answer', 'clicks')} AS pct_clicks_with_answer,
+  {_pct('contradictions_found_on_register', 'contradictions')} AS pct_contradictions_found_on_register,
+  {_pct('unanswered_found_on_register', 'unanswered')} AS pct_unanswered_found_on_register,
+  {_pct('ordered_upc_mapped', 'response_flagged_rows')} AS pct_ordered_upc_mapped,
+  {_pct('picked_upc_mapped', 'response_flagged_rows')} AS pct_picked_upc_mapped,
+  {_pct('click_upc_mapped', 'clicks')} AS pct_click_upc_mapped,
+  {_pct('click_upc_base_mapped', 'clicks')} AS pct_click_upc_base_mapped,
+  {_pct('click_sub_upc_mapped', 'click_pairs')} AS pct_click_sub_upc_mapped
 FROM w"""
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,24 +89,26 @@ def order_register_profile(per_order: DataFrame) -> DataFrame:
     )
 
 
-def register_counts(weighted: DataFrame, transactions: DataFrame) -> DataFrame:
+def register_counts(weighted: DataFrame, transactions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Per register key: summed weights of ``weighted`` and register lines.
 
     ``weighted`` has ``order_no, gtin_no, store_code`` and numeric weight
     columns. Register lines with a null key can never join, so they are
     dropped; weighted rows with a null key stay and get ``lines = 0``.
+    ``by`` columns of both inputs are part of the key.
     """
-    weights = {f.name: f.dataType for f in weighted.schema.fields if f.name not in ("order_no", "gtin_no", "store_code")}
+    keys = ["order_no", "gtin_no", "store_code", *by]
+    weights = {f.name: f.dataType for f in weighted.schema.fields if f.name not in keys}
     t = (
         transactions.where(F.col("order_no").isNotNull() & F.col("gtin_no").isNotNull()
                            & F.col("store_code").isNotNull())
-        .select("order_no", "gtin_no", "store_code",
+        .select(*keys,
                 *[F.lit(0).cast(kind).alias(w) for w, kind in weights.items()],
                 F.lit(1).cast("bigint").alias("lines"))
     )
     w = weighted.withColumn("lines", F.lit(0).cast("bigint"))
     return (
         w.unionByName(t)
-        .groupBy("order_no", "gtin_no", "store_code")
+        .groupBy(*keys)
         .agg(*[F.sum(c).cast(kind).alias(c) for c, kind in weights.items()], F.sum("lines").cast("bigint").alias("lines"))
     )

@@ -173,7 +173,8 @@ class Reconciliation:
         if month and (self.materialized or "event_date" not in self.ev.clicks.columns):
             # every input is already cut to this month (undated clicks are an
             # extract of it): its one row is the counts, labelled with the month
-            return R.period_table(self.stats.withColumn(period_col, F.lit(month)), period_col)
+            label = lambda df: df.withColumn(period_col, F.lit(month))
+            return R.period_table(label(self.stats), period_col, label(self.register), label(self.upc))
         return period_comparison(self.ev, period_col, pairs=self.pairs_by_period)
 
     #: Click pairs that carry their month, where the job has staged them.
@@ -207,4 +208,6 @@ def period_comparison(ev: Evidence, period_col: str = "period", periods: Sequenc
     if pairs is None:
         pairs = ops.click_pairs(ops.click_subs(clicks, extras=[period_col]))
     stats = key_stats(subs, resp, partner, pairs, by=[period_col], raw_clicks=clicks)
-    return R.period_table(stats, period_col)
+    register = ops.register_counts(register_weights_one_pass(subs, resp, pairs, [period_col]),
+                                   per(ev.transactions, "transaction_date"), [period_col])
+    return R.period_table(stats, period_col, register, upc_counts(stats, clicks, ev.products, [period_col]))

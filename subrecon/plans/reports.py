@@ -201,11 +201,38 @@ PERIOD_METRICS = ("substitutions", "responses_in_scope", "matched_responses", "w
                   "accept_vs_rejected", "reject_vs_accepted")
 
 
-def period_table(stats: DataFrame, period_col: str) -> DataFrame:
-    """Headline figures, one row per period (wide format), from per-key
-    counts keyed by period (with the raw-click coverage groups)."""
+#: Register and product figures of a period: name -> its rows per register key or UPC.
+PERIOD_REGISTER = {
+    "contradictions_on_register": ("contra_rows", True), "contradictions_found_on_register": ("contra_rows", False),
+    "unanswered_on_register": ("unans_rows", True), "unanswered_found_on_register": ("unans_rows", False),
+}
+PERIOD_UPC = {"ordered_upc_mapped": ("w_o", "g"), "picked_upc_mapped": ("w_p", "g"), "click_upc_mapped": ("w_c", "g"),
+              "click_upc_base_mapped": ("w_c", "b"), "click_sub_upc_mapped": ("w_s", "g")}
+PERIOD_UPC_ALL = {"response_flagged_rows": "w_o", "click_pairs": "w_s"}
+
+
+def period_table(stats: DataFrame, period_col: str, register: DataFrame, upc: DataFrame) -> DataFrame:
+    """All figures, one row per period (wide format), from per-key counts
+    (with the raw-click coverage groups), register counts and UPC counts keyed
+    by period. The three are summed per period and put side by side by one more
+    sum over their union: no join. Periods without substitutions, responses, partner events
+    and clicks have no row.
+    """
     names = PERIOD_METRICS + ("clicks", "clicks_with_answer")
-    t = totals(stats, names, by=[period_col])
+    from_stats = totals(stats, names, by=[period_col]).withColumn("__present", F.lit(1).cast(COUNT))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast(COUNT)
+    from_register = register.groupBy(period_col).agg(*[
+        total(F.col(w) * exact("lines") if lines else F.when(F.col("lines") > 0, F.col(w))).alias(n)
+        for n, (w, lines) in PERIOD_REGISTER.items()])
+    from_upc = upc.groupBy(period_col).agg(
+        *[total(F.col(w) * F.col(d) if d == "g" else F.when(F.col(d) > 0, F.col(w))).alias(n)
+          for n, (w, d) in PERIOD_UPC.items()],
+        *[total(F.col(w)).alias(n) for n, w in PERIOD_UPC_ALL.items()])
+    names += tuple(PERIOD_REGISTER) + tuple(PERIOD_UPC) + tuple(PERIOD_UPC_ALL)
+    parts = [d.select(period_col, *[F.col(n) if n in d.columns else F.lit(0).cast(COUNT).alias(n)
+                                    for n in (*names, "__present")]) for d in (from_stats, from_register, from_upc)]
+    t = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy(period_col).agg(
+        *[total(F.col(n)).alias(n) for n in (*names, "__present")]).where(F.col("__present") > 0)
     return t.select(
         period_col, *[published(n, n).alias(n) for n in names],
         percent("without_response", "substitutions").alias("pct_without_response"),
@@ -217,4 +244,11 @@ def period_table(stats: DataFrame, period_col: str) -> DataFrame:
         percent("accept_vs_rejected", "contradictions").alias("pct_accept_vs_rejected"),
         percent("reject_vs_accepted", "contradictions").alias("pct_reject_vs_accepted"),
         percent("clicks_with_answer", "clicks").alias("pct_clicks_with_answer"),
+        percent("contradictions_found_on_register", "contradictions").alias("pct_contradictions_found_on_register"),
+        percent("unanswered_found_on_register", "unanswered").alias("pct_unanswered_found_on_register"),
+        percent("ordered_upc_mapped", "response_flagged_rows").alias("pct_ordered_upc_mapped"),
+        percent("picked_upc_mapped", "response_flagged_rows").alias("pct_picked_upc_mapped"),
+        percent("click_upc_mapped", "clicks").alias("pct_click_upc_mapped"),
+        percent("click_upc_base_mapped", "clicks").alias("pct_click_upc_base_mapped"),
+        percent("click_sub_upc_mapped", "click_pairs").alias("pct_click_sub_upc_mapped"),
     )

@@ -179,7 +179,7 @@ def register_weights(substitutions: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def register_weights_one_pass(substitutions: DataFrame, responses: DataFrame,
-                              pairs: DataFrame) -> DataFrame:
+                              pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """``register_weights`` without a count table to reuse.
 
     One aggregation over the union of the three sources, keyed by
@@ -188,11 +188,12 @@ def register_weights_one_pass(substitutions: DataFrame, responses: DataFrame,
     key's response and click counts on each substitution-store row. The
     substitutions are scanned once, a hot key is pre-aggregated map-side,
     and its window partition holds one row per store plus two.
-    Columns and meaning as ``register_weights``.
+    Columns and meaning as ``register_weights``, then ``by`` (columns of every
+    input that are part of the key, as for ``key_stats``).
     """
-    keys = list(SUB_KEYS)
+    keys = [*SUB_KEYS, *by]
     sub_k = [F.col(k) for k in keys]
-    click_k = [F.col("order_id"), F.col("upc"), F.col("sub_upc")]
+    click_k = [F.col(k) for k in ("order_id", "upc", "sub_upc", *by)]
     one = F.lit(1).cast("bigint")
     st, ss = F.col("status"), F.col("sub_status")
     own_store = [F.lit(True).alias("is_sub"), F.col("store_code")]
@@ -221,11 +222,11 @@ def register_weights_one_pass(substitutions: DataFrame, responses: DataFrame,
         "store_code",
         (exact("s") * contradiction_rows_per_sub()).cast(COUNT).alias("contra_rows"),
         (exact("s") * unanswered_rows_per_sub()).cast(COUNT).alias("unans_rows"),
-        F.col("s").cast("bigint").alias("subs"),
+        F.col("s").cast("bigint").alias("subs"), *by,
     )
 
 
-def upc_counts(stats: DataFrame, clicks: DataFrame, products: DataFrame) -> DataFrame:
+def upc_counts(stats: DataFrame, clicks: DataFrame, products: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Per UPC: rows of each feed carrying it, and product-dimension hits.
 
     ``w_o`` / ``w_p``: flagged-substitution rows by ordered / picked UPC;
@@ -235,14 +236,17 @@ def upc_counts(stats: DataFrame, clicks: DataFrame, products: DataFrame) -> Data
     rows by ordered UPC (one column of the raw clicks); ``g`` / ``b``:
     products with that GTIN / base UPC. One aggregation over a union, no
     join with the dimension (whose size is not bounded by anything we
-    control).
+    control). ``by`` columns of ``stats`` and ``clicks`` split the weights;
+    products belong to every ``by`` value, so a window over the UPC (one row a
+    ``by`` value) puts their counts on each.
     """
     zero = F.lit(0)
     one = F.lit(1)
     names = ("w_o", "w_p", "w_c", "w_s", "g", "b")
 
-    def row(upc: Column, **w: Column) -> Column:
-        return F.struct(upc.alias("upc"), *[(w.get(n, zero)).cast(COUNT).alias(n) for n in names])
+    def row(upc: Column, dated: bool = True, **w: Column) -> Column:
+        label = [F.col(b) if dated else F.lit(None).cast("string").alias(b) for b in by]
+        return F.struct(upc.alias("upc"), *label, *[(w.get(n, zero)).cast(COUNT).alias(n) for n in names])
 
     def part(df: DataFrame, *rows: Column) -> DataFrame:
         """Each input row yields ``rows`` (one pass, one scan, however many uses)."""
@@ -254,10 +258,14 @@ def upc_counts(stats: DataFrame, clicks: DataFrame, products: DataFrame) -> Data
              row(F.col("picked_upc"), w_p=flagged_rows, w_s=F.col("c"))),
         part(clicks, row(F.col("upc"), w_c=one)),
         # a product key that is null can never match, so it is dropped
-        part(products, row(F.col("con_upc_no"), g=one), row(F.col("bas_con_upc_no"), b=one))
+        part(products, row(F.col("con_upc_no"), False, g=one), row(F.col("bas_con_upc_no"), False, b=one))
         .where(F.col("upc").isNotNull()),
     ]
     u = parts[0]
     for q in parts[1:]:
         u = u.unionByName(q)
-    return u.groupBy("upc").agg(*[F.sum(n).cast(COUNT).alias(n) for n in names])
+    counts = u.groupBy("upc", *by).agg(*[F.sum(n).cast(COUNT).alias(n) for n in names])
+    if not by:
+        return counts
+    same = Window.partitionBy("upc")
+    return counts.withColumns({n: F.sum(n).over(same).cast(COUNT) for n in ("g", "b")}).where(F.col(by[0]).isNotNull())
