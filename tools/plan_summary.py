@@ -3,9 +3,10 @@
 Runs each query's own plan once over staged stand-in inputs (so scans are
 real Parquet scans), then counts the operators of the final adaptive plan:
 exchanges, joins by strategy, aggregates, generators, and the Parquet
-scans' pushed filters. Broadcast is left to AQE at its default threshold.
+scans' pushed filters. Broadcast is left to AQE at its default threshold,
+or, with ``--no-broadcast``, off: the plans that large inputs get.
 
-    python tools/plan_summary.py /root/testdata/sf0.01 > PLANS.md
+    python tools/plan_summary.py /root/testdata/sf0.01 [--no-broadcast]
 """
 
 from __future__ import annotations
@@ -39,8 +40,10 @@ def summarise(plan: str) -> dict[str, int]:
 
 
 def main() -> None:
-    sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    spark = local_session(cores=4, shuffle_partitions=8)
+    args = [a for a in sys.argv[1:] if a != "--no-broadcast"]
+    sf_dir = args[0] if args else "/root/testdata/sf0.01"
+    off = {"spark.sql.autoBroadcastJoinThreshold": "-1"} if "--no-broadcast" in sys.argv else {}
+    spark = local_session(cores=4, shuffle_partitions=8, extra=off)
     inputs = tempfile.mkdtemp(prefix="subrecon-plans-")
     stage_inputs(spark, sf_dir, inputs, files=4)
     ev = Evidence.read(spark, inputs)
