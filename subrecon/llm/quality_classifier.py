@@ -24,10 +24,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from subrecon.llm.common import SPACED, by_bytes, fold, mix64, text_bytes, words_of
+from subrecon.llm.common import SPACED, by_bytes, fold, mix64, staged, text_bytes, words_of
 
 PASSAGE_WORDS = 64
 FOLDS, HELD_OUT = 4, 2
@@ -150,10 +150,11 @@ def train(x: np.ndarray, bag: np.ndarray, y: np.ndarray, weight: np.ndarray, ste
 
 def training_sample(labelled: DataFrame, per_class: int, train_chars: int) -> DataFrame:
     """At most ``per_class`` rows (doc_id, y, text) of each label."""
-    few = labelled.where(F.length(F.coalesce("text", F.lit(""))) <= train_chars).select("doc_id", "y").distinct()
-    order = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
-    few = few.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_class).select("doc_id", "y")
-    return labelled.join(F.broadcast(few), ["doc_id", "y"]).select("doc_id", "y", "text").dropDuplicates(["doc_id"])
+    keys = labelled.where(F.length(F.coalesce("text", F.lit(""))) <= train_chars).select("doc_id", "y").distinct()
+    keys = staged(keys, "quality-keys")
+    # the lowest of each label, found in each task first: no task holds all rows of a label
+    no, yes = (keys.where(F.col("y") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for v in (0, 1))
+    return labelled.join(F.broadcast(no.unionByName(yes)), ["doc_id", "y"]).select("doc_id", "y", "text").dropDuplicates(["doc_id"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality",
