@@ -162,9 +162,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = 20_000
     groups = max(1, -(-rest.count() // group_pieces))
     rows = rest.select(*own, F.pmod(F.xxhash64("row"), F.lit(groups)).alias("grp"), F.col("row").alias("bin"),
                        F.lit(0).cast("long").alias("offset"))
-    # full pieces are numbered below zero by partition, row in it and piece; the others by round, group and bin
-    number = (F.shiftleft(F.shiftrightunsigned("row", 33), 40) + F.shiftleft(F.col("row") % (1 << 33), 16) + F.col("piece"))
-    out = full.select(*own, F.lit(0).cast("long").alias("offset"), (-number - 1).alias("sequence_id"))
+    # full pieces are numbered below zero by their place in the written table; the others by round, group and bin
+    out = full.select(*own, F.lit(0).cast("long").alias("offset"),
+                      (-F.monotonically_increasing_id() - 1).alias("sequence_id"))
     level = 0
     while True:
         last = groups == 1
