@@ -9,7 +9,7 @@ frequent term is spread over all shards like any other, so no task meets all
 its postings.
 
 **Search.** Test items are cut into windows of ``window`` words and handled in
-blocks of items of at most ``block_words`` words, one pass over the index each. Posting
+blocks of items (by hash) of ``block_words`` words on average at most, one pass over the index each. Posting
 counts of the test terms over the whole index (one pre-aggregated sum) give
 their rarity. Only lists of the block's terms leave the index; they are grouped by shard.
 There, each window begins with the list of its rarest term, shifted by the
@@ -121,8 +121,8 @@ class _Query:
         self.size = np.array([len(t) for t in win["terms"]], np.int64)
         self.vocabulary = np.unique(np.concatenate([*win["terms"], np.zeros(0, np.int64)]).astype(np.int64))
         df = np.array([counts.get(int(t), 0) for t in self.vocabulary], np.int64)
-        self.term = np.full((len(win), window), -1, np.int64)
-        self.place = np.zeros((len(win), window), np.int64)
+        self.term = np.full((len(win), window), -1, np.int32)
+        self.place = np.zeros((len(win), window), np.int16)
         for i, t in enumerate(win["terms"]):
             v = np.searchsorted(self.vocabulary, t)
             order = np.argsort(df[v], kind="stable")
@@ -213,8 +213,8 @@ def search(index: DataFrame, items: DataFrame, item_id: str = "item_id", text: s
     proximity out.
     """
     named = items.select(F.col(f"`{item_id}`").cast("long").alias("item"), F.col(f"`{text}`").alias("text"))
-    words = named.select(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    blocks = max(1, -(-int(words) // (4 * block_words)))
+    chars = named.select(F.sum(F.length("text")).alias("n")).first()["n"] or 0
+    blocks = max(1, -(-int(chars) // (2 * block_words)))  # a word and its gap take two characters at least
     terms = index.where("kind = 'term'")
     found = None
     for k in range(blocks):
