@@ -19,14 +19,15 @@ one is small. Inside a task the pairs are followed level by level over sorted
 arrays in bounded pieces, and only a spanning forest of the links found is
 emitted, never all pairs of a group.
 
-**Components.** ``components`` spreads the smallest id over the
-links (large-star, small-star), with a checkpoint in each round.
+**Components.** ``components`` spreads the smallest fingerprint over the
+links (large-star, small-star), with a checkpoint in each round; then one
+aggregation gives each component the smallest id of its rows.
 
 Defined results: null and empty texts have no shingles, hence fingerprint
 zero, and are linked like any other; a text of fewer words than a shingle
-has one shingle of all its words; repeated rows share a component; a null id
-sorts before all others and is ignored as a component's smallest id unless
-it is alone; other columns are ignored; an empty table gives an empty result.
+has one shingle of all its words; repeated rows share a component; rows with
+a null id link like any other and are ignored as a component's smallest id
+(null if it has no other); unlike rows with the same id are not linked by it; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -312,19 +313,21 @@ def components(edges: DataFrame) -> DataFrame:
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE_WORDS,
-                    max_bits: int = MAX_BITS) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row of ``docs``."""
-    prints = staged(fingerprints(docs, doc_id, text, k), "simhash-prints")
+def grouped(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for every row of ``prints`` (doc_id, fingerprint; written)."""
     groups = staged(prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("low")), "simhash-groups")
-    edges = links(groups.select("fp"), max_bits)
-    # name nodes by their smallest document, so that the smallest node is the component's id
-    names = groups.where("low is not null")
-    named = (edges.join(names.select(F.col("fp").alias("a"), F.col("low").alias("la")), "a")
-             .join(names.select(F.col("fp").alias("b"), F.col("low").alias("lb")), "b")
-             .select(F.col("la").alias("a"), F.col("lb").alias("b")))
-    roots = components(named)
-    by_print = groups.join(roots, groups["low"] == roots["node"], "left").select(
-        "fp", F.coalesce("root", "low").alias("component_id"))
+    # fingerprints are the nodes, whatever ids their rows have; a component is named once it is whole
+    roots = components(links(groups.select("fp"), max_bits))
+    rooted = staged(groups.join(roots, groups["fp"] == roots["node"], "left").select(
+        "fp", "low", F.coalesce("root", "fp").alias("root")), "simhash-rooted")
+    # written, so that both sides of the join are shuffles and a large component can be split
+    named = staged(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "simhash-named")
+    by_print = rooted.select("fp", "root").join(named, "root")
     return (prints.join(by_print, prints["fingerprint"] == by_print["fp"])
             .select("doc_id", "fingerprint", "component_id"))
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE_WORDS,
+                    max_bits: int = MAX_BITS) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for every row of ``docs``."""
+    return grouped(staged(fingerprints(docs, doc_id, text, k), "simhash-prints"), max_bits)

@@ -4,6 +4,7 @@ import numpy as np
 import xxhash
 
 from subrecon.llm import simhash
+from subrecon.llm.common import staged
 
 
 def brute_components(ids, prints, bits):
@@ -97,3 +98,21 @@ def test_empty_null_ids_and_clashing_columns(spark, docs_of):
     d = d.selectExpr("*", "1 AS fingerprint", "2 AS component_id", "3 AS fp", "4 AS turn")
     got = sorted(((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(d).collect()), key=str)
     assert got == [(7, 7), (9, 9), (9, 9), (None, 7), (None, None)]
+
+
+def test_rows_without_an_id_link_others(spark):
+    a, far = 0x5A5A5A5A5A5A5A50, 0x00FF00FF00FF00FF
+    rows = [(None, a), (5, a | 1), (3, a | 2),  # the smallest fingerprint has no id
+            (9, far), (None, far ^ 0b111), (8, far ^ 0b111111),  # only the one without an id is near both
+            (None, 0)]
+    prints = staged(spark.createDataFrame(rows, "doc_id long, fingerprint long"), "test-prints")
+    got = sorted(((r["doc_id"], r["fingerprint"], r["component_id"]) for r in simhash.grouped(prints).collect()), key=str)
+    want = [(d, f, {a >> 8: 3, far >> 8: 8}.get(f >> 8)) for d, f in rows]
+    assert got == sorted(want, key=str)
+
+
+def test_one_id_on_unlike_rows_links_nothing(spark):
+    rows = [(5, 0xFFFF), (3, 0x7FFF), (5, 0xFFFF << 32), (4, 0x7FFF << 32)]
+    prints = staged(spark.createDataFrame(rows, "doc_id long, fingerprint long"), "test-prints")
+    assert {r["fingerprint"]: r["component_id"] for r in simhash.grouped(prints).collect()} == {
+        0xFFFF: 3, 0x7FFF: 3, 0xFFFF << 32: 4, 0x7FFF << 32: 4}
