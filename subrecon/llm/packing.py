@@ -23,6 +23,7 @@ an empty table gives no pieces.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -50,22 +51,40 @@ class Encoder:
 
     The file's vocabulary is in merge order, so its ids are ranks, and
     ``tiktoken`` gives the ids of ``tokenizers`` itself (tests hold them against each other)
-    in a third of the time. ``pattern`` is the file's pre-tokeniser; added tokens
-    count as ordinary text. ``ids`` gives little-endian unsigned 32-bit ids, as bytes.
+    in a third of the time. ``pattern`` is the file's pre-tokeniser. With ``added``,
+    texts are first cut at the file's added tokens (leftmost, then longest), which get their own
+    ids, as ``tokenizers`` does unless told otherwise; without, they count as ordinary text (its
+    ``encode_special_tokens``). ``ids`` gives little-endian unsigned 32-bit ids, as bytes.
     """
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, added: bool = False):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
-        added = {t["content"] for t in file["added_tokens"]}
+        own = {t["content"]: t["id"] for t in file["added_tokens"]}
         byte = byte_of_char()
-        ranks = {bytes(byte[c] for c in t): i for t, i in file["model"]["vocab"].items() if t not in added}
+        ranks = {bytes(byte[c] for c in t): i for t, i in file["model"]["vocab"].items() if t not in own}
         self.bpe = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.added, self.cuts = {}, None
+        if added and own:
+            for t in file["added_tokens"]:
+                odd = [k for k in ("single_word", "lstrip", "rstrip", "normalized") if t[k]]
+                if odd:
+                    raise ValueError(f"added token {t['content']!r} of {path} is {', '.join(odd)}: not supported")
+            self.added = own
+            self.cuts = re.compile(f"({'|'.join(map(re.escape, sorted(own, key=len, reverse=True)))})")
+
+    def _ids(self, text: str) -> list[int]:
+        parts = self.cuts.split(text) if self.cuts else [text]
+        ids = self.bpe.encode_ordinary(parts[0])
+        for token, after in zip(parts[1::2], parts[2::2]):
+            ids.append(self.added[token])
+            ids += self.bpe.encode_ordinary(after)
+        return ids
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(self.bpe.encode_ordinary(t), "<u4").tobytes() for t in texts]
+        return [np.array(self._ids(t), "<u4").tobytes() for t in texts]
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -76,14 +95,14 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def tokenise(docs: DataFrame, tokenizer_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text",
-             capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """One row per piece (``PIECES``); ``row`` tells rows with the same id apart."""
+             capacity: int = CAPACITY, end_id: int = END_ID, added: bool = False) -> DataFrame:
+    """One row per piece (``PIECES``); ``row`` tells rows with the same id apart; ``added`` as in ``Encoder``."""
     names = [x.split()[0] for x in PIECES.split(", ")]
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
     end = np.array([end_id], "<u4").tobytes()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path, pattern)
+        encoder = Encoder(tokenizer_path, pattern, added)
         for b in batches:
             texts = [t or "" for t in b.column(2).to_pylist()]
             for lo, hi in by_bytes(texts, 1 << 20):

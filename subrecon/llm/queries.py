@@ -49,7 +49,8 @@ def packed(docs: DataFrame) -> DataFrame:
     """Pieces of all documents with their sequence and place in it."""
     import public_tokenizers
 
-    pieces = packing.tokenise(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    pieces = packing.tokenise(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN,
+                              added=True)
     return packing.pack(staged(pieces, "packing-pieces"))
 
 

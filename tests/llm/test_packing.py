@@ -106,3 +106,37 @@ def test_query_over_the_small_table(spark):
     got = QUERIES["op3_best_fit_packing"](spark, SF_SMALL).collect()
     assert {r["doc_id"] for r in got} == {r["doc_id"] for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()}
     assert check_sequences(got) <= -(-sum(r["length"] for r in got) // 2048) + 1
+
+
+ADDED = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>  x", "a  <|endoftext|>", "<|endoftext|", "<<|endoftext|>>"]
+
+
+@pytest.fixture(scope="module")
+def unchanged():
+    return Tokenizer.from_file(PATH)
+
+
+@pytest.fixture(scope="module")
+def added_encoder():
+    return packing.Encoder(PATH, public_tokenizers.PATTERN, added=True)
+
+
+def test_added_tokens_get_the_ids_of_the_unchanged_tokenizer(unchanged, added_encoder):
+    got = [np.frombuffer(b, "<u4").tolist() for b in added_encoder.ids(ODD + ADDED)]
+    assert got == [x.ids for x in unchanged.encode_batch(ODD + ADDED, add_special_tokens=False)]
+    assert got[len(ODD)] == [64, 220, 50256, 275]
+
+
+def test_query_takes_added_tokens(spark, docs_of, unchanged):
+    from subrecon.llm.queries import packed
+
+    got = {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in packed(docs_of(ADDED)).collect()}
+    want = [np.array(unchanged.encode(t, add_special_tokens=False).ids + [0], "<u4") for t in ADDED]
+    assert got == {i: (len(x), zlib.crc32(x.tobytes())) for i, x in enumerate(want)}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=20), st.sampled_from(["<|endoftext|>", "<|", "|>", " ", "endoftext"])), max_size=8))
+def test_added_tokens_in_any_text(unchanged, added_encoder, parts):
+    text = "".join(parts)
+    assert np.frombuffer(added_encoder.ids([text])[0], "<u4").tolist() == unchanged.encode(text, add_special_tokens=False).ids
