@@ -9,7 +9,7 @@ frequent term is spread over all shards like any other, so no task meets all
 its postings.
 
 **Search.** Test items are cut into windows of ``window`` words and handled in
-blocks of items (by hash) of ``block_words`` words on average at most, one pass over the index each. Posting
+blocks of item rows (by hash of a number of their own) of ``block_words`` words on average at most, one pass over the index each. Posting
 counts of the test terms over the whole index (one pre-aggregated sum) give
 their rarity. Only lists of the block's terms leave the index; they are grouped by shard.
 There, each window begins with the list of its rarest term, shifted by the
@@ -24,7 +24,8 @@ Words are compared by 64-bit hashes of their bytes.
 Defined results: null and empty texts have no words and match nothing; an
 item of fewer words than ``window``, but not none, is one window; items or
 documents that repeat are matched each, and rows with the same id are
-separate documents, each reported; null document ids are kept, items with a null id are left out; other
+separate documents, each reported; null document ids are kept; an item row
+with a null id hits like any other and is left out of the lists and counts of items only; other
 columns are ignored; empty tables give empty results.
 """
 
@@ -174,10 +175,12 @@ def _intersect(q: _Query, lists: list, slack: int, piece: int = 1 << 20):
         lo = hi
 
 
-MATCHES = "row long, item_id long, exact boolean, start int, end int"
+MATCHES = "row long, item long, item_id long, exact boolean, start int, end int"
 
 
-def _shard_matches(q: _Query, slack: int):
+def _shard_matches(q: _Query, ids: pd.Series, slack: int):
+    """Matches of the block's windows in one shard; ``ids`` has the (nullable) id of each item row's number."""
+
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         docs = pdf[pdf["postings"].isna()].sort_values("base")
         terms = pdf[pdf["postings"].notna()]
@@ -189,30 +192,33 @@ def _shard_matches(q: _Query, slack: int):
         for w, p, exact in _intersect(q, lists, slack):
             d = np.searchsorted(base, p, side="right") - 1
             start = p - base[d]
-            out.append(pd.DataFrame({"row": row[d], "item_id": q.item[w], "exact": exact, "start": start,
+            out.append(pd.DataFrame({"row": row[d], "item": q.item[w], "exact": exact, "start": start,
                                      "end": start + (q.size[w] if exact else 1)}))
         if not out:
             return pd.DataFrame({c.split()[0]: [] for c in MATCHES.split(", ")})
         found = pd.concat(out)
-        # touching occurrences of one item in one document become one span
-        found = found.sort_values(["row", "item_id", "exact", "start"]).reset_index(drop=True)
-        g = [found[c].to_numpy() for c in ("row", "item_id", "exact")]
+        # touching occurrences of one item row in one document become one span
+        found = found.sort_values(["row", "item", "exact", "start"]).reset_index(drop=True)
+        g = [found[c].to_numpy() for c in ("row", "item", "exact")]
         same = np.r_[False, np.logical_and.reduce([x[1:] == x[:-1] for x in g])]
         joined = same & (found["start"].to_numpy() <= np.r_[-1, found["end"].to_numpy()[:-1]])
         span = np.cumsum(~joined)
-        return found.groupby(span).agg(row=("row", "first"), item_id=("item_id", "first"), exact=("exact", "first"),
-                                       start=("start", "min"), end=("end", "max")).reset_index(drop=True)
+        found = found.groupby(span).agg(row=("row", "first"), item=("item", "first"), exact=("exact", "first"),
+                                        start=("start", "min"), end=("end", "max")).reset_index(drop=True)
+        found.insert(2, "item_id", ids.reindex(found["item"]).array)
+        return found
     return search
 
 
 def search(index: DataFrame, items: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW,
            slack: int = SLACK, block_words: int = 2_000_000) -> DataFrame:
-    """``MATCHES``: word spans of exact occurrences, and places of proximity matches, by document row and item.
+    """``MATCHES``: word spans of exact occurrences, and places of proximity matches, by document row and item row.
 
-    ``row`` is the document's in the index. ``slack`` below zero leaves
+    ``row`` is the document's in the index, ``item`` a number of the item row's own. ``slack`` below zero leaves
     proximity out.
     """
-    named = items.select(F.col(f"`{item_id}`").cast("long").alias("item"), F.col(f"`{text}`").alias("text"))
+    named = staged(items.select(F.monotonically_increasing_id().alias("item"), F.col(f"`{item_id}`").cast("long").cast("string").alias("item_id"),
+                                F.col(f"`{text}`").alias("text")), "benchmark-items")
     chars = named.select(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-int(chars) // (2 * block_words)))  # a word and its gap take two characters at least
     terms = index.where("kind = 'term'")
@@ -220,7 +226,7 @@ def search(index: DataFrame, items: DataFrame, item_id: str = "item_id", text: s
     for k in range(blocks):
         # bounded by block_words
         part = named.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).toPandas()
-        win = windows_of(part[part["item"].notna()], window)
+        win = windows_of(part, window)
         if not len(win):
             continue
         vocabulary = pd.DataFrame({"term": np.unique(np.concatenate(list(win["terms"])))})
@@ -231,7 +237,9 @@ def search(index: DataFrame, items: DataFrame, item_id: str = "item_id", text: s
         lists = terms.join(wanted, "term", "left_semi").select(
             "shard", "term", "postings", F.lit(0).cast("long").alias("row"), F.lit(0).cast("long").alias("base"))
         docs = index.where("kind = 'doc'").select("shard", F.lit(0).cast("long").alias("term"), "postings", "row", "base")
-        hits = lists.unionByName(docs).groupBy("shard").applyInPandas(_shard_matches(q, slack), MATCHES)
+        # ids come as text: beside a null, numbers would come as floats
+        ids = pd.Series([None if pd.isna(i) else int(i) for i in part["item_id"]], part["item"].to_numpy(), "Int64")
+        hits = lists.unionByName(docs).groupBy("shard").applyInPandas(_shard_matches(q, ids, slack), MATCHES)
         found = hits if found is None else found.unionByName(hits)
     return found if found is not None else index.sparkSession.createDataFrame([], MATCHES)
 

@@ -80,3 +80,13 @@ def test_empty_tables_and_clashing_columns(spark, docs_of):
 def test_contaminated_at_one_word_in_twenty(spark):
     d = spark.createDataFrame([(0, 0), (20, 1), (21, 1), (1, 1)], "n_words long, n_hit long")
     assert [r[0] for r in d.select(dc.contaminated()).collect()] == [False, True, False, True]
+
+
+def test_items_without_an_id_hit(spark, docs_of):
+    items = [(None, ITEM), (2**60 + 1, SHORT), (None, "solo"), (2**60 + 1, "é漢字 x")]
+    want = [(i, n, hit, [x for x in found if x != "None"]) for i, n, hit, found in brute(DOCS, items)]
+    assert run(spark, docs_of, DOCS, items) == want
+    index = dc.build_index(docs_of(DOCS))
+    found = dc.search(index, spark.createDataFrame(items, "item_id long, text string"), block_words=5)
+    got = sorted([(r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in dc.by_document(index, found).collect()], key=str)
+    assert got == want
