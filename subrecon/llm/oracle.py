@@ -134,4 +134,71 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN near USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-SQL = {"op1_decontamination": OP1, "op2_substring_dedup": OP2, "op7_quality_rules": OP7, "op9_warc_derivatives": OP9}
+_NEAREST = """
+a{n} AS (SELECT r, k, d FROM (SELECT r, k, d, row_number() OVER (PARTITION BY r ORDER BY d, k) AS place
+         FROM (SELECT r, k, sum((x.x - c.x) * (x.x - c.x)) AS d FROM x JOIN c{n} c USING (j) GROUP BY r, k))
+         WHERE place = 1)"""
+_MOVED = """
+c{m} AS (SELECT k, j, coalesce(m, c.x) AS x FROM c{n} c LEFT JOIN
+         (SELECT k, j, (s - ((s % n) + n) % n) // n AS m
+          FROM (SELECT k, j, sum(x.x) AS s, count(*) AS n FROM x JOIN a{n} USING (r) GROUP BY k, j)) USING (k, j))"""
+OP11 = """
+WITH v AS (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, embedding FROM embeddings
+           WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0),
+x AS (SELECT r, j, floor(64 * e::DOUBLE)::BIGINT AS x
+      FROM (SELECT r, unnest(embedding) AS e, generate_subscripts(embedding, 1) AS j FROM v)),
+c0 AS (SELECT k, j, x FROM x JOIN (SELECT r, row_number() OVER (ORDER BY sha256('1:' || vec_id::VARCHAR)) - 1 AS k
+                                   FROM v) USING (r) WHERE k < 16),""" + ",".join(
+    _NEAREST.format(n=n) + "," + _MOVED.format(n=n, m=n + 1) for n in range(3)) + "," + _NEAREST.format(n=3) + """,
+h AS (SELECT k, sha256(string_agg(x::BIGINT::VARCHAR, ',' ORDER BY j)) AS centroid_sha256 FROM c3 GROUP BY k)
+SELECT vec_id, k::INTEGER AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY k))::BIGINT AS cluster_inertia,
+       (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM a3 JOIN v USING (r) JOIN h USING (k)
+"""
+
+OP12 = rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+f AS (SELECT part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
+                    100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t),
+                    regexp_matches(t, '[#$%&*|]'),
+                    coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)] AS x,
+             doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS good,
+             doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS bad
+      FROM (SELECT *, regexp_extract_all(t, '{_WORD}') AS w FROM d)),
+n AS (SELECT unnest(range(1, 6)) AS i),
+o AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM n a, n b, n c, n d, n e
+      WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s AS (SELECT o, n.i AS step, o[n.i] AS own, o[1:n.i - 1] AS before FROM o, n),
+m AS (SELECT part, o, step, own, x[own] AS fails, good, bad,
+             len(list_filter(before, lambda b: x[b])) > 0 AS gone, len(list_filter(x, lambda y: y)) AS n_fails FROM f, s),
+g AS (SELECT part, o, step, own, count(*) FILTER (NOT gone AND NOT fails) AS kept,
+             count(*) FILTER (NOT gone AND fails) AS removed, count(*) FILTER (gone AND fails) AS redundant,
+             count(*) FILTER (fails AND n_fails = 1) AS unique_fails,
+             count(*) FILTER (NOT gone AND fails AND good) AS good_lost,
+             count(*) FILTER (NOT gone AND fails AND bad) AS toxic_lost FROM m GROUP BY part, o, step, own)
+SELECT part, array_to_string(list_transform(o, lambda i: substr('ABCDE', i, 1)), '') AS filter_order, step::INTEGER AS step,
+       kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM g
+"""
+
+OP13 = rf"""
+WITH RECURSIVE
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '{_WORD}') AS w FROM documents),
+e AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) < 2 THEN w
+             ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END)) AS s FROM d),
+u AS (SELECT s, row_number() OVER (ORDER BY min(doc_id)) AS id, len(s) AS n FROM e WHERE len(s) > 0 GROUP BY s),
+x AS (SELECT id, n, unnest(s) AS g FROM u),
+l AS (SELECT a.id AS a, b.id AS b FROM x a JOIN x b USING (g)
+      WHERE a.id < b.id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+      GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+y AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(a, b) AS (SELECT id, id FROM u UNION SELECT r.a, y.b FROM r JOIN y ON r.b = y.a),
+c AS (SELECT b AS id, min(a) AS root FROM r GROUP BY b),
+m AS (SELECT root, min(doc_id) AS low FROM c JOIN u USING (id) JOIN e USING (s) GROUP BY root),
+k AS (SELECT doc_id, len(e.s)::BIGINT AS n_shingles, coalesce(low, doc_id) AS component_id
+      FROM e LEFT JOIN u USING (s) LEFT JOIN c USING (id) LEFT JOIN m USING (root))
+SELECT *, doc_id = component_id AS kept FROM k
+"""
+
+SQL = {"op1_decontamination": OP1, "op2_substring_dedup": OP2, "op7_quality_rules": OP7, "op9_warc_derivatives": OP9,
+       "op11_bitplane_kmeans": OP11, "op12_filter_audit": OP12, "op13_setsketch_near_dedup": OP13}

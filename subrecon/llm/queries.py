@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subrecon.llm import decontamination, language_id, oracle, packing, quality_classifier, quality_rules, simhash
+from subrecon.llm import bitplane_kmeans, decontamination, filter_audit, language_id, oracle, packing
+from subrecon.llm import quality_classifier, quality_rules, setsketch, simhash
 from subrecon.llm import substring_dedup, toxicity, url_filter, warc_derivatives
 from subrecon.llm.common import fold, read_table, staged
 
@@ -114,6 +115,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_bitplane_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster, exact distance and inertias of every kept vector."""
+    return bitplane_kmeans.cluster(spark, read_table(spark, sf_dir, "embeddings"))[0]
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes, in every order, by language."""
+    masked = filter_audit.masks(read_table(spark, sf_dir, "documents"))
+    return filter_audit.audit(filter_audit.cells(masked, read_table(spark, sf_dir, "labels")))
+
+
+def op13_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document by word-pair sets."""
+    return setsketch.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_substring_dedup": op2_substring_dedup,
@@ -125,6 +142,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_warc_derivatives": op9_warc_derivatives,
     "op10_toxicity": op10_toxicity,
+    "op11_bitplane_kmeans": op11_bitplane_kmeans,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_setsketch_near_dedup": op13_setsketch_near_dedup,
 }
 
 SQL: dict[str, str] = dict(oracle.SQL)

@@ -9,7 +9,7 @@ sys.path.insert(0, os.path.dirname(__file__))
 
 from llm_paths import SF_SMALL  # noqa: E402
 
-TABLES = ("documents", "pages", "benchmark", "labels")
+TABLES = ("documents", "embeddings", "pages", "benchmark", "labels")
 
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()),
                      T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()),
