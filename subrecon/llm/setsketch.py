@@ -18,13 +18,13 @@ standard deviations.
 **Links.** Only a spanning forest of the remaining pairs is verified, never all pairs of a
 group: two documents need no check once they are known to hang together.
 Forest edges are verified on full sets, recomputed from the texts of the nodes involved. Where an edge fails,
-its tasks run again, with the components known so far and without the failed pairs, until no task has a
-new pair; so a failed edge hides no link. The first ``FIRST_BANDS`` bands go first, and the others
-then only look at buckets that hold more than one component.
+the nodes of its tree go to the task again, now with their full sets, and every likely pair of them that is not yet
+connected is judged there exactly; so a failed edge hides no link. The first ``FIRST_BANDS`` bands go first,
+and the others then only look at buckets that hold more than one component.
 
-**Hot buckets.** A bucket of more than ``hot`` nodes is dealt in chunks, each joined with itself; then
-every node outside the bucket's largest component is sent to every chunk. So a
-group of near copies costs one more pass, not the square of its size, and no pair is left out.
+**Hot buckets.** A bucket of more than ``hot`` nodes, or of larger sets than a task should hold, is dealt in
+chunks, each joined with itself; then every node outside the bucket's largest component is sent to every
+chunk. So a group of near copies costs one more pass, not the square of its size, and no pair is left out.
 
 Defined results: null and empty texts and texts without words have the empty set and are linked with
 nothing; a text of fewer words than a shingle has one shingle of all its words; texts of any length
@@ -198,11 +198,20 @@ class _Groups:
     def __init__(self, label: np.ndarray):
         self.label = np.unique(label, return_inverse=True)[1]
 
-    def join(self, at: int, others: np.ndarray) -> None:
-        self.label[np.isin(self.label, self.label[others])] = self.label[at]
+    def apart(self, a: int, b: int) -> bool:
+        return self.label[a] != self.label[b]
 
+    def join(self, a: int, b: int) -> None:
+        self.label[self.label == self.label[b]] = self.label[a]
 
-def _pivots(members: np.ndarray, groups: _Groups, likely, taken: set, edges: list) -> None:
+
+def _likeliest(guess: np.ndarray) -> np.ndarray:
+    """Places of the pairs that are not dropped, the likeliest first."""
+    at = np.flatnonzero(guess >= 0)
+    return at[np.argsort(-guess[at], kind="stable")]
+
+
+def _pivots(members: np.ndarray, groups: _Groups, likely, link) -> None:
     """Forest over one bucket: a member at a time is compared with all of other groups.
 
     Members of the largest group need no turn, once all others had theirs.
@@ -211,90 +220,80 @@ def _pivots(members: np.ndarray, groups: _Groups, likely, taken: set, edges: lis
     while True:
         label = groups.label[members]
         kinds, size = np.unique(label, return_counts=True)
-        if len(kinds) == 1:
-            return
-        main = kinds[size.argmax()]
-        left = ~done & ((label != main) | (size.max() == 1))
-        if not left.any():
+        left = ~done & ((label != kinds[size.argmax()]) | (size.max() == 1))
+        if len(kinds) == 1 or not left.any():
             return
         p = int(left.argmax())
         done[p] = True
-        others = members[label != label[p]]
-        guess = likely(np.full(len(others), members[p]), others)
-        best: dict = {}
-        for o in np.flatnonzero(guess >= 0)[np.argsort(-guess[guess >= 0], kind="stable")]:
-            pair = (min(members[p], others[o]), max(members[p], others[o]))
-            if pair not in taken:
-                best.setdefault(groups.label[others[o]], pair)
-        for pair in best.values():
-            taken.add(pair)
-            edges.append(pair)
-        if best:
-            groups.join(members[p], np.array([a if b == members[p] else b for a, b in best.values()]))
-
-
-def _forest(percent: int, forests: int, few: int = 16):
-    """Edges of spanning forests over the likely pairs of one task's buckets."""
+        _against(members[p], members[label != label[p]], groups, likely, link)
+
+
+def _against(p: int, others: np.ndarray, groups: _Groups, likely, link) -> None:
+    """Link ``p`` with each other group that has a likely pair with it."""
+    for o in others[_likeliest(likely(np.full(len(others), p), others))]:
+        if groups.apart(p, o) and link(p, o):
+            groups.join(p, o)
+
+
+def _forest(percent: int, exact: bool, few: int = 16):
+    """Edges of a spanning forest over the pairs of one task's buckets: the likely ones or, with ``exact``, the linked."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        task = pdf["task"].iloc[0]
         unique = pdf.drop_duplicates("node").sort_values("node")
-        nodes, n = unique["node"].to_numpy(), unique["n"].to_numpy()
+        nodes, n, comp = (unique[c].to_numpy() for c in ("node", "n", "comp"))
         sketch = np.frombuffer(b"".join(unique["sketch"]), "<u2").reshape(-1, REGISTERS)
+        sets = [np.frombuffer(x, np.uint64) for x in unique["set"]] if exact else None
         row = np.searchsorted(nodes, pdf["node"].to_numpy())
         bucket, probe = pdf["bucket"].to_numpy(), pdf["probe"].to_numpy(bool)
-        taken: set = set()
-        for a, tried in zip(unique["node"], unique["tried"]):
-            if tried is not None and len(tried):
-                at = np.searchsorted(nodes, tried)
-                at = at[(at < len(nodes)) & (nodes[np.minimum(at, len(nodes) - 1)] == tried)]
-                own = int(np.searchsorted(nodes, a))
-                taken.update((min(own, int(x)), max(own, int(x))) for x in at)
-        likely = lambda i, j: compared(sketch, n, i, j, percent)
-        edges: list = []
+        groups, edges = _Groups(comp), []
+
+        def likely(i, j):
+            return compared(sketch, n, i, j, percent)
+
+        def link(a, b) -> bool:
+            if exact and not similar(sets[a], sets[b], percent):
+                return False
+            edges.append((min(a, b), max(a, b)))
+            return True
+
         own = np.flatnonzero(~probe)
         order = own[np.lexsort((row[own], bucket[own]))]
-        cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-        pairs = []
-        for _ in range(forests):
-            groups = _Groups(unique["comp"].to_numpy())
-            if probe.any():  # one hot bucket: nodes outside its largest component against a chunk of it
-                chunk = np.unique(row[own])
-                for p in np.unique(row[probe]):
-                    others = chunk[groups.label[chunk] != groups.label[p]]
-                    guess = likely(np.full(len(others), p), others)
-                    for o in others[np.flatnonzero(guess >= 0)[np.argsort(-guess[guess >= 0], kind="stable")]]:
-                        pair = (min(p, o), max(p, o))
-                        if groups.label[o] != groups.label[p] and pair not in taken:
-                            taken.add(pair)
-                            edges.append(pair)
-                            groups.join(p, np.array([o]))
-                continue
-            small = []
-            for members in np.split(row[order], cuts):
-                members = np.unique(members)
-                if len(members) > few:
-                    _pivots(members, groups, likely, taken, edges)
-                elif len(members) > 1:
-                    small.append(members)
-            if small and not len(pairs):
-                pairs = np.unique(np.concatenate([np.stack([m[x] for x in np.triu_indices(len(m), 1)], axis=1)
-                                                  for m in small]), axis=0)
-                guess = likely(pairs[:, 0], pairs[:, 1])
-                pairs, guess = pairs[guess >= 0], guess[guess >= 0]
-                # the likeliest tier first; within it the lowest nodes, so that tasks choose alike
-                tier = np.digitize(guess, [0.84, 0.9])
-                pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0], -tier))]
-            for a, b in np.asarray(pairs).tolist():
-                if groups.label[a] != groups.label[b] and (a, b) not in taken:
-                    taken.add((a, b))
-                    edges.append((a, b))
-                    groups.join(a, np.array([b]))
-        at = np.array(edges, np.int64).reshape(-1, 2)
-        return pd.DataFrame({"task": task, "a": nodes[at[:, 0]], "b": nodes[at[:, 1]]})
+        if probe.any():  # one hot bucket: nodes outside its largest component against a chunk of it
+            chunk = np.unique(row[own])
+            for p in np.unique(row[probe]):
+                _against(p, chunk[groups.label[chunk] != groups.label[p]], groups, likely, link)
+            order = order[:0]
+        small = []
+        for members in np.split(row[order], np.flatnonzero(np.diff(bucket[order])) + 1):
+            members = np.unique(members)
+            if len(members) > few:
+                _pivots(members, groups, likely, link)
+            elif len(members) > 1:
+                small.append(np.stack([members[x] for x in np.triu_indices(len(members), 1)], axis=1))
+        if small:
+            pairs = np.unique(np.concatenate(small), axis=0)
+            pairs = pairs[groups.label[pairs[:, 0]] != groups.label[pairs[:, 1]]]
+            guess = likely(pairs[:, 0], pairs[:, 1])
+            pairs, guess = pairs[guess >= 0], guess[guess >= 0]
+            # the likeliest tier first; within it the lowest nodes, so that tasks choose alike
+            for a, b in pairs[np.lexsort((pairs[:, 1], pairs[:, 0], -np.digitize(guess, [0.84, 0.9])))].tolist():
+                if groups.apart(a, b) and link(a, b):
+                    groups.join(a, b)
+        a, b = np.array(edges, np.int64).reshape(-1, 2).T
+        return pd.DataFrame({"task": pdf["task"].iloc[0], "tree": groups.label[a], "a": nodes[a], "b": nodes[b],
+                             "comp_a": comp[a], "comp_b": comp[b]})
     return run
 
 
+EDGES = "task string, tree long, a long, b long, comp_a long, comp_b long"
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sets of distinct values reach the similarity."""
+    same = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * same >= percent * (len(x) + len(y) - same)
+
+
 def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, row, text_key, n, digest, sketch) for every row: set size, and digest and registers of the set."""
 
@@ -327,19 +326,27 @@ def text_key(text: str) -> Column:
     return F.md5(F.col(f"`{text}`").cast("binary"))
 
 
-def _members(reps: DataFrame, comps: DataFrame | None, bands: range, hot: int, task_rows: int) -> DataFrame:
-    """(bucket, node, n, sketch, size, bin) of the nodes of every bucket that holds more than one component."""
-    rows = reps.select("node", "sketch", F.explode(F.sequence(F.lit(bands.start), F.lit(bands.stop - 1))).alias("band"))
-    rows = rows.select("node", F.xxhash64("band", F.expr(f"substring(sketch, band * {2 * ROWS} + 1, {2 * ROWS})"))
+#: Bytes of a member's row beside 8 bytes a shingle.
+_ROW = 2 * REGISTERS + 64
+
+
+def _members(reps: DataFrame, comps: DataFrame | None, bands: range, hot: int, task_bytes: int) -> DataFrame:
+    """(bucket, node, n, sketch, chunks, bin) of the nodes of every bucket that holds more than one component."""
+    rows = reps.select("node", "n", "sketch",
+                       F.explode(F.sequence(F.lit(bands.start), F.lit(bands.stop - 1))).alias("band"))
+    rows = rows.select("node", "n", F.xxhash64("band", F.expr(f"substring(sketch, band * {2 * ROWS} + 1, {2 * ROWS})"))
                        .alias("bucket"))
-    labelled = _with_component(rows, comps)
-    many = labelled.groupBy("bucket").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    size, weight = F.count("*"), F.sum(8 * F.col("n") + _ROW)
+    many = _with_component(rows, comps).groupBy("bucket").agg(
+        F.greatest(F.ceil(size / hot), F.ceil(weight / task_bytes)).cast("int").alias("chunks"),
+        F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     # written, so that both sides of the join are shuffles and a hot bucket can be split
-    many = staged(many.where("lo < hi").select("bucket", "size"), "setsketch-buckets")
-    found = staged(rows.join(sent_if_small(many), "bucket"), "setsketch-found")
-    bins = max(1, -(-found.count() // task_rows))
-    wide = found.join(reps.select("node", "n", "sketch"), "node")
-    return staged(wide.withColumn("bin", F.when(F.col("size") <= hot, F.pmod(F.xxhash64("bucket"), F.lit(bins)))),
+    many = staged(many.where("lo < hi").select("bucket", "chunks"), "setsketch-buckets")
+    found = staged(rows.join(sent_if_small(many), "bucket").select("bucket", "node", "n", "chunks"), "setsketch-found")
+    total = found.where("chunks = 1").agg(F.sum(8 * F.col("n") + _ROW)).first()[0] or 0
+    bins = max(1, -(-total // task_bytes))
+    wide = found.join(reps.select("node", "sketch"), "node")
+    return staged(wide.withColumn("bin", F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("bucket"), F.lit(bins)))),
                   "setsketch-members")
 
 
@@ -350,119 +357,124 @@ def _with_component(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
     return rows.join(sent_if_small(comps), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
 
 
-def _tasks(members: DataFrame, comps: DataFrame | None, tried: DataFrame | None, hot: int, first: bool) -> DataFrame:
-    """Rows of every task: buckets of a bin together, and the tiles of hot buckets."""
+_OWN = ["bucket", "node", "n", "sketch", "comp"]
+
+
+def _local_tasks(members: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """Rows of every task: the buckets of a bin, and the chunks of hot buckets."""
     rows = _with_component(members, comps)
-    if tried is None:
-        rows = rows.withColumn("tried", F.lit(None).cast("array<long>"))
-    else:
-        rows = rows.join(sent_if_small(tried, 100_000), "node", "left")
-    own = ["bucket", "node", "n", "sketch", "comp", "tried"]
-    small = rows.where("bin IS NOT NULL").select(F.concat(F.lit("bin "), F.col("bin")).alias("task"), *own,
-                                                 F.lit(False).alias("probe"))
-    large = rows.where("bin IS NULL").withColumn("chunks", F.ceil(F.col("size") / hot).cast("int")).withColumn(
+    chunk = F.pmod(F.xxhash64("node"), F.col("chunks"))
+    task = F.when(F.col("bin").isNull(), F.concat_ws(" ", "bucket", chunk)).otherwise(F.concat(F.lit("bin "), F.col("bin")))
+    return rows.select(task.alias("task"), *_OWN, F.lit(False).alias("probe"))
+
+
+def _hot_tasks(members: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """Tiles of hot buckets: a chunk, and a block of the nodes outside the bucket's largest component."""
+    large = _with_component(members.where("bin IS NULL"), comps)
+    by_comp = large.groupBy("bucket", "comp").agg(F.count("*").alias("c"), F.max("chunks").alias("chunks"))
+    main = by_comp.groupBy("bucket").agg(
+        F.max_by("comp", F.struct("c", "comp")).alias("main"),
+        F.ceil((F.sum("c") - F.max("c")) / F.sum("c") * F.max("chunks")).cast("int").alias("blocks")).where("blocks > 0")
+    large = large.join(sent_if_small(staged(main, "setsketch-hot")), "bucket").withColumn(
         "chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    if first:
-        return small.unionByName(large.select(F.concat_ws(" ", "bucket", "chunk").alias("task"), *own,
-                                              F.lit(False).alias("probe")))
-    by_comp = large.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
-    main = by_comp.groupBy("bucket").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"),
-                                         (F.sum("c") - F.max("c")).alias("active")).where("active > 0")
-    main = staged(main.withColumn("blocks", F.ceil(F.col("active") / hot).cast("int")).drop("active"), "setsketch-hot")
-    large = large.join(sent_if_small(main), "bucket")
-    series = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    chunk = large.withColumn("block", series("blocks")).select(
-        F.concat_ws(" ", "bucket", "chunk", "block").alias("task"), *own, F.lit(False).alias("probe"))
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    chunk = large.withColumn("block", each("blocks")).select(
+        F.concat_ws(" ", "bucket", "chunk", "block").alias("task"), *_OWN, F.lit(False).alias("probe"))
     active = large.where("comp <> main").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks"))).drop(
-        "chunk").withColumn("chunk", series("chunks")).select(
-        F.concat_ws(" ", "bucket", "chunk", "block").alias("task"), *own, F.lit(True).alias("probe"))
-    return small.unionByName(chunk).unionByName(active)
+        "chunk").withColumn("chunk", each("chunks")).select(
+        F.concat_ws(" ", "bucket", "chunk", "block").alias("task"), *_OWN, F.lit(True).alias("probe"))
+    return chunk.unionByName(active)
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, text: str, k: int, percent: int) -> DataFrame:
-    """(a, b, linked) of pairs of nodes, by their full sets."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    keys = staged(reps.select("node", "text_key").join(sent_if_small(staged(nodes, "setsketch-nodes")), "node"),
-                  "setsketch-keys")
-    texts = docs.select(text_key(text).alias("text_key"), F.col(f"`{text}`").alias("text"))
-    texts = texts.join(sent_if_small(keys), "text_key").select("node", "text").dropDuplicates(["node"])
+class _Search:
+    """What a search has found so far: links, and the components that they make."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = text_bytes(b.column(1))
-            for lo, hi in by_bytes(found, 1 << 20):
-                h, edge = sets_of(found[lo:hi], k)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, hi - lo),
-                     pa.array([h[x:y].tobytes() for x, y in zip(edge, edge[1:])], pa.binary())], names=["node", "set"])
-
-    full = staged(texts.mapInArrow(sets, "node long, set binary"), "setsketch-sets")
+    def __init__(self, reps: DataFrame, docs: DataFrame, text: str, k: int, percent: int):
+        self.reps, self.docs, self.text, self.k, self.percent = reps, docs, text, k, percent
+        self.found: DataFrame | None = None
+        self.components: DataFrame | None = None
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            linked = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-                same = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(100 * same >= percent * (len(x) + len(y) - same))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())],
-                                             names=["a", "b", "linked"])
-
-    a, b = (full.select(F.col("node").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(
-        judge, "a long, b long, linked boolean")
+    def add(self, edges: DataFrame) -> None:
+        """Take in verified links (a, b; written)."""
+        if edges.isEmpty():
+            return
+        self.found = edges if self.found is None else self.found.unionByName(edges)
+        self.components = staged(components(self.found), "setsketch-components")
+
+    def full_sets(self, nodes: DataFrame) -> DataFrame:
+        """(node, set) of the given nodes, from their texts."""
+        k, text = self.k, self.text
+        nodes = staged(nodes.distinct(), "setsketch-nodes")
+        keys = staged(self.reps.select("node", "text_key").join(sent_if_small(nodes), "node"), "setsketch-keys")
+        texts = self.docs.select(text_key(text).alias("text_key"), F.col(f"`{text}`").alias("text"))
+        texts = texts.join(sent_if_small(keys), "text_key").select("node", "text").dropDuplicates(["node"])
+
+        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                found = text_bytes(b.column(1))
+                for lo, hi in by_bytes(found, 1 << 20):
+                    h, edge = sets_of(found[lo:hi], k)
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column(0).slice(lo, hi - lo),
+                         pa.array([h[x:y].tobytes() for x, y in zip(edge, edge[1:])], pa.binary())], names=["node", "set"])
+
+        return staged(texts.mapInArrow(sets, "node long, set binary"), "setsketch-sets")
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """(a, b, linked) of pairs of nodes, by their full sets."""
+        percent = self.percent
+        full = self.full_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")))
+
+        def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                linked = [similar(*(np.frombuffer(s.as_buffer(), np.uint64) for s in both), percent)
+                          for both in zip(batch.column(2), batch.column(3))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())],
+                                                 names=["a", "b", "linked"])
+
+        a, b = (full.select(F.col("node").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
+        return staged(pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(
+            judge, "a long, b long, linked boolean"), "setsketch-judged")
+
+    def run(self, tasks: DataFrame) -> None:
+        """Add the links of the given tasks: a forest of likely pairs first, then what its failed edges hid."""
+        tasks = staged(tasks, "setsketch-tasks")
+        edges = staged(tasks.groupBy("task").applyInPandas(_forest(self.percent, False), EDGES), "setsketch-edges")
+        judged = self.verified(staged(edges.select("a", "b").distinct(), "setsketch-pairs"))
+        self.add(judged.where("linked").select("a", "b"))
+        trees = edges.join(judged.where("NOT linked"), ["a", "b"]).select("task", "tree").distinct()
+        again = edges.join(staged(trees, "setsketch-trees"), ["task", "tree"]).select(
+            "task", F.explode(F.array("comp_a", "comp_b")).alias("comp")).distinct()
+        rows = tasks.join(sent_if_small(staged(again, "setsketch-again")), ["task", "comp"], "left_semi")
+        rows = staged(_with_component(rows.drop("comp"), self.components), "setsketch-rows")
+        if rows.isEmpty():
+            return
+        rows = rows.join(self.full_sets(rows.select("node")), "node")
+        self.add(staged(rows.groupBy("task").applyInPandas(_forest(self.percent, True), EDGES).select("a", "b").distinct(),
+                        "setsketch-exact"))
 
 
 def links(reps: DataFrame, docs: DataFrame, text: str = "text", k: int = SHINGLE_WORDS, percent: int = PERCENT,
-          hot: int = 2_000, task_rows: int = 10_000) -> DataFrame | None:
+          hot: int = 2_000, task_bytes: int = 8 << 20) -> DataFrame | None:
     """(node, root) of every node that has a link; None if there is none. ``reps``: node, n, text_key, sketch (written)."""
-    found, comps, tried = [], None, None
+    search = _Search(reps, docs, text, k, percent)
     for bands in (range(FIRST_BANDS), range(FIRST_BANDS, BANDS)):
-        members = _members(reps, comps, bands, hot, task_rows)
-        dealt = not members.where("bin IS NULL").isEmpty()
-        forests, first = 1, True
-        while True:
-            tasks = _tasks(members, comps, tried, hot, first)
-            edges = staged(tasks.groupBy("task").applyInPandas(_forest(percent, forests), "task string, a long, b long"),
-                           "setsketch-edges")
-            pairs = staged(edges.select("a", "b").distinct(), "setsketch-pairs")
-            judged = staged(_verified(pairs, reps, docs, text, k, percent), "setsketch-judged")
-            failed = judged.where("NOT linked").select("a", "b")
-            if not judged.where("linked").isEmpty():
-                found.append(judged.where("linked").select("a", "b"))
-                every = found[0]
-                for f in found[1:]:
-                    every = every.unionByName(f)
-                comps = staged(components(every), "setsketch-components")
-            again = staged(edges.join(failed, ["a", "b"], "left_semi").select("task").distinct(), "setsketch-again")
-            if again.isEmpty() and not (dealt and first):
-                break
-            lists = failed.groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("tried"))
-            tried = lists if tried is None else tried.unionByName(lists)
-            tried = staged(tried.groupBy("node").agg(F.flatten(F.collect_list("tried")).alias("tried")), "setsketch-tried")
-            # tasks of bins that had a failed pair, and hot buckets that have yet to meet whole, or had one
-            bucket = again.select(F.split_part("task", F.lit(" "), F.lit(1)).alias("kind"),
-                                  F.split_part("task", F.lit(" "), F.lit(2)).alias("at"))
-            bins = bucket.where("kind = 'bin'").select(F.col("at").cast("long").alias("bin")).distinct()
-            small = members.where("bin IS NOT NULL").join(bins, "bin", "left_semi")
-            large = members.where("bin IS NULL")
-            if not first:
-                large = large.join(bucket.where("kind <> 'bin'").select(F.col("kind").cast("long").alias("bucket")).distinct(),
-                                   "bucket", "left_semi")
-            members = staged(small.unionByName(large.select(small.columns)), "setsketch-members")
-            forests, first = 2 * forests, False
-    return comps
+        members = _members(reps, search.components, bands, hot, task_bytes)
+        search.run(_local_tasks(members, search.components))
+        if not members.where("bin IS NULL").isEmpty():
+            search.run(_hot_tasks(members, search.components))
+    return search.components
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE_WORDS,
-                    percent: int = PERCENT, hot: int = 2_000, task_rows: int = 10_000) -> DataFrame:
+                    percent: int = PERCENT, hot: int = 2_000, task_bytes: int = 8 << 20) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
     rows = staged(sketches(docs, doc_id, text, k), "setsketch-rows")
     sets = staged(rows.where("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("low")),
                   "setsketch-digests")
     reps = staged(rows.select(F.col("row").alias("node"), "n", "text_key", "sketch").join(
         sets.select("node"), "node", "left_semi"), "setsketch-nodes")
-    comps = links(reps, docs, text, k, percent, hot, task_rows)
+    comps = links(reps, docs, text, k, percent, hot, task_bytes)
     rooted = staged(_with_component(sets, comps), "setsketch-rooted")
     named = staged(rooted.groupBy("comp").agg(F.min("low").alias("component_id")), "setsketch-named")
     by_digest = staged(rooted.join(named, "comp").select("digest", "component_id"), "setsketch-result")

@@ -64,12 +64,12 @@ def test_matches_brute_force_around_the_threshold(spark, docs_of):
     assert found(got) == brute(rows)
 
 
-@pytest.mark.parametrize("hot, task_rows", [(7, 50), (3, 10), (2_000, 5)])
-def test_hot_buckets_are_met_whole(spark, docs_of, hot, task_rows):
+@pytest.mark.parametrize("hot, task_bytes", [(7, 50_000), (2_000, 8_000)])
+def test_hot_buckets_are_met_whole(spark, docs_of, hot, task_bytes):
     rng = random.Random(hot)
     texts = families(rng, 2, 60, change=(1, 9)) + families(rng, 10, 2)
     rows = list(enumerate(texts))
-    assert found(S.near_duplicates(docs_of(rows).repartition(3), hot=hot, task_rows=task_rows)) == brute(rows)
+    assert found(S.near_duplicates(docs_of(rows).repartition(3), hot=hot, task_bytes=task_bytes)) == brute(rows)
 
 
 def test_odd_rows(spark, docs_of):
