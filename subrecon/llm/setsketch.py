@@ -8,8 +8,8 @@ texts are sketched in pieces. Two sets agree in a register with about the probab
 similarity, which makes bands of registers locality-sensitive.
 
 **Search.** Equal sets are one node. Registers are cut into bands of ``ROWS``; nodes that
-agree in a whole band share a bucket. A pair at the threshold misses all bands once in
-2 * 10^7. Of the pairs in a bucket, those of incompatible sizes are dropped
+agree in a whole band share a bucket; a pair is looked at in the first band in which it agrees.
+A pair at the threshold misses all bands once in 2 * 10^7. Of the pairs in a bucket, those of incompatible sizes are dropped
 exactly; for the others the counts of larger, smaller and equal registers and the two exact set sizes
 give the joint likelihood of the similarity, and a pair is dropped if its most likely similarity is
 below the threshold and ``RATIO`` more likely (in logarithm) than the threshold itself: five
@@ -152,7 +152,7 @@ def _p(x: np.ndarray) -> np.ndarray:
     return -np.log1p(-x * ((BASE - 1) / BASE)) / np.log(BASE)
 
 
-def log_likelihood(j: np.ndarray, larger, smaller, equal, n_a, n_b) -> np.ndarray:
+def log_likelihood(j: np.ndarray | float, larger, smaller, equal, n_a, n_b) -> np.ndarray:
     """Of similarity ``j``, given how often a register of a is larger, smaller, equal, and the set sizes."""
     u = n_a / (n_a + n_b)
     v = 1 - u
@@ -162,7 +162,7 @@ def log_likelihood(j: np.ndarray, larger, smaller, equal, n_a, n_b) -> np.ndarra
             + equal * np.log(np.maximum(1 - a - b, tiny)))
 
 
-def estimated(larger, smaller, equal, n_a, n_b, steps: int = 40) -> np.ndarray:
+def estimated(larger, smaller, equal, n_a, n_b, steps: int = 24) -> np.ndarray:
     """The most likely similarity: the likelihood is concave in it, so a ternary search finds it."""
     lo = np.zeros(len(larger))
     hi = np.minimum(n_a / n_b, n_b / n_a).astype(float)
@@ -175,20 +175,29 @@ def estimated(larger, smaller, equal, n_a, n_b, steps: int = 40) -> np.ndarray:
     return (lo + hi) / 2
 
 
-def compared(sketch: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int,
+def compared(sketch: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, band: np.ndarray, percent: int,
              at_once: int = 1 << 13) -> np.ndarray:
-    """Most likely similarity of each pair of rows, or -1 where the pair is dropped."""
+    """Most likely similarity of each pair of rows, or -1 where the pair is dropped.
+
+    A pair is met in every band in which it agrees; all but the first of them drop it.
+    """
     out = np.full(len(i), -1.0)
-    fits = np.flatnonzero(100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+    bands = sketch.view("<u8")  # ROWS registers of 16 bits
+    met = np.flatnonzero(100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
     least = percent / 100
-    for lo in range(0, len(fits), at_once):
-        at = fits[lo:lo + at_once]
+    for lo in range(0, len(met), at_once):
+        at = met[lo:lo + at_once]
+        at = at[(bands[i[at]] == bands[j[at]]).argmax(axis=1) == band[at]]
         a, b = sketch[i[at]], sketch[j[at]]
         larger, equal = (a > b).sum(axis=1), (a == b).sum(axis=1)
-        counts = (larger, REGISTERS - larger - equal, equal, n[i[at]].astype(float), n[j[at]].astype(float))
-        guess = estimated(*counts)
-        far = log_likelihood(guess, *counts) - log_likelihood(np.full(len(at), least), *counts) > RATIO
-        out[at] = np.where((guess < least) & far, -1.0, guess)
+        counts = [larger, REGISTERS - larger - equal, equal, n[i[at]].astype(float), n[j[at]].astype(float)]
+        # the likelihood is concave, so a few similarities below the threshold bound the best one from below
+        here = log_likelihood(least, *counts)
+        far = np.zeros(len(at), bool)
+        for guess in np.linspace(0, least, 9)[:-1]:
+            far |= log_likelihood(guess, *counts) - here > RATIO
+        at, counts = at[~far], [c[~far] for c in counts]
+        out[at] = estimated(*counts)
     return out
 
 
@@ -211,7 +220,7 @@ def _likeliest(guess: np.ndarray) -> np.ndarray:
     return at[np.argsort(-guess[at], kind="stable")]
 
 
-def _pivots(members: np.ndarray, groups: _Groups, likely, link) -> None:
+def _pivots(members: np.ndarray, groups: _Groups, against) -> None:
     """Forest over one bucket: a member at a time is compared with all of other groups.
 
     Members of the largest group need no turn, once all others had theirs.
@@ -225,17 +234,10 @@ def _pivots(members: np.ndarray, groups: _Groups, likely, link) -> None:
             return
         p = int(left.argmax())
         done[p] = True
-        _against(members[p], members[label != label[p]], groups, likely, link)
-
+        against(members[p], members[label != label[p]])
 
-def _against(p: int, others: np.ndarray, groups: _Groups, likely, link) -> None:
-    """Link ``p`` with each other group that has a likely pair with it."""
-    for o in others[_likeliest(likely(np.full(len(others), p), others))]:
-        if groups.apart(p, o) and link(p, o):
-            groups.join(p, o)
 
-
-def _forest(percent: int, exact: bool, few: int = 16):
+def _forest(percent: int, exact: bool, few: int = 16, at_once: int = 64):
     """Edges of a spanning forest over the pairs of one task's buckets: the likely ones or, with ``exact``, the linked."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -244,41 +246,48 @@ def _forest(percent: int, exact: bool, few: int = 16):
         sketch = np.frombuffer(b"".join(unique["sketch"]), "<u2").reshape(-1, REGISTERS)
         sets = [np.frombuffer(x, np.uint64) for x in unique["set"]] if exact else None
         row = np.searchsorted(nodes, pdf["node"].to_numpy())
-        bucket, probe = pdf["bucket"].to_numpy(), pdf["probe"].to_numpy(bool)
+        bucket, band, probe = pdf["bucket"].to_numpy(), pdf["band"].to_numpy(), pdf["probe"].to_numpy(bool)
         groups, edges = _Groups(comp), []
 
-        def likely(i, j):
-            return compared(sketch, n, i, j, percent)
-
-        def link(a, b) -> bool:
-            if exact and not similar(sets[a], sets[b], percent):
-                return False
+        def link(a: int, b: int) -> None:
             edges.append((min(a, b), max(a, b)))
-            return True
+            groups.join(a, b)
+
+        def against(p: int, others: np.ndarray, of_band: int) -> None:
+            """Link ``p`` with each other group that has a pair with it."""
+            guess = compared(sketch, n, np.full(len(others), p), others, np.full(len(others), of_band), percent)
+            likely = np.flatnonzero(guess >= 0)
+            others = others[likely[np.argsort(-guess[likely], kind="stable")]]
+            while len(others):
+                others = others[groups.label[others] != groups.label[p]]
+                some, others = others[:at_once], others[at_once:]
+                for o in some[similar(sets[p], [sets[o] for o in some], percent)] if exact and len(some) else some:
+                    if groups.apart(p, o):
+                        link(p, o)
 
         own = np.flatnonzero(~probe)
         order = own[np.lexsort((row[own], bucket[own]))]
         if probe.any():  # one hot bucket: nodes outside its largest component against a chunk of it
             chunk = np.unique(row[own])
             for p in np.unique(row[probe]):
-                _against(p, chunk[groups.label[chunk] != groups.label[p]], groups, likely, link)
+                against(p, chunk[groups.label[chunk] != groups.label[p]], band[0])
             order = order[:0]
         small = []
-        for members in np.split(row[order], np.flatnonzero(np.diff(bucket[order])) + 1):
-            members = np.unique(members)
-            if len(members) > few:
-                _pivots(members, groups, likely, link)
-            elif len(members) > 1:
-                small.append(np.stack([members[x] for x in np.triu_indices(len(members), 1)], axis=1))
+        for at in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+            if len(at) > few:
+                _pivots(row[at], groups, lambda p, others, b=band[at[0]]: against(p, others, b))
+            elif len(at) > 1:
+                i, j = np.triu_indices(len(at), 1)
+                small.append(np.stack([row[at[i]], row[at[j]], band[at[i]]], axis=1))
         if small:
-            pairs = np.unique(np.concatenate(small), axis=0)
+            pairs = np.concatenate(small)
             pairs = pairs[groups.label[pairs[:, 0]] != groups.label[pairs[:, 1]]]
-            guess = likely(pairs[:, 0], pairs[:, 1])
+            guess = compared(sketch, n, pairs[:, 0], pairs[:, 1], pairs[:, 2], percent)
             pairs, guess = pairs[guess >= 0], guess[guess >= 0]
             # the likeliest tier first; within it the lowest nodes, so that tasks choose alike
-            for a, b in pairs[np.lexsort((pairs[:, 1], pairs[:, 0], -np.digitize(guess, [0.84, 0.9])))].tolist():
-                if groups.apart(a, b) and link(a, b):
-                    groups.join(a, b)
+            for a, b, _ in pairs[np.lexsort((pairs[:, 1], pairs[:, 0], -np.digitize(guess, [0.84, 0.9])))].tolist():
+                if groups.apart(a, b) and (not exact or similar(sets[a], [sets[b]], percent)[0]):
+                    link(a, b)
         a, b = np.array(edges, np.int64).reshape(-1, 2).T
         return pd.DataFrame({"task": pdf["task"].iloc[0], "tree": groups.label[a], "a": nodes[a], "b": nodes[b],
                              "comp_a": comp[a], "comp_b": comp[b]})
@@ -288,10 +297,13 @@ def _forest(percent: int, exact: bool, few: int = 16):
 EDGES = "task string, tree long, a long, b long, comp_a long, comp_b long"
 
 
-def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    """Whether two sets of distinct values reach the similarity."""
-    same = len(np.intersect1d(x, y, assume_unique=True))
-    return 100 * same >= percent * (len(x) + len(y) - same)
+def similar(x: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
+    """Whether each of the other sets reaches the similarity with ``x`` (none empty; distinct, sorted values)."""
+    size = np.array([len(y) for y in others])
+    every = np.concatenate(others)
+    hit = x[np.minimum(np.searchsorted(x, every), len(x) - 1)] == every
+    same = np.add.reduceat(hit.astype(np.int64), np.cumsum(size) - size)
+    return 100 * same >= percent * (len(x) + size - same)
 
 
 def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE_WORDS) -> DataFrame:
@@ -331,10 +343,10 @@ _ROW = 2 * REGISTERS + 64
 
 
 def _members(reps: DataFrame, comps: DataFrame | None, bands: range, hot: int, task_bytes: int) -> DataFrame:
-    """(bucket, node, n, sketch, chunks, bin) of the nodes of every bucket that holds more than one component."""
+    """(bucket, band, node, n, sketch, chunks, bin) of the nodes of every bucket that holds more than one component."""
     rows = reps.select("node", "n", "sketch",
                        F.explode(F.sequence(F.lit(bands.start), F.lit(bands.stop - 1))).alias("band"))
-    rows = rows.select("node", "n", F.xxhash64("band", F.expr(f"substring(sketch, band * {2 * ROWS} + 1, {2 * ROWS})"))
+    rows = rows.select("node", "n", "band", F.xxhash64("band", F.expr(f"substring(sketch, band * {2 * ROWS} + 1, {2 * ROWS})"))
                        .alias("bucket"))
     size, weight = F.count("*"), F.sum(8 * F.col("n") + _ROW)
     many = _with_component(rows, comps).groupBy("bucket").agg(
@@ -342,7 +354,8 @@ def _members(reps: DataFrame, comps: DataFrame | None, bands: range, hot: int, t
         F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     # written, so that both sides of the join are shuffles and a hot bucket can be split
     many = staged(many.where("lo < hi").select("bucket", "chunks"), "setsketch-buckets")
-    found = staged(rows.join(sent_if_small(many), "bucket").select("bucket", "node", "n", "chunks"), "setsketch-found")
+    found = staged(rows.join(sent_if_small(many), "bucket").select("bucket", "band", "node", "n", "chunks"),
+                   "setsketch-found")
     total = found.where("chunks = 1").agg(F.sum(8 * F.col("n") + _ROW)).first()[0] or 0
     bins = max(1, -(-total // task_bytes))
     wide = found.join(reps.select("node", "sketch"), "node")
@@ -357,7 +370,7 @@ def _with_component(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
     return rows.join(sent_if_small(comps), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
 
 
-_OWN = ["bucket", "node", "n", "sketch", "comp"]
+_OWN = ["bucket", "band", "node", "n", "sketch", "comp"]
 
 
 def _local_tasks(members: DataFrame, comps: DataFrame | None) -> DataFrame:
@@ -427,8 +440,8 @@ class _Search:
 
         def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                linked = [similar(*(np.frombuffer(s.as_buffer(), np.uint64) for s in both), percent)
-                          for both in zip(batch.column(2), batch.column(3))]
+                both = [[np.frombuffer(s.as_buffer(), np.uint64) for s in batch.column(c)] for c in (2, 3)]
+                linked = [bool(similar(x, [y], percent)[0]) for x, y in zip(*both)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())],
                                                  names=["a", "b", "linked"])
 
@@ -438,7 +451,6 @@ class _Search:
 
     def run(self, tasks: DataFrame) -> None:
         """Add the links of the given tasks: a forest of likely pairs first, then what its failed edges hid."""
-        tasks = staged(tasks, "setsketch-tasks")
         edges = staged(tasks.groupBy("task").applyInPandas(_forest(self.percent, False), EDGES), "setsketch-edges")
         judged = self.verified(staged(edges.select("a", "b").distinct(), "setsketch-pairs"))
         self.add(judged.where("linked").select("a", "b"))
@@ -455,7 +467,7 @@ class _Search:
 
 
 def links(reps: DataFrame, docs: DataFrame, text: str = "text", k: int = SHINGLE_WORDS, percent: int = PERCENT,
-          hot: int = 2_000, task_bytes: int = 8 << 20) -> DataFrame | None:
+          hot: int = 500, task_bytes: int = 8 << 20) -> DataFrame | None:
     """(node, root) of every node that has a link; None if there is none. ``reps``: node, n, text_key, sketch (written)."""
     search = _Search(reps, docs, text, k, percent)
     for bands in (range(FIRST_BANDS), range(FIRST_BANDS, BANDS)):
@@ -467,7 +479,7 @@ def links(reps: DataFrame, docs: DataFrame, text: str = "text", k: int = SHINGLE
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE_WORDS,
-                    percent: int = PERCENT, hot: int = 2_000, task_bytes: int = 8 << 20) -> DataFrame:
+                    percent: int = PERCENT, hot: int = 500, task_bytes: int = 8 << 20) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
     rows = staged(sketches(docs, doc_id, text, k), "setsketch-rows")
     sets = staged(rows.where("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("low")),

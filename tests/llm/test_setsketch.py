@@ -64,7 +64,7 @@ def test_matches_brute_force_around_the_threshold(spark, docs_of):
     assert found(got) == brute(rows)
 
 
-@pytest.mark.parametrize("hot, task_bytes", [(7, 50_000), (2_000, 8_000)])
+@pytest.mark.parametrize("hot, task_bytes", [(7, 50_000), (500, 8_000)])
 def test_hot_buckets_are_met_whole(spark, docs_of, hot, task_bytes):
     rng = random.Random(hot)
     texts = families(rng, 2, 60, change=(1, 9)) + families(rng, 10, 2)
