@@ -19,8 +19,7 @@ standard deviations.
 group: two documents need no check once they are known to hang together.
 Forest edges are verified on full sets, recomputed from the texts of the nodes involved. Where an edge fails,
 the nodes of its tree go to the task again, now with their full sets, and every likely pair of them that is not yet
-connected is judged there exactly; so a failed edge hides no link. The first ``FIRST_BANDS`` bands go first,
-and the others then only look at buckets that hold more than one component.
+connected is judged there exactly; so a failed edge hides no link.
 
 **Hot buckets.** A bucket of more than ``hot`` nodes, or of larger sets than a task should hold, is dealt in
 chunks, each joined with itself; then every node outside the bucket's largest component is sent to every
@@ -53,7 +52,6 @@ PERCENT = 80
 REGISTERS = 128
 ROWS = 4
 BANDS = REGISTERS // ROWS
-FIRST_BANDS = 8
 BASE = 1.001
 RATE = 20.0
 TOP = 65_535
@@ -342,18 +340,16 @@ def text_key(text: str) -> Column:
 _ROW = 2 * REGISTERS + 64
 
 
-def _members(reps: DataFrame, comps: DataFrame | None, bands: range, hot: int, task_bytes: int) -> DataFrame:
-    """(bucket, band, node, n, sketch, chunks, bin) of the nodes of every bucket that holds more than one component."""
-    rows = reps.select("node", "n", "sketch",
-                       F.explode(F.sequence(F.lit(bands.start), F.lit(bands.stop - 1))).alias("band"))
+def _members(reps: DataFrame, hot: int, task_bytes: int) -> DataFrame:
+    """(bucket, band, node, n, sketch, chunks, bin) of the nodes of every bucket that holds more than one."""
+    rows = reps.select("node", "n", "sketch", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
     rows = rows.select("node", "n", "band", F.xxhash64("band", F.expr(f"substring(sketch, band * {2 * ROWS} + 1, {2 * ROWS})"))
                        .alias("bucket"))
     size, weight = F.count("*"), F.sum(8 * F.col("n") + _ROW)
-    many = _with_component(rows, comps).groupBy("bucket").agg(
-        F.greatest(F.ceil(size / hot), F.ceil(weight / task_bytes)).cast("int").alias("chunks"),
-        F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    many = rows.groupBy("bucket").agg(
+        F.greatest(F.ceil(size / hot), F.ceil(weight / task_bytes)).cast("int").alias("chunks"), size.alias("nodes"))
     # written, so that both sides of the join are shuffles and a hot bucket can be split
-    many = staged(many.where("lo < hi").select("bucket", "chunks"), "setsketch-buckets")
+    many = staged(many.where("nodes > 1").drop("nodes"), "setsketch-buckets")
     found = staged(rows.join(sent_if_small(many), "bucket").select("bucket", "band", "node", "n", "chunks"),
                    "setsketch-found")
     total = found.where("chunks = 1").agg(F.sum(8 * F.col("n") + _ROW)).first()[0] or 0
@@ -373,9 +369,9 @@ def _with_component(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
 _OWN = ["bucket", "band", "node", "n", "sketch", "comp"]
 
 
-def _local_tasks(members: DataFrame, comps: DataFrame | None) -> DataFrame:
+def _local_tasks(members: DataFrame) -> DataFrame:
     """Rows of every task: the buckets of a bin, and the chunks of hot buckets."""
-    rows = _with_component(members, comps)
+    rows = members.withColumn("comp", F.col("node"))
     chunk = F.pmod(F.xxhash64("node"), F.col("chunks"))
     task = F.when(F.col("bin").isNull(), F.concat_ws(" ", "bucket", chunk)).otherwise(F.concat(F.lit("bin "), F.col("bin")))
     return rows.select(task.alias("task"), *_OWN, F.lit(False).alias("probe"))
@@ -400,19 +396,28 @@ def _hot_tasks(members: DataFrame, comps: DataFrame | None) -> DataFrame:
 
 
 class _Search:
-    """What a search has found so far: links, and the components that they make."""
+    """What a search has found so far: the components that its links make."""
 
     def __init__(self, reps: DataFrame, docs: DataFrame, text: str, k: int, percent: int):
         self.reps, self.docs, self.text, self.k, self.percent = reps, docs, text, k, percent
-        self.found: DataFrame | None = None
         self.components: DataFrame | None = None
 
     def add(self, edges: DataFrame) -> None:
-        """Take in verified links (a, b; written)."""
+        """Take in verified links (a, b; written): components over those known so far, then over all nodes."""
+        for end in "ab":
+            edges = _with_component(edges.withColumnRenamed(end, "node"), self.components).drop("node").withColumnRenamed(
+                "comp", end)
+        edges = staged(edges.where("a <> b").distinct(), "setsketch-links")
         if edges.isEmpty():
             return
-        self.found = edges if self.found is None else self.found.unionByName(edges)
-        self.components = staged(components(self.found), "setsketch-components")
+        new = staged(components(edges), "setsketch-joined")
+        if self.components is not None:
+            old = self.components.select("node", F.col("root").alias("was"))
+            moved = old.join(new.select(F.col("node").alias("was"), "root"), "was", "left").select(
+                "node", F.coalesce("root", "was").alias("root"))
+            # roots that joined others and nodes that had no link are in no row of the old table
+            new = staged(moved.unionByName(new.join(old.select("node"), "node", "left_anti")), "setsketch-components")
+        self.components = new
 
     def full_sets(self, nodes: DataFrame) -> DataFrame:
         """(node, set) of the given nodes, from their texts."""
@@ -453,28 +458,27 @@ class _Search:
         """Add the links of the given tasks: a forest of likely pairs first, then what its failed edges hid."""
         edges = staged(tasks.groupBy("task").applyInPandas(_forest(self.percent, False), EDGES), "setsketch-edges")
         judged = self.verified(staged(edges.select("a", "b").distinct(), "setsketch-pairs"))
-        self.add(judged.where("linked").select("a", "b"))
+        found = judged.where("linked").select("a", "b")
         trees = edges.join(judged.where("NOT linked"), ["a", "b"]).select("task", "tree").distinct()
-        again = edges.join(staged(trees, "setsketch-trees"), ["task", "tree"]).select(
+        again = edges.join(trees, ["task", "tree"]).select(
             "task", F.explode(F.array("comp_a", "comp_b")).alias("comp")).distinct()
-        rows = tasks.join(sent_if_small(staged(again, "setsketch-again")), ["task", "comp"], "left_semi")
-        rows = staged(_with_component(rows.drop("comp"), self.components), "setsketch-rows")
-        if rows.isEmpty():
-            return
-        rows = rows.join(self.full_sets(rows.select("node")), "node")
-        self.add(staged(rows.groupBy("task").applyInPandas(_forest(self.percent, True), EDGES).select("a", "b").distinct(),
-                        "setsketch-exact"))
+        rows = staged(tasks.join(sent_if_small(staged(again, "setsketch-again")), ["task", "comp"], "left_semi"),
+                      "setsketch-rows")
+        if not rows.isEmpty():
+            rows = rows.join(self.full_sets(rows.select("node")), "node")
+            exact = rows.groupBy("task").applyInPandas(_forest(self.percent, True), EDGES)
+            found = staged(found.unionByName(exact.select("a", "b")), "setsketch-found")
+        self.add(found)
 
 
 def links(reps: DataFrame, docs: DataFrame, text: str = "text", k: int = SHINGLE_WORDS, percent: int = PERCENT,
           hot: int = 500, task_bytes: int = 8 << 20) -> DataFrame | None:
     """(node, root) of every node that has a link; None if there is none. ``reps``: node, n, text_key, sketch (written)."""
     search = _Search(reps, docs, text, k, percent)
-    for bands in (range(FIRST_BANDS), range(FIRST_BANDS, BANDS)):
-        members = _members(reps, search.components, bands, hot, task_bytes)
-        search.run(_local_tasks(members, search.components))
-        if not members.where("bin IS NULL").isEmpty():
-            search.run(_hot_tasks(members, search.components))
+    members = _members(reps, hot, task_bytes)
+    search.run(_local_tasks(members))
+    if not members.where("bin IS NULL").isEmpty():
+        search.run(_hot_tasks(members, search.components))
     return search.components
 
 
