@@ -379,7 +379,7 @@ def _local_tasks(members: DataFrame) -> DataFrame:
 
 def _hot_tasks(members: DataFrame, comps: DataFrame | None) -> DataFrame:
     """Tiles of hot buckets: a chunk, and a block of the nodes outside the bucket's largest component."""
-    large = _with_component(members.where("bin IS NULL"), comps)
+    large = staged(_with_component(members.where("bin IS NULL"), comps), "setsketch-large")  # read three times
     by_comp = large.groupBy("bucket", "comp").agg(F.count("*").alias("c"), F.max("chunks").alias("chunks"))
     main = by_comp.groupBy("bucket").agg(
         F.max_by("comp", F.struct("c", "comp")).alias("main"),
