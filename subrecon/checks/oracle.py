@@ -448,3 +448,15 @@ SQL |= {
                                        + SQL["reconciliation_summary"] + ")"),
     "two_period_comparison": f"WITH {FIXTURES},{RELATIONS}{_period(_GIVEN)}",
 }
+
+
+def _job_month(first: str, last: str) -> str:
+    """What one monthly run of the job adds to ``metrics``."""
+    days = FIXTURES.replace(_LI, f"{_LI[:-1]} WHERE CAST(l_shipdate AS DATE) BETWEEN DATE '{first}' AND DATE '{last}')")
+    return " UNION ALL ".join(
+        f"SELECT '{report}' AS report, *, round(percent, 2) AS percent_rounded, '{first}/{last}' AS period, "
+        f"'{first}_{last}' AS run_period FROM ({SQL[report].replace(FIXTURES, days)})"
+        for report in ("recovery_rate", "contradiction_matrix"))
+
+
+SQL["job_metrics"] = " UNION ALL ".join([_job_month("1995-03-01", "1995-03-31"), _job_month("1995-04-01", "1995-04-30")])

@@ -15,7 +15,8 @@ LEAD_COLUMNS = (RESPONSE_RECORD, CLICK_RECORD, "order_no", "ordered_upc", "picke
                 "sub_upc", "status", "sub_status", "store_code")
 
 
-def reconciled(flagged: DataFrame, pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def reconciled(flagged: DataFrame, pairs: DataFrame, by: Sequence[str] = (),
+               sides: DataFrame | None = None) -> DataFrame:
     """Left join of flagged substitutions with exploded click pairs.
 
     Keys: order_no = order_id, ordered_upc = upc, picked_upc = sub_upc
@@ -23,14 +24,16 @@ def reconciled(flagged: DataFrame, pairs: DataFrame, by: Sequence[str] = ()) ->
     join ``click_record`` has three states: 'YES', 'NO', or null when no
     click row matched. Output: the two flags, the keys, both answers,
     the substitution's store, the carried click attributes (those present),
-    then ``by``. A hot key is split whichever side it is hot on.
+    then ``by``. A hot key is split whichever side it is hot on. ``sides`` is the ``evidence_keys``
+    that ``flagged`` was made with, if any: its click bit then tells which keys have no click.
     """
     carried = [c for c in CLICK_CARRIED if c in pairs.columns]
     clicks = pairs.select(
         F.col("order_id").alias("order_no"), F.col("upc").alias("ordered_upc"), F.col("sub_upc").alias("picked_upc"),
         *by, "sub_upc", "sub_status", CLICK_RECORD, *carried)
     left = flagged.select(*SUB_KEYS, *by, RESPONSE_RECORD, "status", "store_code")
-    return left_join(left, clicks, [*SUB_KEYS, *by], own_shuffle=True).select(*LEAD_COLUMNS, *carried, *by)
+    return left_join(left, clicks, [*SUB_KEYS, *by], own_shuffle=True,
+                     sides=sides, bit=2).select(*LEAD_COLUMNS, *carried, *by)
 
 
 def unanswered(rec: DataFrame) -> DataFrame:
@@ -62,6 +65,18 @@ def response_statuses(flagged: DataFrame) -> DataFrame:
     return flagged.select("status").distinct()
 
 
+def statuses_of_responses(substitutions: DataFrame, responses: DataFrame) -> DataFrame:
+    """``response_statuses`` without the flagged rows.
+
+    The statuses of responses whose key is some substitution's, plus null when some substitution has
+    no response: one left join of the distinct substitution keys with the distinct (key, ``status``), where
+    a hot key is one row a status.
+    """
+    keys = list(SUB_KEYS)
+    return substitutions.select(*keys).distinct().join(
+        responses.select(*keys, "status").distinct(), keys, "left").select("status").distinct()
+
+
 def click_statuses(substitutions: DataFrame, pairs: DataFrame) -> DataFrame:
     """Distinct clickstream ``sub_status`` values of the reconciled rows.
 

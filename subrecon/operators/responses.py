@@ -13,11 +13,22 @@ from subrecon.functions.values import (
     RESPONSE_STORE,
     SUB_KEYS,
 )
-from subrecon.operators.joins import left_join
+from subrecon.operators.joins import left_join, presence
 
 KEYS = list(SUB_KEYS)
 
 
+def evidence_keys(substitutions: DataFrame, responses: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Which substitution keys have a response and which a click pair, in one aggregation.
+
+    ``pairs`` may be the exploded clicks before de-duplication: duplicate
+    rows do not change whether a key has a pair.
+    """
+    clicks = pairs.select(F.col("order_id").alias("order_no"), F.col("upc").alias("ordered_upc"),
+                          F.col("sub_upc").alias("picked_upc"))
+    return presence([substitutions, responses, clicks], KEYS)
+
+
 def responses_in_scope(response_events: DataFrame) -> DataFrame:
     """Responses without the partner division, store and date renamed.
 
@@ -68,16 +79,16 @@ def responses_without_substitution(substitutions: DataFrame, responses: DataFram
     return responses.join(substitutions.select(*KEYS).distinct(), KEYS, "left_anti")
 
 
-def response_flagged(substitutions: DataFrame, responses: DataFrame) -> DataFrame:
+def response_flagged(substitutions: DataFrame, responses: DataFrame, sides: DataFrame | None = None) -> DataFrame:
     """Every substitution with its response status, if any (left join).
 
     ``response_record`` is 'NO' when the joined ``status`` is null, which
     includes a matched response whose status itself is null. A key with
     several responses yields several rows. A hot key is split whichever side
-    it is hot on.
+    it is hot on. ``sides`` is an ``evidence_keys`` to share with ``reconciled``.
     """
     return (
-        left_join(substitutions.select(*KEYS, "store_code"), responses.select(*KEYS, "status"), KEYS)
+        left_join(substitutions.select(*KEYS, "store_code"), responses.select(*KEYS, "status"), KEYS, sides=sides)
         .withColumn(RESPONSE_RECORD, presence_flag("status"))
         .select(*KEYS, "status", RESPONSE_RECORD, "store_code")
     )

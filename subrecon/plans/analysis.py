@@ -20,7 +20,15 @@ from pyspark.sql import functions as F
 
 from subrecon import operators as ops
 from subrecon.plans import reports as R
-from subrecon.plans.stats import key_stats, register_weights, register_weights_one_pass, upc_counts
+from subrecon.plans.stats import (
+    evidence_by_store,
+    flagged_weights,
+    key_stats,
+    register_weights,
+    register_weights_by_store,
+    register_weights_one_pass,
+    upc_counts,
+)
 from subrecon.sources.contracts import ContractError
 from subrecon.sources.period import Period, labels_of, month_of
 from subrecon.sources.tables import Evidence
@@ -52,9 +60,19 @@ class Reconciliation:
     def response_flagged(self) -> DataFrame:
         return ops.response_flagged(self.ev.substitution_events, self.responses)
 
+    @cached_property
+    def evidence_keys(self) -> DataFrame:
+        return ops.evidence_keys(self.ev.substitution_events, self.responses, ops.exploded_clicks(self.click_subs))
+
     @cached_property
     def reconciled(self) -> DataFrame:
-        return ops.reconciled(self.response_flagged, self.click_pairs)
+        keys = self.evidence_keys
+        flagged = ops.response_flagged(self.ev.substitution_events, self.responses, keys)
+        return ops.reconciled(flagged, self.click_pairs, sides=keys)
+
+    @property
+    def flagged_weights(self) -> DataFrame:
+        return flagged_weights(self.stats_for("R"))
 
     @cached_property
     def unanswered(self) -> DataFrame:
@@ -192,7 +210,7 @@ def period_comparison(ev: Evidence, period_col: str = "period", periods: Sequenc
     Every dated input gets ``period`` = month of its own date (or the label of
     each given period that holds the date), which joins the substitution key.
     That gives exactly the figures of one run per period (each source cut to
-    it, then joined) in a single pass. Rows with no date belong to no period.
+    it, then joined) in a single pass (``evidence_by_store``). Rows with no date belong to no period.
     Clicks need an ``event_date``. ``pairs`` are monthly click pairs already made.
     """
     def per(df: DataFrame, c: str) -> DataFrame:
@@ -207,7 +225,8 @@ def period_comparison(ev: Evidence, period_col: str = "period", periods: Sequenc
     clicks = per(ev.clicks, "event_date")
     if pairs is None:
         pairs = ops.click_pairs(ops.click_subs(clicks, extras=[period_col]))
-    stats = key_stats(subs, resp, partner, pairs, by=[period_col], raw_clicks=clicks)
-    register = ops.register_counts(register_weights_one_pass(subs, resp, pairs, [period_col]),
+    evidence = evidence_by_store(subs, resp, partner, pairs, period_col)
+    register = ops.register_counts(register_weights_by_store(evidence, period_col),
                                    per(ev.transactions, "transaction_date"), [period_col])
-    return R.period_table(stats, period_col, register, upc_counts(stats, clicks, ev.products, [period_col]))
+    upc = upc_counts(evidence.where("once"), clicks, ev.products, [period_col])
+    return R.period_figures(evidence, register, upc, period_col)

@@ -9,6 +9,8 @@ derived input tables (open period). Array columns are shown as
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +18,9 @@ from pyspark.sql import functions as F
 
 from subrecon import operators as ops
 from subrecon.functions.expressions import rounded
+from subrecon.plans import job
 from subrecon.plans.analysis import Reconciliation
+from subrecon.session import checkpoint_dir
 from subrecon.sources.fixtures import fixture_evidence
 from subrecon.sources.period import OPEN, Period
 
@@ -48,7 +52,7 @@ BUILDERS: dict[str, Builder] = {
     "click_subs": lambda r: _flat(r.click_subs),
     "click_pairs": lambda r: r.click_pairs,
     "click_channels": lambda r: ops.distinct_values(r.ev.clicks, "channel"),
-    "response_statuses": lambda r: ops.response_statuses(r.response_flagged),
+    "response_statuses": lambda r: ops.statuses_of_responses(r.ev.substitution_events, r.responses),
     "click_statuses": lambda r: ops.click_statuses(r.ev.substitution_events,
                                                    ops.exploded_clicks(r.click_subs)),
     # response side (F1, P3-P5, J1-J5)
@@ -74,8 +78,8 @@ BUILDERS: dict[str, Builder] = {
     "engaged_orders": lambda r: r.engaged_orders(),
     "order_register_profile": lambda r: r.order_register_profile(),
     # product lookups (J8-J12)
-    "upc_map_ordered": lambda r: ops.upc_map_ordered(r.response_flagged, r.ev.products),
-    "upc_map_picked": lambda r: ops.upc_map_picked(r.response_flagged, r.ev.products),
+    "upc_map_ordered": lambda r: ops.upc_map_weighted(r.flagged_weights, "ordered_upc", r.ev.products),
+    "upc_map_picked": lambda r: ops.upc_map_weighted(r.flagged_weights, "picked_upc", r.ev.products),
     "upc_map_click": lambda r: ops.upc_map_click(r.click_subs, r.ev.products),
     "upc_map_click_base": lambda r: ops.upc_map_click_base(r.click_subs, r.ev.products),
     "upc_map_click_sub": lambda r: ops.upc_map_click_sub(r.click_pairs, r.ev.products),
@@ -106,7 +110,21 @@ MONTH = Period.of("1995-03-01", "1995-03-31")
 #: Two given periods, not calendar months.
 PAIR = (Period.of("1994-02-10", "1994-08-20"), Period.of("1995-02-10", "1995-08-20"))
 
+#: The months that ``job_metrics`` runs, and their reports.
+JOB_MONTHS = (MONTH, Period.of("1995-04-01", "1995-04-30"))
+JOB_REPORTS = ("recovery_rate", "contradiction_matrix")
+
+
+def job_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ``metrics`` that two monthly runs of the job, the first of them repeated, have left in one output."""
+    out = os.path.join(checkpoint_dir(spark), f"subrecon-output-{uuid.uuid4().hex}")
+    for period in (*JOB_MONTHS, JOB_MONTHS[0]):
+        job.run(spark, fixture_evidence(spark, sf_dir, period), out, reports=JOB_REPORTS)
+    return spark.read.parquet(os.path.join(out, "metrics"))
+
+
 BOUNDED: dict[str, Query] = {
+    "job_metrics": job_metrics,
     "substitution_events_month": _in(MONTH, lambda r: r.ev.substitution_events),
     "response_events_month": _in(MONTH, lambda r: r.ev.response_events),
     "partner_events_month": _in(MONTH, lambda r: r.ev.partner_events),

@@ -11,6 +11,11 @@ report is then one small job. Row-level relations (unanswered, contradictions wi
 ``contradiction_class``, ...) are written only with ``--relations``. The
 ``metrics`` table gathers the long-format reports with a 2-decimal
 ``percent_rounded`` for display.
+
+Each output table is a folder with one partition ``run_period=<period>`` a period: runs of
+several periods share one output, and a rerun replaces its own partition only, also where it
+has no rows left (which a dynamic partition overwrite would leave as they were). Reading the
+table's folder gives the rows of all runs.
 """
 
 from __future__ import annotations
@@ -41,8 +46,14 @@ REGISTER_REPORTS = ("contradiction_register_check", "unanswered_register_rate",
 TABLE_REPORTS = ("engaged_orders", "order_register_profile", "key_fanout_audit", "period_comparison")
 
 
-def _write(df: DataFrame, path: str, mode: str, single_file: bool = False) -> None:
+PARTITION = "run_period"
+
+
+def _write(df: DataFrame, output: str, name: str, period: Period, mode: str, single_file: bool = False) -> str:
+    """Write the run's partition of an output table; returns its path."""
+    path = f"{output.rstrip('/')}/{name}/{PARTITION}={period.folder}"
     (df.coalesce(1) if single_file else df).write.mode(mode).parquet(path)
+    return path
 
 
 def materialize(spark: SparkSession, df: DataFrame, path: str, mode: str = "overwrite") -> DataFrame:
@@ -53,12 +64,21 @@ def materialize(spark: SparkSession, df: DataFrame, path: str, mode: str = "over
 
 def run(spark: SparkSession, ev: Evidence, output: str, *, relations: bool = False,
         reports: Sequence[str] | None = None, mode: str = "overwrite") -> dict[str, str]:
-    """Compute and write the reports; returns ``{name: path}``.
+    """Compute and write the reports; returns ``{name: path}``, the run's partition of each table.
 
     Only the stage tables that the wanted outputs share are built, in a
-    folder of this run below the checkpoint folder, which is removed after success.
-    The clicks are exploded and de-duplicated once.
+    folder of this run below the checkpoint folder, which is removed at the end, whether the run succeeds or
+    fails. The clicks are exploded and de-duplicated once.
     """
+    stages = os.path.join(checkpoint_dir(spark), f"subrecon-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}")
+    try:
+        return _run(spark, ev, output, stages, relations, reports, mode)
+    finally:
+        delete_folder(spark, stages)
+
+
+def _run(spark: SparkSession, ev: Evidence, output: str, stages: str, relations: bool,
+         reports: Sequence[str] | None, mode: str) -> dict[str, str]:
     rec = Reconciliation(ev)
     wanted = set(reports) if reports else set(LONG_REPORTS + FLAG_REPORTS + TABLE_REPORTS)
     undated = "event_date" not in ev.clicks.columns
@@ -68,7 +88,6 @@ def run(spark: SparkSession, ev: Evidence, output: str, *, relations: bool = Fal
         wanted.discard("period_comparison")
     monthly = "period_comparison" in wanted and not ev.period.month
     counted = bool(wanted - {"click_coverage"} - ({"period_comparison"} if monthly else set()))
-    stages = os.path.join(checkpoint_dir(spark), f"subrecon-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}")
     stage = lambda name, df: materialize(spark, df, os.path.join(stages, name), mode)
     written: dict[str, str] = {}
     if monthly:
@@ -78,6 +97,8 @@ def run(spark: SparkSession, ev: Evidence, output: str, *, relations: bool = Fal
         rec.click_pairs = pairs.drop("period").dropDuplicates()
     elif counted or relations:
         rec.click_pairs = stage("click_pairs", rec.click_pairs)
+    if relations:  # from the staged pairs, not from the clicks again
+        rec.evidence_keys = ops.evidence_keys(ev.substitution_events, rec.responses, rec.click_pairs)
     if counted:
         rec.with_stats(stage("key_stats", rec.stats))
     if wanted & set(REGISTER_REPORTS):
@@ -88,19 +109,17 @@ def run(spark: SparkSession, ev: Evidence, output: str, *, relations: bool = Fal
         if name not in wanted:
             continue
         df = getattr(rec, name)()
-        path = os.path.join(output, name)
-        _write(df, path, mode, single_file=name not in ("engaged_orders", "period_comparison"))
-        written[name] = path
+        written[name] = _write(df, output, name, ev.period, mode,
+                               single_file=name not in ("engaged_orders", "period_comparison"))
         if name in LONG_REPORTS:
-            long_frames.append(spark.read.parquet(path).select(F.lit(name).alias("report"), "*"))
+            long_frames.append(spark.read.parquet(written[name]).select(F.lit(name).alias("report"), "*"))
     if long_frames:
         metrics = long_frames[0]
         for f in long_frames[1:]:
             metrics = metrics.unionByName(f)
-        path = os.path.join(output, "metrics")
         metrics = metrics.withColumn("percent_rounded", rounded("percent", 2))
-        _write(metrics.withColumn("period", F.lit(ev.period.label())), path, mode, single_file=True)
-        written["metrics"] = path
+        written["metrics"] = _write(metrics.withColumn("period", F.lit(ev.period.label())), output, "metrics", ev.period,
+                                    mode, single_file=True)
 
     if relations:
         rec.reconciled = stage("reconciled", rec.reconciled)
@@ -109,13 +128,13 @@ def run(spark: SparkSession, ev: Evidence, output: str, *, relations: bool = Fal
             "response_flagged": rec.response_flagged,
             "answered_in_both": ops.answered_in_both(rec.reconciled),
             "recovered_from_clicks": ops.recovered_from_clicks(rec.reconciled),
-            "upc_map_ordered": ops.upc_map_ordered(rec.response_flagged, ev.products),
-            "upc_map_picked": ops.upc_map_picked(rec.response_flagged, ev.products),
+            "upc_map_ordered": ops.upc_map_weighted(rec.flagged_weights, "ordered_upc", ev.products),
+            "upc_map_picked": ops.upc_map_weighted(rec.flagged_weights, "picked_upc", ev.products),
             "upc_map_click": ops.upc_map_click(rec.click_subs, ev.products),
             "upc_map_click_base": ops.upc_map_click_base(rec.click_subs, ev.products),
             "upc_map_click_sub": ops.upc_map_click_sub(rec.click_pairs, ev.products),
             "click_channels": ops.distinct_values(ev.clicks, "channel"),
-            "response_statuses": ops.response_statuses(rec.reconciled),
+            "response_statuses": ops.statuses_of_responses(ev.substitution_events, rec.responses),
             "click_statuses": ops.distinct_values(rec.reconciled, "sub_status"),
             "unanswered": rec.unanswered,
             "contradictions": rec.contradictions.withColumn("contradiction_class", answer_class()),
@@ -125,10 +144,7 @@ def run(spark: SparkSession, ev: Evidence, output: str, *, relations: bool = Fal
                 ev.substitution_events, rec.responses),
         }
         for name, df in rel.items():
-            path = os.path.join(output, "relations", name)
-            _write(df, path, mode)
-            written[f"relations/{name}"] = path
-    delete_folder(spark, stages)
+            written[f"relations/{name}"] = _write(df, os.path.join(output, "relations"), name, ev.period, mode)
     return written
 
 

@@ -13,14 +13,14 @@ Long-format reports have the columns
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from subrecon.functions.expressions import COUNT, count_where, exact, percent, published
 from subrecon.functions.values import CLICK_RECORD, NO, RESPONSE_RECORD, YES
-from subrecon.plans.stats import totals
-
+from subrecon.plans.stats import sum_exact, totals
 
 
 def _long(one_row: DataFrame, rows: Sequence[tuple[str, str, str | None]]) -> DataFrame:
@@ -180,11 +180,11 @@ def upc_mapping_coverage(upc: DataFrame) -> DataFrame:
     """
     gsum = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast(COUNT)
     agg = upc.agg(
-        gsum(F.col("w_o") * F.col("g")).alias("ordered_hit"), gsum(F.col("w_o")).alias("ordered_all"),
-        gsum(F.col("w_p") * F.col("g")).alias("picked_hit"), gsum(F.col("w_p")).alias("picked_all"),
-        gsum(F.col("w_c") * F.col("g")).alias("click_hit"), gsum(F.col("w_c")).alias("click_all"),
+        _row_sum("w_o", "g").alias("ordered_hit"), _row_sum("w_o").alias("ordered_all"),
+        _row_sum("w_p", "g").alias("picked_hit"), _row_sum("w_p").alias("picked_all"),
+        _row_sum("w_c", "g").alias("click_hit"), _row_sum("w_c").alias("click_all"),
         gsum(F.when(F.col("b") > 0, F.col("w_c")).otherwise(F.lit(0))).alias("click_base_hit"),
-        gsum(F.col("w_s") * F.col("g")).alias("click_sub_hit"), gsum(F.col("w_s")).alias("click_sub_all"),
+        _row_sum("w_s", "g").alias("click_sub_hit"), _row_sum("w_s").alias("click_sub_all"),
     )
     return _long(agg, [
         ("ordered_upc_gtin", "ordered_hit", "ordered_all"),
@@ -211,6 +211,38 @@ PERIOD_UPC = {"ordered_upc_mapped": ("w_o", "g"), "picked_upc_mapped": ("w_p", "
 PERIOD_UPC_ALL = {"response_flagged_rows": "w_o", "click_pairs": "w_s"}
 
 
+def _row_sum(weight: str, times: str | None = None) -> Column:
+    """Exact sum of a weight, or of its products with a count: BIGINT where both are small."""
+    w, few = F.col(weight), F.col(weight) <= 1_000_000
+    if times is None:
+        return sum_exact(few, w.cast("bigint"), w)
+    return sum_exact(few & (F.col(times) <= 1_000), w.cast("bigint") * F.col(times).cast("bigint"), w * exact(times))
+
+
+def period_figures(evidence: DataFrame, register: DataFrame, upc: DataFrame, period_col: str) -> DataFrame:
+    """``period_table`` from ``evidence_by_store`` and the register and UPC counts that descend from it.
+
+    Each is summed per period, and the three are put side by side by one more sum. Clicks are counted by
+    their UPC, so they are read once.
+    """
+    hit = lambda w, d: sum_exact((F.col(d) > 0) & (F.col(w) <= 1_000_000), F.col(w).cast("bigint"),
+                                 F.when(F.col(d) > 0, F.col(w)))
+    sums = [
+        totals(evidence.where("once"), PERIOD_METRICS, by=[period_col]).withColumn("__present", F.lit(1)),
+        register.groupBy(period_col).agg(*[(_row_sum(w, "lines") if lines else hit(w, "lines")).alias(n)
+                                           for n, (w, lines) in PERIOD_REGISTER.items()]),
+        upc.groupBy(period_col).agg(
+            *[(_row_sum(w, d) if d == "g" else hit(w, d)).alias(n) for n, (w, d) in PERIOD_UPC.items()],
+            *[_row_sum(w).alias(n) for n, w in PERIOD_UPC_ALL.items()],
+            _row_sum("w_c").alias("clicks"), _row_sum("w_a").alias("clicks_with_answer")),
+    ]
+    names = (*PERIOD_METRICS, "clicks", "clicks_with_answer", *PERIOD_REGISTER, *PERIOD_UPC, *PERIOD_UPC_ALL)
+    u = reduce(DataFrame.unionByName, [d.select(period_col, *[
+        (F.col(n) if n in d.columns else F.lit(None)).cast(COUNT).alias(n) for n in (*names, "__present")]) for d in sums])
+    t = u.groupBy(period_col).agg(*[F.coalesce(F.sum(n), F.lit(0)).cast(COUNT).alias(n) for n in (*names, "__present")])
+    return _period_columns(t.where((F.col("__present") > 0) | (F.col("clicks") > 0)), period_col, names)
+
+
 def period_table(stats: DataFrame, period_col: str, register: DataFrame, upc: DataFrame) -> DataFrame:
     """All figures, one row per period (wide format), from per-key counts
     (with the raw-click coverage groups), register counts and UPC counts keyed
@@ -233,6 +265,11 @@ def period_table(stats: DataFrame, period_col: str, register: DataFrame, upc: Da
                                     for n in (*names, "__present")]) for d in (from_stats, from_register, from_upc)]
     t = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy(period_col).agg(
         *[total(F.col(n)).alias(n) for n in (*names, "__present")]).where(F.col("__present") > 0)
+    return _period_columns(t, period_col, names)
+
+
+def _period_columns(t: DataFrame, period_col: str, names: Sequence[str]) -> DataFrame:
+    """Published counts and their shares."""
     return t.select(
         period_col, *[published(n, n).alias(n) for n in names],
         percent("without_response", "substitutions").alias("pct_without_response"),

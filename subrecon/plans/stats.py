@@ -23,7 +23,7 @@ tag), so it counts as unmatched exactly as the join would treat it.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -103,12 +103,12 @@ def key_stats(substitutions: DataFrame, responses: DataFrame | None = None,
 
 
 # --- per-key row counts of the reference joins, as column expressions -------
-def terms() -> dict[str, Column]:
-    """Row count, per ``key_stats`` row, of each relation the reports count."""
-    s, r, p, c = (exact(x) for x in ("s", "r", "p", "c"))
-    r_answered = r - exact("r_null")             # response rows with a status
-    c_answered = c - exact("c_null")             # click rows with a sub_status
-    r_missing = exact("r_null") + none_to_one(r)  # left-join rows with null status
+def terms(number: Callable[[str], Column] = exact) -> dict[str, Column]:
+    """Row count, per ``key_stats`` row, of each relation the reports count; ``number`` makes a count a factor."""
+    s, r, p, c = (number(x) for x in ("s", "r", "p", "c"))
+    r_answered = r - number("r_null")             # response rows with a status
+    c_answered = c - number("c_null")             # click rows with a sub_status
+    r_missing = number("r_null") + none_to_one(r)  # left-join rows with null status
     t = {
         "substitutions": s,
         "responses_in_scope": r,
@@ -123,10 +123,10 @@ def terms() -> dict[str, Column]:
         "unanswered": s * r_missing * at_least_one(c),
         "recovered_from_clicks": s * r_missing * c_answered,
         "answered_in_both": s * r_answered * c_answered,
-        "accept_vs_rejected": s * exact("r_accept") * exact("c_rejected"),
-        "reject_vs_accepted": s * exact("r_reject") * exact("c_accepted"),
-        "accept_vs_accepted": s * exact("r_accept") * exact("c_accepted"),
-        "reject_vs_rejected": s * exact("r_reject") * exact("c_rejected"),
+        "accept_vs_rejected": s * number("r_accept") * number("c_rejected"),
+        "reject_vs_accepted": s * number("r_reject") * number("c_accepted"),
+        "accept_vs_accepted": s * number("r_accept") * number("c_accepted"),
+        "reject_vs_rejected": s * number("r_reject") * number("c_rejected"),
         "clicks": F.col("k"),
         "clicks_with_answer": F.col("k_answered"),
     }
@@ -144,13 +144,33 @@ def unanswered_rows_per_sub() -> Column:
     return (exact("r_null") + none_to_one(F.col("r"))) * at_least_one(exact("c"))
 
 
+#: Products of three counts up to this stay below 2^24, so BIGINT holds the sum of 5 * 10^11 of them.
+SMALL_COUNT = 255
+
+
+def sum_exact(small: Column, fast: Column, slow: Column) -> Column:
+    """Exact sum: ``fast`` (BIGINT) over the rows whose factors are ``small``, ``slow`` (exact) over the others."""
+    small = F.coalesce(small, F.lit(False))
+    part = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast(COUNT)
+    return (part(F.when(small, fast)) + part(F.when(~small, slow))).cast(COUNT)
+
+
 def totals(stats: DataFrame, names: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Sum the named ``terms()`` over ``stats`` (grouped by ``by``, if any), exactly."""
-    t = terms()
-    aggs = [F.coalesce(F.sum(t[n]), F.lit(0)).cast(COUNT).alias(n) for n in names]
+    """Sum the named ``terms()`` over ``stats`` (grouped by ``by``, if any), exactly.
+
+    Almost all keys have few rows: their products are BIGINTs, and only those of hot keys are DECIMALs.
+    """
+    small = F.greatest("s", "r", "p", "c") <= SMALL_COUNT
+    fast, slow = terms(F.col), terms()
+    aggs = [sum_exact(small, fast[n], slow[n]).alias(n) for n in names]
     return stats.groupBy(*by).agg(*aggs) if by else stats.agg(*aggs)
 
 
+def flagged_weights(stats: DataFrame) -> DataFrame:
+    """Substitution keys with the number ``n`` of flagged rows (``response_flagged``) of each, from counts with responses."""
+    return stats.where(F.col("s") > 0).select(*SUB_KEYS, (exact("s") * at_least_one(exact("r"))).cast(COUNT).alias("n"))
+
+
 def register_weights(substitutions: DataFrame, stats: DataFrame) -> DataFrame:
     """Substitutions per register key, weighted by the reconciled rows each
     yields that are contradictions or unanswered.
@@ -226,6 +246,50 @@ def register_weights_one_pass(substitutions: DataFrame, responses: DataFrame,
     )
 
 
+def evidence_by_store(substitutions: DataFrame, responses: DataFrame, partner_events: DataFrame, pairs: DataFrame,
+                      by: str) -> DataFrame:
+    """The counts of every key and ``by`` value, on one row for each of the key's stores.
+
+    The evidence is counted once per (key, ``by``, store): substitutions keep their store, the other sources
+    have none. A window over the key then puts the key's counts (``COUNTS``) on each of its rows; ``once`` marks one
+    row of each key, ``is_sub`` those of a store, with its substitutions in ``subs``. So totals,
+    register weights and UPC weights all descend from this one aggregation: every column of it is used below
+    whatever is selected, so that Spark shuffles it once and reuses that exchange.
+    """
+    keys = [*SUB_KEYS, by]
+    sub_k = [F.col(k) for k in keys]
+    click_k = [F.col(k) for k in ("order_id", "upc", "sub_upc", by)]
+    one = F.lit(1).cast("bigint")
+    st, ss = F.col("status"), F.col("sub_status")
+    own_store = [F.lit(True).alias("is_sub"), F.col("store_code")]
+    no_store = [F.lit(False).alias("is_sub"), F.lit(None).cast("string").alias("store_code")]
+    u = _side(substitutions, "S", keys, sub_k, own_store, s=one)
+    for part in (
+        _side(responses, "R", keys, sub_k, no_store, r=one, r_null=_ind(st.isNull()),
+              r_accept=_ind(st == RESPONSE_ACCEPT), r_reject=_ind(st == RESPONSE_REJECT)),
+        _side(partner_events, "P", keys, sub_k, no_store, p=one),
+        _side(pairs, "C", keys, click_k, no_store, c=one, c_null=_ind(ss.isNull()),
+              c_accepted=_ind(ss == CLICK_ACCEPTED), c_rejected=_ind(ss == CLICK_REJECTED)),
+    ):
+        u = u.unionByName(part)
+    counts = [c for c in COUNTS if c not in ("k", "k_answered")]
+    per_store = u.groupBy(*keys, "null_side", "is_sub", "store_code").agg(
+        *[F.sum(c).cast("bigint").alias(c) for c in counts])
+    same = Window.partitionBy(*keys, "null_side")
+    place = F.struct("is_sub", "store_code")
+    return per_store.select(
+        *keys, "store_code", "is_sub", F.col("s").alias("subs"), place.eqNullSafe(F.min(place).over(same)).alias("once"),
+        *[F.sum(c).over(same).alias(c) for c in counts]).where(sum(map(F.col, counts), F.lit(0)) > 0)
+
+
+def register_weights_by_store(evidence: DataFrame, by: str) -> DataFrame:
+    """``register_weights`` per ``by`` value, from ``evidence_by_store``."""
+    return evidence.where("is_sub").select(
+        "order_no", F.col("picked_upc").alias("gtin_no"), "store_code",
+        (exact("subs") * contradiction_rows_per_sub()).cast(COUNT).alias("contra_rows"),
+        (exact("subs") * unanswered_rows_per_sub()).cast(COUNT).alias("unans_rows"), by)
+
+
 def upc_counts(stats: DataFrame, clicks: DataFrame, products: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Per UPC: rows of each feed carrying it, and product-dimension hits.
 
@@ -233,30 +297,33 @@ def upc_counts(stats: DataFrame, clicks: DataFrame, products: DataFrame, by: Seq
     ``w_s``: click pairs by substitute UPC; all three come from the per-key
     counts (``stats`` with responses and clicks), since a click pair's
     substitute UPC is the picked-UPC part of its key. ``w_c``: clickstream
-    rows by ordered UPC (one column of the raw clicks); ``g`` / ``b``:
+    rows by ordered UPC (one column of the raw clicks), ``w_a``: those with an answer; ``g`` / ``b``:
     products with that GTIN / base UPC. One aggregation over a union, no
     join with the dimension (whose size is not bounded by anything we
     control). ``by`` columns of ``stats`` and ``clicks`` split the weights;
     products belong to every ``by`` value, so a window over the UPC (one row a
     ``by`` value) puts their counts on each.
     """
-    zero = F.lit(0)
     one = F.lit(1)
-    names = ("w_o", "w_p", "w_c", "w_s", "g", "b")
+    products_of = ("w_o", "w_p")  # of two counts: exact; the others count rows, so their sums fit BIGINT
+    names = (*products_of, "w_c", "w_a", "w_s", "g", "b")
 
     def row(upc: Column, dated: bool = True, **w: Column) -> Column:
         label = [F.col(b) if dated else F.lit(None).cast("string").alias(b) for b in by]
-        return F.struct(upc.alias("upc"), *label, *[(w.get(n, zero)).cast(COUNT).alias(n) for n in names])
+        # what a row does not add is null, not 0: sums pass nulls by
+        return F.struct(upc.alias("upc"), *label, *[w.get(n, F.lit(None)).cast(
+            COUNT if n in products_of else "bigint").alias(n) for n in names])
 
     def part(df: DataFrame, *rows: Column) -> DataFrame:
         """Each input row yields ``rows`` (one pass, one scan, however many uses)."""
-        return df.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+        return df.select(F.explode(F.array(*rows)).alias("x")).select("x.*") if len(rows) > 1 else df.select(
+            rows[0].alias("x")).select("x.*")
 
     flagged_rows = exact("s") * at_least_one(exact("r"))
     parts = [
         part(stats, row(F.col("ordered_upc"), w_o=flagged_rows),
              row(F.col("picked_upc"), w_p=flagged_rows, w_s=F.col("c"))),
-        part(clicks, row(F.col("upc"), w_c=one)),
+        part(clicks, row(F.col("upc"), w_c=one, w_a=_ind(F.col("sub_status").isNotNull()))),
         # a product key that is null can never match, so it is dropped
         part(products, row(F.col("con_upc_no"), False, g=one), row(F.col("bas_con_upc_no"), False, b=one))
         .where(F.col("upc").isNotNull()),
@@ -264,7 +331,7 @@ def upc_counts(stats: DataFrame, clicks: DataFrame, products: DataFrame, by: Seq
     u = parts[0]
     for q in parts[1:]:
         u = u.unionByName(q)
-    counts = u.groupBy("upc", *by).agg(*[F.sum(n).cast(COUNT).alias(n) for n in names])
+    counts = u.groupBy("upc", *by).agg(*[F.coalesce(F.sum(n), F.lit(0)).cast(COUNT).alias(n) for n in names])
     if not by:
         return counts
     same = Window.partitionBy("upc")

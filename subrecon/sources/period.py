@@ -60,6 +60,11 @@ class Period:
         one = s is not None and e is not None and (s.year, s.month) == (e.year, e.month)
         return f"{s.year:04d}-{s.month:02d}" if one else None
 
+    @property
+    def folder(self) -> str:
+        """The label as a folder name."""
+        return self.label().replace("/", "_")
+
     def label(self) -> str:
         return f"{self.start or '..'}/{self.end or '..'}"
 

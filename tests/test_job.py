@@ -171,3 +171,39 @@ def test_one_report_builds_no_stage(spark, sf_small, tmp_path, monkeypatch):
     monkeypatch.setattr(job, "materialize", lambda *a, **k: pytest.fail("a stage was built"))
     written = job.run(spark, fixture_evidence(spark, sf_small), str(tmp_path / "out"), reports=["click_coverage"])
     assert set(written) == {"click_coverage"}
+
+
+def test_two_months_share_one_output(spark, sf_small, tmp_path):
+    """A run replaces its own partition only; the table's folder has the rows of both."""
+    from subrecon.sources.period import Period
+
+    out = str(tmp_path / "shared")
+    months = [Period.of("1995-03-01", "1995-03-31"), Period.of("1995-04-01", "1995-04-30")]
+
+    def run(period):
+        job.run(spark, fixture_evidence(spark, sf_small, period), out,
+                reports=("contradiction_matrix", "period_comparison", "order_register_profile"))
+        return {t: sorted(map(tuple, spark.read.parquet(f"{out}/{t}").collect()), key=repr)
+                for t in ("contradiction_matrix", "period_comparison", "order_register_profile", "metrics")}
+
+    first, both, again = run(months[0]), run(months[1]), run(months[0])
+    assert both == again
+    for t, rows in first.items():
+        assert rows and set(rows) < set(both[t]), t
+    assert {r["run_period"] for r in spark.read.parquet(f"{out}/metrics").collect()} == {p.folder for p in months}
+    # a rerun that has no rows left leaves none behind
+    empty = fixture_evidence(spark, sf_small, months[0])
+    from dataclasses import replace
+    empty = replace(empty, substitution_events=empty.substitution_events.limit(0), transactions=empty.transactions.limit(0))
+    job.run(spark, empty, out, reports=("order_register_profile",))
+    assert {r["run_period"] for r in spark.read.parquet(f"{out}/order_register_profile").collect()} == {months[1].folder}
+
+
+def test_stages_are_removed_when_a_run_fails(spark, sf_small, tmp_path, monkeypatch):
+    def fail(*args, **kwargs):
+        raise RuntimeError("no room")
+
+    monkeypatch.setattr(job, "_write", fail)
+    with pytest.raises(RuntimeError, match="no room"):
+        job.run(spark, fixture_evidence(spark, sf_small), str(tmp_path / "x"), reports=("recovery_rate",))
+    assert not [d for d in os.listdir(spark.conf.get("spark.checkpoint.dir")) if d.startswith("subrecon-local")]

@@ -79,3 +79,52 @@ def test_no_forced_broadcast(rec):
     for df in (rec.reconciled, ops.upc_map_ordered(rec.response_flagged, rec.ev.products)):
         logical = df._jdf.queryExecution().analyzed().toString()
         assert "broadcast" not in logical.lower()
+
+
+#: Most shuffles, joins and scans of a plan over Parquet inputs with broadcast off.
+LIMITS = {
+    "response_flagged": (4, 2, 4), "responses_right_join": (4, 2, 4), "response_statuses": (4, 1, 2),
+    "reconciled": (8, 4, 6), "unanswered": (8, 4, 6), "contradictions": (5, 2, 3),
+    "unanswered_on_register": (10, 5, 7), "upc_map_ordered": (4, 1, 3), "upc_map_picked": (4, 1, 3),
+    "period_comparison": (10, 0, 7),
+}
+
+
+@pytest.fixture(scope="module")
+def written(spark, rec, tmp_path_factory):
+    import os
+
+    from subrecon.plans.analysis import Reconciliation
+    from subrecon.sources.tables import TABLES, Evidence
+
+    d = str(tmp_path_factory.mktemp("inputs"))
+    for t in TABLES:
+        getattr(rec.ev, t).write.parquet(os.path.join(d, t))
+    return lambda: Reconciliation(Evidence.read(spark, d))
+
+
+@pytest.mark.parametrize("name", LIMITS)
+def test_shuffles_joins_and_scans(spark, written, name):
+    from subrecon.plans.catalog import BUILDERS
+
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "-1")
+        qe = BUILDERS[name](written())._jdf.queryExecution()
+        qe.toRdd().count()
+        plan = qe.executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.set(key, old)
+    reused = plan.count("ReusedExchange")
+    plan = re.sub(r"\bReusedExchange.*", "", plan)
+    shuffles = len(re.findall(r"\bExchange (?:hashpartitioning|SinglePartition|RoundRobin)", plan))
+    joins, scans = len(re.findall(r"\bSortMergeJoin\b", plan)), plan.count("FileScan parquet")
+    assert (shuffles, joins, scans) <= LIMITS[name] and joins <= LIMITS[name][1] and scans <= LIMITS[name][2], plan
+    if name in ("response_flagged", "responses_right_join"):
+        assert reused == 1  # the left side meets the right side and the keys that it lacks over one exchange
+    if name in ("reconciled", "unanswered"):
+        # so it does twice here, and one aggregation says which keys lack a response and which a click
+        assert reused == 3
+    if name == "period_comparison":
+        assert reused >= 2  # totals, register and UPC figures descend from one exchange
