@@ -15,7 +15,7 @@ task ever holds more than ``group_pieces`` or ``fan_in * carry`` pieces,
 whatever the input. Each round is written to shared storage.
 
 Defined results: a null text counts as empty, an empty text is the end id
-alone; rows with the same id are separate documents and both are packed;
+alone; a text of any length is encoded whole, also one of millions of white-space characters; rows with the same id are separate documents and both are packed;
 ties in length are broken by place in the group; other columns are ignored;
 an empty table gives no pieces.
 """
@@ -37,6 +37,8 @@ from subrecon.llm.common import by_bytes, staged
 
 CAPACITY = 2048
 END_ID = 0
+#: White space as the pattern's ``\\s`` has it, and the length from which a run of it is encoded by itself.
+LONG_SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{10000,}")
 PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
 def byte_of_char() -> dict[str, int]:
     """The byte that each character of a byte-level vocabulary stands for: printable bytes
@@ -66,6 +68,9 @@ class Encoder:
         byte = byte_of_char()
         ranks = {bytes(byte[c] for c in t): i for t, i in file["model"]["vocab"].items() if t not in own}
         self.bpe = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        # a run of white space is one piece, but for its last character where a word follows; a run of
+        # a million would exhaust the pattern's stack, so long ones are cut out and encoded as the piece that they are
+        self.long_space = LONG_SPACE if pattern.endswith(r"|\s+(?!\S)|\s+") and r"\s*" not in pattern else None
         self.added, self.cuts = {}, None
         if added and own:
             for t in file["added_tokens"]:
@@ -75,12 +80,22 @@ class Encoder:
             self.added = own
             self.cuts = re.compile(f"({'|'.join(map(re.escape, sorted(own, key=len, reverse=True)))})")
 
+    def _plain(self, text: str) -> list[int]:
+        """Ids of a text without added tokens."""
+        ids, done = [], 0
+        for run in self.long_space.finditer(text) if self.long_space and len(text) >= 10_000 else ():
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            ids += self.bpe.encode_ordinary(text[done:run.start()])
+            ids += self.bpe._encode_single_piece(text[run.start():end])
+            done = end
+        return ids + self.bpe.encode_ordinary(text[done:])
+
     def _ids(self, text: str) -> list[int]:
         parts = self.cuts.split(text) if self.cuts else [text]
-        ids = self.bpe.encode_ordinary(parts[0])
+        ids = self._plain(parts[0])
         for token, after in zip(parts[1::2], parts[2::2]):
             ids.append(self.added[token])
-            ids += self.bpe.encode_ordinary(after)
+            ids += self._plain(after)
         return ids
 
     def ids(self, texts: list[str]) -> list[bytes]:

@@ -140,3 +140,20 @@ def test_query_takes_added_tokens(spark, docs_of, unchanged):
 def test_added_tokens_in_any_text(unchanged, added_encoder, parts):
     text = "".join(parts)
     assert np.frombuffer(added_encoder.ids([text])[0], "<u4").tolist() == unchanged.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("run", [" " * 3_000_000, "\n" * 3_000_000, "\r\n" * 1_500_000, " \n\t" * 1_000_000, "\u3000" * 400_000])
+def test_long_white_space(run):
+    """A run of white space is cut out of the pattern's way, and gives the ids of the unchanged tokenizer."""
+    t = Tokenizer.from_file(PATH)
+    encoder = packing.Encoder(PATH, public_tokenizers.PATTERN, added=True)
+    for text in (run, run + "x", "x" + run, f"a b{run}c  d{run[:20_000]} .", f"{run[:15_000]}<|endoftext|>{run[:12_000]}\x1cq"):
+        assert encoder._ids(text) == t.encode(text, add_special_tokens=False).ids
+
+
+def test_long_white_space_is_packed(spark, docs_of):
+    docs = docs_of([" " * 1_000_000 + "x", "\n" * 1_200_000, "a"])
+    pieces = packing.tokenise(docs, PATH, public_tokenizers.PATTERN, added=True)
+    rows = packing.pack(staged(pieces, "test-pieces")).collect()
+    check_sequences(rows)
+    assert {r["doc_id"] for r in rows} == {0, 1, 2}
