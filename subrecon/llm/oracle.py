@@ -5,7 +5,6 @@ from __future__ import annotations
 from subrecon.llm.decontamination import SLACK
 from subrecon.llm.quality_rules import RULES, STOP_WORDS
 from subrecon.llm.substring_dedup import MIN_WORDS, UNITS
-from subrecon.llm.warc_derivatives import TEXT_STEPS
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -69,15 +68,28 @@ FROM documents LEFT JOIN g USING (doc_id)
 """
 
 
-def _text_steps(column: str) -> str:
+def _page_text(column: str) -> str:
+    """Plain text of a page, written for DuckDB's own functions: one alternative per hidden element, references by number
+    through ``chr``."""
+    hidden = [f"<{e}(?:[[:space:]/>].*?</{e}[[:space:]]*>|[[:space:]/>].*|$)"
+              for e in ("script", "style", "title", "noscript", "template")]
     out = f"coalesce({column}, '')"
-    for pattern, to in TEXT_STEPS:
-        out = f"regexp_replace({out}, '{pattern}', {_literal(to)}, 'g')"
-    return out
-
-
-def _literal(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'" if "\n" not in s else "chr(10)"
+    out = f"regexp_replace({out}, '(?is){'|'.join(['<!--(?:.*?-->|.*)', *hidden])}', ' ', 'g')"
+    blocks = "p div li ul ol h1 h2 h3 h4 h5 h6 tr table article section nav header footer".replace(" ", "|")
+    out = f"regexp_replace({out}, '(?i)<br[[:space:]]*/?>|</(?:{blocks})[[:space:]]*>', chr(10), 'g')"
+    out = f"regexp_replace({out}, '</?[A-Za-z!?][^<>]*>?', '', 'g')"
+    number = ("CASE WHEN regexp_matches(p, '^0*[0-9]{1,7};') THEN regexp_extract(p, '^0*([0-9]{1,7});', 1)::BIGINT "
+              "WHEN regexp_matches(p, '^[xX]0*[0-9A-Fa-f]{1,6};') "
+              "THEN ('0x' || regexp_extract(p, '^[xX]0*([0-9A-Fa-f]{1,6});', 1))::BIGINT END")
+    char = (f"CASE WHEN coalesce({number}, 0) BETWEEN 1 AND 1114111 AND NOT {number} BETWEEN 55296 AND 57343 "
+            f"THEN chr(({number})::INTEGER) || substr(p, strpos(p, ';') + 1) ELSE '&#' || p END")
+    out = (f"list_aggregate(list_transform(string_split({out}, '&#'), lambda p, i: CASE WHEN i = 1 THEN p ELSE {char} END), "
+           "'string_agg', '')")
+    for name, to in (("nbsp", "' '"), ("lt", "'<'"), ("gt", "'>'"), ("quot", "'\"'"), ("apos", "chr(39)"), ("amp", "'&'")):
+        out = f"replace({out}, '&{name};', {to})"
+    out = f"regexp_replace({out}, '[ \\t\\r]+', ' ', 'g')"
+    out = f"regexp_replace({out}, ' ?\\n[ \\n]*', chr(10), 'g')"
+    return f"trim({out}, ' ' || chr(10))"
 
 
 def _uuid(text: str) -> str:
@@ -88,7 +100,7 @@ _CRLF = "chr(13) || chr(10)"
 OP9 = rf"""
 WITH s AS (SELECT url, coalesce(html, '') AS h, '2024-01-01T00:00:00Z' AS date FROM pages),
 r AS (SELECT {_uuid("concat_ws(chr(10), 'response', coalesce(url, ''), date, h)")} AS refers_to, url AS target_uri, date, h,
-      octet_length(encode(h)) AS n, 'sha256:' || sha256(h) AS source_payload_digest, {_text_steps("h")} AS t FROM s),
+      octet_length(encode(h)) AS n, 'sha256:' || sha256(h) AS source_payload_digest, {_page_text("h")} AS t FROM s),
 b AS (SELECT *, 'metadata' AS record_type, 'application/warc-fields' AS content_type,
    'source-content-length: ' || n || {_CRLF} || 'source-payload-digest: ' || source_payload_digest || {_CRLF}
    || 'converted-content-length: ' || octet_length(encode(t)) || {_CRLF}

@@ -14,7 +14,8 @@ Everything is a projection of built-in functions: no shuffle, no state.
 Defined results: a null URI, header or date leaves its header line out; a
 null or empty payload gives an empty block (Content-Length 0), whose digest
 is that of no bytes; responses without an identifier get one from URI, date
-and payload; repeated rows give repeated records; other columns are left out;
+and payload; repeated rows give repeated records; a payload of any length is read whole, at a cost in
+proportion to it, and elements, comments and tags without an end are closed by the end of the text; other columns are left out;
 an empty table gives no records.
 """
 
@@ -27,23 +28,54 @@ CRLF = "\r\n"
 RECORD_COLUMNS = ("record_id", "record_type", "refers_to", "target_uri", "date", "content_type",
                   "content_length", "block_digest", "source_payload_digest", "block")
 
-#: Steps from HTML to text, in order: what is not content, block ends, other tags, entities, white space.
-TEXT_STEPS = (
-    (r"(?is)<!--.*?-->", " "),
-    (r"(?is)<(script|style|head|noscript|template)\b.*?</(script|style|head|noscript|template)\s*>", " "),
+#: Elements whose content is no text of the page.
+HIDDEN = ("script", "style", "title", "noscript", "template")
+#: Steps from HTML to text, in order: comments and hidden elements (whichever begins first; without an end they reach
+#: to the end of the text), block ends, other tags (a tag begins with a letter, ``/`` and a letter, ``!`` or ``?``).
+#: No pattern looks at a character more than a few times, whatever the text.
+TAG_STEPS = (
+    ("(?is)<!--(?:.*?-->|.*)" + "".join(rf"|<{e}(?:[\s/>].*?</{e}\s*>|[\s/>].*|$)" for e in HIDDEN), " "),
     (r"(?i)<br\s*/?>|</(p|div|li|ul|ol|h[1-6]|tr|table|article|section|nav|header|footer)\s*>", "\n"),
-    (r"(?s)<[^>]*>", ""),
-    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"),
+    (r"</?[A-Za-z!?][^<>]*>?", ""),
+)
+#: Named character references that are decoded, the ampersand last.
+NAMED = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"))
+SPACE_STEPS = (
     (r"[ \t\r]+", " "),
     (r" ?\n[ \n]*", "\n"),
     (r"^[ \n]+|[ \n]+$", ""),
 )
 
 
+def numeric_references(text: Column) -> Column:
+    """``&#38;`` and ``&#x26;`` as the characters that they stand for.
+
+    Numbers that are no character (0, surrogates, beyond 10FFFF) stay as they are written.
+    """
+    pieces = F.split(text, "&#", -1)
+
+    def decoded(piece: Column) -> Column:
+        decimal = F.regexp_extract(piece, r"^0*([0-9]{1,7});", 1)
+        hexadecimal = F.regexp_extract(piece, r"^[xX]0*([0-9A-Fa-f]{1,6});", 1)
+        number = F.when(decimal != "", decimal.cast("long")).when(
+            hexadecimal != "", F.conv(hexadecimal, 16, 10).cast("long"))
+        known = (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(known, number)), 8, "0")), "UTF-32")
+        return F.when(known, F.concat(char, F.regexp_replace(piece, "^[^;]*;", ""))).otherwise(F.concat(F.lit("&#"), piece))
+
+    return F.concat(F.get(pieces, F.lit(0)), F.array_join(
+        F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), decoded), ""))
+
+
 def html_text(html: Column) -> Column:
     """Plain text of an HTML payload; null counts as empty."""
     out = F.coalesce(html, F.lit(""))
-    for pattern, to in TEXT_STEPS:
+    for pattern, to in TAG_STEPS:
+        out = F.regexp_replace(out, pattern, to)
+    out = F.when(F.contains(out, F.lit("&#")), numeric_references(out)).otherwise(out)
+    for name, to in NAMED:
+        out = F.replace(out, F.lit(name), F.lit(to))
+    for pattern, to in SPACE_STEPS:
         out = F.regexp_replace(out, pattern, to)
     return out
 

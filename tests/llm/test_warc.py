@@ -54,3 +54,35 @@ def test_repeats_empty_table_extra_columns(spark):
     got = wd.derive(df).collect()
     assert len(got) == 4 and len({r["record_id"] for r in got}) == 2
     assert wd.derive(df.limit(0)).count() == 0
+
+
+def texts(spark, payloads):
+    df = spark.createDataFrame(list(enumerate(payloads)), "i int, h string")
+    return [r[0] for r in df.orderBy("i").select(wd.html_text(df["h"])).collect()]
+
+
+def test_text_of_pages(spark):
+    cases = {
+        "<head><style>a > b</style><title>MYTITLE</title></head>hi": "hi",
+        '<script>var s="</style>"; LEAKED=1</script>seen': "seen",
+        "5 < 6 and 7 > 3": "5 < 6 and 7 > 3",
+        "a<!-- <script> -->b<script><!-- </script>c": "a b c",
+        "x<!-- never closed": "x", "x<script>never closed": "x", "x<SCRIPT": "x", "<scripty>y</scripty>": "y",
+        "<p>one</p><p>two<br/>three</p>": "one\ntwo\nthree",
+        "&lt;b&gt; &amp;amp; &amp;#39; &#39;&#x41;&#x1F600;&#233;&nbsp;&quot;&apos;": "<b> &amp; &#39; 'A\U0001F600é \"'",
+        "&#0; &#xD800; &#1114112; &#99999999; &#x; &# &#65": "&#0; &#xD800; &#1114112; &#99999999; &#x; &# &#65",
+        "<!DOCTYPE html><html lang='é'>é</html><?xml version?>": "é", "a <b": "a", "<": "<", "": "", None: "",
+        "  a \t b \r\n \n c  ": "a b\nc",
+    }
+    assert dict(zip(cases, texts(spark, list(cases)))) == cases
+
+
+def test_long_payloads_cost_their_length(spark):
+    import time
+
+    began = time.time()
+    n = 1_000_000
+    got = texts(spark, ["<" * n, "<!--" * (n // 4), "<script" * (n // 7), "<script>" * (n // 8), "<a" * (n // 2), "&#" * (n // 2),
+                        "</script " * (n // 9), "<b " + "x " * n, " \n" * (n // 2), "&#39;" * (n // 5), "<p>" + "w </p>" * (n // 6)])
+    assert time.time() - began < 60
+    assert [len(x) for x in got] == [n, 0, 0, 0, 0, n, 0, 0, 0, n // 5, 2 * (n // 6) - 1]
