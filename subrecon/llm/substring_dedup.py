@@ -15,7 +15,8 @@ only (AQE splits a hot digest; no row meets more than one row), one grouping
 of the repeated units by document, one join back to the texts. Nothing is
 broadcast by hint or collected.
 
-Defined results: null and empty texts have no units and pass unchanged; a
+Defined results: null and empty texts have no units and pass unchanged; a text of any length is
+read whole, and costs in proportion to its length and units; a
 null id ranks before all others; rows with the same id and the same text
 rank alike, so each keeps what the first keeps; repeats inside a document
 count like repeats across documents; other columns pass through; an empty
@@ -27,9 +28,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from subrecon.llm.common import staged
@@ -107,22 +109,25 @@ def repeated_units(u: DataFrame) -> DataFrame:
 def removable_spans(repeats: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Per document, its removable runs as ``removed`` array<struct<start,end>>.
 
-    Grouped by document: the list is bounded by that document's own units.
+    Neighbours have the same place minus rank, so one sort by document finds the runs; rows of the same id and text
+    share their ranks. The list is bounded by the document's own runs.
     """
-    s = F.col("__u")
-    listed = repeats.groupBy(*KEY).agg(F.sort_array(F.collect_set(F.struct("at", "start", "end", "words"))).alias("__u"))
-    empty = F.array().cast("array<struct<at:int,start:int,end:int,words:int>>")
-    # fold neighbours (consecutive ``at``) into one run; runs are prepended, so the last is at hand
-    runs = F.aggregate(s, empty, lambda acc, x: F.when(
-        (F.size(acc) > 0) & (F.get(acc, F.lit(0)).getField("at") + 1 == x.getField("at")),
-        F.concat(F.array(F.struct(x.getField("at").alias("at"), F.get(acc, F.lit(0)).getField("start").alias("start"),
-                                  x.getField("end").alias("end"),
-                                  (F.get(acc, F.lit(0)).getField("words") + x.getField("words")).alias("words"))),
-                 F.slice(acc, F.lit(2), F.greatest(F.size(acc) - 1, F.lit(0)))),
-    ).otherwise(F.concat(F.array(x), acc)))
-    long = F.filter(F.col("__runs"), lambda x: x.getField("words") >= min_words)
-    return listed.withColumn("__runs", runs).select(*KEY, F.reverse(F.transform(long, lambda x: F.struct(
-        x.getField("start").alias("start"), x.getField("end").alias("end")))).alias("removed")).where("size(removed) > 0")
+    by_place = Window.partitionBy(*KEY).orderBy("at")
+    rows = repeats.withColumn("__run", F.col("at") - F.dense_rank().over(by_place)).withColumn(
+        "__new", ~F.col("at").eqNullSafe(F.lag("at").over(by_place)))
+    runs = rows.groupBy(*KEY, "__run").agg(F.min("start").alias("start"), F.max("end").alias("end"),
+                                           F.sum(F.when(F.col("__new"), F.col("words"))).alias("words"))
+    return runs.where(F.col("words") >= min_words).groupBy(*KEY).agg(
+        F.sort_array(F.collect_list(F.struct("start", "end"))).alias("removed"))
+
+
+def without(text: str, start: list[int], end: list[int]) -> str:
+    """``text`` without the given spans (code points, ascending)."""
+    return "".join(text[a:b] for a, b in zip([0, *end], [*start, len(text)]))
+
+
+def _cut(text: pd.Series, start: pd.Series, end: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else without(t, a, b) for t, a, b in zip(text, start, end)])
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", unit: str = "sentence",
@@ -141,12 +146,10 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", unit: str
                     F.xxhash64(t).alias("__th"))
     j = d.join(spans, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__th") == F.col("__t")), "left")
     r = F.col("__r")
-    # what stays lies between the removed spans
     n = F.length(t)
-    pieces = F.transform(F.sequence(F.lit(0), F.size(r)), lambda k: F.substring(
-        t, F.when(k == 0, 0).otherwise(F.get(r, k - 1).getField("end")) + 1,
-        F.when(k == F.size(r), n).otherwise(F.get(r, k).getField("start"))
-        - F.when(k == 0, 0).otherwise(F.get(r, k - 1).getField("end"))))
-    kept = F.when(r.isNull(), t).otherwise(F.array_join(pieces, ""))
+    # what stays lies between the removed spans; only texts that lose something go to Python, where a cut costs its length
+    rest = F.pandas_udf(_cut, "string")(F.when(r.isNotNull(), t), F.transform(r, lambda x: x.getField("start")),
+                                        F.transform(r, lambda x: x.getField("end")))
+    kept = F.when(r.isNull(), t).otherwise(rest)
     return j.select(*[kept.alias(c) if c == text else F.col(f"`{c}`") for c in own],
                     r.alias(names[0]), n.cast("long").alias(names[1]))

@@ -1,5 +1,7 @@
 import re
 
+from pyspark.sql import functions as F
+
 from subrecon.llm import substring_dedup as sd
 
 
@@ -68,3 +70,26 @@ def test_null_ids_repeated_rows_clashing_columns_empty_table(docs_of):
     assert (None, PASSAGE) in by and (3, "") in by and len(by) == 4
     assert len({t for i, t in by if i == 5}) == 1  # rows of one id and text are treated alike
     assert sd.dedup(docs_of([])).count() == 0
+
+
+def test_a_hundred_thousand_runs_in_one_document(spark):
+    """Every other unit is a repeat: each is a run, and their cost is linear."""
+    import time
+
+    n = 200_000
+    rows = spark.range(n).selectExpr("1L AS __id", "2L AS __th", "cast(2 * id AS int) AS at", "cast(10 * id AS int) AS start",
+                                     "cast(10 * id + 5 AS int) AS end", "cast(12 - id % 2 * 4 AS int) AS words")
+    began = time.time()
+    spans = sd.removable_spans(rows).collect()[0]["removed"]
+    assert len(spans) == n // 2 and spans[1] == (20, 25) and time.time() - began < 60
+    joined = sd.removable_spans(rows.withColumn("at", F.expr("at / 2").cast("int"))).collect()[0]["removed"]
+    assert joined == [(0, 10 * n - 5)]
+
+
+def test_cutting_costs_the_length_of_the_text(spark, docs_of):
+    unit = [f"Sentence {i} of ten words or more that all repeat in here." for i in range(20_000)]
+    own = [f"Own {i}." for i in range(20_000)]
+    rows = [(1, " ".join(unit)), (2, " ".join(x for both in zip(own, unit) for x in both))]
+    out = {r["doc_id"]: r for r in sd.dedup(docs_of(rows)).collect()}
+    assert out[1]["text"] == rows[0][1] and len(out[2]["removed"]) == 20_000
+    assert out[2]["text"] == " ".join(own) + " "
