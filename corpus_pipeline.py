@@ -7,12 +7,14 @@ and reads it back for the next.
 
 Defined results, in every stage: an empty table gives an empty result; extra
 columns pass through all but the last stage, whatever their names; rows with
-the same id are one document; rows without an id are named by their text, so
-equal texts without an id are one document.
+the same id and the same text are one document, rows with the same id and unlike texts are
+several; rows without an id are named by their text, so equal texts without an id are one document.
 """
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,15 +22,23 @@ from subrecon.llm import decontamination, language_id, simhash, substring_dedup
 from subrecon.llm.common import bounded_batches, read_table, sent_if_small, staged
 from subrecon.llm.queries import packed
 
-#: A language must hold at least this mean probability over a text's words.
-MIN_LANGUAGE_SCORE = 0.5
+log = logging.getLogger(__name__)
 
 
 def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` with a key, and its name: the id, or a number beyond ordinary ids from the text."""
-    name = _free("__key", docs)
-    by_text = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
-    return docs.withColumn(name, F.coalesce(F.col("doc_id").cast("long"), by_text)), name
+    """``docs`` with a key, and its name: the id, or a number beyond ordinary ids from id and text.
+
+    Of several texts under one id, the one with the smallest hash keeps the id as its key.
+    """
+    name, own, low = (_free(c, docs) for c in ("__key", "__id", "__low"))
+    digest = F.xxhash64(F.coalesce("text", F.lit("")))
+    beyond = F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    ids = docs.select(F.col("doc_id").cast("long").alias(own), digest.alias(low)).where(F.col(own).isNotNull())
+    shared = ids.groupBy(own).agg(F.min(low).alias(low), F.max(low).alias("high")).where(F.col(low) < F.col("high")).drop("high")
+    shared = staged(shared, "pipeline-shared-ids")
+    keyed = docs.withColumn(own, F.col("doc_id").cast("long")).join(sent_if_small(shared), own, "left")
+    key = F.when(F.col(own).isNull() | (digest != F.col(low)), beyond).otherwise(F.col(own))
+    return keyed.withColumn(name, key).drop(own, low), name
 
 
 def _free(name: str, docs: DataFrame) -> str:
@@ -39,13 +49,19 @@ def _free(name: str, docs: DataFrame) -> str:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep texts in which one learned language prevails; null, empty and letterless texts go."""
+    """Keep texts in which a learned language is found; null, empty and letterless texts go.
+
+    A text of several languages stays, whichever prevails. Without any labelled text there is no language to
+    reject by, so all rows stay.
+    """
     bounded_batches(spark)
     model = language_id.fit(docs)
+    if model is None:
+        log.warning("language_id: no labelled text to learn from, all documents stay")
+        return docs
     lang, score = _free("__lang", docs), _free("__score", docs)
     out = language_id.label(docs, model, names=(lang, score), keep_text=True)
-    return out.where((F.col(lang) != language_id.UNKNOWN) & (F.col(score) >= MIN_LANGUAGE_SCORE)).select(
-        *[F.col(f"`{c}`") for c in docs.columns])
+    return out.where(F.col(lang) != language_id.UNKNOWN).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -96,8 +112,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
+    """All stages over the documents of ``sf_dir``; how many rows each leaves is logged."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        log.warning("%s: %d rows stay", name, docs.count())
     return docs
