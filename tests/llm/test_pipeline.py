@@ -82,3 +82,29 @@ def test_edge_rows(spark, docs_of, name):
         assert n == {"simhash_near_dedup": 4, "substring_dedup": 8, "benchmark_decontamination": 8}.get(name, n)
     empty = STAGES[name](spark, staged(docs_of([]), "test-empty"), SF_SMALL)
     assert empty.count() == 0
+
+
+def test_unlabelled_corpus_stays(spark, documents):
+    bare = documents.withColumn("lang", documents["lang"].substr(1, 0)).selectExpr("doc_id", "text", "nullif(lang, '') AS lang",
+                                                                                  "source", "n_chars")
+    got = STAGES["language_id"](spark, staged(bare, "test-bare"), SF_SMALL)
+    assert got.count() == documents.count()
+
+
+def test_text_of_four_languages_stays(spark, documents):
+    by = {}
+    for r in rows(documents.where("length(text) > 400")):
+        by.setdefault(r["lang"], r["text"][:300])
+    assert len(by) == 4
+    mixed = spark.createDataFrame([(10**6, "\n".join(by.values()), None, "s", 1200)], documents.schema)
+    got = STAGES["language_id"](spark, staged(documents.unionByName(mixed), "test-mixed"), SF_SMALL)
+    assert got.where("doc_id = 1000000").count() == 1
+
+
+def test_two_texts_under_one_id(spark, docs_of):
+    a, b, c = ("the first text is about one thing and says it at some length", "quite another text of unlike words that share no shingle",
+               "a third that nobody else has written down before today at all")
+    docs = staged(docs_of([(1, a), (5, b), (5, a), (5, c), (5, c), (7, b)]), "test-one-id")
+    kept = sorted((r["doc_id"], r["text"]) for r in rows(STAGES["simhash_near_dedup"](spark, docs, SF_SMALL)))
+    assert [t for _, t in kept].count(a) == [t for _, t in kept].count(b) == [t for _, t in kept].count(c) == 1
+    assert (1, a) in kept and len(kept) == 3
