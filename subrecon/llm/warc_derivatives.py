@@ -47,13 +47,16 @@ SPACE_STEPS = (
 )
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def numeric_references(text: Column) -> Column:
     """``&#38;`` and ``&#x26;`` as the characters that they stand for.
 
     Numbers that are no character (0, surrogates, beyond 10FFFF) stay as they are written.
     """
-    pieces = F.split(text, "&#", -1)
-
     def decoded(piece: Column) -> Column:
         decimal = F.regexp_extract(piece, r"^0*([0-9]{1,7});", 1)
         hexadecimal = F.regexp_extract(piece, r"^[xX]0*([0-9A-Fa-f]{1,6});", 1)
@@ -63,8 +66,8 @@ def numeric_references(text: Column) -> Column:
         char = F.decode(F.unhex(F.lpad(F.hex(F.when(known, number)), 8, "0")), "UTF-32")
         return F.when(known, F.concat(char, F.regexp_replace(piece, "^[^;]*;", ""))).otherwise(F.concat(F.lit("&#"), piece))
 
-    return F.concat(F.get(pieces, F.lit(0)), F.array_join(
-        F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), decoded), ""))
+    return _once(F.split(text, "&#", -1), lambda pieces: F.concat(F.get(pieces, F.lit(0)), F.array_join(
+        F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), decoded), "")))
 
 
 def html_text(html: Column) -> Column:
@@ -72,7 +75,7 @@ def html_text(html: Column) -> Column:
     out = F.coalesce(html, F.lit(""))
     for pattern, to in TAG_STEPS:
         out = F.regexp_replace(out, pattern, to)
-    out = F.when(F.contains(out, F.lit("&#")), numeric_references(out)).otherwise(out)
+    out = _once(out, lambda x: F.when(F.contains(x, F.lit("&#")), numeric_references(x)).otherwise(x))
     for name, to in NAMED:
         out = F.replace(out, F.lit(name), F.lit(to))
     for pattern, to in SPACE_STEPS:
