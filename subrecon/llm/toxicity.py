@@ -1,34 +1,42 @@
-"""Toxicity by class-conditional Kneser-Ney models of character sequences.
+"""Toxicity by class-conditional Kneser-Ney models of characters.
 
-**Counts.** A text's expressions are the ``order``-character sequences of its
-distinct words (a space marks each end, so word beginnings and endings count),
-which also cover words nobody has seen before. One pre-aggregated grouping by
-word gives, over all documents, the distinct words, and over the labelled
-training documents in how many toxic and ordinary texts each occurs. A second grouping
-takes them to sequences: class counts, and the Kneser-Ney continuation count,
-in how many distinct words of the whole corpus a sequence occurs.
+**Counts.** A text is a sequence of words, a word the characters between
+``order - 1`` spaces before and one behind it. An expression is a character after
+its history, the ``order - 1`` characters before it. One pre-aggregated grouping by word gives,
+over all documents, the distinct words, and over the labelled training
+documents in how many toxic and ordinary texts each occurs. A second grouping takes them to expressions:
+class counts, and in how many distinct words of the whole corpus one occurs.
 
-**Model.** With discount D, weight K and ``T_c`` all sequences of class c::
+**Shared model.** Interpolated Kneser-Ney over all documents, with discount D. ``n`` of the
+highest order is the number of distinct words; of each lower order, the
+continuation count (before how many characters the shorter expression stands)::
 
-    shared(g) = continuation count of g / all continuation counts
-    p_c(g)    = (max(n_c(g) - D, 0) + (T_c - kept_c + K * T_c) * shared(g)) / ((1 + K) * T_c)
+    shared(x | h) = (max(n(hx) - D, 0) + sum_y min(n(hy), D) * shared(x | h without its first)) / sum_y n(hy)
 
-where ``kept_c`` sums the discounted counts. Sequences counted fewer than
-``cutoff`` times keep no class count: rare expressions rest on the shared counts alone.
+and one share each of all characters below the lowest order.
 
-**Score.** The log-likelihood of a text's sequences under the toxic model
-less that under the ordinary one, divided by its number of distinct words, put
-through a logistic curve that is fitted on a slice of the training rows whose
-labels are not in the counts (at most ``calibration_rows``, lowest hash first).
+**Class models.** The same with the counts n_c of class c at the highest order and the
+shared model for what the discount frees, then interpolated with ``K`` parts of the shared one::
 
-A model of at most ``max_model_rows`` sequences is sent to the tasks; a larger
+    kn_c(x | h) = (max(n_c(hx) - D, 0) + sum_y min(n_c(hy), D) * shared(x | h)) / sum_y n_c(hy)
+    p_c(x | h) = (kn_c(x | h) + K * shared(x | h)) / (1 + K)
+
+A history that a class has not seen has kn_c = shared. No expression is cut off.
+
+**Score.** The log-likelihood of a text's characters (of every occurrence of
+every word) under the toxic model less that under the ordinary one, divided by the number of
+characters, put through a logistic curve. The curve is fitted on a slice of the training rows
+(at most ``calibration_rows``, lowest hash first) whose ratios come from counts without that slice;
+the scores come from the counts of all training rows.
+
+A model of at most ``max_model_rows`` expressions is sent to the tasks; a larger
 one stays a table that the corpus's distinct words, and then the texts' words, are joined
 with. Both give the same scores.
 
-Defined results: null and empty texts have a ratio of zero and the score of
-that; null labels are no labels; an id labelled twice counts as toxic if any
-label is; without training rows of both classes every score is the share of
-toxic rows (zero without any); repeated rows score alike; other columns are
+Defined results: null and empty texts, and texts without a letter or digit, have a ratio of zero and the score of
+that; a text of any length is one task's row, and takes memory by its distinct words; null labels are no labels; an id labelled
+twice counts as toxic if any label is; without training rows of both classes every score is the share of
+toxic rows (zero without any); rows with a null id have a null ``held_out`` and no label; repeated rows score alike; other columns are
 ignored; an empty table gives an empty result.
 """
 
@@ -40,7 +48,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from subrecon.llm.common import fold, mix64, staged
@@ -48,89 +56,134 @@ from subrecon.llm.common import fold, mix64, staged
 ORDER = 5
 DISCOUNT = 0.75
 SHARED_WEIGHT = 8.0
-CUTOFF = 10
 FOLDS = 5
+COUNTS = ("tox", "ord", "tox_fit", "ord_fit")
 _find = re.compile(r"[^\W_]+").findall
 
 
-def distinct_words(text: str | None) -> set[str]:
-    return set(_find(text.lower())) if text else set()
+def words_in(text: str | None) -> Counter:
+    """How often each word occurs."""
+    return Counter(_find(text.lower())) if text else Counter()
 
 
-def sequences(words: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, index into ``words``) of every sequence of each word between spaces.
-
-    A word too short for one sequence is a sequence by itself.
-    """
-    padded = [f" {w} ".ljust(order) for w in words]
-    c = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+def expressions(words: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, index into ``words``, expression) of every character of each word and the space behind it."""
+    padded = [" " * (order - 1) + w + " " for w in words]
+    c = np.frombuffer("".join(padded).encode("utf-32-le"), "<u4")
     size = np.fromiter(map(len, padded), np.int64, len(padded))
     at = np.repeat(np.arange(len(words)), size)
     n = max(0, len(c) - order + 1)
-    h = np.zeros(n, np.uint64)
-    for k in range(order):
-        h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + c[k:n + k])
-    whole = at[:n] == at[order - 1:] if n else at[:0] == 0
-    return h[whole], at[:n][whole]
+    whole = np.flatnonzero(at[:n] == at[order - 1:]) if n else np.zeros(0, np.int64)
+    windows = np.lib.stride_tricks.sliding_window_view(c, order)[whole] if n else np.zeros((0, order), "<u4")
+    return hashes(windows), at[whole], windows
+
+
+def hashes(windows: np.ndarray) -> np.ndarray:
+    h = np.zeros(len(windows), np.uint64)
+    for k in range(windows.shape[1]):
+        h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + windows[:, k].astype(np.uint64))
+    return h
+
+
+def as_strings(windows: np.ndarray) -> pa.Array:
+    order = windows.shape[1]
+    return pa.array(np.ascontiguousarray(windows).view(f"<U{order}").reshape(len(windows)), pa.string())
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """(word, tox, ord) of every distinct word; ``docs`` has (text, toxic), toxic null where not trained on."""
+    """(word, tox, ord, tox_fit, ord_fit) of every distinct word: the texts of each class that hold it.
+
+    ``docs`` has (text, toxic, fit): toxic is null where not trained on, and the
+    last two counts leave out the rows that fit the curve.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 1000):
-                counts = {True: Counter(), False: Counter(), None: Counter()}
                 part = b.slice(lo, 1000)
-                for text, toxic in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    counts[toxic].update(distinct_words(text))
-                words = list(set().union(*counts.values()))
+                known, counts = set(), [Counter() for _ in COUNTS]
+                for text, toxic, fit in zip(*(part.column(k).to_pylist() for k in range(3))):
+                    w = words_in(text).keys()
+                    known.update(w)
+                    if toxic is not None:
+                        counts[0 if toxic else 1].update(w)
+                        if not fit:
+                            counts[2 if toxic else 3].update(w)
+                words = list(known)
                 for k in range(0, len(words), 50_000):
                     w = words[k:k + 50_000]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(w, pa.string()), *(pa.array([counts[c][x] for x in w], pa.int64()) for c in (True, False))],
-                        names=["word", "tox", "ord"])
+                        [pa.array(w, pa.string()), *(pa.array([c[x] for x in w], pa.int64()) for c in counts)],
+                        names=["word", *COUNTS])
 
-    counted = docs.select("text", "toxic").mapInArrow(rows, "word string, tox long, ord long")
-    return counted.groupBy("word").agg(F.sum("tox").alias("tox"), F.sum("ord").alias("ord"))
+    counted = docs.select("text", "toxic", "fit").mapInArrow(rows, "word string, " + ", ".join(f"{c} long" for c in COUNTS))
+    return counted.groupBy("word").agg(*[F.sum(c).alias(c) for c in COUNTS])
 
 
-def count_sequences(words: DataFrame, order: int) -> DataFrame:
-    """(gram, tox, ord, types) of every sequence, from the distinct words."""
+def count_expressions(words: DataFrame, order: int) -> DataFrame:
+    """(gram, tox, ord, tox_fit, ord_fit, n) of every expression, from the distinct words; n is how many hold it, repeats included."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            g, at = sequences(b.column(0).to_pylist(), order)
-            if len(g):
-                keys, inverse = np.unique(g, return_inverse=True)
-                sums = [np.bincount(inverse, weights=b.column(k).to_numpy()[at]).astype(np.int64) for k in (1, 2)]
+            h, at, windows = expressions(b.column(0).to_pylist(), order)
+            if len(h):
+                _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+                sums = [np.bincount(inverse, weights=b.column(k + 1).to_numpy()[at]).astype(np.int64) for k in range(len(COUNTS))]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.view(np.int64)), *map(pa.array, sums), pa.array(np.bincount(inverse))],
-                    names=["gram", "tox", "ord", "types"])
-
-    grams = words.select("word", "tox", "ord").mapInArrow(rows, "gram long, tox long, ord long, types long")
-    return grams.groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("tox", "ord", "types")])
-
-
-def ratio_table(grams: DataFrame, cutoff: int = CUTOFF, discount: float = DISCOUNT,
-                weight: float = SHARED_WEIGHT) -> tuple[DataFrame, float] | None:
-    """((gram, llr) of the sequences with class counts, the ratio of all others); None without both classes."""
-    kept = F.col("tox") + F.col("ord") >= cutoff
-    left = {c: F.when(kept, F.greatest(F.col(c) - discount, F.lit(0.0))).otherwise(0.0) for c in ("tox", "ord")}
-    t = grams.agg(*[F.sum(c).alias(c) for c in ("tox", "ord", "types")], *[F.sum(v).alias(f"kept_{c}") for c, v in left.items()]).first()
-    if not t["tox"] or not t["ord"]:
-        return None
-    free = {c: t[c] - t[f"kept_{c}"] + weight * t[c] for c in left}
-    shared = F.col("types") / t["types"]
-    p = {c: (left[c] + free[c] * shared) / t[c] for c in left}
-    table = grams.where(kept).select("gram", (F.log(p["tox"]) - F.log(p["ord"])).alias("llr"))
-    return table, float(np.log(free["tox"] / t["tox"]) - np.log(free["ord"] / t["ord"]))
-
-
-def ratio_sent(docs: DataFrame, table: DataFrame, other: float, order: int, keep_words: int = 500_000) -> DataFrame:
-    """``docs`` with ``ratio`` in place of ``text``, by a bounded model sent to the tasks."""
+                    [as_strings(windows[first]), *map(pa.array, sums), pa.array(np.bincount(inverse))],
+                    names=["gram", *COUNTS, "n"])
+
+    fields = ", ".join(f"{c} long" for c in (*COUNTS, "n"))
+    grams = words.select("word", *COUNTS).mapInArrow(rows, f"gram string, {fields}")
+    return grams.groupBy("gram").agg(*[F.sum(c).alias(c) for c in (*COUNTS, "n")])
+
+
+def shared_model(grams: DataFrame, order: int, discount: float = DISCOUNT) -> DataFrame:
+    """(gram, shared) for every expression of ``grams`` (gram, n): Kneser-Ney over all documents."""
+    levels = {order: grams.select("gram", "n")}
+    for k in range(order - 1, 0, -1):
+        shorter = levels[k + 1].groupBy(F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("n"))
+        levels[k] = staged(shorter, "toxicity-continuations")
+    below = None
+    for k in range(1, order + 1):
+        rows = levels[k].select("gram", "n", F.substring("gram", 1, k - 1).alias("h"), F.substring("gram", 2, k - 1).alias("rest"))
+        total = rows.groupBy("h").agg(F.sum("n").alias("all"), F.sum(F.least("n", F.lit(discount))).alias("freed"))
+        rows = rows.join(total, "h")
+        if below is None:
+            rows = rows.withColumn("lower", F.lit(1.0 / max(1, levels[1].count())))
+        else:
+            rows = rows.join(below.withColumnsRenamed({"gram": "rest", "shared": "lower"}), "rest")
+        p = (F.greatest(F.col("n") - discount, F.lit(0.0)) + F.col("freed") * F.col("lower")) / F.col("all")
+        below = rows.select("gram", p.alias("shared"))
+    return below
+
+
+def class_models(grams: DataFrame, order: int = ORDER, discount: float = DISCOUNT, weight: float = SHARED_WEIGHT) -> DataFrame:
+    """(gram, llr, llr_fit): log p_tox / p_ord of each expression, of all counts and of those without the fit's rows.
+
+    Expressions whose ratios are both zero are left out.
+    """
+    history = F.substring("gram", 1, order - 1)
+    totals = grams.groupBy(history.alias("h")).agg(
+        *[F.sum(c).alias(f"all_{c}") for c in COUNTS],
+        *[F.sum(F.least(c, F.lit(discount))).alias(f"freed_{c}") for c in COUNTS]).where("all_tox + all_ord > 0")
+    rows = grams.withColumn("h", history).join(totals, "h").join(shared_model(grams, order, discount), "gram")
+
+    def p(c: str) -> Column:
+        kn = (F.greatest(F.col(c) - discount, F.lit(0.0)) + F.col(f"freed_{c}") * F.col("shared")) / F.col(f"all_{c}")
+        return F.when(F.col(f"all_{c}") > 0, (kn + weight * F.col("shared")) / (1 + weight)).otherwise(F.col("shared"))
+
+    llr = rows.select("gram", (F.log(p("tox")) - F.log(p("ord"))).alias("llr"),
+                      (F.log(p("tox_fit")) - F.log(p("ord_fit"))).alias("llr_fit"))
+    return staged(llr.where("llr != 0 OR llr_fit != 0"), "toxicity-model")
+
+
+def ratio_sent(docs: DataFrame, table: DataFrame, order: int, keep_words: int = 500_000) -> DataFrame:
+    """``docs`` with ``ratio`` in place of ``text``, by a bounded model (gram, llr) sent to the tasks."""
     t = table.toArrow()
-    gram, llr = t["gram"].to_numpy().view(np.uint64), t["llr"].to_numpy()
+    llr = t["llr"].to_numpy()
+    windows = np.frombuffer("".join(t["gram"].to_pylist()).encode("utf-32-le"), "<u4").reshape(-1, order)
+    gram = hashes(windows)
     order_ = np.argsort(gram)
     sent = docs.sparkSession.sparkContext.broadcast((gram[order_], llr[order_]))
     names = [c for c in docs.columns if c != "text"]
@@ -141,16 +194,18 @@ def ratio_sent(docs: DataFrame, table: DataFrame, other: float, order: int, keep
         for b in batches:
             for lo in range(0, b.num_rows, 500):
                 part = b.slice(lo, 500)
-                texts = [distinct_words(x) for x in part.column("text").to_pylist()]
+                texts = [words_in(x) for x in part.column("text").to_pylist()]
                 new = list(set().union(*texts).difference(known))
                 if len(known) + len(new) > keep_words:
                     known, new = {}, list(set().union(*texts))
-                if new:
-                    g, at = sequences(new, order)
+                for k in range(0, len(new), 50_000):
+                    w = new[k:k + 50_000]
+                    g, at, _ = expressions(w, order)
                     i = np.minimum(np.searchsorted(keys, g), max(len(keys) - 1, 0))
-                    r = np.where(keys[i] == g, values[i], other) if len(keys) else np.full(len(g), other)
-                    known.update(zip(new, np.bincount(at, weights=r, minlength=len(new)).tolist()))
-                ratio = [sum(map(known.__getitem__, sorted(w))) / len(w) if w else 0.0 for w in texts]
+                    r = np.where(keys[i] == g, values[i], 0.0) if len(keys) else np.zeros(len(g))
+                    known.update(zip(w, np.bincount(at, weights=r, minlength=len(w)).tolist()))
+                ratio = [sum(known[x] * n for x, n in w.items()) / sum((len(x) + 1) * n for x, n in w.items()) if w else 0.0
+                         for w in texts]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(ratio, pa.float64())],
                                                  names=[*names, "ratio"])
 
@@ -158,29 +213,29 @@ def ratio_sent(docs: DataFrame, table: DataFrame, other: float, order: int, keep
     return docs.mapInArrow(rows, f"{fields}, ratio double")
 
 
-def ratio_joined(docs: DataFrame, words: DataFrame, table: DataFrame, other: float, order: int) -> DataFrame:
+def ratio_joined(docs: DataFrame, words: DataFrame, table: DataFrame, order: int) -> DataFrame:
     """The same by joins: the corpus's distinct words with the model, then the texts' words with theirs."""
     names = [c for c in docs.columns if c != "text"]
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             w = b.column(0).to_pylist()
-            g, at = sequences(w, order)
-            yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()).take(pa.array(at)), pa.array(g.view(np.int64))],
+            _, at, windows = expressions(w, order)
+            yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()).take(pa.array(at)), as_strings(windows)],
                                              names=["word", "gram"])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                w = list(distinct_words(text))
-                yield pa.RecordBatch.from_arrays([pa.array([row] * len(w), pa.int64()), pa.array(w, pa.string())],
-                                                 names=["__row", "word"])
+                w = words_in(text)
+                yield pa.RecordBatch.from_arrays([pa.array([row] * len(w), pa.int64()), pa.array(list(w), pa.string()),
+                                                  pa.array(list(w.values()), pa.int64())], names=["__row", "word", "times"])
 
-    by_word = (words.select("word").mapInArrow(grams, "word string, gram long").join(table, "gram", "left")
-               .groupBy("word").agg(F.sum(F.coalesce("llr", F.lit(other))).alias("llr")))
+    by_word = (words.select("word").mapInArrow(grams, "word string, gram string").join(table, "gram", "left")
+               .groupBy("word").agg(F.sum(F.coalesce("llr", F.lit(0.0))).alias("llr")))
     docs = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "toxicity-rows")
-    means = (docs.select("__row", "text").mapInArrow(split, "__row long, word string").join(by_word, "word")
-             .groupBy("__row").agg(F.avg("llr").alias("ratio")))
+    means = (docs.select("__row", "text").mapInArrow(split, "__row long, word string, times long").join(by_word, "word")
+             .groupBy("__row").agg((F.sum(F.col("llr") * F.col("times")) / F.sum((F.length("word") + 1) * F.col("times"))).alias("ratio")))
     return docs.join(means, "__row", "left").select(*names, F.coalesce("ratio", F.lit(0.0)).alias("ratio"))
 
 
@@ -202,11 +257,11 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 1e-3)
 
 def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
           folds: int = FOLDS, held_out: int = 0, order: int = ORDER, calibration_rows: int = 20_000,
-          max_model_rows: int = 12_000_000, max_label_rows: int = 4_000_000) -> DataFrame:
+          max_model_rows: int = 8_000_000, max_label_rows: int = 4_000_000) -> DataFrame:
     """(doc_id, held_out, score, ratio) of every row of ``docs``.
 
     Labels of rows whose fold is ``held_out`` are not used; those of the next
-    fold fit the logistic curve; the rest are counted.
+    fold also fit the logistic curve, by a model that does not count them.
     """
     d = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"),
                     fold(F.col(f"`{doc_id}`"), folds).alias("fold"))
@@ -216,27 +271,26 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     n_labels, n_toxic = y.agg(F.count("*"), F.sum(F.col("toxic").cast("long"))).first()
     y = F.broadcast(y) if n_labels <= max_label_rows else y
     slice_ = (held_out + 1) % folds
-    counted = d.join(y, "doc_id", "left").select("text", F.when(F.col("fold") != slice_, F.col("toxic")).alias("toxic"))
-    words = count_words(counted)
-    grams = staged(count_sequences(words, order), "toxicity-sequences")
-    model = ratio_table(grams)
+    words = count_words(d.join(y, "doc_id", "left").select("text", "toxic", (F.col("fold") == slice_).alias("fit")))
     out = (F.col("fold") == held_out).alias("held_out")
-    if model is None:
+    if not n_toxic or n_toxic == n_labels:
         share = float((n_toxic or 0) / n_labels) if n_labels else 0.0
         return d.select("doc_id", out, F.lit(share).alias("score"), F.lit(0.0).alias("ratio"))
-    table, other = model
-    if table.count() <= max_model_rows:
-        ratios = lambda x: ratio_sent(x, table, other, order)
-    else:
-        ratios = lambda x: ratio_joined(x, words, table, other, order)
+    model = class_models(staged(count_expressions(words, order), "toxicity-expressions"), order)
+    small = model.count() <= max_model_rows
+
+    def ratios(rows: DataFrame, column: str) -> DataFrame:
+        table = model.select("gram", F.col(column).alias("llr"))
+        return ratio_sent(rows, table, order) if small else ratio_joined(rows, words, table, order)
+
     fit = d.where(F.col("fold") == slice_).join(y, "doc_id")
     if n_labels > calibration_rows:
         lowest = fit.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibration_rows)
         fit = fit.join(F.broadcast(lowest), "doc_id", "left_semi")
-    got = ratios(fit.select("toxic", "text")).toPandas()
+    got = ratios(fit.select("toxic", "text"), "llr_fit").toPandas()
     if got["toxic"].nunique() == 2:
         centre, slope, bias = logistic(got["ratio"].to_numpy(float), got["toxic"].to_numpy(float))
     else:
         centre, slope, bias = 0.0, 1.0, float(np.log(n_toxic / (n_labels - n_toxic)))
     p = 1 / (1 + F.exp(-((F.col("ratio") - centre) * slope + bias)))
-    return ratios(d.select("doc_id", "fold", "text")).select("doc_id", out, p.alias("score"), "ratio")
+    return ratios(d.select("doc_id", "fold", "text"), "llr").select("doc_id", out, p.alias("score"), "ratio")

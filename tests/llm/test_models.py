@@ -54,15 +54,68 @@ def test_toxicity_ranks_held_out_documents(spark, docs_of):
     assert all(abs(joined[r["doc_id"]] - r["score"]) < 1e-9 for r in got)
 
 
-def test_toxicity_counts_against_brute_force(spark):
-    rows = [("Abc abc de", True), ("abc xyz", False), (None, None), ("abcd!", None)]
-    words = toxicity.count_words(spark.createDataFrame(rows, "text string, toxic boolean"))
-    assert sorted(map(tuple, words.collect())) == [("abc", 1, 1), ("abcd", 0, 0), ("de", 1, 0), ("xyz", 0, 1)]
-    grams = {r["gram"]: (r["tox"], r["ord"], r["types"]) for r in toxicity.count_sequences(words, 4).collect()}
-    key = lambda w, k: int(toxicity.sequences([w], 4)[0][k].astype(np.int64))
-    assert grams[key("abc", 0)] == (1, 1, 2)  # " abc" in abc and abcd
-    assert grams[key("abc", 1)] == (1, 1, 1)  # "abc "
-    assert grams[key("de", 0)] == (1, 0, 1)
+def test_toxicity_model_against_brute_force(spark):
+    """Conditional Kneser-Ney written out: shared continuation counts below class counts."""
+    from collections import Counter, defaultdict
+
+    order, d, k = 4, 0.75, 8.0
+    rng = np.random.default_rng(7)
+    letters = list("abcdé") + ["\U00010400"]
+    rows = [(" ".join("".join(rng.choice(letters, rng.integers(1, 6))) for _ in range(12)), bool(i % 3 == 0) if i % 5 else None, i % 4 == 0)
+            for i in range(60)] + [(None, None, False), ("", True, False), ("abab abab cab", True, False)]
+    words = toxicity.count_words(spark.createDataFrame(rows, "text string, toxic boolean, fit boolean"))
+    grams = toxicity.staged(toxicity.count_expressions(words, order), "test-grams")
+    got = {r["gram"]: (r["llr"], r["llr_fit"]) for r in toxicity.class_models(grams, order, d, k).collect()}
+
+    cut = lambda w: [(" " * (order - 1) + w + " ")[i:i + order] for i in range(len(w) + 1)]
+    n, c = Counter(), defaultdict(Counter)
+    for w in {w for t, _, _ in rows for w in (t or "").lower().split()}:
+        n.update(cut(w))
+    for text, toxic, fit in rows:
+        for w in set((text or "").lower().split()) if toxic is not None else ():
+            c[toxic].update(cut(w))
+            if not fit:
+                c[toxic, "fit"].update(cut(w))
+    levels = {order: n}
+    for m in range(order - 1, 0, -1):
+        levels[m] = Counter(g[1:] for g in levels[m + 1])
+
+    def kn(counts, g, lower):
+        of = {x: v for x, v in counts.items() if x[:-1] == g[:-1]}
+        if not sum(of.values()):
+            return lower
+        return (max(counts.get(g, 0) - d, 0) + sum(min(v, d) for v in of.values()) * lower) / sum(of.values())
+
+    def shared(g):
+        return kn(levels[len(g)], g, shared(g[1:]) if len(g) > 1 else 1 / len(levels[1]))
+
+    def p(counts, g):
+        s = shared(g)
+        seen = any(x[:-1] == g[:-1] and v for x, v in counts.items())
+        return (kn(counts, g, s) + k * s) / (1 + k) if seen else s
+
+    for g in n:
+        want = (np.log(p(c[True], g) / p(c[False], g)), np.log(p(c[True, "fit"], g) / p(c[False, "fit"], g)))
+        assert np.allclose(got.get(g, (0.0, 0.0)), want, atol=1e-9), g
+    assert set(got) <= set(n) and any(abs(a) > 0.01 for a, _ in got.values())
+
+    texts = spark.createDataFrame([(0, "abab cab, abab!"), (1, None), (2, "..."), (3, "zz")], "id int, text string")
+    table = toxicity.class_models(grams, order, d, k).select("gram", "llr")
+    ratio = {r["id"]: r["ratio"] for r in toxicity.ratio_sent(texts, table, order).collect()}
+    llr = lambda w: sum(got.get(g, (0.0, 0.0))[0] for g in cut(w))
+    assert abs(ratio[0] - (2 * llr("abab") + llr("cab")) / 14) < 1e-9
+    assert ratio[1] == ratio[2] == 0.0
+    # every conditional distribution over the characters seen anywhere sums to one
+    h = next(iter(n))[:-1]
+    assert abs(sum(p(c[True], h + x) for x in levels[1]) - 1) < 1e-9
+
+
+def test_toxicity_counts_texts_by_word(spark):
+    rows = [("Abc abc de", True, False), ("abc xyz", False, True), (None, None, False), ("abcd!", None, False)]
+    words = toxicity.count_words(spark.createDataFrame(rows, "text string, toxic boolean, fit boolean"))
+    assert sorted(map(tuple, words.collect())) == [("abc", 1, 1, 1, 0), ("abcd", 0, 0, 0, 0), ("de", 1, 0, 1, 0), ("xyz", 0, 1, 0, 0)]
+    grams = {r["gram"]: (r["tox"], r["ord"], r["tox_fit"], r["n"]) for r in toxicity.count_expressions(words, 4).collect()}
+    assert grams[" abc"] == (1, 1, 1, 2) and grams["abc "] == (1, 1, 1, 1) and grams["   d"] == (1, 0, 1, 1)
 
 
 def test_forward_backward_is_exact():
