@@ -3,15 +3,19 @@
 **Tokens.** A URL becomes a set of tokens: its host's labels and last two
 labels, words of its path (numbers as one token), and its query's keys.
 
-**Mining.** Labelled URLs with their label as one more token go through
-Spark's FP-growth. Rules kept lead from at most ``max_tokens`` URL tokens to the
-block label, with at least ``min_support`` of the labelled URLs, ``min_confidence``
-and a lift above one; a rule is pruned when a rule of fewer of its tokens is as
-confident.
-
-**Matching.** Rules are indexed under their rarest token. A URL's tokens look
-up the index, candidates are verified to have all their rule's tokens, and the
-most confident match (then the larger support, then the tokens in order)
+**Items.** Tokens that occur in the very same labelled URLs are one item, named
+by the first of them: any of its tokens stands for it. So a family of URLs that shares any number
+of tokens is no set of as many items, and no support or confidence changes.
+
+**Mining.** The items of the labelled URLs to block go through Spark's FP-growth;
+the sets found are then counted over all labelled URLs. A set of any length is a rule if
+``min_support`` of the labelled URLs, and at least ``min_rows``, hold it and are
+to be blocked, and if it has ``min_confidence`` and a lift above one; a rule is pruned
+when a rule of fewer of its items is as confident.
+
+**Matching.** Rules are indexed under the tokens of their rarest item. A URL's tokens look
+up the index, candidates are verified to have all their rule's items, and the
+most confident match (then the larger support, then the items in order)
 blocks the URL; a URL that no rule matches is allowed. At most
 ``max_rules`` rules are broadcast; more are joined.
 
@@ -20,13 +24,15 @@ fit a URL's host or a parent domain and whose path the URL's path starts with,
 the longest wins.
 
 Defined results: a null URL or one without ``://`` has an empty host and path
-and no tokens, and is allowed unless a rule has neither; repeated rows are judged alike;
-without labelled URLs of the block label there are no mined rules; other
+and no tokens, and is allowed unless a rule has neither; a URL of any length is judged
+whole, and takes memory by its tokens; repeated rows are judged alike, and each counts in mining;
+without labelled URLs of the block label, or with fewer than ``min_rows``, there are no mined rules; other
 columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -36,7 +42,7 @@ from pyspark.sql import functions as F
 
 from subrecon.llm.common import staged
 
-BLOCK = "label=block"
+RULES = "tokens array<string>, confidence double, support double, groups array<array<string>>, index_token string"
 _AZ = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -85,36 +91,74 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
         F.transform(keys, lambda x: F.concat(F.lit("key="), F.regexp_extract(x, "^([^=]*)", 1)))))
 
 
-def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.5, max_tokens: int = 3) -> DataFrame:
-    """(tokens, confidence, support, index_token) of the rules that block; ``labelled`` has (tokens, blocked)."""
-    items = labelled.select(F.when(F.col("blocked"), F.concat("tokens", F.array(F.lit(BLOCK)))).otherwise(F.col("tokens"))
-                            .alias("items"))
-    items = staged(items, "url-baskets")
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence,
-                     numPartitions=max(1, int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")))).fit(items)
-    rules = (model.associationRules.where((F.col("consequent") == F.array(F.lit(BLOCK))) & (F.size("antecedent") <= max_tokens)
-                                          & (F.col("lift") > 1))
-             .select(F.sort_array("antecedent").alias("tokens"), "confidence", "support"))
-    rules = staged(rules, "url-rules")
-    # a rule says nothing new if fewer of its tokens are as confident
+def items_of(baskets: DataFrame, least: int) -> DataFrame:
+    """(item, token, freq) of the tokens that at least ``least`` blocked rows hold; ``baskets`` has (row, tokens, blocked).
+
+    Tokens of the same rows share an item; two 64-bit sums over row hashes and two counts tell the rows apart.
+    """
+    same = ["freq", "blocked", "x", "y"]
+    token = (baskets.select("row", "blocked", F.explode("tokens").alias("token")).groupBy("token")
+             .agg(F.count("*").alias("freq"), F.sum(F.col("blocked").cast("long")).alias("blocked"),
+                  F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("y"))
+             .where(F.col("blocked") >= least))
+    item = token.groupBy(*same).agg(F.min("token").alias("item"))
+    return staged(token.join(item, same).select("item", "token", "freq"), "url-items")
+
+
+def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.5, min_rows: int = 5,
+         max_rules: int = 100_000) -> DataFrame:
+    """(tokens, confidence, support, groups, index_token) of the rules that block; ``labelled`` has (tokens, blocked).
+
+    ``tokens`` names the items of a rule, ``groups`` holds the tokens of each.
+    """
+    spark = labelled.sparkSession
+    baskets = staged(labelled.select(F.monotonically_increasing_id().alias("row"), "tokens", "blocked"), "url-baskets")
+    n, n_blocked = baskets.agg(F.count("*"), F.coalesce(F.sum(F.col("blocked").cast("long")), F.lit(0))).first()
+    least = max(min_rows, math.ceil(min_support * n - 1e-9), 1)
+    if n_blocked < least:
+        return spark.createDataFrame([], RULES)
+    items = items_of(baskets, least)
+    known = (baskets.select("row", "blocked", F.explode("tokens").alias("token")).join(items, "token")
+             .groupBy("row", "blocked").agg(F.sort_array(F.collect_set("item")).alias("items")))
+    known = staged(known, "url-itemsets")
+    blocked = known.where("blocked").select("items")
+    rows = blocked.count()
+    if not rows:
+        return spark.createDataFrame([], RULES)
+    found = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / rows,
+                     numPartitions=max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))).fit(blocked).freqItemsets
+    found = staged(found.select(F.sort_array("items").alias("tokens"), F.col("freq").alias("hits")).where(F.col("hits") >= least), "url-sets")
+    # the rarest item of each set is its place in the index
+    group = items.groupBy("item").agg(F.sort_array(F.collect_list("token")).alias("group"), F.first("freq").alias("freq"))
+    parts = found.select("tokens", "hits", F.explode("tokens").alias("item")).join(group, "item")
+    sets = staged(parts.groupBy("tokens", "hits").agg(
+        F.min(F.struct("freq", "item")).getField("item").alias("index_token"),
+        F.transform(F.sort_array(F.collect_list(F.struct("item", "group"))), lambda x: x.getField("group")).alias("groups")), "url-index")
+    # sets of one item are counted already, the others in all rows that hold their rarest item
+    index = sets.where(F.size("tokens") > 1).select("tokens", F.col("index_token").alias("item"))
+    index = F.broadcast(index) if index.count() <= max_rules else index
+    many = (known.select("items", F.explode("items").alias("item")).join(index, "item")
+            .where(F.size(F.array_except("tokens", "items")) == 0).groupBy("tokens").agg(F.count("*").alias("all")))
+    one = group.select(F.array("item").alias("tokens"), F.col("freq").alias("all"))
+    confidence = F.col("hits") / F.col("all")
+    rules = staged(sets.join(many.unionByName(one), "tokens")
+                   .select("tokens", confidence.alias("confidence"), (F.col("hits") / F.lit(n)).alias("support"), "groups", "index_token")
+                   .where((F.col("confidence") >= min_confidence) & (F.col("confidence") > n_blocked / n)), "url-rules")
+    # a rule says nothing new if fewer of its items are as confident
     parts = rules.select("tokens", "confidence", F.explode("tokens").alias("t"))
     smaller = rules.select(F.col("tokens").alias("s"), F.col("confidence").alias("sc"), F.col("tokens")[0].alias("t"))
     told = (parts.join(smaller, "t").where((F.size("s") < F.size("tokens")) & (F.size(F.array_except("s", "tokens")) == 0)
                                            & (F.col("sc") >= F.col("confidence"))).select("tokens").distinct())
-    rules = rules.join(told, "tokens", "left_anti")
-    # the rarest token of each rule is its place in the index
-    counts = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("t"), "freq")
-    rare = (rules.select("tokens", F.explode("tokens").alias("t")).join(counts, "t")
-            .groupBy("tokens").agg(F.min(F.struct("freq", "t")).getField("t").alias("index_token")))
-    return staged(rules.join(rare, "tokens"), "url-index")
+    return staged(rules.join(told, "tokens", "left_anti"), "url-kept")
 
 
 def match(urls: DataFrame, rules: DataFrame, key: str = "row", max_rules: int = 100_000) -> DataFrame:
     """(key, matched): the best rule of each URL that any matches; ``urls`` has (key, tokens)."""
-    index = rules.select(F.col("index_token").alias("t"), F.col("tokens").alias("r"), "confidence", "support")
+    place = F.array_position("tokens", F.col("index_token")).cast("int")
+    index = rules.select(F.explode(F.element_at("groups", place)).alias("t"), F.col("tokens").alias("r"), "groups", "confidence", "support")
     index = F.broadcast(index) if index.count() <= max_rules else index
     found = (urls.select(key, "tokens", F.explode("tokens").alias("t")).join(index, "t")
-             .where(F.size(F.array_except("r", "tokens")) == 0))
+             .where(F.forall("groups", lambda g: F.arrays_overlap(g, F.col("tokens")))))
     best = F.max(F.struct("confidence", "support", F.col("r"))).alias("b")
     return found.groupBy(key).agg(best).select(key, F.col("b.r").alias("matched"), F.col("b.confidence").alias("confidence"))
 

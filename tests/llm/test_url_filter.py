@@ -1,4 +1,5 @@
 import re
+import time
 
 from subrecon.llm import url_filter as uf
 from subrecon.llm.queries import URL_RULES
@@ -55,10 +56,10 @@ def test_rules_against_brute_force(spark):
     names = [f"t{i}" for i in range(8)]
     rows = [(sorted(rng.sample(names, 4)), rng.random() < 0.4) for _ in range(200)]
     df = spark.createDataFrame(rows, "tokens array<string>, blocked boolean")
-    got = {tuple(r["tokens"]): (round(r["confidence"], 9), round(r["support"], 9)) for r in uf.mine(df, 0.05, 0.45, 3).collect()}
+    got = {tuple(r["tokens"]): (round(r["confidence"], 9), round(r["support"], 9)) for r in uf.mine(df, 0.05, 0.45, 1).collect()}
     found = {}
     base = sum(b for _, b in rows) / len(rows)
-    for n in (1, 2, 3):
+    for n in (1, 2, 3, 4):
         for s in itertools.combinations(names, n):
             has = [b for t, b in rows if set(s) <= set(t)]
             if has and sum(has) >= 0.05 * len(rows) and sum(has) / len(has) >= 0.45 and sum(has) / len(has) > base:
@@ -68,6 +69,30 @@ def test_rules_against_brute_force(spark):
     assert got == want
 
 
+def test_rules_of_any_length_and_tokens_that_go_together(spark):
+    """Four tokens needed to block, and a family of forty tokens as one item."""
+    need = ["a", "b", "c", "d"]
+    rows = [(need + [f"x{i}"], True) for i in range(6)] + [([t for t in need if t != out], False) for out in need for _ in range(8)]
+    family = [f"f{i:02d}" for i in range(40)]
+    rows += [(family, True)] * 5 + [(["z"], False)] * 20
+    rules = uf.mine(spark.createDataFrame(rows, "tokens array<string>, blocked boolean"), 0.01, 0.9)
+    got = {tuple(r["tokens"]): (r["confidence"], [len(g) for g in r["groups"]]) for r in rules.collect()}
+    assert got == {tuple(need): (1.0, [1] * 4), ("f00",): (1.0, [40])}
+    urls = spark.createDataFrame([(0, need), (1, need[:3]), (2, ["f07", "q"]), (3, ["q"])], "row int, tokens array<string>")
+    for max_rules in (100_000, 0):
+        assert sorted(r["row"] for r in uf.match(urls, rules, max_rules=max_rules).collect()) == [0, 2]
+
+
+def test_a_long_url_does_not_explode(spark):
+    rows = [(f"http://h{i}.org/p", i % 2 == 0) for i in range(100)]
+    long = "http://long.org/" + "/".join(f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60))
+    started = time.monotonic()
+    got = judged(spark, [(0, long), (1, "http://h.org/")], [*rows, (long, True)])
+    assert sorted((r["page_id"], r["verdict"]) for r in got) == [(0, "allow"), (1, "allow")]
+    judged(spark, [(0, long)], [*rows, *[(long, True)] * 50])
+    assert time.monotonic() - started < 60
+
+
 def test_empty_tables(spark):
     pages = spark.createDataFrame([], "page_id long, url string")
     examples = spark.createDataFrame([], "url string, blocked boolean")
