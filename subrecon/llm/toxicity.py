@@ -25,7 +25,7 @@ A history that a class has not seen has kn_c = shared. No expression is cut off.
 
 **Score.** The log-likelihood of a text's characters (of every occurrence of
 every word) under the toxic model less that under the ordinary one, divided by the number of
-characters, put through a logistic curve. The curve is fitted on a slice of the training rows
+characters, put through a logistic curve over its inverse hyperbolic sine. The curve is fitted on a slice of the training rows
 (at most ``calibration_rows``, lowest hash first) whose ratios come from counts without that slice;
 the scores come from the counts of all training rows.
 
@@ -239,10 +239,15 @@ def ratio_joined(docs: DataFrame, words: DataFrame, table: DataFrame, order: int
     return docs.join(means, "__row", "left").select(*names, F.coalesce("ratio", F.lit(0.0)).alias("ratio"))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 1e-3) -> tuple[float, float, float]:
-    """(centre, slope, intercept) of P(y | x) by Newton's method on standardised x."""
-    centre, scale = float(x.mean()), float(x.std()) or 1.0
-    z = np.stack([(x - centre) / scale, np.ones(len(x))], axis=1)
+def logistic(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 1e-3) -> tuple[float, float, float, float]:
+    """(centre, scale, slope, intercept) of P(y | x) by Newton's method on asinh((x - centre) / scale).
+
+    Ratios of texts with many rare expressions lie far out; centre and scale are medians, and the inverse hyperbolic
+    sine keeps the order and the detail where the classes meet.
+    """
+    centre = float(np.median(x))
+    scale = float(np.median(np.abs(x - centre))) or 1.0
+    z = np.stack([np.arcsinh((x - centre) / scale), np.ones(len(x))], axis=1)
     beta = np.zeros(2)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
@@ -252,7 +257,7 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 1e-3)
         beta += step
         if np.abs(step).max() < 1e-8:
             break
-    return centre, float(beta[0] / scale), float(beta[1])
+    return centre, scale, float(beta[0]), float(beta[1])
 
 
 def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
@@ -289,8 +294,8 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         fit = fit.join(F.broadcast(lowest), "doc_id", "left_semi")
     got = ratios(fit.select("toxic", "text"), "llr_fit").toPandas()
     if got["toxic"].nunique() == 2:
-        centre, slope, bias = logistic(got["ratio"].to_numpy(float), got["toxic"].to_numpy(float))
+        centre, scale, slope, bias = logistic(got["ratio"].to_numpy(float), got["toxic"].to_numpy(float))
     else:
-        centre, slope, bias = 0.0, 1.0, float(np.log(n_toxic / (n_labels - n_toxic)))
-    p = 1 / (1 + F.exp(-((F.col("ratio") - centre) * slope + bias)))
+        centre, scale, slope, bias = 0.0, 1.0, 1.0, float(np.log(n_toxic / (n_labels - n_toxic)))
+    p = 1 / (1 + F.exp(-(F.asinh((F.col("ratio") - centre) / scale) * slope + bias)))
     return ratios(d.select("doc_id", "fold", "text"), "llr").select("doc_id", out, p.alias("score"), "ratio")
