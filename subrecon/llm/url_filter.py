@@ -7,7 +7,8 @@ labels, words of its path (numbers as one token), and its query's keys.
 by the first of them: any of its tokens stands for it. So a family of URLs that shares any number
 of tokens is no set of as many items, and no support or confidence changes.
 
-**Mining.** The items of the labelled URLs to block go through Spark's FP-growth;
+**Mining.** An item that occurs in URLs to block only is a rule by itself, and every set with it would be
+pruned below. The other items of the labelled URLs to block go through Spark's FP-growth;
 the sets found are then counted over all labelled URLs. A set of any length is a rule if
 ``min_support`` of the labelled URLs, and at least ``min_rows``, hold it and are
 to be blocked, and if it has ``min_confidence`` and a lift above one; a rule is pruned
@@ -92,17 +93,19 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
 
 
 def items_of(baskets: DataFrame, least: int) -> DataFrame:
-    """(item, token, freq) of the tokens that at least ``least`` blocked rows hold; ``baskets`` has (row, tokens, blocked).
+    """(item, token, freq, hits) of the tokens that at least ``least`` blocked rows hold; ``baskets`` has (row, tokens, blocked).
+
+    ``freq`` counts the rows of a token, ``hits`` those of them to be blocked.
 
     Tokens of the same rows share an item; two 64-bit sums over row hashes and two counts tell the rows apart.
     """
-    same = ["freq", "blocked", "x", "y"]
+    same = ["freq", "hits", "x", "y"]
     token = (baskets.select("row", "blocked", F.explode("tokens").alias("token")).groupBy("token")
-             .agg(F.count("*").alias("freq"), F.sum(F.col("blocked").cast("long")).alias("blocked"),
+             .agg(F.count("*").alias("freq"), F.sum(F.col("blocked").cast("long")).alias("hits"),
                   F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("y"))
-             .where(F.col("blocked") >= least))
+             .where(F.col("hits") >= least))
     item = token.groupBy(*same).agg(F.min("token").alias("item"))
-    return staged(token.join(item, same).select("item", "token", "freq"), "url-items")
+    return staged(token.join(item, same).select("item", "token", "freq", "hits"), "url-items")
 
 
 def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.5, min_rows: int = 5,
@@ -118,16 +121,19 @@ def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float
     if n_blocked < least:
         return spark.createDataFrame([], RULES)
     items = items_of(baskets, least)
-    known = (baskets.select("row", "blocked", F.explode("tokens").alias("token")).join(items, "token")
+    known = (baskets.select("row", "blocked", F.explode("tokens").alias("token"))
+             .join(items.where("hits < freq").select("item", "token"), "token")
              .groupBy("row", "blocked").agg(F.sort_array(F.collect_set("item")).alias("items")))
     known = staged(known, "url-itemsets")
     blocked = known.where("blocked").select("items")
     rows = blocked.count()
-    if not rows:
-        return spark.createDataFrame([], RULES)
-    found = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / rows,
-                     numPartitions=max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))).fit(blocked).freqItemsets
-    found = staged(found.select(F.sort_array("items").alias("tokens"), F.col("freq").alias("hits")).where(F.col("hits") >= least), "url-sets")
+    # an item of blocked rows only is as sure as a rule can be: no set with it says more, so it is not mined with others
+    found = items.where("hits = freq").select(F.array("item").alias("tokens"), "hits").distinct()
+    if rows >= least:
+        sets = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / rows,
+                        numPartitions=max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))).fit(blocked).freqItemsets
+        found = found.unionByName(sets.select(F.sort_array("items").alias("tokens"), F.col("freq").alias("hits")).where(F.col("hits") >= least))
+    found = staged(found, "url-sets")
     # the rarest item of each set is its place in the index
     group = items.groupBy("item").agg(F.sort_array(F.collect_list("token")).alias("group"), F.first("freq").alias("freq"))
     parts = found.select("tokens", "hits", F.explode("tokens").alias("item")).join(group, "item")

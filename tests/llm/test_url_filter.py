@@ -55,6 +55,8 @@ def test_rules_against_brute_force(spark):
     rng = random.Random(4)
     names = [f"t{i}" for i in range(8)]
     rows = [(sorted(rng.sample(names, 4)), rng.random() < 0.4) for _ in range(200)]
+    rows += [(sorted([*rng.sample(names, 3), "sure"]), True) for _ in range(20)]
+    names.append("sure")
     df = spark.createDataFrame(rows, "tokens array<string>, blocked boolean")
     got = {tuple(r["tokens"]): (round(r["confidence"], 9), round(r["support"], 9)) for r in uf.mine(df, 0.05, 0.45, 1).collect()}
     found = {}
@@ -93,6 +95,18 @@ def test_a_long_url_does_not_explode(spark):
     assert time.monotonic() - started < 60
 
 
+def test_tokens_of_blocked_rows_only_do_not_explode(spark):
+    """24 tokens, each missing from rows of its own: every set of up to 23 of them is frequent."""
+    family = [f"f{i:02d}" for i in range(24)]
+    rows = [([t for t in family if t != out] + ["shared"], True) for out in family for _ in range(6)]
+    rows += [(["shared", "good"], False)] * 400 + [(["good", "odd"], i < 30) for i in range(40)]
+    started = time.monotonic()
+    rules = uf.mine(spark.createDataFrame(rows, "tokens array<string>, blocked boolean"), 0.01, 0.5)
+    got = {tuple(r["tokens"]): r["confidence"] for r in rules.collect()}
+    assert got == {**{(t,): 1.0 for t in family}, ("odd",): 0.75}
+    assert time.monotonic() - started < 60
+
+
 def test_empty_tables(spark):
     pages = spark.createDataFrame([], "page_id long, url string")
     examples = spark.createDataFrame([], "url string, blocked boolean")
