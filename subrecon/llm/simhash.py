@@ -13,9 +13,9 @@ that many bit orders, each beginning with another block, and order ``k`` only fo
 pairs that agree in its first block. Each subtree below a first block is one
 group of rows, joined by itself in a task. A subtree of more than
 ``max_subtree`` fingerprints (a block that a third of all rows share) is cut
-further: its rows go to the pairs of child nodes ``split_bits`` deeper whose
-differing bits are within the budget, and each such node pair is a task, until every
-one is small. Inside a task the pairs are followed level by level over sorted
+further: its rows go to the pairs of child nodes some bits deeper (as few as make the pairs small, and at
+most ``split_bits`` a round) whose differing bits are within the budget, and each such node pair is a task, until every
+one is small. A row is written once for each node that its own meets: four times for two million under one node. Inside a task the pairs are followed level by level over sorted
 arrays in bounded pieces, and only a spanning forest of the links found is
 emitted, never all pairs of a group.
 
@@ -32,6 +32,7 @@ a null id link like any other and are ignored as a component's smallest id
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -39,7 +40,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from subrecon.llm.common import by_bytes, checkpoint_dir, staged, text_bytes
@@ -184,28 +185,27 @@ def _rotated(fp: np.ndarray, by: int) -> np.ndarray:
 def _near_links(budget: int):
     """Forest of the links in one group of rows of one bit order.
 
-    ``two`` groups hold a pair of nodes (side 0 and side 1). Others hold whole
-    subtrees of ``width`` leading bits, each joined with itself.
+    Groups with unlike ``left`` and ``right`` hold a pair of nodes, named by their leading ``depth``
+    bits. Others hold whole subtrees of ``depth`` leading bits, each joined with itself.
     """
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        turn, width, two = (pdf[c].iloc[0] for c in ("turn", "width", "two"))
+        turn, depth, left, right = (int(pdf[c].iloc[0]) for c in ("turn", "depth", "left", "right"))
         fp = pdf["fp"].to_numpy(np.int64).view(np.uint64)
-        side = pdf["side"].to_numpy()
-        rot = _rotated(fp, int(turn))
-        order = np.lexsort((rot, side))
-        fp, rot = fp[order], rot[order]
-        if two:
-            cut = int((side == 0).sum())
-            top = np.array([[0, cut, 0, len(fp) - cut, 0]], np.int64)
+        rot = np.sort(_rotated(fp, turn))
+        node = rot >> np.uint64(64 - depth)
+        if left != right:
+            side = node != np.int64(left).view(np.uint64)
+            rot, cut = np.r_[rot[~side], rot[side]], int((~side).sum())
+            top = np.array([[0, cut, 0, len(rot) - cut, 0]], np.int64)
             pairs = ((i, j + cut) for i, j in _follow(rot[:cut], rot[cut:], budget, False, top))
         else:
-            shift = np.uint64(64 - int(width))
-            edge = np.flatnonzero(np.diff(rot >> shift)) + 1
+            edge = np.flatnonzero(np.diff(node)) + 1
             lo, hi = np.r_[0, edge], np.r_[edge, len(rot)]
             pairs = _follow(rot, rot, budget, True, np.stack([lo, hi, lo, hi, 0 * lo], axis=1))
-        root = _forest(len(fp), pairs)
-        linked = root != np.arange(len(fp))
+        root = _forest(len(rot), pairs)
+        linked = root != np.arange(len(rot))
+        fp = _rotated(rot, (64 - turn) % 64)
         return pd.DataFrame({"a": fp[root[linked]].view(np.int64), "b": fp[linked].view(np.int64)})
     return join
 
@@ -224,71 +224,71 @@ def _masks(bits: int, budget: int) -> list[int]:
 _ROTATED = "CASE WHEN turn = 0 THEN fp ELSE shiftleft(fp, turn) | shiftrightunsigned(fp, 64 - turn) END"
 
 
-def links(prints: DataFrame, max_bits: int = MAX_BITS, max_subtree: int = 20_000, split_bits: int = 6) -> DataFrame:
+def _own() -> Column:
+    """The node of a row: the leading ``depth`` bits of its fingerprint in the bit order."""
+    return F.expr(f"shiftrightunsigned({_ROTATED}, 64 - depth)")
+
+
+def links(prints: DataFrame, max_bits: int = MAX_BITS, max_subtree: int = 1_000_000, split_bits: int = 6,
+          group_rows: int = 20_000) -> DataFrame:
     """(a, b) pairs of distinct fingerprints: for every two within ``max_bits``, a path of pairs.
 
-    ``prints`` has one column ``fp`` (long) of distinct fingerprints.
+    ``prints`` has one column ``fp`` (long) of distinct fingerprints. A task joins up to ``max_subtree`` of
+    them under one node (some 32 bytes each); small subtrees share tasks of about ``group_rows``.
     """
     n = prints.count()
     join = _near_links(max_bits)
-    turned = F.array(*[F.struct(F.lit(t).alias("turn"), F.lit(w).alias("width")) for t, w in _blocks(max_bits)])
-    rows = prints.select("fp", F.explode(turned).alias("t")).select("fp", "t.*").select(
-        "fp", "turn", "width", F.expr(f"shiftrightunsigned({_ROTATED}, 64 - width)").alias("top"))
+    turned = F.array(*[F.struct(F.lit(t).alias("turn"), F.lit(w).alias("depth")) for t, w in _blocks(max_bits)])
+    rows = prints.select("fp", F.explode(turned).alias("t")).select("fp", "t.*").select("fp", "turn", "depth", _own().alias("top"))
     sizes = rows.groupBy("turn", "top").agg(F.count("*").alias("__n")).where("__n > 1")
     sizes = staged(sizes, "simhash-subtrees")
-    # small subtrees of one bit order share tasks of about max_subtree rows
-    buckets = max(1, -(-n // max_subtree))
+    buckets = max(1, -(-n // group_rows))
     small = rows.join(sizes.where(F.col("__n") <= max_subtree).select("turn", "top"), ["turn", "top"], "left_semi")
-    small = small.select("fp", "turn", "width", F.pmod(F.xxhash64("top"), F.lit(buckets)).alias("bucket"),
-                         F.lit(0).alias("side"), F.lit(False).alias("two"))
-    out = [small.groupBy("turn", "bucket").applyInPandas(join, "a long, b long")]
+    none = F.lit(0).cast("long")
+    small = small.select("fp", "turn", "depth", none.alias("left"), none.alias("right"),
+                         F.pmod(F.xxhash64("top"), F.lit(buckets)).alias("bucket"))
+    result = small.groupBy("turn", "bucket").applyInPandas(join, "a long, b long")
     large = sizes.where(F.col("__n") > max_subtree)
-    if not large.isEmpty():
+    largest = large.agg(F.max("__n")).first()[0]
+    if largest is not None:
         rows = rows.join(large.select("turn", "top"), ["turn", "top"], "left_semi").select(
-            "fp", "turn", "width", F.col("width").alias("depth"), F.col("top").cast("string").alias("node"),
-            F.lit(0).alias("side"), F.lit(False).alias("two"), F.lit(0).alias("used"))
-        out += _split(rows, join, max_bits, max_subtree, split_bits)
-    result = out[0]
-    for x in out[1:]:
-        result = result.unionByName(x)
+            "fp", "turn", "depth", F.col("top").alias("left"), F.col("top").alias("right"))
+        for pairs in _split(rows, largest, max_bits, max_subtree, split_bits):
+            result = result.unionByName(pairs.groupBy("turn", "left", "right").applyInPandas(join, "a long, b long"))
     return result
 
 
-def _split(rows: DataFrame, join, max_bits: int, max_subtree: int, split_bits: int) -> list[DataFrame]:
-    """Cut large nodes into pairs of deeper nodes until each pair is small."""
-    out, key = [], ["turn", "node"]
-    while True:
-        depth = rows.agg(F.max("depth")).first()[0]
-        if depth is None:
-            return out
-        step = min(split_bits, 64 - depth)
-        child = F.expr(f"cast(shiftrightunsigned(shiftleft({_ROTATED}, depth), 64 - {step}) AS int)")
-        masks = F.array(*[F.lit(m) for m in _masks(step, max_bits)])
-        c, x, two = F.col("__c"), F.col("__x"), F.col("two")
-        other = c.bitwiseXOR(x)
-        # a node with itself: children c and c^x meet once, the lower as side 0; two nodes: each child meets its own
-        left = F.when(two, F.when(F.col("side") == 0, c).otherwise(other)).otherwise(F.least(c, other))
-        right = F.when(two, F.when(F.col("side") == 0, other).otherwise(c)).otherwise(F.greatest(c, other))
-        rows = (rows.withColumn("__c", child).select("*", F.explode(masks).alias("__x"))
-                .withColumn("used", F.col("used") + F.bit_count(x)).where(F.col("used") <= max_bits)
-                .select("fp", "turn", (F.col("depth") + step).alias("depth"),
-                        (F.col("depth") + step).alias("width"),
-                        F.concat_ws("/", "node", F.concat_ws(":", left.cast("string"), right.cast("string"))).alias("node"),
-                        F.when(two, F.col("side")).otherwise(F.when(c == left, 0).otherwise(1)).alias("side"),
-                        (two | (x != 0)).alias("two"), "used"))
-        rows = staged(rows, "simhash-nodes")
-        sizes = rows.groupBy(*key).agg(F.count("*").alias("__n"), F.min("side").alias("__l"), F.max("side").alias("__h"),
-                                       F.first("two").alias("__two"))
+def _split(rows: DataFrame, largest: int | None, max_bits: int, max_subtree: int, split_bits: int) -> Iterator[DataFrame]:
+    """Cut pairs of nodes into pairs of deeper nodes until each is small; a table of small ones a round.
+
+    ``rows`` (fp, turn, depth, left, right) has a pair's nodes by their leading ``depth`` bits, a node with itself twice;
+    ``largest`` is the most rows of a pair. A row is copied once for each node that its own meets, so a round goes
+    no deeper than it must, and rows of pairs with an empty side are not written.
+    """
+    key, step, was = ["turn", "left", "right"], 0, None
+    depth = max(w for _, w in _blocks(max_bits))
+    while largest is not None:
+        wanted = max(1, math.ceil(math.log2(2 * largest / max_subtree)))
+        if was is not None and 4 * largest > 3 * was:  # the last bits hardly told rows apart
+            wanted = max(wanted, 2 * step)
+        step = min(split_bits, 64 - depth, wanted)
+        depth += step
+        masks = F.array(*[F.lit(m).cast("long") for m in _masks(step, max_bits)])
+        met = F.when(_own() == F.col("left"), F.col("right")).otherwise(F.col("left"))
+        rows = rows.select("fp", "turn", (F.col("depth") + step).alias("depth"), met.alias("met"), F.explode(masks).alias("x"))
+        bits = _own().bitwiseAND(F.lit((1 << step) - 1).cast("long")).bitwiseXOR(F.col("x"))
+        other = F.shiftleft("met", step).bitwiseOR(bits)
+        rows = (rows.select("fp", "turn", "depth", F.least(_own(), other).alias("left"), F.greatest(_own(), other).alias("right"))
+                .where(F.bit_count(F.col("left").bitwiseXOR(F.col("right"))) <= max_bits))
+        last = depth >= 64
+        sizes = rows.groupBy(*key).agg(F.count("*").alias("__n"), F.min(_own()).alias("__l"), F.max(_own()).alias("__h"))
         # a pair with an empty side has no links, nor has a single leaf with itself
-        live = staged(sizes.where("__n > 1 AND (NOT __two OR __l < __h)"), "simhash-sizes")
-        last = depth + step >= 64
-        fits = F.lit(True) if last else F.col("__n") <= max_subtree
-        done = rows.join(live.where(fits).select(*key), key, "left_semi")
-        out.append(done.select("turn", "node", "side", "fp", "width", "two").groupBy(*key)
-                   .applyInPandas(join, "a long, b long"))
-        if last:
-            return out
-        rows = rows.join(live.where(~fits).select(*key), key, "left_semi")
+        live = staged(sizes.where("__n > 1 AND (left = right OR __l < __h)").select(
+            *key, "__n", (F.lit(last) | (F.col("__n") <= max_subtree)).alias("fits")), "simhash-sizes")
+        rows = staged(rows.join(live.select(*key, "fits"), key), "simhash-nodes")
+        yield rows.where("fits").drop("fits")
+        was, largest = largest, live.where("NOT fits").agg(F.max("__n")).first()[0]
+        rows = rows.where("NOT fits").drop("fits")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from subrecon.llm import simhash
 from subrecon.llm.common import staged
@@ -82,6 +83,34 @@ def test_links_split_large_subtrees(spark):
         assert {d: roots.get(d, d) for d in want} == want
 
 
+def test_large_subtrees_are_copied_a_few_times_only(spark):
+    """Rows under one node, twice as many as a task takes: four written rows each, and the brute-force components."""
+    rng = random.Random(12)
+    prints = {(0xABCD << 48) | rng.getrandbits(48) for _ in range(1_000)}
+    for c in list(prints)[:50]:
+        prints |= {c ^ (1 << rng.randrange(48)) ^ (1 << rng.randrange(48)) for _ in range(20)}
+    prints = sorted(prints)
+    node = F.lit(0xABCD).cast("long")
+    df = staged(spark.createDataFrame([(signed(p),) for p in prints], "fp long"), "test-prints")
+    rows = df.select("fp", F.lit(0).alias("turn"), F.lit(16).alias("depth"), node.alias("left"), node.alias("right"))
+    cap = len(prints) * 11 // 20
+    parts = list(simhash._split(rows, len(prints), 3, cap, 6))
+    assert sum(x.count() for x in parts) <= 8 * len(prints)
+    assert all(r["count"] <= cap for x in parts for r in x.groupBy("turn", "left", "right").count().collect())
+    roots = {r["node"]: r["root"] for r in simhash.components(simhash.links(df, 3, max_subtree=cap)).collect()}
+    want = brute_components([signed(p) for p in prints], prints, 3)
+    assert {d: roots.get(d, d) for d in want} == want
+
+
+def test_prints_that_agree_in_many_bits_are_told_apart_in_few_rounds(spark):
+    rng = random.Random(13)
+    prints = sorted({(0xABCD << 48) | rng.getrandbits(10) for _ in range(300)})
+    df = staged(spark.createDataFrame([(signed(p),) for p in prints], "fp long"), "test-prints")
+    roots = {r["node"]: r["root"] for r in simhash.components(simhash.links(df, 2, max_subtree=40)).collect()}
+    want = brute_components([signed(p) for p in prints], prints, 2)
+    assert {d: roots.get(d, d) for d in want} == want
+
+
 def test_follow_finds_each_pair_once():
     rng = np.random.default_rng(3)
     x = np.unique(rng.integers(0, 1 << 20, 400).astype(np.uint64))
