@@ -85,8 +85,9 @@ def passages(texts: list[bytes], passage_words: int = PASSAGE_WORDS) -> tuple[np
     if len(h) > 2:
         one = (w.text[2:] == w.text[:-2])
         key = mix64(mix64(h[:-2] + w.text[:-2].astype(np.uint64)) + np.uint64(3) * h[1:-1] + np.uint64(7) * h[2:])
-        _, inverse, times = np.unique(key, return_inverse=True, return_counts=True)
-        triple[:-2] = one & (times[inverse] > 1)
+        # only triples within a text count: one that reaches into the next text is none
+        _, inverse, times = np.unique(key[one], return_inverse=True, return_counts=True)
+        triple[:-2][one] = times[inverse] > 1
     out[:, j + 6] = share(triple)
     out[:, j + 7] = np.log1p(count)
     out[:, j + 8] = np.log1p(w.count)[text]
