@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from subrecon.functions.expressions import presence_flag
 from subrecon.functions.values import CLICK_RECORD
 
+DEAL = "__deal"
+
 
 def click_subs(clicks: DataFrame, extras: Sequence[str] = ()) -> DataFrame:
     """Clickstream rows narrowed to the substitution columns, with a flag.
@@ -37,11 +39,15 @@ def click_pairs(subs: DataFrame) -> DataFrame:
     or empty produce nothing; a null element yields a row that never joins.
     De-duplication is over *all* columns, so the same
     ``(order_id, upc, sub_upc)`` can remain more than once when another
-    carried column differs (see ``key_fanout_audit``). ``dropDuplicates``
-    aggregates map-side before its shuffle, so a hot key is collapsed
-    before it moves.
+    carried column differs (see ``key_fanout_audit``). Equal pairs come from
+    clicks that are equal in every other column, so the clicks are dealt out by a hash of those
+    and exploded where they meet: a click moves once however many substitutes it has, and no map
+    task holds a table of nearly distinct rows, which it would spill. A click repeated
+    without end meets in one task, which keeps one row of it.
     """
-    return exploded_clicks(subs).dropDuplicates()
+    others = [c for c in subs.columns if c != "sub_upc"]
+    dealt = subs.where(F.size("sub_upc") > 0).withColumn(DEAL, F.hash(*others)).repartition(DEAL)
+    return exploded_clicks(dealt).dropDuplicates().drop(DEAL)
 
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:

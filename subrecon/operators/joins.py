@@ -18,7 +18,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-KEY_HASH = "__key_hash"
 SIDES = "__sides"
 
 
@@ -39,7 +38,7 @@ def missing(sides: DataFrame, keys: Sequence[str], bit: int = 1) -> DataFrame:
 
 
 def left_join(left: DataFrame, right: DataFrame, keys: Sequence[str], own_shuffle: bool = False,
-              sides: DataFrame | None = None, bit: int = 1) -> DataFrame:
+              sides: DataFrame | None = None, bit: int = 1, mark: str | None = None) -> DataFrame:
     """``left.join(right, keys, "left")``: keys, left columns, right columns.
 
     Null keys match nothing, as in the join. Column names other than the
@@ -47,7 +46,8 @@ def left_join(left: DataFrame, right: DataFrame, keys: Sequence[str], own_shuffl
     (bit 0) and the right keys (``bit``), for joins that share one. ``own_shuffle`` is for a ``left`` that is
     itself a join on the same keys: Spark would chain the two without a shuffle
     between them, and could not split a key that is hot only in ``right``. Joining on
-    a hash of the keys too makes it deal ``left`` out anew.
+    a hash of the keys too makes it deal ``left`` out anew; the hash is worked out on either side of
+    the shuffle and does not travel. ``mark`` names a last column that tells rows with a partner.
     """
     keys = list(keys)
     if sides is None:
@@ -57,12 +57,12 @@ def left_join(left: DataFrame, right: DataFrame, keys: Sequence[str], own_shuffl
     right, lacking = right.dropna(subset=keys), missing(sides, keys, bit)
     on: list[Column] = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
     if own_shuffle:
-        left, right, lacking = (d.withColumn(KEY_HASH, F.xxhash64(*keys)) for d in (left, right, lacking))
-        on.append(F.col(f"l.{KEY_HASH}") == F.col(f"r.{KEY_HASH}"))
+        on.insert(0, F.xxhash64(*[F.col(f"l.{k}") for k in keys]) == F.xxhash64(*[F.col(f"r.{k}") for k in keys]))
+    met = lambda yes: [F.lit(yes).alias(mark)] if mark else []
 
     def joined(side: DataFrame, *columns: Column) -> DataFrame:
         return left.alias("l").join(side.alias("r"), reduce(Column.__and__, on), "inner").select(
             *[f"l.{c}" for c in (*keys, *own)], *columns)
 
-    return joined(right, *[F.col(f"r.{f.name}") for f in others]).unionByName(
-        joined(lacking, *[F.lit(None).cast(f.dataType).alias(f.name) for f in others]))
+    return joined(right, *[F.col(f"r.{f.name}") for f in others], *met(True)).unionByName(
+        joined(lacking, *[F.lit(None).cast(f.dataType).alias(f.name) for f in others], *met(False)))

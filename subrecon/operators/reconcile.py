@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from subrecon.functions.expressions import is_contradiction
+from subrecon.functions.expressions import is_contradiction, presence_flag
 from subrecon.functions.values import CLICK_CARRIED, CLICK_RECORD, NO, RESPONSE_RECORD, SUB_KEYS, YES
 from subrecon.operators.joins import left_join
 
@@ -26,14 +26,17 @@ def reconciled(flagged: DataFrame, pairs: DataFrame, by: Sequence[str] = (),
     the substitution's store, the carried click attributes (those present),
     then ``by``. A hot key is split whichever side it is hot on. ``sides`` is the ``evidence_keys``
     that ``flagged`` was made with, if any: its click bit then tells which keys have no click.
+    The flags, and ``sub_upc``, which a match has equal to ``picked_upc``, are set after the join, so that no shuffle carries them.
     """
     carried = [c for c in CLICK_CARRIED if c in pairs.columns]
     clicks = pairs.select(
         F.col("order_id").alias("order_no"), F.col("upc").alias("ordered_upc"), F.col("sub_upc").alias("picked_upc"),
-        *by, "sub_upc", "sub_status", CLICK_RECORD, *carried)
-    left = flagged.select(*SUB_KEYS, *by, RESPONSE_RECORD, "status", "store_code")
-    return left_join(left, clicks, [*SUB_KEYS, *by], own_shuffle=True,
-                     sides=sides, bit=2).select(*LEAD_COLUMNS, *carried, *by)
+        *by, "sub_status", *carried)
+    left = flagged.select(*SUB_KEYS, *by, "status", "store_code")
+    met = F.col("__met")
+    return left_join(left, clicks, [*SUB_KEYS, *by], own_shuffle=True, sides=sides, bit=2, mark="__met").withColumns({
+        RESPONSE_RECORD: presence_flag("status"), CLICK_RECORD: F.when(met, presence_flag("sub_status")),
+        "sub_upc": F.when(met, F.col("picked_upc"))}).select(*LEAD_COLUMNS, *carried, *by)
 
 
 def unanswered(rec: DataFrame) -> DataFrame:

@@ -168,3 +168,17 @@ def test_period_with_clicks_only_still_reported(spark):
             rows["2024-03"]["clicks_with_answer"], rows["2024-03"]["pct_clicks_with_answer"]) == (0, 2, 1, 50.0)
     assert (rows["2024-02"]["substitutions"], rows["2024-02"]["clicks"], rows["2024-02"]["unanswered"]) == (1, 0, 1)
     assert rows["2024-02"]["pct_clicks_with_answer"] is None
+
+
+def test_click_pairs_equal_exploded_distinct_rows(spark):
+    """Clicks that differ only in their substitutes, repeat one, or hold odd numbers give every distinct pair once."""
+    nan = float("nan")
+    rows = [click("1", "a", ["b", "b", None]), click("1", "a", ["b", "c"]), click("1", "a", ["c"], price=2.0),
+            click("1", "a", ["b"], price=0.0), click("1", "a", ["b"], price=-0.0), click("1", "a", ["d"], price=nan),
+            click("1", "a", ["d"], price=nan), click(None, None, ["b"], None), click(None, None, ["b"], None),
+            click("2", "a", []), click("2", "a", None)] * 3
+    subs = ops.click_subs(evidence(spark, clicks=rows).clicks, extras=["event_date"])
+    pairs = ops.click_pairs(subs)
+    assert pairs.columns == ops.exploded_clicks(subs).columns
+    want = ops.exploded_clicks(subs).distinct()
+    assert sorted(map(repr, pairs.collect())) == sorted(map(repr, want.collect())) and pairs.count() == 7

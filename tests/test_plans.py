@@ -128,3 +128,15 @@ def test_shuffles_joins_and_scans(spark, written, name):
         assert reused == 3
     if name == "period_comparison":
         assert reused >= 2  # totals, register and UPC figures descend from one exchange
+
+
+def test_click_pairs_are_exploded_after_their_shuffle(rec):
+    """A click moves once, not once a substitute, and no map task de-duplicates."""
+    p = _plan(rec.click_pairs)
+    assert 0 <= p.index("Generate explode") < p.index("Exchange") and p.count("Exchange") == 1, p
+
+
+def test_reconciled_shuffles_carry_nothing_derived(rec):
+    """The hash that deals the left side anew and the flags are worked out beside the shuffles, not sent through them."""
+    plan = _plan(rec.reconciled)
+    assert not re.search(r"xxhash64\([^)]*\) AS", plan), plan
