@@ -134,14 +134,14 @@ def terms(number: Callable[[str], Column] = exact) -> dict[str, Column]:
     return t
 
 
-def contradiction_rows_per_sub() -> Column:
-    """Reconciled contradiction rows one substitution *row* yields."""
-    return exact("r_accept") * exact("c_rejected") + exact("r_reject") * exact("c_accepted")
+def contradiction_rows_per_sub(number: Callable[[str], Column] = exact) -> Column:
+    """Reconciled contradiction rows one substitution *row* yields; ``number`` makes a count a factor."""
+    return number("r_accept") * number("c_rejected") + number("r_reject") * number("c_accepted")
 
 
-def unanswered_rows_per_sub() -> Column:
+def unanswered_rows_per_sub(number: Callable[[str], Column] = exact) -> Column:
     """Reconciled unanswered rows one substitution *row* yields."""
-    return (exact("r_null") + none_to_one(F.col("r"))) * at_least_one(exact("c"))
+    return (number("r_null") + none_to_one(F.col("r"))) * at_least_one(number("c"))
 
 
 #: Products of three counts up to this stay below 2^24, so BIGINT holds the sum of 5 * 10^11 of them.
@@ -279,15 +279,17 @@ def evidence_by_store(substitutions: DataFrame, responses: DataFrame, partner_ev
     place = F.struct("is_sub", "store_code")
     return per_store.select(
         *keys, "store_code", "is_sub", F.col("s").alias("subs"), place.eqNullSafe(F.min(place).over(same)).alias("once"),
-        *[F.sum(c).over(same).alias(c) for c in counts]).where(sum(map(F.col, counts), F.lit(0)) > 0)
+        *[F.sum(c).over(same).alias(c) for c in counts]).where(sum(map(F.col, counts), F.col("once").cast("int")) > 0)
 
 
 def register_weights_by_store(evidence: DataFrame, by: str) -> DataFrame:
     """``register_weights`` per ``by`` value, from ``evidence_by_store``."""
+    small = F.greatest("s", "r", "c") <= SMALL_COUNT
+    weight = lambda per_sub: F.when(small, (F.col("subs") * per_sub(F.col)).cast(COUNT)).otherwise(
+        (exact("subs") * per_sub()).cast(COUNT))
     return evidence.where("is_sub").select(
         "order_no", F.col("picked_upc").alias("gtin_no"), "store_code",
-        (exact("subs") * contradiction_rows_per_sub()).cast(COUNT).alias("contra_rows"),
-        (exact("subs") * unanswered_rows_per_sub()).cast(COUNT).alias("unans_rows"), by)
+        weight(contradiction_rows_per_sub).alias("contra_rows"), weight(unanswered_rows_per_sub).alias("unans_rows"), by)
 
 
 def upc_counts(stats: DataFrame, clicks: DataFrame, products: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -305,24 +307,27 @@ def upc_counts(stats: DataFrame, clicks: DataFrame, products: DataFrame, by: Seq
     ``by`` value) puts their counts on each.
     """
     one = F.lit(1)
-    products_of = ("w_o", "w_p")  # of two counts: exact; the others count rows, so their sums fit BIGINT
-    names = (*products_of, "w_c", "w_a", "w_s", "g", "b")
+    names = ("w_o", "w_p", "w_c", "w_a", "w_s", "g", "b")
+    large = {"w_o": "w_o_large", "w_p": "w_p_large"}  # products of two counts: exact where one is large; all other sums fit BIGINT
+    columns = (*names, *large.values())
 
     def row(upc: Column, dated: bool = True, **w: Column) -> Column:
         label = [F.col(b) if dated else F.lit(None).cast("string").alias(b) for b in by]
         # what a row does not add is null, not 0: sums pass nulls by
         return F.struct(upc.alias("upc"), *label, *[w.get(n, F.lit(None)).cast(
-            COUNT if n in products_of else "bigint").alias(n) for n in names])
+            COUNT if n in large.values() else "bigint").alias(n) for n in columns])
 
     def part(df: DataFrame, *rows: Column) -> DataFrame:
         """Each input row yields ``rows`` (one pass, one scan, however many uses)."""
         return df.select(F.explode(F.array(*rows)).alias("x")).select("x.*") if len(rows) > 1 else df.select(
             rows[0].alias("x")).select("x.*")
 
-    flagged_rows = exact("s") * at_least_one(exact("r"))
+    small = F.greatest("s", "r") <= SMALL_COUNT
+    few = F.when(small, F.col("s") * at_least_one(F.col("r")))
+    many = F.when(~small, exact("s") * at_least_one(exact("r")))
     parts = [
-        part(stats, row(F.col("ordered_upc"), w_o=flagged_rows),
-             row(F.col("picked_upc"), w_p=flagged_rows, w_s=F.col("c"))),
+        part(stats, row(F.col("ordered_upc"), w_o=few, w_o_large=many),
+             row(F.col("picked_upc"), w_p=few, w_p_large=many, w_s=F.col("c"))),
         part(clicks, row(F.col("upc"), w_c=one, w_a=_ind(F.col("sub_status").isNotNull()))),
         # a product key that is null can never match, so it is dropped
         part(products, row(F.col("con_upc_no"), False, g=one), row(F.col("bas_con_upc_no"), False, b=one))
@@ -331,8 +336,10 @@ def upc_counts(stats: DataFrame, clicks: DataFrame, products: DataFrame, by: Seq
     u = parts[0]
     for q in parts[1:]:
         u = u.unionByName(q)
-    counts = u.groupBy("upc", *by).agg(*[F.coalesce(F.sum(n), F.lit(0)).cast(COUNT).alias(n) for n in names])
-    if not by:
-        return counts
-    same = Window.partitionBy("upc")
-    return counts.withColumns({n: F.sum(n).over(same).cast(COUNT) for n in ("g", "b")}).where(F.col(by[0]).isNotNull())
+    counts = u.groupBy("upc", *by).agg(*[F.sum(n).alias(n) for n in columns])
+    if by:
+        same = Window.partitionBy("upc")
+        counts = counts.withColumns({n: F.sum(n).over(same) for n in ("g", "b")}).where(F.col(by[0]).isNotNull())
+    number = lambda n: F.coalesce(F.col(n), F.lit(0)).cast(COUNT)
+    return counts.select("upc", *by, *[
+        ((number(n) + number(large[n])).cast(COUNT) if n in large else number(n)).alias(n) for n in names])

@@ -140,3 +140,8 @@ def test_reconciled_shuffles_carry_nothing_derived(rec):
     """The hash that deals the left side anew and the flags are worked out beside the shuffles, not sent through them."""
     plan = _plan(rec.reconciled)
     assert not re.search(r"xxhash64\([^)]*\) AS", plan), plan
+
+
+def test_period_comparison_windows_over_plain_counts(rec):
+    """Product counts are summed over a UPC's periods as BIGINTs (``L``), decimals only where a count is large."""
+    assert re.search(r"Window \[.*sum\(g#\d+L\)", _plan(rec.period_comparison()))
