@@ -146,8 +146,7 @@ def sketch_set(h: np.ndarray, at_once: int = 1 << 16) -> np.ndarray:
 
 def _p(x: np.ndarray) -> np.ndarray:
     """Probability that a register is larger, for a part ``x`` of the two set sizes' sum."""
-    x = np.clip(x, 0, None)
-    return -np.log1p(-x * ((BASE - 1) / BASE)) / np.log(BASE)
+    return -np.log1p(-np.maximum(x, 0) * ((BASE - 1) / BASE)) / np.log(BASE)
 
 
 def log_likelihood(j: np.ndarray | float, larger, smaller, equal, n_a, n_b) -> np.ndarray:
@@ -160,16 +159,21 @@ def log_likelihood(j: np.ndarray | float, larger, smaller, equal, n_a, n_b) -> n
             + equal * np.log(np.maximum(1 - a - b, tiny)))
 
 
-def estimated(larger, smaller, equal, n_a, n_b, steps: int = 24) -> np.ndarray:
-    """The most likely similarity: the likelihood is concave in it, so a ternary search finds it."""
+def estimated(larger, smaller, equal, n_a, n_b, steps: int = 14) -> np.ndarray:
+    """The most likely similarity: the likelihood is concave in it, so halving by the sign of its slope finds it."""
+    u = n_a / (n_a + n_b)
+    v, c, tiny = 1 - u, (BASE - 1) / BASE, 1e-12
     lo = np.zeros(len(larger))
     hi = np.minimum(n_a / n_b, n_b / n_a).astype(float)
     for _ in range(steps):
-        third = (hi - lo) / 3
-        left, right = lo + third, hi - third
-        rises = (log_likelihood(left, larger, smaller, equal, n_a, n_b)
-                 < log_likelihood(right, larger, smaller, equal, n_a, n_b))
-        lo, hi = np.where(rises, left, lo), np.where(rises, hi, right)
+        j = (lo + hi) / 2
+        x, y = u - v * j, v - u * j
+        a, b = _p(x), _p(y)
+        # slopes of a and b against the similarity, but for a common factor
+        da, db = v / (1 - x * c), u / (1 - y * c)
+        rises = equal * (da + db) / np.maximum(1 - a - b, tiny) > (
+            larger * da / np.maximum(a, tiny) + smaller * db / np.maximum(b, tiny))
+        lo, hi = np.where(rises, j, lo), np.where(rises, hi, j)
     return (lo + hi) / 2
 
 
@@ -191,9 +195,8 @@ def compared(sketch: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, ba
         counts = [larger, REGISTERS - larger - equal, equal, n[i[at]].astype(float), n[j[at]].astype(float)]
         # the likelihood is concave, so a few similarities below the threshold bound the best one from below
         here = log_likelihood(least, *counts)
-        far = np.zeros(len(at), bool)
-        for guess in np.linspace(0, least, 9)[:-1]:
-            far |= log_likelihood(guess, *counts) - here > RATIO
+        guesses = np.linspace(0, least, 9)[:-1, None]
+        far = (log_likelihood(guesses, *counts) - here > RATIO).any(axis=0)
         at, counts = at[~far], [c[~far] for c in counts]
         out[at] = estimated(*counts)
     return out

@@ -139,3 +139,17 @@ def test_links_do_not_depend_on_partitions(spark, docs_of):
     rows = list(enumerate(families(random.Random(4), 8, 5)))
     docs = staged(docs_of(rows), "test-docs")
     assert found(S.near_duplicates(docs.repartition(7))) == found(S.near_duplicates(docs.coalesce(1)))
+
+
+def test_a_comparison_takes_few_evaluations(monkeypatch):
+    """The estimate dominated the search: 114 evaluations of the register probability for each call, however few its pairs."""
+    calls, p = [], S._p
+    monkeypatch.setattr(S, "_p", lambda x: calls.append(1) or p(x))
+    rng = np.random.default_rng(5)
+    e = rng.integers(0, 1 << 63, 300).astype(np.uint64)
+    sets = [e[:280], e[10:290], e[20:]]
+    sketch, n = np.stack([S.sketch_set(x) for x in sets]), np.array([280, 280, 280])
+    i, j = np.array([0, 0, 1]), np.array([1, 2, 2])
+    band = (sketch.view("<u8")[i] == sketch.view("<u8")[j]).argmax(axis=1)
+    guess = S.compared(sketch, n, i, j, band, 80)
+    assert (guess > 0.7).all() and len(calls) <= 32
