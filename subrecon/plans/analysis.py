@@ -20,17 +20,16 @@ from pyspark.sql import functions as F
 
 from subrecon import operators as ops
 from subrecon.plans import reports as R
+from subrecon.plans.period_stats import dated_evidence, period_counts, period_register, period_upcs
 from subrecon.plans.stats import (
-    evidence_by_store,
     flagged_weights,
     key_stats,
     register_weights,
-    register_weights_by_store,
     register_weights_one_pass,
     upc_counts,
 )
 from subrecon.sources.contracts import ContractError
-from subrecon.sources.period import Period, labels_of, month_of
+from subrecon.sources.period import Period, month_name, month_number, numbers_of, name_of
 from subrecon.sources.tables import Evidence
 from subrecon.functions.values import CLICK_KEYS, REGISTER_KEYS, SUB_KEYS
 
@@ -210,23 +209,23 @@ def period_comparison(ev: Evidence, period_col: str = "period", periods: Sequenc
     Every dated input gets ``period`` = month of its own date (or the label of
     each given period that holds the date), which joins the substitution key.
     That gives exactly the figures of one run per period (each source cut to
-    it, then joined) in a single pass (``evidence_by_store``). Rows with no date belong to no period.
-    Clicks need an ``event_date``. ``pairs`` are monthly click pairs already made.
+    it, then joined) in a single pass (``period_stats``), in which a number stands for the period. Rows with no date
+    belong to no period. Clicks need an ``event_date``. ``pairs`` are monthly click pairs already made.
     """
     def per(df: DataFrame, c: str) -> DataFrame:
         if c not in df.columns:
             raise ContractError(f"period_comparison needs a {c!r} column on every dated input")
-        label = month_of(c) if periods is None else labels_of(c, periods)
-        return df.withColumn(period_col, label).where(F.col(period_col).isNotNull())
+        number = month_number(c) if periods is None else numbers_of(c, periods)
+        return df.withColumn(period_col, number).where(F.col(period_col).isNotNull())
 
     subs = per(ev.substitution_events, "event_date")
     resp = per(ops.responses_in_scope(ev.response_events), "response_date")
     partner = per(ev.partner_events, "event_date")
     clicks = per(ev.clicks, "event_date")
-    if pairs is None:
-        pairs = ops.click_pairs(ops.click_subs(clicks, extras=[period_col]))
-    evidence = evidence_by_store(subs, resp, partner, pairs, period_col)
-    register = ops.register_counts(register_weights_by_store(evidence, period_col),
-                                   per(ev.transactions, "transaction_date"), [period_col])
-    upc = upc_counts(evidence.where("once"), clicks, ev.products, [period_col])
-    return R.period_figures(evidence, register, upc, period_col)
+    if pairs is not None:
+        pairs = pairs.withColumn(period_col, month_number(F.to_date(F.concat(period_col, F.lit("-01")))))
+    evidence = dated_evidence(subs, resp, partner, clicks, period_col, pairs)
+    register = period_register(evidence, per(ev.transactions, "transaction_date"), period_col)
+    name = month_name(period_col) if periods is None else name_of(period_col, periods)
+    return R.period_figures(period_counts(evidence, period_col), register, period_upcs(evidence, ev.products, period_col),
+                            period_col, name)

@@ -219,28 +219,40 @@ def _row_sum(weight: str, times: str | None = None) -> Column:
     return sum_exact(few & (F.col(times) <= 1_000), w.cast("bigint") * F.col(times).cast("bigint"), w * exact(times))
 
 
-def period_figures(evidence: DataFrame, register: DataFrame, upc: DataFrame, period_col: str) -> DataFrame:
-    """``period_table`` from ``evidence_by_store`` and the register and UPC counts that descend from it.
+def period_figures(counts: DataFrame, register: DataFrame, upc: DataFrame, period_col: str, name: Column) -> DataFrame:
+    """``period_table`` from ``period_counts``, ``period_register`` and ``period_upcs``; ``name`` is that of a period's number.
 
     Each is summed per period, and the three are put side by side by one more sum. Clicks are counted by
     their UPC, so they are read once.
     """
-    hit = lambda w, d: sum_exact((F.col(d) > 0) & (F.col(w) <= 1_000_000), F.col(w).cast("bigint"),
-                                 F.when(F.col(d) > 0, F.col(w)))
+    none = F.lit(0).cast("bigint")
+
+    def total(weight: str, of: DataFrame, times: str | None = None, hit: str | None = None) -> Column:
+        """Exact sum of a weight, or of its products with a count, or over the rows with a ``hit``."""
+        w, large = F.coalesce(F.col(weight), none), f"{weight}_large" in of.columns
+        t = F.coalesce(F.col(times), none) if times else F.lit(1).cast("bigint")
+        few = (w <= 1_000_000) & (t <= 1_000)
+        slow = exact(w) + F.coalesce(F.col(f"{weight}_large"), none) if large else exact(w)
+        if large:
+            few &= F.col(f"{weight}_large").isNull()
+        at = F.col(hit) > 0 if hit else F.lit(True)
+        return sum_exact(few, F.when(at, w * t), F.when(at, slow * exact(t)))
+
     sums = [
-        totals(evidence.where("once"), PERIOD_METRICS, by=[period_col]).withColumn("__present", F.lit(1)),
-        register.groupBy(period_col).agg(*[(_row_sum(w, "lines") if lines else hit(w, "lines")).alias(n)
+        totals(counts, PERIOD_METRICS, by=[period_col]).withColumn("__present", F.lit(1)),
+        register.groupBy(period_col).agg(*[total(w, register, "lines" if lines else None).alias(n)
                                            for n, (w, lines) in PERIOD_REGISTER.items()]),
         upc.groupBy(period_col).agg(
-            *[(_row_sum(w, d) if d == "g" else hit(w, d)).alias(n) for n, (w, d) in PERIOD_UPC.items()],
-            *[_row_sum(w).alias(n) for n, w in PERIOD_UPC_ALL.items()],
-            _row_sum("w_c").alias("clicks"), _row_sum("w_a").alias("clicks_with_answer")),
+            *[total(w, upc, *((d, None) if d == "g" else (None, d))).alias(n) for n, (w, d) in PERIOD_UPC.items()],
+            *[total(w, upc).alias(n) for n, w in PERIOD_UPC_ALL.items()],
+            total("w_c", upc).alias("clicks"), total("w_a", upc).alias("clicks_with_answer")),
     ]
     names = (*PERIOD_METRICS, "clicks", "clicks_with_answer", *PERIOD_REGISTER, *PERIOD_UPC, *PERIOD_UPC_ALL)
     u = reduce(DataFrame.unionByName, [d.select(period_col, *[
         (F.col(n) if n in d.columns else F.lit(None)).cast(COUNT).alias(n) for n in (*names, "__present")]) for d in sums])
     t = u.groupBy(period_col).agg(*[F.coalesce(F.sum(n), F.lit(0)).cast(COUNT).alias(n) for n in (*names, "__present")])
-    return _period_columns(t.where((F.col("__present") > 0) | (F.col("clicks") > 0)), period_col, names)
+    t = t.where((F.col("__present") > 0) | (F.col("clicks") > 0)).withColumn(period_col, name)
+    return _period_columns(t, period_col, names)
 
 
 def period_table(stats: DataFrame, period_col: str, register: DataFrame, upc: DataFrame) -> DataFrame:

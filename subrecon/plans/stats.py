@@ -246,52 +246,6 @@ def register_weights_one_pass(substitutions: DataFrame, responses: DataFrame,
     )
 
 
-def evidence_by_store(substitutions: DataFrame, responses: DataFrame, partner_events: DataFrame, pairs: DataFrame,
-                      by: str) -> DataFrame:
-    """The counts of every key and ``by`` value, on one row for each of the key's stores.
-
-    The evidence is counted once per (key, ``by``, store): substitutions keep their store, the other sources
-    have none. A window over the key then puts the key's counts (``COUNTS``) on each of its rows; ``once`` marks one
-    row of each key, ``is_sub`` those of a store, with its substitutions in ``subs``. So totals,
-    register weights and UPC weights all descend from this one aggregation: every column of it is used below
-    whatever is selected, so that Spark shuffles it once and reuses that exchange.
-    """
-    keys = [*SUB_KEYS, by]
-    sub_k = [F.col(k) for k in keys]
-    click_k = [F.col(k) for k in ("order_id", "upc", "sub_upc", by)]
-    one = F.lit(1).cast("bigint")
-    st, ss = F.col("status"), F.col("sub_status")
-    own_store = [F.lit(True).alias("is_sub"), F.col("store_code")]
-    no_store = [F.lit(False).alias("is_sub"), F.lit(None).cast("string").alias("store_code")]
-    u = _side(substitutions, "S", keys, sub_k, own_store, s=one)
-    for part in (
-        _side(responses, "R", keys, sub_k, no_store, r=one, r_null=_ind(st.isNull()),
-              r_accept=_ind(st == RESPONSE_ACCEPT), r_reject=_ind(st == RESPONSE_REJECT)),
-        _side(partner_events, "P", keys, sub_k, no_store, p=one),
-        _side(pairs, "C", keys, click_k, no_store, c=one, c_null=_ind(ss.isNull()),
-              c_accepted=_ind(ss == CLICK_ACCEPTED), c_rejected=_ind(ss == CLICK_REJECTED)),
-    ):
-        u = u.unionByName(part)
-    counts = [c for c in COUNTS if c not in ("k", "k_answered")]
-    per_store = u.groupBy(*keys, "null_side", "is_sub", "store_code").agg(
-        *[F.sum(c).cast("bigint").alias(c) for c in counts])
-    same = Window.partitionBy(*keys, "null_side")
-    place = F.struct("is_sub", "store_code")
-    return per_store.select(
-        *keys, "store_code", "is_sub", F.col("s").alias("subs"), place.eqNullSafe(F.min(place).over(same)).alias("once"),
-        *[F.sum(c).over(same).alias(c) for c in counts]).where(sum(map(F.col, counts), F.col("once").cast("int")) > 0)
-
-
-def register_weights_by_store(evidence: DataFrame, by: str) -> DataFrame:
-    """``register_weights`` per ``by`` value, from ``evidence_by_store``."""
-    small = F.greatest("s", "r", "c") <= SMALL_COUNT
-    weight = lambda per_sub: F.when(small, (F.col("subs") * per_sub(F.col)).cast(COUNT)).otherwise(
-        (exact("subs") * per_sub()).cast(COUNT))
-    return evidence.where("is_sub").select(
-        "order_no", F.col("picked_upc").alias("gtin_no"), "store_code",
-        weight(contradiction_rows_per_sub).alias("contra_rows"), weight(unanswered_rows_per_sub).alias("unans_rows"), by)
-
-
 def upc_counts(stats: DataFrame, clicks: DataFrame, products: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Per UPC: rows of each feed carrying it, and product-dimension hits.
 

@@ -72,13 +72,34 @@ class Period:
 OPEN = Period()
 
 
-def labels_of(column: str, periods: Sequence[Period]) -> Column:
-    """The labels of the given periods that a day falls in, one row each
-    (``explode``): periods may overlap, and a day outside all of them has none."""
-    each = [F.when(F.lit(True) if p.is_open else p.condition(column), F.lit(p.label())) for p in periods]
+def _labels(periods: Sequence[Period]) -> list[str]:
+    return list(dict.fromkeys(p.label() for p in periods))
+
+
+def numbers_of(column: str, periods: Sequence[Period]) -> Column:
+    """Which of the given periods a day falls in, one row each (``explode``), as numbers that ``name_of`` names: periods
+    may overlap, and a day outside all of them has none."""
+    labels = _labels(periods)
+    each = [F.when(F.lit(True) if p.is_open else p.condition(column), F.lit(labels.index(p.label()))) for p in periods]
     return F.explode(F.array_compact(F.array(*each)))
 
 
+def name_of(number: str, periods: Sequence[Period]) -> Column:
+    """The label of a period that ``numbers_of`` gave."""
+    return F.element_at(F.array(*map(F.lit, _labels(periods))), F.col(number) + 1)
+
+
 def month_of(column: str) -> Column:
     """Calendar month ``yyyy-MM`` of a date or timestamp column."""
     return F.date_format(F.col(column), "yyyy-MM")
+
+
+def month_number(column: str | Column) -> Column:
+    """Months since the year 0, which ``month_name`` names as ``month_of`` does."""
+    return F.year(column) * 12 + F.month(column) - 1
+
+
+def month_name(number: str) -> Column:
+    """Calendar month ``yyyy-MM`` of a ``month_number``."""
+    n = F.col(number)
+    return F.date_format(F.make_date(F.floor(n / 12).cast("int"), F.pmod(n, F.lit(12)) + 1, F.lit(1)), "yyyy-MM")
